@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenspark.llm import op4, op8
+from lumenspark.llm import op4, op6, op7, op8
 
-_MODULES = (op4, op8)
+_MODULES = (op4, op6, op7, op8)
 
 
 def queries() -> dict:
