@@ -174,3 +174,17 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarr
         with np.errstate(over="ignore"):
             raw[s] = np.sum(hashes[s : s + n_words[d]] * factors[: n_words[d]], dtype=np.uint64) + np.uint64(n_words[d])
     return mix(raw[full]), out_rows
+
+
+def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices begins[i], begins[i] + 1, ... (counts[i] of them), for all i in turn."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    used = counts > 0
+    begins, counts = begins[used], counts[used]
+    step = np.ones(total, np.int64)
+    step[0] = begins[0]
+    at = np.cumsum(counts)[:-1]
+    step[at] = begins[1:] - (begins[:-1] + counts[:-1] - 1)
+    return np.cumsum(step)

@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from lumenspark.llm.textbytes import Spans, mix
+from lumenspark.llm.textbytes import Spans, mix, ragged
 
 CHUNK = 128
 # Character classes: the end of a text, the apostrophe, the space, other white space, numbers, the
@@ -28,6 +28,8 @@ CHUNK = 128
 END, APOSTROPHE, SPACE, BLANK, NUMBER, STMD, R, V, L, E, LETTER, OTHER = range(12)
 _CLASSES = 12
 _END_MARK = "\ud800"
+#: States that a worker keeps before it starts anew, and the bits of its table of recent ones.
+_MOST_STATES, _RECENT = 2_000_000, 19
 
 # States name what the open pretoken is.
 _NAMES = ("start", "letters", "numbers", "others", "lone_quote", "quote_r", "quote_v", "quote_l", "contracted", "one_space", "one_blank", "blanks_space", "blanks_blank")
@@ -151,20 +153,41 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        # states in order of compilation: tokens of state i are ids[first[i] : first[i + 1]]
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        # sorted names of the states, their numbers, and a direct-mapped table of names met lately
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.recent, self.recent_number = np.zeros(1 << _RECENT, np.uint64), np.zeros(1 << _RECENT, np.int64)
 
     def _learn(self, hashes: np.ndarray, pretokens: list[str]) -> None:
+        """Compile new states; their names come sorted."""
         encoded = [e.ids for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
-        counts = np.concatenate([np.diff(self.first), np.array([len(e) for e in encoded], np.int64)])
-        ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32)])
-        begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known, counts = known[order], counts[order]
-        self.ids = ids[ragged(begins[order], counts)]
-        self.first = np.concatenate([[0], np.cumsum(counts)])
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(counts.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.number = np.insert(self.number, at, len(self.first) - 1 + np.arange(len(hashes)))
+        self.known = np.insert(self.known, at, hashes)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+
+    def _numbers(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        """Numbers of the states with these names; text_of gives the pretokens at some places, to compile new ones."""
+        slot = (hashes & np.uint64((1 << _RECENT) - 1)).astype(np.int64)
+        out = self.recent_number[slot]
+        missed = np.flatnonzero(self.recent[slot] != hashes)
+        if len(missed):
+            new, where, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.known, new), max(len(self.known) - 1, 0))
+            unknown = self.known[at] != new if len(self.known) else np.ones(len(new), bool)
+            if unknown.any():
+                self._learn(new[unknown], text_of(missed[where[unknown]]))
+            numbers = self.number[np.searchsorted(self.known, new)]
+            out[missed] = numbers[back]
+            slot = (new & np.uint64((1 << _RECENT) - 1)).astype(np.int64)
+            self.recent[slot], self.recent_number[slot] = new, numbers
+        return out
 
     def _states(self, text: str) -> np.ndarray:
         """The final state of each pretoken of texts that are each followed by the end mark, and -1 for the mark."""
@@ -174,16 +197,11 @@ class Encoder:
         stops = np.append(starts[1:], len(points))
         hashes = Spans(_point_values()[points]).hash(starts, stops)
         ends = classes[starts] == END
-        new, where = np.unique(hashes[~ends], return_index=True)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
-            missing = self.known[at] != new
-            new, where = new[missing], where[missing]
-        if len(new):
-            s, e = starts[~ends][where], stops[~ends][where]
-            self._learn(new, [text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        word, stop = starts[~ends], stops[~ends]
+        if len(self.known) > _MOST_STATES:
+            self.clear()
         states = np.full(len(starts), -1, np.int64)
-        states[~ends] = np.searchsorted(self.known, hashes[~ends])
+        states[~ends] = self._numbers(hashes[~ends], lambda some: [text[a:b] for a, b in zip(word[some].tolist(), stop[some].tolist(), strict=True)])
         return states
 
     def _pieces(self, texts: list[str]):
@@ -233,20 +251,6 @@ class Encoder:
         return ids[ragged(begins, counts)], np.concatenate([[0], total[last]])
 
 
-def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices begins[i], begins[i] + 1, ... (counts[i] of them), for all i in turn."""
-    total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    used = counts > 0
-    begins, counts = begins[used], counts[used]
-    step = np.ones(total, np.int64)
-    step[0] = begins[0]
-    at = np.cumsum(counts)[:-1]
-    step[at] = begins[1:] - (begins[:-1] + counts[:-1] - 1)
-    return np.cumsum(step)
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -9,8 +9,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from lumenspark.llm.op4 import tokenizer_path
+from lumenspark.llm.textbytes import ragged
 from lumenspark.llm.tokens import token_counts
-from lumenspark.llm.transducer import Encoder, ragged
+from lumenspark.llm.transducer import Encoder
 
 HARD = ["", " ", "  ", "\n", "a", "'", "'s", "''s", " 's", "\n's", "it's we're 'r", "'r", "'rx 'll 'l", "x'l'l", "don't!'s", "a  b", "a \nb", "a\n b", "  \n\n a", "tail  ", "\u00a0a", "a\u00a0\u00a0b", "é'd 12'd", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", "😀 '😀's", "\x1c\x1f a", "١٢ ²³ x²", "'ve'Ve'vE", "a'" + "r" * 40, "\U000fffff\U0010ffff"]
 
