@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.llm.common import saved, shuffle_partitions
-from lumenspark.llm.textbytes import PIECE, Spans, byte_values, utf8
+from lumenspark.llm.textbytes import PIECE, Spans, byte_values, ragged, utf8
 
 GRAM = 16
 CHUNK_BYTES = 2 << 20
@@ -92,7 +92,6 @@ class Anchored:
         self.width = width
         self.data, self.offsets = utf8(table.column("text"))
         self.ids = np.array([_LAST if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-        self._parts: list[tuple[int, Spans]] = []
         key, segment, doc, low, high = [], [], [], [], []
         at, end = int(self.offsets[0]), int(self.offsets[-1])
         while at < end:
@@ -143,11 +142,16 @@ class Anchored:
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, doc_id and start of each window of some of the anchors."""
         hashes, docs, starts = [], [], []
-        for r in runs.tolist():
-            a, b = int(self.low[r]), int(self.high[r])
-            hashes.append(Spans(_VALUES[self.data[a : b + self.width]]).hash_all(self.width))
-            docs.append(np.full(b - a + 1, self.doc[r], np.int64))
-            starts.append(np.arange(a, b + 1))
+        n = self.high[runs] - self.low[runs] + 1
+        covered = n + self.width - 1
+        group = np.cumsum(covered) // PIECE
+        for g in np.unique(group).tolist():
+            some = np.flatnonzero(group == g)
+            spans = Spans(_VALUES[self.data[ragged(self.low[runs[some]], covered[some])]])
+            at = ragged(np.cumsum(covered[some]) - covered[some], n[some])
+            hashes.append(spans.hash(at, at + self.width))
+            docs.append(np.repeat(self.doc[runs[some]], n[some]))
+            starts.append(ragged(self.low[runs[some]], n[some]))
         if not hashes:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
