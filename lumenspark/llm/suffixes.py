@@ -5,7 +5,7 @@ smaller doc_id.  Sorting every suffix would move many times the input, so only s
 are sorted: in each window of ``width`` bytes the anchor is the place of the least hash among its
 GRAM-byte strings (the leftmost of equals).  Equal windows have their anchor at the same place, so
 two equal windows always meet at one anchor's suffixes.  Neighbouring windows share anchors: about
-one suffix in eighteen is left.
+one suffix in fourteen is left.
 
 1.  Documents are dealt to chunks.  A chunk's anchors are keyed by their suffix's leading tokens
     (four bytes, then the hash of the whole gram) and by a hash of the segment, the bytes that all
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenspark.llm.common import saved, shuffle_partitions
 from lumenspark.llm.textbytes import PIECE, Spans, byte_values, ragged, utf8
 
-GRAM = 16
+GRAM = 24
 CHUNK_BYTES = 2 << 20
 _VALUES = byte_values(9)
 _LAST = np.iinfo(np.int64).max
@@ -328,7 +328,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
 
     # splitters: keys of a bounded sample of documents, about 200 for each range
     ranges = 2 * n
-    share = min(1.0, ranges * 200 * 18 / max(total, 1))
+    share = min(1.0, ranges * 200 * 14 / max(total, 1))
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
     points = sample.mapInArrow(_sampled(width), "key long").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
     splitters = np.unique(np.array(points or [], np.int64)).astype(np.uint64) << np.uint64(1)
