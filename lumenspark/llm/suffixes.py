@@ -322,12 +322,12 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(4 * n, -(-total // chunk_bytes))
+    chunks = max(2 * n, -(-total // chunk_bytes))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     dealt = docs.select("doc_id", "text", carried.alias("carried"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
 
     # splitters: keys of a bounded sample of documents, about 200 for each range
-    ranges = 2 * n
+    ranges = n
     share = min(1.0, ranges * 200 * 14 / max(total, 1))
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
     points = sample.mapInArrow(_sampled(width), "key long").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
