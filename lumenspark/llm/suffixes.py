@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import saved, shuffle_partitions
+from lumenspark.llm.common import shuffle_partitions
 from lumenspark.llm.textbytes import PIECE, Spans, byte_values, ragged, utf8
 
 GRAM = 24
@@ -335,7 +335,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
 
     schema = "chunk long, part int, data binary"
     sent = dealt.groupBy("chunk").applyInArrow(_send_anchors(width, splitters), schema)
-    told = saved(sent.groupBy("part").applyInArrow(_compare_anchors, schema))
+    # one plan, so that the texts' exchange by chunk serves all three passes
+    told = sent.groupBy("part").applyInArrow(_compare_anchors, schema)
     asked = told.where("part = 0")
     windows = dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_send_windows(width, ranges), schema)
     more = windows.groupBy("part").applyInArrow(_compare_windows, schema)
