@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(2 * n, -(-total // chunk_bytes))
+    chunks = max(n, -(-total // chunk_bytes))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     dealt = docs.select("doc_id", "text", carried.alias("carried"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
 
