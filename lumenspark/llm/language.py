@@ -209,12 +209,17 @@ def _predict(network: Network):
 
 def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
     """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most."""
-    known = only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null").where(usable)
+    known = only(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(usable)
     names = [r[0] for r in known.select("lang").distinct().limit(1000).collect()]  # a label set is small; beyond 1000 languages it would be another model
     each = max(1, sample // max(1, len(names)))
-    rows = []
-    for name in sorted(names):
-        rows += known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(each).collect()
+    # ids first, so that only the sample's texts reach the driver
+    drawn = [known.where(F.col("lang") == n).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for n in sorted(names)]
+    if not drawn:
+        return train([], [])
+    ids = drawn[0]
+    for more in drawn[1:]:
+        ids = ids.union(more)
+    rows = known.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample).collect()  # sample ids at most
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
