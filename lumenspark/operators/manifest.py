@@ -39,7 +39,7 @@ def _ranked(rows: DataFrame, by: list[str], seed: int | Column, name: str) -> Da
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_n"))
     within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_order", name))
-    return keyed.withColumn("_within", within).join(F.broadcast(offsets) if False else offsets, [*by, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within"))
+    return keyed.withColumn("_within", within).join(offsets, [*by, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within"))
 
 
 def stratified_split(images: DataFrame, seed: int = 42) -> DataFrame:

@@ -105,7 +105,7 @@ def pixels_in_tiles(pixels: DataFrame, dims: DataFrame, size: int, overlap: floa
         flush = F.when(F.col(at) >= F.col(dim) - size, F.array(F.col(dim) - size)).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.concat(regular, flush))
 
-    placed = pixels.join(F.broadcast(dims), "filename") if False else pixels.join(dims, "filename")
+    placed = pixels.join(dims, "filename")
     rows = placed.withColumn("row0", F.explode(holding("row", "height")))
     both = rows.withColumn("col0", F.explode(holding("col", "width")))
     return both.withColumns({"local_row": F.col("row") - F.col("row0"), "local_col": F.col("col") - F.col("col0")}).drop("height", "width")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lumenspark.plans import names, pixels
+
 
 def queries() -> dict:
-    return {}
+    return names.QUERIES | pixels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return names.SQL | pixels.SQL

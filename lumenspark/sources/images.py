@@ -14,20 +14,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # File name endings of raw images.
 EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
 
 PAYLOAD = "height int, width int, channels int, dtype string, pixels binary"
 
-MANIFEST = T.StructType.fromDDL("filename string, sample_id string, magnification int, height int, width int, split string, split_note string")
-CROP_LOG = T.StructType.fromDDL("filename string, magnification int, colour_mode string, original_height int, original_width int, crop_top_px int, crop_bottom_px int, crop_left_px int, crop_right_px int, crop_capped boolean, output_height int, output_width int")
-ENHANCE_LOG = T.StructType.fromDDL("filename string, magnification int, flat_field_radius_px double, flat_field_working_radius_px double, denoise_patch_size_px int, denoise_patch_distance_px int, denoise_boundary_limit_px double, denoise_sigma_est double, denoise_h double, clahe_kernel_size_px int, clahe_clip_limit double")
-TILE_LOG = T.StructType.fromDDL("tile_filename string, source_filename string, magnification int, tile_row_idx int, tile_col_idx int, row0 int, col0 int, tile_size_px int, source_height_px int, source_width_px int")
-QUALITY = T.StructType.fromDDL("focus_variance_of_laplacian double, noise_mad_sigma double, contrast_spread double, entropy double, filename string, magnification int, scope string, tile_row int, tile_col int, tile_top_px int, tile_left_px int, tile_height_px int, tile_width_px int, illumination_level double, illumination_range_frac double, illumination_flag boolean")
-TIMING = T.StructType.fromDDL("tile_filename string, source_filename string, magnification int, model string, elapsed_seconds double, status string, detail string")
-INFERENCE_LOG = T.StructType.fromDDL("timestamp timestamp, model string, tile_filename string, source_filename string, magnification int, status string, elapsed_seconds double, detail string")
+MANIFEST = "filename string, sample_id string, magnification int, height int, width int, split string, split_note string"
+CROP_LOG = "filename string, magnification int, colour_mode string, original_height int, original_width int, crop_top_px int, crop_bottom_px int, crop_left_px int, crop_right_px int, crop_capped boolean, output_height int, output_width int"
+ENHANCE_LOG = "filename string, magnification int, flat_field_radius_px double, flat_field_working_radius_px double, denoise_patch_size_px int, denoise_patch_distance_px int, denoise_boundary_limit_px double, denoise_sigma_est double, denoise_h double, clahe_kernel_size_px int, clahe_clip_limit double"
+TILE_LOG = "tile_filename string, source_filename string, magnification int, tile_row_idx int, tile_col_idx int, row0 int, col0 int, tile_size_px int, source_height_px int, source_width_px int"
+QUALITY = "focus_variance_of_laplacian double, noise_mad_sigma double, contrast_spread double, entropy double, filename string, magnification int, scope string, tile_row int, tile_col int, tile_top_px int, tile_left_px int, tile_height_px int, tile_width_px int, illumination_level double, illumination_range_frac double, illumination_flag boolean"
+TIMING = "tile_filename string, source_filename string, magnification int, model string, elapsed_seconds double, status string, detail string"
+INFERENCE_LOG = "timestamp timestamp, model string, tile_filename string, source_filename string, magnification int, status string, elapsed_seconds double, detail string"
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -79,7 +78,7 @@ def map_images(images: DataFrame, keys: tuple[str, ...], function: Callable, sch
 
     columns: parameters of each image, computed by Spark and seen as attributes of row.
     """
-    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    names = [f.split()[0] for f in schema.split(",")]
     key_types = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,22 +92,22 @@ def map_images(images: DataFrame, keys: tuple[str, ...], function: Callable, sch
     return chosen.mapInPandas(run, f"{key_types}, {schema}")
 
 
-def to_payload(pixels: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
-    """A pixel table (keys, row, col, channels...) as payloads of float64; images are expected to be small here."""
+def to_payload(pixels: DataFrame, keys: list[str], channels: list[str], dtype: str = "float64") -> DataFrame:
+    """A pixel table (keys, row, col, channels...) as payloads; images are expected to be small here."""
     cell = F.struct("row", "col", F.array(*[F.col(c).cast("double") for c in channels]).alias("v"))
     grouped = pixels.groupBy(*keys).agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"), F.flatten(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"])).alias("values"))
-    return arrays_to_payload(grouped, keys, len(channels))
+    return arrays_to_payload(grouped, keys, len(channels), dtype)
 
 
-def arrays_to_payload(rows: DataFrame, keys: list[str], channels: int) -> DataFrame:
-    """(keys, height, width, values array) as payloads of float64."""
+def arrays_to_payload(rows: DataFrame, keys: list[str], channels: int, dtype: str = "float64") -> DataFrame:
+    """(keys, height, width, values array) as payloads of a NumPy dtype."""
     key_types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[[*keys, "height", "width"]].copy()
-            out["channels"], out["dtype"] = np.int32(channels), "float64"
-            out["pixels"] = [np.asarray(v, np.float64).tobytes() for v in batch["values"]]
+            out["channels"], out["dtype"] = np.int32(channels), dtype
+            out["pixels"] = [np.asarray(v).astype(dtype).tobytes() for v in batch["values"]]
             yield out
 
     return rows.select(*keys, "height", "width", "values").mapInPandas(run, f"{key_types}, {PAYLOAD}")
@@ -137,7 +136,7 @@ def append_log(df: DataFrame, path: str) -> None:
     write_table(df, path, mode="append")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
