@@ -16,14 +16,14 @@ url, then body); extra columns are ignored; an empty table has no nodes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspark.llm.common import only, saved
 
-FANOUT = 16
+FANOUT = 64
+#: Record places in an archive.
 ARCHIVE = 4096
-SLOT_BITS = 12  # ARCHIVE = 2 ** SLOT_BITS record places in an archive
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -49,56 +49,56 @@ def leaves(recorded: DataFrame) -> DataFrame:
     return several.select(F.coalesce(F.floor(F.col("page_id") / ARCHIVE).cast("long"), F.lit(-1)).alias("archive"), F.coalesce(F.pmod("page_id", F.lit(ARCHIVE)), F.lit(0)).cast("long").alias("place"), "page_id", "length", joined.alias("hash"))
 
 
-def _up(nodes: DataFrame, key: list[str], place: Column) -> DataFrame:
+def _up(nodes: DataFrame, archive: Column, place: Column) -> DataFrame:
     """The next level: ordered children hashed together with their places, and the bytes below."""
     children = F.array_sort(F.collect_list(F.struct(F.col("place").alias("p"), F.col("hash").alias("h"))))
-    grouped = nodes.groupBy(*key, place.alias("above")).agg(F.sum("length").alias("length"), F.concat_ws(";", F.transform(children, lambda c: F.concat(c["p"].cast("string"), F.lit(":"), c["h"]))).alias("line"))
-    return grouped.select(*key, F.col("above").alias("place"), "length", F.sha2("line", 256).alias("hash"))
+    grouped = nodes.groupBy("replica", archive.alias("up"), place.alias("above")).agg(F.sum("length").alias("length"), F.concat_ws(";", F.transform(children, lambda c: F.concat(c["p"].cast("string"), F.lit(":"), c["h"]))).alias("line"))
+    return grouped.select("replica", F.col("up").alias("archive"), F.col("above").alias("place"), "length", F.sha2("line", 256).alias("hash"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of (archive, place, length, hash) from the leaves up to one node; archives join above their roots."""
-    levels = [leaf.select("archive", "place", "length", "hash")]
-    size = ARCHIVE
-    while size > 1:
-        levels.append(_up(levels[-1], ["archive"], F.floor(F.col("place") / FANOUT).cast("long")))
-        size //= FANOUT
-    return levels
+def _range_of(place: str | Column) -> Column:
+    return F.floor((F.col(place) if isinstance(place, str) else place) / FANOUT).cast("long")
+
 
+def trees(leaf: DataFrame) -> list[tuple[str, DataFrame]]:
+    """(replica, archive, place, length, hash) leaves -> saved levels from the leaves up to one root for each replica.
 
-def archive_tree(roots: DataFrame, most: int) -> list[DataFrame]:
-    """Levels above the archives' roots; most: the greatest archive number."""
-    levels = [roots.select(F.lit(0).cast("long").alias("archive"), F.col("archive").alias("place"), "length", "hash")]
-    size = most + 2
+    A level is within archives, or, above their roots, over them (archive 0, place of archive a is a + 1).
+    """
+    levels = [("within", leaf)]
+    size = ARCHIVE
     while size > 1:
-        levels.append(_up(levels[-1], ["archive"], F.floor((F.col("place") + 1) / FANOUT).cast("long")))
-        size = -(-size // FANOUT) + 1 if size > FANOUT else 1
+        levels.append(("within", saved(_up(levels[-1][1], F.col("archive"), _range_of("place")))))
+        size = -(-size // FANOUT)
+    most = levels[-1][1].agg(F.max("archive")).first()[0]
+    over = levels[-1][1].select("replica", F.lit(0).cast("long").alias("archive"), (F.col("archive") + 1).alias("place"), "length", "hash")
+    levels.append(("over", over))
+    size = (most if most is not None else -1) + 2
+    while size > 1:
+        levels.append(("over", saved(_up(levels[-1][1], F.col("archive"), _range_of("place")))))
+        size = -(-size // FANOUT)
     return levels
 
 
-def _differ(a: DataFrame, b: DataFrame, among: DataFrame | None, up: Column) -> DataFrame:
-    """Nodes of one level that differ between replicas, of those below the nodes given."""
+def _differ(nodes: DataFrame, among: DataFrame | None) -> DataFrame:
+    """Nodes of one level that differ between the replicas, of those below the nodes given."""
     if among is not None:
         keys = among.select("archive", F.col("place").alias("above"))
-        a, b = [x.withColumn("above", up).join(keys, ["archive", "above"], "left_semi") for x in (a, b)]
-    left, right = [x.select("archive", "place", F.col("hash").alias(n)) for x, n in ((a, "ha"), (b, "hb"))]
-    return left.join(right, ["archive", "place"], "full").where(~F.col("ha").eqNullSafe(F.col("hb")))
-
-
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Leaves of two replicas -> (archive, place, ha, hb): the records that differ, found by descending from the root."""
-    a, b = tree(primary), tree(replica)
-    both = a[-1].select("archive").union(b[-1].select("archive"))
-    most = both.agg(F.max("archive")).first()[0]
-    if most is None:
-        return _differ(a[0], b[0], None, F.lit(0))
-    tops = [archive_tree(x[-1], most) for x in (a, b)]
-    bad = None
-    for x, y in zip(*(reversed(t) for t in tops), strict=True):
-        bad = _differ(x, y, bad, F.floor((F.col("place") + 1) / FANOUT).cast("long"))
-    bad = bad.select(F.col("place").alias("archive"), F.lit(0).cast("long").alias("place"))
-    for x, y in zip(reversed(a[:-1]), reversed(b[:-1]), strict=True):
-        bad = _differ(x, y, bad, F.floor(F.col("place") / FANOUT).cast("long"))
+        nodes = nodes.withColumn("above", _range_of("place")).join(keys, ["archive", "above"], "left_semi")
+    of = lambda r: F.max(F.when(F.col("replica") == r, F.col("hash")))
+    return nodes.groupBy("archive", "place").agg(of(0).alias("ha"), of(1).alias("hb")).where(~F.col("ha").eqNullSafe(F.col("hb")))
+
+
+def audit(both: DataFrame) -> DataFrame:
+    """Leaves of two replicas (0 and 1) -> (archive, place, ha, hb): the records that differ, found by descending from the roots."""
+    bad, kind = None, "over"
+    levels = trees(both)
+    for i, (level, nodes) in enumerate(reversed(levels)):
+        if kind == "over" and level == "within":  # from the archives to their roots, the same nodes
+            kind, bad = level, bad.select((F.col("place") - 1).alias("archive"), F.lit(0).cast("long").alias("place"))
+            if i + 1 < len(levels):
+                continue
+        bad = _differ(nodes, bad)
     return bad
 
 
@@ -109,10 +109,9 @@ def fixity(primary: DataFrame, replica: DataFrame) -> DataFrame:
     replica, null if it lacks the record; state is ok, corrupt, missing (not in the replica) or
     added (only there).
     """
-    from pyspark.sql import Window
-
-    a, b = saved(leaves(primary)), saved(leaves(replica))
-    bad = audit(a, b).select("archive", "place", F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("corrupt").alias("found"))
+    both = saved(leaves(primary).withColumn("replica", F.lit(0)).union(leaves(replica).withColumn("replica", F.lit(1))))
+    a, b = both.where("replica = 0"), both.where("replica = 1")
+    bad = saved(audit(both.select("replica", "archive", "place", "length", "hash"))).select("archive", "place", F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("corrupt").alias("found"))
     before = Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.select("archive", "place", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "hash")
     new = b.join(bad.where("found = 'added'"), ["archive", "place"], "left_semi").select("archive", "place", "page_id", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), "hash")
