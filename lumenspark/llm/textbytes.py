@@ -166,7 +166,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarr
     if n == 0:
         return np.zeros(0, np.uint64), out_rows
     raw = hashes * factors[0]
-    for j in range(1, width):
+    for j in range(1, min(width, n)):
         raw[: n - j] += hashes[j:] * factors[j]
     full = np.repeat(np.where(n_words >= width, rows[1:] - width + 1, rows[:-1] + 1), n_words) > np.arange(n)
     for d in np.flatnonzero((n_words > 0) & (n_words < width)):
