@@ -20,7 +20,6 @@ from lumenspark.streaming.incremental import score_arrivals
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-_RGB = [F.col(c) for c in "rgb"]
 _KEYS = ["filename", "magnification"]
 
 
@@ -36,6 +35,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _rgb() -> list[F.Column]:
+    return [F.col(c) for c in "rgb"]
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -45,12 +48,12 @@ _L = f"WITH {proxies.l_sql()}"
 
 @query(f'{_L} SELECT filename, "row", col, round(0.299 * r + 0.587 * g + 0.114 * b, 6) AS luminance FROM l')
 def luminance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(proxies.rgb_pixels(spark, d).select("filename", "row", "col", colour.luminance(*_RGB).alias("luminance")), "luminance")
+    return rounded(proxies.rgb_pixels(spark, d).select("filename", "row", "col", colour.luminance(*_rgb()).alias("luminance")), "luminance")
 
 
 @query(f'{_L} SELECT filename, "row", col, CAST(round_even(round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 9), 0) AS INT) AS gray FROM l')
 def gray8(spark: SparkSession, d: str) -> DataFrame:
-    return proxies.rgb_pixels(spark, d).select("filename", "row", "col", F.rint(F.round(colour.luminance(*_RGB), 9)).cast("int").alias("gray"))
+    return proxies.rgb_pixels(spark, d).select("filename", "row", "col", F.rint(F.round(colour.luminance(*_rgb()), 9)).cast("int").alias("gray"))
 
 
 @query(f'{_L} SELECT filename, "row", col, round(r / 255.0::DOUBLE, 6) AS r, round(g / 255.0::DOUBLE, 6) AS g, round(b / 255.0::DOUBLE, 6) AS b FROM l')
@@ -73,7 +76,7 @@ def to_uint16(spark: SparkSession, d: str) -> DataFrame:
 
 def _hsv(spark: SparkSession, d: str) -> DataFrame:
     unit = proxies.rgb_pixels(spark, d).withColumns({c: colour.unit(F.col(c)) for c in "rgb"})
-    return unit.select(*_KEYS, "row", "col", colour.hue(*_RGB).alias("h"), colour.saturation(*_RGB).alias("s"), colour.value(*_RGB).alias("v"))
+    return unit.select(*_KEYS, "row", "col", colour.hue(*_rgb()).alias("h"), colour.saturation(*_rgb()).alias("s"), colour.value(*_rgb()).alias("v"))
 
 
 _HSV = f"""{_L}, u AS (SELECT filename, magnification, "row", col, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM l),
@@ -185,7 +188,7 @@ _BORDER = Border(variance_ratio=0.5)
 
 @query(f"{_PAINTED} SELECT filename, axis, idx, round(variance, 6) AS variance FROM va")
 def row_col_variance(spark: SparkSession, d: str) -> DataFrame:
-    gray = _painted(spark, d).select("filename", "row", "col", F.rint(F.round(colour.luminance(*_RGB), 9)).alias("y"))
+    gray = _painted(spark, d).select("filename", "row", "col", F.rint(F.round(colour.luminance(*_rgb()), 9)).alias("y"))
     sides = [gray.groupBy("filename", F.lit(a).alias("axis"), F.col(a).alias("idx")).agg(F.var_pop("y").alias("variance")) for a in ("row", "col")]
     return rounded(sides[0].union(sides[1]), "variance")
 
