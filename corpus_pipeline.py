@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py checks the stages.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_others.py checks the stages.
 ORACLE_SQL = None
 
 

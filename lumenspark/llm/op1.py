@@ -19,6 +19,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, network).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-# SQL can't fit the network; tests/llm/test_language.py measures held-out accuracy.
+# SQL can't fit the network; tests/llm/test_others.py measures held-out accuracy.
 QUERIES = {"op1_language_id": op1_language_id}
 SQL: dict[str, str] = {}

@@ -24,6 +24,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Records, offsets and digests in SQL, and the states from comparing all digests; the trees only
 # make the comparison cheaper. DuckDB has no crc32, so this is held against a brute-force version in
-# tests/llm/test_warc.py.
+# tests/llm/test_others.py.
 QUERIES = {"op10_warc_fixity": op10_warc_fixity}
 SQL: dict[str, str] = {}

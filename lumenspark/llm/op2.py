@@ -12,7 +12,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(read(spark, sf_dir, "documents"))
 
 
-# DuckDB has neither this xxhash nor Unicode compatibility forms; tests/llm/test_fingerprints.py
+# DuckDB has neither this xxhash nor Unicode compatibility forms; tests/llm/test_others.py
 # holds the query against Python.
 QUERIES = {"op2_document_fingerprints": op2_document_fingerprints}
 SQL: dict[str, str] = {}

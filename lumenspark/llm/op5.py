@@ -20,6 +20,6 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-# SQL can't fit the model; tests/llm/test_quality.py measures held-out accuracy.
+# SQL can't fit the model; tests/llm/test_others.py measures held-out accuracy.
 QUERIES = {"op5_quality_classifier": op5_quality_classifier}
 SQL: dict[str, str] = {}
