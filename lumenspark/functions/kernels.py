@@ -246,32 +246,56 @@ def connected(mask: np.ndarray) -> np.ndarray:
 
 def fill_minima(image: np.ndarray, depth: float) -> np.ndarray:
     """Reconstruction by erosion of image + depth above the image."""
-    out = image + depth
+    wide = np.pad(image + depth, 1, constant_values=np.inf)
+    out, low = wide[1:-1, 1:-1], np.empty_like(image, np.float64)
     while True:
-        low = np.minimum.reduce([out, *_neighbours(out, np.inf)])
-        new = np.maximum(low, image)
-        if (new == out).all():
-            return out
-        out = new
+        np.minimum(wide[:-2, 1:-1], wide[2:, 1:-1], out=low)
+        np.minimum(low, wide[1:-1, :-2], out=low)
+        np.minimum(low, wide[1:-1, 2:], out=low)
+        np.minimum(low, out, out=low)
+        np.maximum(low, image, out=low)
+        if np.array_equal(low, out):
+            return out.copy()
+        out[:] = low
 
 
 def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Regions that grow from markers in order of height; of equal heights, the pixel that was reached first."""
-    import heapq
-
-    label = markers.astype(np.int32).copy()
-    h, w = image.shape
-    heap = [(image[y, x], i, y, x) for i, (y, x) in enumerate(zip(*np.nonzero(label), strict=True))]
-    heapq.heapify(heap)
-    age = len(heap)
+    """Regions that grow from markers in order of height; of equal heights, the pixel that was reached first.
+
+    A pixel of the queue is one integer: the rank of its height, then its age, then its place in a
+    grid with a border that counts as labelled.
+    """
+    from heapq import heapify, heappop, heappush, heappushpop
+
+    row = image.shape[1] + 2
+    rank = np.unique(image, return_inverse=True)[1].reshape(image.shape)
+    bits = ((image.shape[0] + 2) * row).bit_length()
+    place, step = (1 << bits) - 1, 1 << bits
+    height = [r << (2 * bits) for r in np.pad(rank, 1).ravel().tolist()]
+    label = np.pad(markers.astype(np.int32), 1, constant_values=-1).ravel().tolist()
+    heap = [height[p] + i * step + p for i, p in enumerate(p for p, name in enumerate(label) if name > 0)]
+    heapify(heap)
+    age = len(heap) * step
+    ahead = (-row, -1, 1, row)
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= v < h and 0 <= u < w and not label[v, u]:
-                label[v, u] = label[y, x]
-                heapq.heappush(heap, (max(image[v, u], image[y, x]), age, v, u))
-                age += 1
-    return label
+        entry = heappop(heap)
+        while entry is not None:  # the first pixel reached from this one is often the next of the queue
+            p, entry = entry & place, None
+            name, own = label[p], height[p]
+            for shift in ahead:
+                q = p + shift
+                if not label[q]:
+                    label[q] = name
+                    high = height[q]
+                    reached = (high if high > own else own) + age + q
+                    age += step
+                    if entry is None:
+                        entry = reached
+                    else:
+                        heappush(heap, reached)
+            if entry is not None:
+                entry = heappushpop(heap, entry)
+    return np.array(label, np.int32).reshape(-1, row)[1:-1, 1:-1].copy()
 
 
 def drop_small(label: np.ndarray, least: int) -> np.ndarray:

@@ -87,6 +87,25 @@ def test_boundaries_and_scorers():
     assert k.connected(mask).tolist() == [[1, 0, 2], [1, 0, 2], [0, 0, 2]]
 
 
+def test_watershed_takes_pixels_in_order():
+    """Against the definition, with heights that often tie."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        h, w = rng.integers(1, 16, 2)
+        image = rng.integers(0, rng.integers(2, 60), (h, w)) / 7
+        label = np.where(rng.random((h, w)) < 0.08, rng.integers(1, 9, (h, w)), 0)
+        want, reached = label.copy(), [(image[y, x], i, y, x) for i, (y, x) in enumerate(np.argwhere(label))]
+        age = len(reached)
+        while reached:
+            _, _, y, x = reached.pop(reached.index(min(reached)))
+            for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+                if 0 <= v < h and 0 <= u < w and not want[v, u]:
+                    want[v, u] = want[y, x]
+                    reached.append((max(image[v, u], image[y, x]), age, v, u))
+                    age += 1
+        assert (k.watershed(image, label) == want).all()
+
+
 def test_quality_tiles_cover_the_image(spark):
     a = np.random.default_rng(3).random((50, 65)).astype(np.float32)
     rows = quality.quality(payloads(spark, [a]), Quality(tile_size_px=25, illumination_sigma_px=3.0)).collect()
