@@ -136,6 +136,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.sums(x)[0].astype(float), -30, 30)))
 
 
+def _joined(parts: list[Features]) -> Features:
+    ends = np.cumsum([0] + [p.first[-1] for p in parts])
+    first = np.concatenate([[0]] + [p.first[1:] + at for p, at in zip(parts, ends[:-1], strict=True)])
+    return Features(first, np.concatenate([p.slot for p in parts]), np.concatenate([p.value for p in parts]))
+
+
 def _picked(x: Features, rows: np.ndarray) -> Features:
     per = np.diff(x.first)[rows]
     first = np.concatenate([[0], np.cumsum(per)])
@@ -150,7 +156,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 64,
     m = Machine(float(np.log((mean + 1e-3) / (1 - mean + 1e-3))), np.zeros(WIDTH, np.float32), rng.normal(0, 0.02, (WIDTH, FACTORS)).astype(np.float32))
     if len(labels) == 0 or labels.min() == labels.max():
         return Machine(m.bias, m.weight, np.zeros_like(m.factor))
-    x = features(pa.array(texts, pa.large_string()))
+    # in parts, for the arrays that features makes on the way are many times the size of the texts
+    x = _joined([features(pa.array(texts[i : i + 250], pa.large_string())) for i in range(0, len(texts), 250)])
     gw, gv, gb = np.full(WIDTH, 1e-3, np.float32), np.full((WIDTH, FACTORS), 1e-3, np.float32), 1e-3
     for _ in range(epochs):
         order = rng.permutation(len(labels))
