@@ -1,10 +1,12 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and after sentence marks.  Each sentence is normalised
-(lower case, runs of anything but letters and digits as one blank) and looked up among the known
-licence sentences.  The identifiers that are found, in order, are matched against the ordered rules:
-a rule fires where its identifiers stand next to each other in that sequence, whatever other
-sentences are between them in the text.  No shuffle is needed.
+A text is cut into pieces at line ends and after sentence marks, and normalised (lower case, runs of
+anything but letters and digits as one blank).  A known licence sentence is found where it begins and
+ends with a piece; it may go on over line ends and marks inside it, but not over a blank line.  At one
+place the longest known sentence is taken, and what it covers is not looked at again.  The identifiers
+that are found, in order, are matched against the ordered rules: a rule fires where its identifiers
+stand next to each other in that sequence, whatever other sentences are between them in the text.  No
+shuffle is needed.
 
 Rows: a null or blank text has no sentences and no licences; repeated rows and null ids are kept as
 they are; extra columns are ignored.
@@ -56,35 +58,79 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-notice"]),
 ]
 
-#: Where sentences end: line ends, and white space after a sentence mark.
+_GPL_GRANT = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_CC = "this work is licensed under {} creative commons attribution {}4 0 international license"
+
+# Sentences of the standard texts in full, which go on where those above stop.  The SQL
+# of the query, which looks at one piece at a time, does not have them.
+FULL_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
+    f"{_GPL_GRANT} either version 3 of the license or at your option any later version": "gpl3-or-later-grant",
+    f"{_GPL_GRANT} version 3": "gpl3-only-grant",
+    f"{_GPL_GRANT} version 3 of the license": "gpl3-only-grant",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    _CC.format("a", ""): "ccby4-notice",
+    _CC.format("the", ""): "ccby4-notice",
+    _CC.format("a", "noncommercial "): "ccbync4-notice",
+    _CC.format("the", "noncommercial "): "ccbync4-notice",
+}
+
+FULL_RULES = [
+    ("GPL-3.0-or-later", ["gpl3-or-later-grant"]),
+    ("GPL-3.0-only", ["gpl3-only-grant"]),
+]
+
+#: Where pieces end: line ends, and white space after a sentence mark.
 SENTENCE_END = r"[.!?;:][ \t]+|[\r\n]+"
-_NOT_WORD = r"[^a-z0-9]+"
+# Capitals, which no lower-case text has, mark the ends of pieces (S) and of paragraphs (P).
+_PIECE, _PARAGRAPH = "S", "P"
+#: In the standard text a name stands here, of 300 characters at most.
+_OWNER = r"(?<=[ SP])(neither[ S]the[ S]name[ S]of[ S])[a-z0-9 S]{1,300}?([ S]nor[ S]the[ S]names[ S]of)(?=[ SP])"
+#: List marks that are no piece of their own, as in "(1) Redistributions".
+_LIST_MARK = r"(?:(?:[0-9]{1,2}|[a-z]) (?=redistributions[ S]|neither[ S]))?"
+
+
+def marked(text: Column) -> Column:
+    """A text of which each run of anything but letters and digits is one blank, S or P; it begins and ends with P."""
+    lines = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    blank = F.regexp_replace(lines, r"\n[^a-z0-9\n]*+\n", _PARAGRAPH)
+    pieces = F.regexp_replace(blank, SENTENCE_END, _PIECE)
+    gaps = F.regexp_replace(pieces, r"[^a-z0-9SP]+", " ")
+    gaps = F.regexp_replace(gaps, r" ?S[ S]*", _PIECE)
+    return F.regexp_replace(F.concat(F.lit(_PARAGRAPH), gaps, F.lit(_PARAGRAPH)), r"[ S]*P[ SP]*", _PARAGRAPH)
 
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    # only sentences with a first word that some known one has are normalised and looked up
-    starts = "|".join(sorted({s.split(" ")[0] for s in sentences}))
-    likely = F.filter(F.split(F.lower(text), SENTENCE_END), lambda s: s.rlike(rf"^[^a-z0-9]*({starts})[^a-z0-9]"))
-    normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(s, _NOT_WORD, " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    # only texts with the first two words of some known sentence are looked through
+    starts = "|".join(sorted({"[^a-z0-9]++".join(s.split(" ")[:2]) for s in sentences}))
+    longest = "|".join(s.replace(" ", "[ S]") for s in sorted(sentences, key=len, reverse=True))
+    named = F.regexp_replace(marked(text), _OWNER, "$1the copyright holder$2")
+    hits = F.regexp_extract_all(named, F.lit(rf"[SP]{_LIST_MARK}({longest})(?=[SP])"), F.lit(1))
+    found = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, _PIECE, " ")))
+    return F.when(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{starts})(?![a-z0-9])"), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_sentences, sentence_ids, licenses, n_licenses).
 
     sentence_ids is the sequence of known sentences; licenses are the distinct names of the rules
-    that fire, in the order of the rules; n_sentences counts sentences with a letter or digit.
+    that fire, in the order of the rules; n_sentences counts pieces with a letter or digit.
     """
     text = F.coalesce("text", F.lit(""))
     rows = only(docs, "doc_id", "text").select("doc_id", text.alias("text"))
     found = rows.select(
         "doc_id",
         F.size(F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_sentences"),
-        sentence_ids(F.col("text"), sentences or SENTENCES).alias("sentence_ids"),
+        sentence_ids(F.col("text"), sentences or SENTENCES | FULL_SENTENCES).alias("sentence_ids"),
     )
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
-    fired = F.array(*[F.when(F.contains(line, F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in (rules or RULES)])
+    fired = F.array(*[F.when(F.contains(line, F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in (rules or RULES + FULL_RULES)])
     licenses = F.array_distinct(F.filter(fired, lambda x: x.isNotNull()))
     return found.select("*", licenses.alias("licenses")).select("*", F.size("licenses").cast("long").alias("n_licenses"))

@@ -205,6 +205,85 @@ def test_license_rules(spark):
     assert scan(empty(spark)).count() == 0
 
 
+def license_ids(text, sentences):
+    """Known sentences of a text by trying every run of pieces of a paragraph, the longest first."""
+    normal = lambda s: " ".join(re.findall("[a-z0-9]+", s.lower()))
+    found = []
+    for paragraph in re.split(r"\n[^A-Za-z0-9\n]*(?=\n)", text.replace("\r\n", "\n").replace("\r", "\n")):
+        pieces = [p for p in map(normal, re.split(r"[.!?;:][ \t]+|\n+", paragraph)) if p]
+        at = 0
+        while at < len(pieces):
+            runs = [n for n in range(len(pieces) - at, 0, -1) if " ".join(pieces[at : at + n]) in sentences]
+            found += [sentences[" ".join(pieces[at : at + n])] for n in runs[:1]]
+            at += runs[0] if runs else 1
+    return found
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def test_license_texts_wrapped_and_unwrapped(spark):
+    import textwrap
+
+    from lumenspark.llm.licenses import FULL_SENTENCES, SENTENCES, scan
+
+    semicolon = GPL_TEXT.replace("software:", "software;").replace("Foundation, either", "Foundation; either")
+    texts = {"MIT": MIT_TEXT, "BSD": BSD_TEXT, "BSD list": BSD_TEXT.replace("1.", "(1)").replace("2.", "(2)").replace("3.", "(c)"), "GPL": GPL_TEXT, "GPL ;": semicolon, "Apache": APACHE_TEXT}
+    want = {
+        "MIT": (["mit-grant", "mit-condition", "mit-warranty"], ["MIT"]),
+        "BSD": (["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-3-Clause", "BSD-2-Clause"]),
+        "GPL": (["gpl3-or-later-grant", "gpl-warranty"], ["GPL-3.0-or-later"]),
+        "Apache": (["apache2-notice", "apache2-condition", "apache2-warranty"], ["Apache-2.0"]),
+    }
+    rows = []
+    for name, text in texts.items():
+        for width in (30, 50, 72, 79, 10**6):
+            wrapped = "\n\n".join(textwrap.fill(p.strip(), width) for p in text.split("\n\n"))
+            rows += [(name, wrapped), (name, "Some words here.\n\n" + textwrap.indent(wrapped, " * ", lambda _: True)), (name, wrapped.replace("\n", "\r\n")), (name, f"A title\n{wrapped}\nthe end")]
+    rows += [("BSD", BSD_TEXT.replace("the copyright holder nor", owner)) for owner in ("Example, Inc. nor", "the\nUniversity nor", "the copyright\nholder\nnor")]
+    many = " \n" * 50000 + "is the above. " * 20000 + GPL_TEXT.replace("either", "\n\neither")
+    docs = spark.createDataFrame([*[(i, t) for i, (_, t) in enumerate(rows)], (-1, many), (-2, "the above" + "é" * 200000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(docs).collect()}
+    known = SENTENCES | FULL_SENTENCES
+    for i, (name, text) in enumerate(rows):
+        assert (got[i].sentence_ids, got[i].licenses) == want[name.split(" ")[0]], text
+        if name != "BSD list" and i < len(rows) - 3:
+            assert got[i].sentence_ids == license_ids(text, known)
+    # a blank line ends a sentence
+    assert got[-1].sentence_ids == ["gpl3-version", "gpl-warranty"] and got[-1].licenses == [] and got[-2].sentence_ids == []
+
+
+def test_licenses_equal_sql(spark):
+    import duckdb
+
+    from lumenspark.llm.op9 import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    cols = ["doc_id", "n_sentences", "sentence_ids", "licenses", "n_licenses"]
+    for name, f in QUERIES.items():
+        assert sorted(map(tuple, f(spark, SMALL).select(cols).collect())) == sorted(map(tuple, con.sql(SQL[name]).df()[cols].itertuples(index=False)))
+
+
 # WARC
 
 
