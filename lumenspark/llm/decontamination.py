@@ -12,12 +12,12 @@ containment, with MinHash sketches of the items only:
   hashes.  Each candidate is verified by exact containment of all of the item's shingles.
 
 Words are runs of ASCII letters, digits and bytes from 0x80, A-Z as a-z, so punctuation and white
-space do not hide an item.  Items with fewer words than a shingle are one shingle, the whole
-sequence, and are found as such only in documents that are the same short sequence.
+space do not hide an item.  An item with fewer words than a shingle is one shingle of its own length,
+and is contained in every document that has these words one after the other.
 
 The sketches and shingles of the items are sent to all executors only if they are small
-(``broadcast_limit`` hashes); larger benchmarks go in blocks of that size, each a scan of the whole
-corpus: a stated query set against all rows.
+(``broadcast_limit`` hashes).  Larger benchmarks stay in tables: the items' sketches are joined with
+the documents' shingles, and the shingles of the candidates' items are counted in a second join.
 
 Rows: null or wordless items match nothing; null or wordless documents contain nothing; rows of
 either table that share an id are judged row by row, and repeated pairs are given once with the
@@ -37,17 +37,21 @@ from lumenspark.llm.textbytes import ALPHANUMERIC, shingles, utf8, words
 BROADCAST_LIMIT = 1_000_000
 
 
-def _shingled(column, width: int):
+def _shingled(column, widths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, row offsets) of a column for each width."""
     hashes, _, rows = words(*utf8(column), ALPHANUMERIC)
-    return shingles(hashes, rows, width)
+    return [shingles(hashes, rows, w) for w in widths]
 
 
-def _item_sets(width: int):
+def _item_sets(width: int, percent: int):
     def run(batches):
         for batch in batches:
-            hashed, at = _shingled(batch.column("text"), width)
-            sets = [np.unique(hashed[a:b]).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(sets, pa.list_(pa.int64()))], names=["item_id", "members"])
+            hashes, _, rows = words(*utf8(batch.column("text")), ALPHANUMERIC)
+            length = np.minimum(np.diff(rows), width)
+            made = {w: shingles(hashes, rows, w) for w in np.unique(length[length > 0]).tolist()}
+            sets = [np.unique(made[w][0][made[w][1][i] : made[w][1][i + 1]]).view(np.int64) if w else None for i, w in enumerate(length.tolist())]
+            kept = [0 if s is None else sketch_length(len(s), percent) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(length, pa.int32()), pa.array(kept, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["item_id", "length", "kept", "members"])
 
     return run
 
@@ -59,7 +63,7 @@ def sketch_length(size: int, percent: int) -> int:
 
 
 class _Block:
-    """Some of the items: their shingles by number, and the sketches."""
+    """Items of one shingle length: their shingles by number, and the sketches."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]], percent: int):
         self.percent = percent
@@ -94,36 +98,61 @@ class _Block:
                     yield row, item, n
 
 
-def _search(block: _Block, width: int):
+def _search(blocks: dict[int, _Block]):
     def run(batches):
         for batch in batches:
-            hashed, at = _shingled(batch.column("text"), width)
-            found = list(block.contained(hashed, at))
-            rows = pa.array([r for r, _, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), pa.array([block.ids[i] for _, i, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64()), pa.array([int(block.sizes[i]) for _, i, _ in found], pa.int64())],
-                names=["doc_id", "item_id", "n_shared", "n_shingles"],
-            )
+            columns = [[], [], [], []]
+            for block, (hashed, at) in zip(blocks.values(), _shingled(batch.column("text"), list(blocks)), strict=True):
+                for row, i, n in block.contained(hashed, at):
+                    for column, x in zip(columns, (row, block.ids[i], n, int(block.sizes[i])), strict=True):
+                        column.append(x)
+            rows, *rest = [pa.array(c, pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *rest], names=["doc_id", "item_id", "n_shared", "n_shingles"])
 
     return run
 
 
+def _spread(widths: list[int]):
+    """Each distinct shingle of each document as a row."""
+
+    def run(batches):
+        for batch in batches:
+            # few texts at a time: a row of output for each word and width
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                made = _shingled(part.column("text"), widths)
+                for i in range(part.num_rows):
+                    members = np.unique(np.concatenate([h[at[i] : at[i + 1]] for h, at in made])).view(np.int64)
+                    one = pa.array(np.full(len(members), i))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(one), part.column("row").take(one), pa.array(members)], names=["doc_id", "row", "hash"])
+
+    return run
+
+
+def _by_join(texts: DataFrame, sets: DataFrame, widths: list[int], percent: int) -> DataFrame:
+    """The contained items where the benchmark is too large to be sent to all executors."""
+    keyed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    spread = keyed.mapInArrow(_spread(widths), "doc_id long, row long, hash long")
+    items = sets.select("item_id", F.xxhash64("item_id", "members").alias("item"), "members", "kept", F.size("members").cast("long").alias("n_shingles")).dropDuplicates(["item"])
+    sketches = items.select("item", F.explode(F.slice("members", F.lit(1), F.col("kept"))).alias("hash"))
+    candidates = spread.join(sketches, "hash").select("doc_id", "row", "item").distinct()
+    wanted = candidates.join(items, "item").select("doc_id", "row", "item_id", "item", "n_shingles", F.explode("members").alias("hash"))
+    shared = wanted.join(spread.select("row", "hash"), ["row", "hash"]).groupBy("doc_id", "row", "item_id", "item", "n_shingles").agg(F.count_distinct("hash").alias("n_shared"))
+    return shared.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent).select("doc_id", "item_id", "n_shared", "n_shingles")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, text), (item_id, text) -> (doc_id, item_id, n_shared, n_shingles, containment), a row for each contained item."""
-    sets = only(items, "item_id", "text").mapInArrow(_item_sets(width), "item_id long, members array<long>").where(F.size("members") > 0)
+    sets = only(items, "item_id", "text").mapInArrow(_item_sets(width, percent), "item_id long, length int, kept int, members array<long>").where("length > 0")
     texts = only(docs, "doc_id", "text")
-    found, block, size = None, [], 0
-    blocks = []
-    for row in sets.toLocalIterator():  # the benchmark, one block in memory at a time
-        members = np.array(row.members, np.int64).view(np.uint64)
-        if block and size + len(members) > broadcast_limit:
-            blocks.append(_Block(block, percent))
-            block, size = [], 0
-        block.append((row.item_id, members))
-        size += len(members)
-    blocks.append(_Block(block, percent))
-    for some in blocks:
-        part = texts.mapInArrow(_search(some, width), "doc_id long, item_id long, n_shared long, n_shingles long")
-        found = part if found is None else found.union(part)
+    sizes = {r.length: r.n for r in sets.groupBy("length").agg(F.sum(F.size("members")).alias("n")).collect()}
+    if sum(sizes.values()) > broadcast_limit:
+        found = _by_join(texts, sets, sorted(sizes), percent)
+    else:
+        rows: dict[int, list] = {w: [] for w in sorted(sizes) or [width]}
+        for row in sets.collect():  # broadcast_limit hashes at most
+            rows[row.length].append((row.item_id, np.array(row.members, np.int64).view(np.uint64)))
+        blocks = {w: _Block(some, percent) for w, some in rows.items()}
+        found = texts.mapInArrow(_search(blocks), "doc_id long, item_id long, n_shared long, n_shingles long")
     largest = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_shared", "n_shingles"), F.col("n_shared") / F.col("n_shingles")).alias("best"))
     return largest.select("doc_id", "item_id", "best.n_shared", "best.n_shingles", (F.col("best.n_shared") / F.col("best.n_shingles")).alias("containment"))

@@ -190,6 +190,29 @@ def test_decontamination_equals_sql(spark):
         assert sorted(map(tuple, f(spark, SMALL).select(cols).collect())) == sorted(map(tuple, con.sql(SQL[name]).df()[cols].itertuples(index=False)))
 
 
+def test_short_items_and_large_benchmarks(spark):
+    from lumenspark.llm.decontamination import contaminated
+
+    rng = np.random.default_rng(5)
+    drawn = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 12, n))
+    docs = [(1, "so 6 Times 7, is"), (2, "6 times or 7"), (3, "6 times 7"), (3, "6 times 7"), (None, "is 6 times 7 for all of us here"), (4, "times"), (5, "")]
+    docs += [(10 + i, drawn(int(n))) for i, n in enumerate(rng.integers(1, 60, 60))]
+    items = [(1, "6 times 7"), (2, "times"), (3, "so 6 times 7"), (4, None)] + [(10 + i, drawn(int(n))) for i, n in enumerate(rng.integers(1, 8, 40))]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            w, v = re.findall("[a-z0-9]+", text.lower()), re.findall("[a-z0-9]+", (item or "").lower())
+            grams = lambda x, n: {tuple(x[a : a + n]) for a in range(len(x) - n + 1)}
+            n = min(5, len(v))
+            if n and 100 * len(grams(w, n) & grams(v, n)) >= 80 * len(grams(v, n)):
+                want[d, i] = len(grams(w, n) & grams(v, n)), len(grams(v, n))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1_000_000, 5):
+        assert {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in contaminated(*frames, broadcast_limit=limit).collect()} == want
+    plain = [contaminated(spark.read.parquet(f"{TINY}/documents.parquet"), spark.read.parquet(f"{TINY}/benchmark.parquet"), broadcast_limit=limit) for limit in (1_000_000, 5)]
+    assert sorted(plain[0].collect()) == sorted(plain[1].collect()) and plain[0].count()
+
+
 # Licences
 
 
