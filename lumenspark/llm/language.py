@@ -12,7 +12,8 @@ its windows, weighted by their length.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; texts shorter than a window are
 padded; repeated rows are scored alike; a null id is kept; only ``text`` enters a prediction, extra
-columns are ignored; if no row is labelled, everything is ``und``.
+columns are ignored; if no row is labelled, everything is ``und``; more languages than sampled rows
+are an error.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only
+from lumenspark.llm.common import only, shuffle_partitions
 from lumenspark.llm.textbytes import utf8
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
@@ -208,18 +209,23 @@ def _predict(network: Network):
 
 
 def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
-    """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most."""
+    """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most; no language is left out."""
     known = only(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(usable)
-    names = [r[0] for r in known.select("lang").distinct().limit(1000).collect()]  # a label set is small; beyond 1000 languages it would be another model
-    each = max(1, sample // max(1, len(names)))
-    # ids first, so that only the sample's texts reach the driver
-    drawn = [known.where(F.col("lang") == n).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for n in sorted(names)]
-    if not drawn:
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return train([], [])
-    ids = drawn[0]
-    for more in drawn[1:]:
-        ids = ids.union(more)
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample).collect()  # sample ids at most
+    if languages > sample:
+        raise ValueError(f"{languages} languages are more than the sample of {sample} rows can hold; clean the labels or draw more rows")
+    each = sample // languages
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # ids first, so that only the sample's texts reach the driver; first in parts of a language, which may have most of the rows
+    ids = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(shuffle_partitions(docs.sparkSession))).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= each)
+    drawn = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # sample ids at most
+    # rows that share an id must not crowd out a language
+    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "text"))).where(F.col("rank") <= each)
+    rows = drawn.orderBy(*order, "lang", "text").collect()  # sample rows at most
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

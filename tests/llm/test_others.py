@@ -51,6 +51,22 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in identify(odd(spark), fit_on(empty(spark), F.lit(True))).collect()} == {"und"}
 
 
+def test_language_sample_has_every_language(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lumenspark.llm import language
+
+    monkeypatch.setattr(language, "train", lambda texts, labels: list(zip(texts, labels)))
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 1200).cast("string").alias("lang"))
+    got = language.fit_on(docs, F.lit(True))
+    assert sorted(r[1] for r in got) == sorted(2 * [str(i) for i in range(1200)]) and len(set(got)) == 2400
+    crowd = docs.limit(0).union(spark.range(500).selectExpr("7L", "'same'", "'a'")).union(spark.range(20).selectExpr("id", "'x'", "'b'"))
+    assert {r[1] for r in language.fit_on(crowd, F.lit(True), sample=10)} == {"a", "b"}
+    with pytest.raises(ValueError, match="1200 languages"):
+        language.fit_on(docs, F.lit(True), sample=1000)
+
+
 def test_language_tables_equal_the_network():
     from lumenspark.llm.language import EMBEDDING, WIDTHS, WINDOW, Scorer, train
 
