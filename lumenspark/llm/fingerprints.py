@@ -9,12 +9,13 @@ gets a SHA-256 suffix, so equal fingerprints always mean equal canonical texts.
 
 Normalisation and case folding call the ICU library that comes with Spark through ``java_method``.
 
-Neighbours in descending doc_id come without a global sort: doc_id is cut into cells of equal width,
-the first row of each cell is also sent to the cell that precedes it, and each cell is sorted by
-itself.  The table of first rows, one for each cell, is all that is broadcast.
+Neighbours in descending doc_id come without a global sort: doc_id is cut into cells at approximate
+quantiles, an id that several of them hit has as many cells, by a hash of the text; the first row of
+each cell is also sent to the cell that precedes it, and each cell is sorted by itself.  The table of
+first rows, one for each cell, is all that is broadcast.
 
 Rows: a null text is the empty text; the canonical form of blank texts is empty; rows with one
-doc_id are ordered by text, null ids come last in an order of their texts' hashes; repeated rows are rows of their own; the next row of the
+doc_id are ordered by cell, then text, null ids come last in an order of their texts' hashes; repeated rows are rows of their own; the next row of the
 last is the first, of a single row itself; extra columns are ignored.
 """
 
@@ -47,16 +48,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, next_id, next_text): the next row in descending doc_id, after the last the first."""
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     cells = 8 * shuffle_partitions(docs.sparkSession)
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    of_id = F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long")
-    rows = rows.withColumn("cell", F.coalesce(of_id, -1 - F.pmod(F.xxhash64("text"), F.lit(cells))))
+    found = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells + 10_000)).first()[0]
+    borders = F.lit(found or []).cast("array<bigint>")
+    steps = F.lit([1 << i for i in reversed(range(cells.bit_length()))])
+    # borders up to the id, and those below it, by bisection
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    hashed = F.xxhash64("text")
+    rows = rows.select("*", upto.alias("upto"), below.alias("below"))
+    of_id = F.when(F.col("upto") == F.col("below"), F.col("upto")).otherwise(F.col("below") + 1 + F.pmod(hashed, F.col("upto") - F.col("below"))).cast("long")
+    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), of_id).otherwise(-1 - F.pmod(hashed, F.lit(cells))).alias("cell"))
     # a row for each cell, 16 * shuffle partitions at most: its first row, and the cell that comes before it
-    heads = rows.groupBy("cell").agg(F.max("doc_id").alias("head"), F.min(F.when(F.col("doc_id").isNull(), F.col("text"))).alias("head_text"))
+    heads = rows.groupBy("cell").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "text")).alias("first"))
+    heads = heads.select("cell", F.bitwise_not("first.down").alias("head"), F.col("first.text").alias("head_text"))
     every = Window.orderBy("cell")
     target = F.coalesce(F.lead("cell").over(every), F.min("cell").over(Window.orderBy(F.lit(1))))
     heads = heads.select(F.col("cell").alias("c"), "head", "head_text", target.alias("target"))
-    is_head = (rows["cell"] == heads["c"]) & (F.col("doc_id").eqNullSafe(F.col("head"))) & (F.col("doc_id").isNotNull() | (F.col("text") == F.col("head_text")))
+    is_head = (rows["cell"] == heads["c"]) & (F.col("doc_id").eqNullSafe(F.col("head"))) & (F.col("text") == F.col("head_text"))
     copies = F.array_compact(F.array(F.struct(F.col("cell").alias("at"), F.lit(0).alias("sent")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("at"), F.lit(1).alias("sent")))))
     sent = rows.join(F.broadcast(heads), is_head, "left").select("doc_id", "text", F.explode(copies).alias("copy")).select("doc_id", "text", "copy.*")
     window = Window.partitionBy("at").orderBy("sent", F.desc_nulls_last("doc_id"), "text")

@@ -173,6 +173,23 @@ def test_fingerprints_edges(spark):
     assert document_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_of_far_clustered_and_repeated_ids(spark):
+    from lumenspark.llm.fingerprints import document_fingerprints, with_next
+
+    ids = [-(1 << 63), (1 << 63) - 1, 1 << 62, *range(1000, 1400)]
+    rows = [(d, f"text {d} of words") for d in ids]
+    check_fingerprints(document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    hot = rows + [(1100, f"more {i}") for i in range(600)] + [(None, f"none {i}") for i in range(50)]
+    led = with_next(spark.createDataFrame(hot, "doc_id long, text string").coalesce(4))
+    got = {(r.doc_id, r.text): (r.next_id, r.next_text) for r in led.collect()}
+    start = ((1 << 63) - 1, f"text {(1 << 63) - 1} of words")
+    seen = [start]
+    while got[seen[-1]] != start and len(seen) <= len(hot):
+        seen.append(got[seen[-1]])
+    order = [d for d, _ in seen]
+    assert sorted(map(str, seen)) == sorted(map(str, hot)) and order[: len(order) - 50] == sorted([d for d, _ in hot if d is not None], reverse=True)
+
+
 # Decontamination
 
 
