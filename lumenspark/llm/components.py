@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Each round replaces links by stars around smaller nodes and never grows the table; the number of
-rounds follows the logarithm of the longest path.  Every round is saved in the shared folder.
+rounds follows the logarithm of the longest path.  Every round is saved in the shared folder.  A node with
+very many links is aggregated before it is shuffled, and its links are joined in several places.
 """
 
 from __future__ import annotations
@@ -12,16 +13,27 @@ from pyspark.sql import functions as F
 from lumenspark.llm.common import saved
 
 
+#: Places over which rows of one key are spread in a join.
+SALTS = 8
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join of rows with those of a table that has each key once: rows of one key go to SALTS places by a hash of spread."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return salted_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    star = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    star = salted_join(down, least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return star.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

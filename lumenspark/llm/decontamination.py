@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only
+from lumenspark.llm.common import map_batches, only
 from lumenspark.llm.textbytes import ALPHANUMERIC, shingles, utf8, words
 
 BROADCAST_LIMIT = 1_000_000
@@ -132,7 +132,7 @@ def _spread(widths: list[int]):
 def _by_join(texts: DataFrame, sets: DataFrame, widths: list[int], percent: int) -> DataFrame:
     """The contained items where the benchmark is too large to be sent to all executors."""
     keyed = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    spread = keyed.mapInArrow(_spread(widths), "doc_id long, row long, hash long")
+    spread = map_batches(keyed, _spread(widths), "doc_id long, row long, hash long")
     items = sets.select("item_id", F.xxhash64("item_id", "members").alias("item"), "members", "kept", F.size("members").cast("long").alias("n_shingles")).dropDuplicates(["item"])
     sketches = items.select("item", F.explode(F.slice("members", F.lit(1), F.col("kept"))).alias("hash"))
     candidates = spread.join(sketches, "hash").select("doc_id", "row", "item").distinct()
@@ -143,7 +143,7 @@ def _by_join(texts: DataFrame, sets: DataFrame, widths: list[int], percent: int)
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, text), (item_id, text) -> (doc_id, item_id, n_shared, n_shingles, containment), a row for each contained item."""
-    sets = only(items, "item_id", "text").mapInArrow(_item_sets(width, percent), "item_id long, length int, kept int, members array<long>").where("length > 0")
+    sets = map_batches(only(items, "item_id", "text"), _item_sets(width, percent), "item_id long, length int, kept int, members array<long>").where("length > 0")
     texts = only(docs, "doc_id", "text")
     sizes = {r.length: r.n for r in sets.groupBy("length").agg(F.sum(F.size("members")).alias("n")).collect()}
     if sum(sizes.values()) > broadcast_limit:
@@ -153,6 +153,6 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
         for row in sets.collect():  # broadcast_limit hashes at most
             rows[row.length].append((row.item_id, np.array(row.members, np.int64).view(np.uint64)))
         blocks = {w: _Block(some, percent) for w, some in rows.items()}
-        found = texts.mapInArrow(_search(blocks), "doc_id long, item_id long, n_shared long, n_shingles long")
+        found = map_batches(texts, _search(blocks), "doc_id long, item_id long, n_shared long, n_shingles long")
     largest = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_shared", "n_shingles"), F.col("n_shared") / F.col("n_shingles")).alias("best"))
     return largest.select("doc_id", "item_id", "best.n_shared", "best.n_shingles", (F.col("best.n_shared") / F.col("best.n_shingles")).alias("containment"))

@@ -3,7 +3,8 @@
 Bytes are embedded, filters of several widths slide over fixed-length windows, the largest response
 of each filter in a window is kept (max pooling), and a softmax layer gives the languages.  It is
 trained in numpy on windows of labelled texts: ``sample`` rows at most, the least of a hash of the
-id, each with ``windows`` windows at places that the seed draws over the whole text.
+id, each with ``windows`` windows at places drawn over the whole text.  The executors cut the windows,
+so that the driver gets these alone, never a text.
 
 For scoring, the embedding and each filter fold into tables: the response of a filter of width w is
 the sum of w table rows, and tables over byte pairs halve the sums.  Every window of every whole
@@ -26,11 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only, shuffle_partitions
-from lumenspark.llm.textbytes import utf8
+from lumenspark.llm.common import map_batches, only, shuffle_partitions
+from lumenspark.llm.textbytes import by_bytes, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
 SAMPLE, WINDOWS = 3000, 2
+_SLICE = 1 << 20  # bytes of text that are scored at once
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -69,29 +71,27 @@ class Network:
         return raw - np.log(np.exp(raw).sum(axis=1, keepdims=True))
 
 
-def train(texts: list[str], labels: list[str], windows: int = WINDOWS, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:
-    """Fit the network to labelled texts by Adam on the cross-entropy of windows."""
+def cut_windows(data: np.ndarray, seed: int, windows: int = WINDOWS) -> np.ndarray:
+    """Windows at drawn places of a text's bytes, padded if it is shorter; none of an empty text."""
+    out = np.zeros((windows if len(data) else 0, WINDOW), np.uint8)
+    starts = np.random.default_rng(seed).integers(0, max(1, len(data) - WINDOW + 1), len(out))
+    for row, at in zip(out, starts.tolist(), strict=True):
+        part = data[at : at + WINDOW]
+        row[: len(part)] = part
+    return out
+
+
+def train(x: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:
+    """Fit the network to labelled windows by Adam on the cross-entropy."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     total = FILTERS * len(WIDTHS)
     params = {"e": rng.normal(0, 0.3, (256, EMBEDDING)), "o": rng.normal(0, 0.1, (total, len(languages))), "c": np.zeros(len(languages)), "b": np.zeros(total)}
     params |= {f"f{w}": rng.normal(0, 1 / np.sqrt(w * EMBEDDING), (w * EMBEDDING, FILTERS)) for w in WIDTHS}
-    rows, target = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if not len(data):
-            continue
-        for _ in range(windows):
-            at = int(rng.integers(0, max(1, len(data) - WINDOW + 1)))
-            row = np.zeros(WINDOW, np.uint8)
-            part = data[at : at + WINDOW]
-            row[: len(part)] = part
-            rows.append(row)
-            target.append(languages.index(label))
     network = lambda: Network(languages, params["e"], [params[f"f{w}"] for w in WIDTHS], params["b"], params["o"], params["c"])
-    if not rows or len(languages) < 2:
+    if len(languages) < 2:
         return network()
-    x, y = np.array(rows), np.array(target)
+    y = np.searchsorted(languages, labels)
     weight = len(y) / (len(languages) * np.maximum(np.bincount(y, minlength=len(languages)), 1))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     steps = 0
@@ -200,20 +200,29 @@ def _predict(network: Network):
     def run(batches):
         scorer = Scorer(network) if network.languages else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at, n in by_bytes(batch.column("text"), _SLICE):
+                part = batch.slice(at, n)
                 names, scores = scorer.predict(part.column("text")) if scorer else (["und"] * part.num_rows, [0.0] * part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _windowed(batches):
+    """(doc_id, text, lang) -> (lang, doc_id, windows)."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        ids = batch.column("doc_id").to_pylist()
+        made = [cut_windows(data[a:b], d % (1 << 63)).tobytes() for d, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(made, pa.binary())], names=["lang", "doc_id", "windows"])
+
+
 def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
     """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most; no language is left out."""
     known = only(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(usable)
     languages = known.select("lang").distinct().count()
     if not languages:
-        return train([], [])
+        return train(np.zeros((0, WINDOW), np.uint8), [])
     if languages > sample:
         raise ValueError(f"{languages} languages are more than the sample of {sample} rows can hold; clean the labels or draw more rows")
     each = sample // languages
@@ -223,12 +232,14 @@ def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
     for by in (["lang", "part"], ["lang"]):
         ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= each)
     drawn = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # sample ids at most
+    cut = map_batches(drawn, _windowed, "lang string, doc_id long, windows binary")
     # rows that share an id must not crowd out a language
-    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "text"))).where(F.col("rank") <= each)
-    rows = drawn.orderBy(*order, "lang", "text").collect()  # sample rows at most
-    return train([r.text for r in rows], [r.lang for r in rows])
+    cut = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "windows"))).where(F.col("rank") <= each)
+    rows = cut.orderBy(*order, "lang", "windows").collect()  # sample rows at most, of WINDOWS windows
+    x = np.frombuffer(b"".join(r.windows for r in rows), np.uint8).reshape(-1, WINDOW)
+    return train(x, [r.lang for r in rows for _ in range(len(r.windows) // WINDOW)])
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, text) -> (doc_id, lang_pred, score)."""
-    return only(docs, "doc_id", "text").mapInArrow(_predict(network), "doc_id long, lang_pred string, score double")
+    return map_batches(only(docs, "doc_id", "text"), _predict(network), "doc_id long, lang_pred string, score double")

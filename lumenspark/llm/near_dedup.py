@@ -10,8 +10,14 @@ Documents with equal sets are one node.  In each bucket every node is paired wit
 smallest node alone (a star), so candidate pairs follow the number of bucket members.  Links are
 confirmed on the full sets.  A bucket whose members then lie in several components may hold links
 between two spokes; such buckets alone are searched again in blocks, where signatures rule out most
-pairs (five standard errors below the threshold) and full sets decide the rest, so no link is lost
-to the star form.
+pairs (five standard errors below the threshold; sets of few shingles are never ruled out) and full sets
+decide the rest, so no link is lost to the star form.  Of such buckets, those with more than BLOCK
+members are first split by a second band: a pair at the threshold that shares no second band of 30 has a
+probability of 1.4e-8.
+
+Texts are not shuffled: candidates' sets are made where the texts are read, which a table of bits of
+bounded size (BITS at most) picks; what it lets through by chance is dropped by a join.  Joins on a key
+that many rows may share (a bucket, a hub, equal sets) deal those rows to several places.
 
 Rows: null, empty or wordless texts have no shingles and link with nothing; rows that share a
 doc_id count as one document; a row with null doc_id gets its own counts, is never linked and has
@@ -27,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only, saved
-from lumenspark.llm.components import components
+from lumenspark.llm.common import map_batches, only, saved
+from lumenspark.llm.components import components, salted_join
 from lumenspark.llm.textbytes import BLANK_SEPARATED, byte_values, mix, shingles, utf8, words
 
 BINS, ROWS, BANDS = 128, 3, 30
 BLOCK = 512
+#: Bits of the table of candidates: 16 for each candidate, and so many at most.
+BITS = 1 << 27
+#: Sets of so few shingles are compared without a look at their signatures.
+FEW = 32
 _SHIFT = np.uint64(57)
 _ORDER = np.argsort(np.random.default_rng(20240501).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int16)
 _FLOORS = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -85,16 +95,32 @@ def _sketch(width: int):
     return run
 
 
-def _full_sets(width: int):
+def _bit(bits: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+
+def _bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """A table of bits with those of the ids set, made in parts of 32768 bits by the executors."""
+    each = 1 << 15
+    parts = ids.select(_bit(bits).alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(each - 1)).alias("some"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # BITS / 8 bytes at most
+        out[row.part * each // 8 : (row.part + 1) * each // 8] = np.frombuffer(row.some, np.uint8)[: len(out)]
+    return out
+
+
+def _full_sets(width: int, bits: np.ndarray):
     def run(batches):
         for batch in batches:
-            d1, d2 = batch.column("d1").to_pylist(), batch.column("d2").to_pylist()
-            keep, blobs = [], []
-            for i, members in enumerate(_sets(batch, width)):
-                if _digest(members) == (d1[i], d2[i]):
-                    keep.append(i)
-                    blobs.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], names=["node", "members"])
+            bit = batch.column("bit").to_numpy()
+            some = batch.filter(pa.array(((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)))
+            d1, d2, blobs = [], [], []
+            for members in _sets(some, width):
+                a, b = _digest(members)
+                d1.append(a)
+                d2.append(b)
+                blobs.append(members.tobytes())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "e1", "e2", "members"])
 
     return run
 
@@ -125,11 +151,10 @@ def _within_blocks(percent: int):
     least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / BINS)
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        band, node, group = t["band"][0], np.array(t["node"]), np.array(t["component"])
+        t = table.drop_columns(["members"]).to_pydict()
+        node, group = np.array(t["node"]), np.array(t["component"])
         sign = np.frombuffer(b"".join(t["sign"]), np.uint8).reshape(-1, BINS)
-        keys = np.array(t["bands"], dtype=np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in t["members"]]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
         size = np.array([len(x) for x in sets])
         block, (i, j) = np.array(t["block"]), (t["i"][0], t["j"][0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -140,9 +165,7 @@ def _within_blocks(percent: int):
             if not len(y):
                 continue
             likely = (sign[y] == sign[x]).mean(axis=1)
-            first = np.argmax(keys[y] == keys[x], axis=1) == band
-            y = y[(likely >= least) & first]
-            for k in y:
+            for k in y[(likely >= least) | (size[y] <= FEW)]:
                 if group[k] != group[x] and _similar(sets[x], sets[k], percent):
                     found.append((node[x], node[k]))
                     group[group == group[k]] = group[x]
@@ -151,36 +174,56 @@ def _within_blocks(percent: int):
     return run
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v, n) whose sets are similar; n tells how many pairs u may have."""
+    places = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    hubs = pairs.groupBy("u").agg(F.max("n").alias("most"))
+    left = hubs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), places("most") - 1)).alias("salt"))
+    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), places("n")).cast("int"))
+    return map_batches(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), _confirm(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept); width in words, percent of Jaccard similarity."""
-    sketches = saved(only(docs, "doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sign binary"))
+    sketches = saved(map_batches(only(docs, "doc_id", "text"), _sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sign binary"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
+    # equal sets have equal bands and signatures
+    nodes = saved(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = saved(banded.join(hubs, ["band", "key"]).select("band", "key", "hub", "n", "node"))
+    members = saved(salted_join(banded, hubs, ["band", "key"], "node").select("band", "key", "hub", "n", "node"))
 
-    candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    wanted = nodes.select(F.col("node").alias("doc_id"), "d1", "d2").join(candidates, "doc_id", "left_semi")
-    texts = only(docs, "doc_id", "text").join(wanted, "doc_id")
-    sets = saved(texts.mapInArrow(_full_sets(width), "node long, members binary"))
+    candidates = saved(members.select(F.col("node").alias("doc_id")).distinct())
+    bits = min(BITS, max(1 << 15, 1 << (16 * candidates.count()).bit_length()))
+    texts = only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "text", _bit(bits).alias("bit"))
+    made = map_batches(texts, _full_sets(width, _bits(candidates, bits)), "node long, e1 long, e2 long, members binary")
+    wanted = nodes.select("node", "d1", "d2").join(candidates.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    sets = saved(made.join(wanted, "node").where("e1 = d1 and e2 = d2").dropDuplicates(["node"]).select("node", "members"))
 
-    pairs = members.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u")
-    links = saved(both.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long"))
+    pairs = members.where("hub <> node").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.max("n").alias("n"))
+    links = saved(_confirmed(pairs, sets, percent))
     first = saved(components(links))
 
-    placed = members.where("n > 2").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    # buckets with members in several components; of the large ones, their parts by a second band
+    placed = members.where("n > 2").join(first, "node", "left").select("band", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+    mixed = lambda rows, by: rows.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select(*by, "size")
+    opened = saved(salted_join(placed, mixed(placed, ["band", "key"]), ["band", "key"], "node"))
+    second = opened.where(F.col("size") > BLOCK).drop("size").join(nodes.select("node", F.posexplode("bands").alias("band2", "key2")), "node").where("band2 > band")
+    parts = ["band", "key", "band2", "key2"]
+    split = salted_join(second, mixed(second, parts), parts, "node")
+    whole = opened.where(F.col("size") <= BLOCK).withColumns({"band2": F.lit(-1), "key2": F.lit(0).cast("long")})
+    columns = [*parts, "size", "node", "component"]
+    searched = whole.select(columns).union(split.select(columns))
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    opened = placed.join(parts.select("band", "key", "size"), ["band", "key"]).withColumn("block", mine)
-    dealt = opened.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("band", "key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    facts = nodes.select("node", "bands", "sign").join(sets, "node")
-    more = dealt.join(facts, "node").groupBy("band", "key", "i", "j").applyInArrow(_within_blocks(percent), "u long, v long")
-
-    rows = some.select(F.col("doc_id").alias("v"), "d1", "d2").join(nodes.select("d1", "d2", F.col("node").alias("u")), ["d1", "d2"])
-    found = components(links.union(more).union(rows.where("u <> v").select("u", "v")))
-    placed_rows = sketches.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return placed_rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    dealt = searched.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(*parts, "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = dealt.join(nodes.select("node", "sign").join(sets, "node"), "node").groupBy(*parts, "i", "j").applyInArrow(_within_blocks(percent), "u long, v long")
+
+    # each row's node, and links between the nodes of rows that share an id
+    named = saved(salted_join(some.select("doc_id", "n_shingles", "d1", "d2"), nodes.select("d1", "d2", "node"), ["d1", "d2"], "doc_id").select("doc_id", "n_shingles", "node"))
+    shared = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("doc_id", "u")
+    same = named.join(shared, "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
+    found = components(links.union(more).union(same))
+    linked = named.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    rest = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only, saved, shuffle_partitions
+from lumenspark.llm.common import map_batches, only, saved, shuffle_partitions
 from lumenspark.llm.transducer import batches_of_texts, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -202,7 +202,7 @@ def _place(plan: list[tuple[int, list[int]]], capacity: int):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:
     """(doc_id, text) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
-    pieces = saved(only(docs, "doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end), PIECES))
+    pieces = saved(map_batches(only(docs, "doc_id", "text"), _cut(tokenizer, capacity, end), PIECES))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     plan = pack_lengths(counts, capacity)
 

@@ -10,7 +10,9 @@ and the pairwise sum costs linear time by the sum-of-squares identity: half the
 
 The model is fitted in numpy on a bounded sample of labelled rows (``sample`` rows at most, the least
 of a hash of the id, so the same in every run) by adaptive gradient steps, and is a few hundred
-kilobytes that every task gets.  Scoring reads whole texts, needs no shuffle and holds one batch.
+kilobytes that every task gets.  The executors make the sample's features, so that the driver gets no
+text and at most WIDTH entries of a row.  Scoring reads whole texts, needs no shuffle and holds one
+batch.
 
 Rows: a null text counts as empty; an empty or wordless text is scored by its structure and length;
 repeated rows are scored alike; a null id is kept; only ``text`` enters a score, extra columns are
@@ -23,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only
-from lumenspark.llm.textbytes import BLANK_SEPARATED, utf8, words
+from lumenspark.llm.common import map_batches, only
+from lumenspark.llm.textbytes import BLANK_SEPARATED, by_bytes, utf8, words
 
 SLOTS, FACTORS, SAMPLE = 1 << 13, 8, 6000
 _LENGTH_BANDS = 16
+_SLICE = 1 << 20  # bytes of text whose features are made at once
 _CLASSES = 7  # letters, capitals, digits, white space, line ends, symbols, bytes from 0x80
 STATISTICS = _CLASSES + 9
 WIDTH = SLOTS + STATISTICS + _LENGTH_BANDS
@@ -106,7 +110,7 @@ def features(column) -> Features:
     return Features(first, slots, values)
 
 
-def _parts(offsets: np.ndarray, limit: int = 4 << 20):
+def _parts(offsets: np.ndarray, limit: int = 1 << 19):
     """The bytes of all rows in parts, each with the rows that it touches."""
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
@@ -136,12 +140,6 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.sums(x)[0].astype(float), -30, 30)))
 
 
-def _joined(parts: list[Features]) -> Features:
-    ends = np.cumsum([0] + [p.first[-1] for p in parts])
-    first = np.concatenate([[0]] + [p.first[1:] + at for p, at in zip(parts, ends[:-1], strict=True)])
-    return Features(first, np.concatenate([p.slot for p in parts]), np.concatenate([p.value for p in parts]))
-
-
 def _picked(x: Features, rows: np.ndarray) -> Features:
     per = np.diff(x.first)[rows]
     first = np.concatenate([[0], np.cumsum(per)])
@@ -149,15 +147,13 @@ def _picked(x: Features, rows: np.ndarray) -> Features:
     return Features(first, x.slot[where], x.value[where])
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Machine:
-    """A machine fitted to labelled texts by adaptive gradient steps on the logistic loss."""
+def fit(x: Features, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Machine:
+    """A machine fitted to the features of labelled texts by adaptive gradient steps on the logistic loss."""
     rng = np.random.default_rng(seed)
     mean = float(labels.mean()) if len(labels) else 0.5
     m = Machine(float(np.log((mean + 1e-3) / (1 - mean + 1e-3))), np.zeros(WIDTH, np.float32), rng.normal(0, 0.02, (WIDTH, FACTORS)).astype(np.float32))
     if len(labels) == 0 or labels.min() == labels.max():
         return Machine(m.bias, m.weight, np.zeros_like(m.factor))
-    # in parts, for the arrays that features makes on the way are many times the size of the texts
-    x = _joined([features(pa.array(texts[i : i + 250], pa.large_string())) for i in range(0, len(texts), 250)])
     gw, gv, gb = np.full(WIDTH, 1e-3, np.float32), np.full((WIDTH, FACTORS), 1e-3, np.float32), 1e-3
     for _ in range(epochs):
         order = rng.permutation(len(labels))
@@ -181,33 +177,53 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 64,
     return m
 
 
+def _featured(batches):
+    """(doc_id, quality, text) -> (doc_id, quality, slots, values)."""
+    for batch in batches:
+        for at, n in by_bytes(batch.column("text"), _SLICE):
+            part = batch.slice(at, n)
+            x = features(part.column("text"))
+            lists = [pa.ListArray.from_arrays(pa.array(x.first, pa.int32()), pa.array(of, kind)) for of, kind in ((x.slot, pa.int16()), (x.value, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *lists], names=["doc_id", "quality", "slots", "values"])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Machine:
     """Fit on at most sample labelled rows among those that the condition on doc_id lets in."""
     known = only(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").where(usable)
     # half of the sample for each label, the least hashes first, so that rare labels are seen
     drawn = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (0, 1)]
-    ids = drawn[0].union(drawn[1])  # sample rows at most
-    rows = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    ids = drawn[0].union(drawn[1]).select("doc_id", F.col("quality").cast("int").alias("quality"))  # sample rows at most
+    texts = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
+    made = map_batches(texts, _featured, "doc_id long, quality int, slots array<short>, values array<float>")
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("slots", "values")).limit(sample).select("quality", "slots", "values").toArrow().combine_chunks()
     share = known.agg(F.avg("quality")).first()[0]
-    machine = fit([r.text or "" for r in rows], np.array([r.quality for r in rows], float))
-    if rows and 0 < share < 1:  # the sample is balanced; move the bias to the labels' own share
-        drawn_share = min(max(np.mean([r.quality for r in rows]), 1e-3), 1 - 1e-3)
+    truth = rows.column("quality").to_numpy().astype(float)
+    slots, values = rows.column("slots").combine_chunks(), rows.column("values").combine_chunks()
+    x = Features(np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy())]), slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy())
+    machine = fit(x, truth)
+    if len(truth) and 0 < share < 1:  # the sample is balanced; move the bias to the labels' own share
+        drawn_share = min(max(truth.mean(), 1e-3), 1 - 1e-3)
         machine.bias += float(np.log(share / (1 - share)) - np.log(drawn_share / (1 - drawn_share)))
     return machine
 
 
-def _score(machine: Machine):
+def _score(machine: Machine, least: float | None):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column("carried"), pa.array(machine.score(features(part.column("text"))), pa.float64())], names=["carried", "score"])
+            rows = batch.column("carried")
+            texts = rows.field("text") if batch.num_columns == 1 else batch.column("text")
+            for at, n in by_bytes(texts, _SLICE):
+                scores = pa.array(machine.score(features(texts.slice(at, n))), pa.float64())
+                part = pa.RecordBatch.from_arrays([rows.slice(at, n), scores], names=["carried", "score"])
+                yield part if least is None else part.filter(pc.greater_equal(scores, least))
 
     return run
 
 
-def quality_scores(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(text, carry...) -> (carried struct, score): how likely label 1 is, for every whole text."""
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), "text")
+def quality_scores(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), least: float | None = None) -> DataFrame:
+    """(text, carry...) -> (carried struct, score): how likely label 1 is, for every whole text; only scores from least on, if given."""
+    # a text that is carried goes to the workers once
+    more = [] if "text" in carry else ["text"]
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), *more)
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in carried.schema["carried"].dataType.fields)
-    return carried.mapInArrow(_score(machine), f"carried struct<{kinds}>, score double")
+    return map_batches(carried, _score(machine, least), f"carried struct<{kinds}>, score double")

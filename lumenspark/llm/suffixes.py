@@ -21,7 +21,7 @@ one suffix in fourteen is left.
 
 Hashes have 64 bits; texts differ from a hash-equal segment with a probability of about n**2 / 2**65.
 
-Rows: a null text counts as empty; a null doc_id counts as larger than any other; rows that share a
+Rows: a null text counts as empty; a null doc_id counts as 2**63 - 1, the largest; rows that share a
 doc_id do not make each other repeats; texts shorter than ``width`` are kept; columns in ``carry``
 are handed through, others are ignored.
 """
@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import shuffle_partitions
-from lumenspark.llm.textbytes import PIECE, Spans, byte_values, ragged, utf8
+from lumenspark.llm.common import map_batches, shuffle_partitions
+from lumenspark.llm.textbytes import BLANK_SEPARATED, MOST_SPAN, PIECE, Spans, byte_values, ragged, utf8
 
 GRAM = 24
-CHUNK_BYTES = 2 << 20
+#: Bytes of text in a chunk, and of anchors in a range, about.
+CHUNK_BYTES, RANGE_BYTES = 2 << 20, 64 << 20
 _VALUES = byte_values(9)
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 20) - 1)
@@ -275,7 +276,13 @@ def _lowered(least: np.ndarray, hashes: np.ndarray, told: list[np.ndarray]) -> n
     return np.where(known[at] == hashes, np.minimum(least, doc[at]), least)
 
 
-def _remove(width: int):
+def _words(text: np.ndarray) -> int:
+    """Runs of bytes other than ASCII white space."""
+    inside = BLANK_SEPARATED.word[text]
+    return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
+
+
+def _remove(width: int, least_words: int, filler: bytes):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         found = Anchored(table, width)
         n = len(found.data)
@@ -302,35 +309,42 @@ def _remove(width: int):
         removed = np.cumsum(depth[:-1]) > 0
         kept, spans = [], []
         for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
-            mask = removed[a:b]
-            if not mask.any():
-                kept.append(found.data[a:b].tobytes())
-                spans.append([])
-                continue
-            kept.append(found.data[a:b][~mask].tobytes())
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            spans.append([{"start": s, "length": e - s} for s, e in edge.reshape(-1, 2).tolist()])
+            text, mask = found.data[a:b], removed[a:b]
+            runs, parts, at = [], [], 0
+            if mask.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+                for s, e in edge.reshape(-1, 2).tolist():
+                    if not least_words or _words(text[s:e]) >= least_words:
+                        runs.append({"start": s, "length": e - s})
+                        parts.append(text[at:s].tobytes())
+                        at = e
+            kept.append(filler.join(x for x in (*parts, text[at:].tobytes()) if x))
+            spans.append(runs)
         return pa.table({"doc_id": table.column("doc_id"), "carried": table.column("carried"), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, text, carry...) -> (doc_id, carried struct, kept binary, spans array of (start, length) removed)."""
-    if width < GRAM + 2:
-        raise ValueError(f"width must be {GRAM + 2} bytes at least")
+def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, least_words: int = 0, filler: bytes = b"") -> DataFrame:
+    """(doc_id, text, carry...) -> (doc_id, carried struct, kept binary, spans array of (start, length) removed).
+
+    A maximal run of repeated bytes stays if it has fewer than least_words words; filler joins what is kept
+    around a run that goes.
+    """
+    if not GRAM + 2 <= width <= MOST_SPAN // 2:
+        raise ValueError(f"width must be from {GRAM + 2} to {MOST_SPAN // 2} bytes")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(n, -(-total // chunk_bytes))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    dealt = docs.select("doc_id", "text", carried.alias("carried"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
+    dealt = docs.select("doc_id", "text", carried.alias("carried"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
 
     # splitters: keys of a bounded sample of documents, about 200 for each range
-    ranges = n
+    ranges = max(n, -(-total * 24 // (14 * RANGE_BYTES)))
     share = min(1.0, ranges * 200 * 14 / max(total, 1))
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
-    points = sample.mapInArrow(_sampled(width), "key long").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    points = map_batches(sample, _sampled(width), "key long").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
     splitters = np.unique(np.array(points or [], np.int64)).astype(np.uint64) << np.uint64(1)
 
     schema = "chunk long, part int, data binary"
@@ -342,4 +356,4 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     more = windows.groupBy("part").applyInArrow(_compare_windows, schema)
     kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in dealt.schema["carried"].dataType.fields)
     out = f"doc_id long, carried struct<{kinds}>, kept binary, spans array<struct<start: long, length: long>>"
-    return dealt.groupBy("chunk").cogroup(told.union(more).groupBy("chunk")).applyInArrow(_remove(width), out)
+    return dealt.groupBy("chunk").cogroup(told.union(more).groupBy("chunk")).applyInArrow(_remove(width, least_words, filler), out)

@@ -1,21 +1,30 @@
 """Vectorised helpers on Arrow string columns.
 
-Everything works on the UTF-8 bytes of a whole column at once.  One prefix polynomial per piece of
-text gives the hash of any byte span in constant time: with ``P[i] = sum(v[b_j] * M**j for j < i)``
-(mod 2**64, ``M`` odd and so invertible) the span ``[s, e)`` has the position-free value
-``(P[e] - P[s]) * M**-s``, which a final mixing step spreads over 64 bits.
+Everything works on the UTF-8 bytes of a whole column at once.
+
+Words have 64-bit names that are mixed from their bytes, eight at a time, with their length, so texts
+that are built to defeat a polynomial (a Thue-Morse word and its complement) have different names.
+Words beyond LONG_WORD bytes are named by BLAKE2b.
+
+Spans hashes the many overlapping spans of a piece of text in constant time each, with one prefix
+polynomial: with ``P[i] = sum(v[b_j] * M**j for j < i)`` (mod 2**64, ``M`` odd and so invertible) the
+span ``[s, e)`` has the position-free value ``(P[e] - P[s]) * M**-s``, which a final mixing step
+spreads over 64 bits.  A polynomial modulo a power of two is unsound for long spans (Thue-Morse words
+of 1024 letters collide), so spans may have MOST_SPAN bytes at most.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 19
+PIECE, LONG_WORD, MOST_SPAN = 1 << 19, 512, 512
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,24 +43,21 @@ def byte_values(seed: int = 1) -> np.ndarray:
         return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, for n positions at least."""
-    size = max(PIECE + 64, 1 << (n - 1).bit_length() if n > 1 else 1)
-    if size not in _powers:
-        out = []
+def powers() -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, for the positions of a piece and one span more."""
+    if not _powers:
         for base in (_MULT, _INVERSE):
-            p = np.full(size + 1, base, dtype=np.uint64)
+            p = np.full(PIECE + MOST_SPAN + 1, base, dtype=np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _powers[size] = (out[0], out[1])
-    return _powers[size]
+            _powers.append(np.cumprod(p, dtype=np.uint64))
+    return _powers
 
 
 class Spans:
-    """Hashes of byte spans of one piece of text."""
+    """Hashes of byte spans of one piece of text, of PIECE + MOST_SPAN bytes at most."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values))
+        up, self.down = powers()
         self.total = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * up[: len(values)], dtype=np.uint64, out=self.total[1:])
 
@@ -84,12 +90,10 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordRule:
-    """Which bytes make words, and a value for each byte (A-Z as a-z)."""
+    """Which bytes make words (A-Z as a-z)."""
 
-    def __init__(self, word: np.ndarray, seed: int):
+    def __init__(self, word: np.ndarray):
         self.word = word
-        self.value = byte_values(seed)
-        self.value[65:91] = self.value[97:123]
 
 
 def _not_space() -> np.ndarray:
@@ -105,12 +109,42 @@ def _alphanumeric() -> np.ndarray:
 
 
 #: Runs of bytes other than ASCII white space; runs of ASCII letters, digits and bytes from 0x80.
-BLANK_SEPARATED = WordRule(_not_space(), 1)
-ALPHANUMERIC = WordRule(_alphanumeric(), 2)
+BLANK_SEPARATED = WordRule(_not_space())
+ALPHANUMERIC = WordRule(_alphanumeric())
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks that keep the first 0 to 8 bytes of eight (little-endian).
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_START, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; data has eight bytes more than there are places."""
+    return np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 8,), (1,))
+
+
+def names(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit names of the non-empty spans [start, stop) of data."""
+    size = stop - start
+    at = eights(np.concatenate([data, np.zeros(16, np.uint8)]))
+    out = size.astype(np.uint64) * _START
+    left, place, todo = size, start, np.arange(len(size))
+    long = size > LONG_WORD
+    if long.any():
+        todo = np.flatnonzero(~long)
+        left, place = size[todo], start[todo]
+    while len(todo):
+        block = at[place] & FIRST[np.minimum(left, 8)]
+        out[todo] = mix((out[todo] ^ block) * _FOLD + _START)
+        more = left > 8
+        todo, place, left = todo[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(long).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[start[i] : stop[i]], digest_size=8).digest(), "<u8")[0]
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, rule: WordRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and byte length of every word of every row, and the offsets of the rows in them.
+    """Name and byte length of every word of every row, and the offsets of the rows in them.
 
     Words do not cross rows.  Text is taken in pieces that end at a separator or a row's end, so
     memory beyond one number a word does not grow with the length of a row.
@@ -143,7 +177,7 @@ def words(data: np.ndarray, offsets: np.ndarray, rule: WordRule) -> tuple[np.nda
         kept = inside[np.minimum(where[:-1], len(piece) - 1)]
         start, stop = where[:-1][kept], where[1:][kept]
         if len(start):
-            hashes.append(Spans(rule.value[piece]).hash(start, stop))
+            hashes.append(names(_LOWER[piece], start, stop))
             starts_at.append(start + at)
             lengths.append(stop - start)
         at = to
@@ -153,6 +187,17 @@ def words(data: np.ndarray, offsets: np.ndarray, rule: WordRule) -> tuple[np.nda
     return np.concatenate(hashes), np.concatenate(lengths), np.searchsorted(begun, offsets)
 
 
+def by_bytes(column, limit: int):
+    """Slices of an Arrow string column, as (first row, rows), of about so many bytes; a row of more is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, to - at
+        at = to
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the width-word shingles of each row, in order, and the rows' offsets in them.
 

@@ -1,8 +1,8 @@
 """Token counts of whole texts by compiled transducers (see transducer.py).
 
 Rows: a null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids are kept as they
-are; extra columns are ignored.  No shuffle is needed, and a worker's memory holds one batch and the
-distinct pretokens that it has met.
+are; extra columns are ignored; long texts are run in parts that end between pretokens.  No shuffle is
+needed, and a worker's memory holds one batch and a bounded number of the pretokens that it has met.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenspark.llm.common import only
+from lumenspark.llm.common import map_batches, only
 from lumenspark.llm.textbytes import utf8
 from lumenspark.llm.transducer import batches_of_texts, encoder
 
@@ -31,4 +31,4 @@ def _count(path: str, limit: int):
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_tokens, over_limit); tokenizer: a tokenizer file with the same path everywhere."""
-    return only(docs, "doc_id", "text").mapInArrow(_count(tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(only(docs, "doc_id", "text"), _count(tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,9 +3,10 @@
 The splitting pattern of the tokenizer becomes a deterministic transducer over character classes.
 Its transitions say whether a pretoken ends before the character just read, or one character earlier
 (a run of white space gives its last character back when a word follows).  The second
-transducer walks the bytes of a pretoken; leaving it emits the tokens of that pretoken.  Its states
-are named by a hash of the bytes read so far and are compiled on demand, each distinct pretoken once
-in a worker process, from the tokenizer's own library.
+transducer walks the bytes of a pretoken; leaving it emits the tokens of that pretoken, so that the
+transition carries their number.  Its states are named by the bytes read so far, whole, never by a hash
+of them, and are compiled on demand, each distinct pretoken once in a worker process, from the
+tokenizer's own library.
 
 Text is cut into chunks of equal length, which start in unknown states.  All chunks are run at once
 from every state, which gives each chunk a map from start state to end state; a parallel prefix scan
@@ -15,12 +16,13 @@ composes the maps, and with the true start states known, one more run emits the
 from __future__ import annotations
 
 import itertools
+import json
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-from lumenspark.llm.textbytes import Spans, mix, ragged
+from lumenspark.llm.textbytes import FIRST, eights, mix, ragged
 
 CHUNK = 128
 # Character classes: the end of a text, the apostrophe, the space, other white space, numbers, the
@@ -28,8 +30,12 @@ CHUNK = 128
 END, APOSTROPHE, SPACE, BLANK, NUMBER, STMD, R, V, L, E, LETTER, OTHER = range(12)
 _CLASSES = 12
 _END_MARK = "\ud800"
-#: States that a worker keeps before it starts anew, and the bits of its table of recent ones.
-_MOST_STATES, _RECENT = 2_000_000, 19
+#: Bytes of text in the states that a worker keeps before it starts anew, and the bits of its table of recent ones.
+_MOST_BYTES, _RECENT = 32 << 20, 17
+#: Characters that are run at once; a longer text is cut between pretokens.
+_PIECE = 1 << 20
+#: Bytes of the pretokens that the table of recent states holds; longer ones are looked up as strings.
+_SHORT = 15
 
 # States name what the open pretoken is.
 _NAMES = ("start", "letters", "numbers", "others", "lone_quote", "quote_r", "quote_v", "quote_l", "contracted", "one_space", "one_blank", "blanks_space", "blanks_blank")
@@ -87,10 +93,11 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 def character_classes() -> np.ndarray:
     """The class of every code point; U+D800, which no text holds, ends a text."""
     out = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    everything = "".join(map(chr, points))
-    for pattern, cls in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
-        out[[ord(c) for c in regex.findall(pattern, everything)]] = cls
+    for first in range(0, 0x110000, 0x1000):
+        some = "".join(map(chr, range(first, first + 0x1000)))
+        for pattern, cls in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
+            for run in regex.finditer(pattern, some):
+                out[first + run.start() : first + run.end()] = cls
     for characters, cls in (("'", APOSTROPHE), (" ", SPACE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         out[[ord(c) for c in characters]] = cls
     out[0x1C:0x20] = OTHER  # separators that only some libraries take as white space
@@ -98,11 +105,6 @@ def character_classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def _point_values() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def splits(classes: np.ndarray) -> np.ndarray:
     """Where pretokens start in a class sequence that ends with END, as a mask; END is one of its own."""
     to, marks = tables()
@@ -144,12 +146,42 @@ def splits(classes: np.ndarray) -> np.ndarray:
     return here
 
 
+def between_pretokens(text: str, limit: int = _PIECE):
+    """A text in parts of about so many characters, each of whole pretokens; one pretoken is never cut."""
+    classes = character_classes()
+    at, reach = 0, limit
+    while at + reach < len(text):
+        points = np.frombuffer(text[at : at + reach].encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = np.append(classes[points], np.uint8(END))
+        # what follows the last character may still move a split to it, and what follows white space splits that
+        starts = np.flatnonzero(splits(kinds)[1:-2] & (kinds[:-3] != SPACE) & (kinds[:-3] != BLANK))
+        if not len(starts):
+            reach *= 2
+            continue
+        to = int(starts[-1]) + 1
+        yield text[at : at + to]
+        at, reach = at + to, limit
+    yield text[at:]
+
+
+def check_rules(path: str, text: str) -> None:
+    """Raise where a tokenizer file splits texts in another way than the transducer here does."""
+    rules = json.loads(text)
+    split = rules.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in rules.get("added_tokens") or [])
+    if not (plain and added and rules.get("normalizer") is None and not rules.get("truncation") and not rules.get("padding")):
+        raise ValueError(f"{path}: only byte-level BPE files with the usual splitting pattern, without a normalizer, are supported")
+
+
 class Encoder:
     """Token ids of whole texts by the transducers, for one tokenizer file; one for each worker process."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            check_rules(path, file.read())
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -158,35 +190,42 @@ class Encoder:
     def clear(self) -> None:
         # states in order of compilation: tokens of state i are ids[first[i] : first[i + 1]]
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        # sorted names of the states, their numbers, and a direct-mapped table of names met lately
-        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.recent, self.recent_number = np.zeros(1 << _RECENT, np.uint64), np.zeros(1 << _RECENT, np.int64)
-
-    def _learn(self, hashes: np.ndarray, pretokens: list[str]) -> None:
-        """Compile new states; their names come sorted."""
+        # the states' numbers by pretoken, their size, and a direct-mapped table of short ones met lately:
+        # their bytes, with the length in the last byte, as two numbers
+        self.number: dict[str, int] = {}
+        self.size = 0
+        self.recent, self.recent_number = np.zeros((1 << _RECENT, 2), np.uint64), np.zeros(1 << _RECENT, np.int64)
+
+    def _learn(self, pretokens: list[str]) -> None:
+        """Compile new states."""
         encoded = [e.ids for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(counts.sum()))])
-        at = np.searchsorted(self.known, hashes)
-        self.number = np.insert(self.number, at, len(self.first) - 1 + np.arange(len(hashes)))
-        self.known = np.insert(self.known, at, hashes)
+        self.number.update(zip(pretokens, range(len(self.first) - 1, len(self.first) - 1 + len(pretokens)), strict=True))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-
-    def _numbers(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """Numbers of the states with these names; text_of gives the pretokens at some places, to compile new ones."""
-        slot = (hashes & np.uint64((1 << _RECENT) - 1)).astype(np.int64)
+        self.size += sum(map(len, pretokens)) + 100 * len(pretokens)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, text_of) -> np.ndarray:
+        """Numbers of the states of the spans [start, stop) of data; text_of gives the pretokens at some of them."""
+        size = stop - start
+        at = eights(data)
+        low = at[start] & FIRST[np.minimum(size, 8)]
+        high = at[start + 8] & FIRST[np.clip(size - 8, 0, 8)]
+        high |= size.astype(np.uint64) << np.uint64(56)
+        slot = (mix(low ^ (high * np.uint64(0x9E3779B97F4A7C15))) & np.uint64((1 << _RECENT) - 1)).astype(np.int64)
         out = self.recent_number[slot]
-        missed = np.flatnonzero(self.recent[slot] != hashes)
+        missed = np.flatnonzero((self.recent[slot, 0] != low) | (self.recent[slot, 1] != high) | (size > _SHORT))
         if len(missed):
-            new, where, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.known, new), max(len(self.known) - 1, 0))
-            unknown = self.known[at] != new if len(self.known) else np.ones(len(new), bool)
-            if unknown.any():
-                self._learn(new[unknown], text_of(missed[where[unknown]]))
-            numbers = self.number[np.searchsorted(self.known, new)]
-            out[missed] = numbers[back]
-            slot = (new & np.uint64((1 << _RECENT) - 1)).astype(np.int64)
-            self.recent[slot], self.recent_number[slot] = new, numbers
+            texts = text_of(missed)
+            new = [t for t in dict.fromkeys(texts) if t not in self.number]
+            if new:
+                self._learn(new)
+            out[missed] = [self.number[t] for t in texts]
+            short = missed[size[missed] <= _SHORT]
+            # where several share a slot, one of them with all its parts
+            slots, one = np.unique(slot[short], return_index=True)
+            short = short[one]
+            self.recent[slots, 0], self.recent[slots, 1], self.recent_number[slots] = low[short], high[short], out[short]
         return out
 
     def _states(self, text: str) -> np.ndarray:
@@ -195,33 +234,37 @@ class Encoder:
         classes = character_classes()[points]
         starts = np.flatnonzero(splits(classes))
         stops = np.append(starts[1:], len(points))
-        hashes = Spans(_point_values()[points]).hash(starts, stops)
         ends = classes[starts] == END
         word, stop = starts[~ends], stops[~ends]
-        if len(self.known) > _MOST_STATES:
-            self.clear()
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass") + bytes(24), np.uint8)
+        # places in bytes: those of characters, and the longer ones before them
+        first = np.flatnonzero((data[:-24] & 0xC0) != 0x80)
+        begin, end = first[word], np.append(first, len(data) - 24)[stop]
         states = np.full(len(starts), -1, np.int64)
-        states[~ends] = self._numbers(hashes[~ends], lambda some: [text[a:b] for a, b in zip(word[some].tolist(), stop[some].tolist(), strict=True)])
+        states[~ends] = self._numbers(data, begin, end, lambda some: [text[a:b] for a, b in zip(word[some].tolist(), stop[some].tolist(), strict=True)])
         return states
 
     def _pieces(self, texts: list[str]):
         """Texts as plain stretches and special tokens: (stretches, special id or -1 after each, stretches of each text)."""
         parts, after, per = [], [], []
         for text in texts:
-            if self.pattern is None or not any(s in text for s in self.special):
-                parts.append(text)
-                after.append(-1)
-                per.append(1)
-                continue
-            cut = self.pattern.split(text)
-            parts += cut[::2]
-            after += [self.special[x] for x in cut[1::2]] + [-1]
-            per.append(len(cut[::2]))
+            cut = [text] if self.pattern is None or not any(s in text for s in self.special) else self.pattern.split(text)
+            first = len(parts)
+            for stretch, mark in itertools.zip_longest(cut[::2], cut[1::2]):
+                some = [stretch] if len(stretch) <= _PIECE else list(between_pretokens(stretch))
+                parts += some
+                after += [-1] * (len(some) - 1) + [-1 if mark is None else self.special[mark]]
+            per.append(len(parts) - first)
         return parts, np.array(after, np.int64), np.array(per, np.int64)
 
     def _run(self, texts: list[str]):
         parts, after, per = self._pieces(texts)
-        states = self._states(_END_MARK.join(parts) + _END_MARK)
+        size = np.cumsum([len(p) for p in parts]) // _PIECE
+        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(parts)]
+        # clearing between groups would give numbers of states that are gone
+        if self.size > _MOST_BYTES:
+            self.clear()
+        states = np.concatenate([self._states(_END_MARK.join(parts[a:b]) + _END_MARK) for a, b in zip(edges[:-1], edges[1:], strict=True)])
         ends = np.flatnonzero(states < 0)
         return states, ends, after, per
 
@@ -230,7 +273,7 @@ class Encoder:
         if not texts:
             return np.zeros(0, np.int64)
         states, ends, after, per = self._run(texts)
-        emitted = np.where(states >= 0, np.diff(self.first)[np.maximum(states, 0)] if len(self.known) else 0, 0)
+        emitted = np.where(states >= 0, np.diff(self.first)[np.maximum(states, 0)] if len(self.number) else 0, 0)
         total = np.concatenate([[0], np.cumsum(emitted)])[ends + 1]
         stretch = np.diff(np.concatenate([[0], total])) + (after >= 0)
         return np.add.reduceat(stretch, np.concatenate([[0], np.cumsum(per)[:-1]]))
@@ -251,7 +294,7 @@ class Encoder:
         return ids[ragged(begins, counts)], np.concatenate([[0], total[last]])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

@@ -81,6 +81,36 @@ def test_a_crowded_family_loses_no_link(spark):
     assert found(spark, rows, 4) == brute_force(rows, 4, 80)
 
 
+def test_large_buckets_are_split_by_a_second_band(spark, monkeypatch):
+    from lumenspark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(10)
+    rows = []
+    for d in range(150):
+        text = [f"b{i}" for i in range(60)]
+        for k in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            text[k] = f"x{d}_{k}" if rng.random() < 0.7 else f"y{k}"
+        rows.append((d, " ".join(text)))
+    assert found(spark, rows, 4) == brute_force(rows, 4, 80)
+
+
+def test_many_near_copies_and_copies(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(d, " ".join(base[:k] + [f"x{d}"] + base[k + 1 :])) for d, k in ((d, rng.randrange(80)) for d in range(2000))]
+    rows += [(3000 + d, "the same text every time again") for d in range(1500)]
+    got = found(spark, rows, 4)
+    assert {r[2] for r in got} == {0, 3000} and len(got) == 3500 and sum(r[3] for r in got) == 2
+
+
+def test_words_that_collide_under_polynomials_modulo_powers_of_two(spark):
+    from tests.llm.test_tokens import thue_morse
+
+    rows = [(i, thue_morse(n, *pair)) for i, (n, pair) in enumerate((n, pair) for n in (1024, 2048, 4096, 8192) for pair in ("ab", "ba"))]
+    assert found(spark, rows, 4) == brute_force(rows, 4, 80) == sorted([(d, 1, d, True) for d, _ in rows], key=str)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from lumenspark.llm.op4 import tokenizer_path
 from lumenspark.llm.textbytes import ragged
 from lumenspark.llm.tokens import token_counts
-from lumenspark.llm.transducer import Encoder
+from lumenspark.llm.transducer import Encoder, between_pretokens
 
 HARD = ["", " ", "  ", "\n", "a", "'", "'s", "''s", " 's", "\n's", "it's we're 'r", "'r", "'rx 'll 'l", "x'l'l", "don't!'s", "a  b", "a \nb", "a\n b", "  \n\n a", "tail  ", "\u00a0a", "a\u00a0\u00a0b", "é'd 12'd", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", "😀 '😀's", "\x1c\x1f a", "١٢ ²³ x²", "'ve'Ve'vE", "a'" + "r" * 40, "\U000fffff\U0010ffff"]
 
@@ -49,3 +49,42 @@ def test_whole_table(spark, sf):
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, tokenizer_path()).collect()}
     rows = docs.select("doc_id", "text").collect()
     assert [got[r.doc_id] for r in rows] == _expected([r.text for r in rows])
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Words that defeat polynomial hashes modulo a power of two."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_under_polynomials_modulo_powers_of_two():
+    texts = [thue_morse(n, *pair) for n in (1024, 2048, 4096, 8192) for pair in ("tq", "qt", "oz", "zo")]
+    machine = Encoder(tokenizer_path())
+    assert machine.counts(texts).tolist() == _expected(texts)
+    ids, at = machine.encode(texts[::-1])
+    for i, e in enumerate(Tokenizer.from_file(tokenizer_path()).encode_batch(texts[::-1], add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == e.ids
+
+
+def test_long_texts_are_cut_between_pretokens():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(" '\n\tstrdvlLé9! ", k=3000)) for _ in range(20)] + ["x" * 500 + " y" * 200, " " * 700 + "a", "'r" * 300]
+    machine = Encoder(tokenizer_path())
+    for text in texts:
+        parts = list(between_pretokens(text, 100))
+        assert "".join(parts) == text and sum(machine.counts(parts).tolist()) == _expected([text])[0]
+
+
+def test_long_texts_and_many_states(monkeypatch):
+    from lumenspark.llm import transducer
+
+    monkeypatch.setattr(transducer, "_PIECE", 200)
+    monkeypatch.setattr(transducer, "_MOST_BYTES", 3000)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(" 'abcdefgh\n9", k=rng.choice([10, 2000]))) + rng.choice(["", "<|endoftext|>"]) for _ in range(60)]
+    machine = transducer.Encoder(tokenizer_path())
+    assert [machine.counts(texts[i : i + 7]).tolist() for i in range(0, 60, 7)] == [_expected(texts[i : i + 7]) for i in range(0, 60, 7)]
+
+
+def test_other_rules_are_refused():
+    with pytest.raises(ValueError, match="only byte-level BPE"):
+        Encoder(tokenizer_path("word_bpe_49k.json"))
