@@ -9,11 +9,12 @@ three bins make bucket keys: two sets of similarity 0.8 miss all BANDS buckets w
 Documents with equal sets are one node.  In each bucket every node is paired with the bucket's
 smallest node alone (a star), so candidate pairs follow the number of bucket members.  Links are
 confirmed on the full sets.  A bucket whose members then lie in several components may hold links
-between two spokes; such buckets alone are searched again in blocks, where signatures rule out most
-pairs (five standard errors below the threshold; sets of few shingles are never ruled out) and full sets
-decide the rest, so no link is lost to the star form.  Of such buckets, those with more than BLOCK
-members are first split by a second band: a pair at the threshold that shares no second band of 30 has a
-probability of 1.4e-8.
+between two spokes.  In such buckets alone, the members outside the main component are compared with all:
+signatures rule out most pairs (five standard errors below the threshold; sets of few shingles are never
+ruled out) and full sets decide the rest, so no link is lost to the star form.  The main component is
+dealt to blocks, and the others, few as a rule, go to each of them.  Where the others are more than a
+block, the bucket is first split by a second band: a pair at the threshold that shares no second band of
+30 has a probability of 1.4e-8.
 
 Texts are not shuffled: candidates' sets are made where the texts are read, which a table of bits of
 bounded size (BITS at most) picks; what it lets through by chance is dropped by a join.  Joins on a key
@@ -38,7 +39,8 @@ from lumenspark.llm.components import components, salted_join
 from lumenspark.llm.textbytes import BLANK_SEPARATED, byte_values, mix, shingles, utf8, words
 
 BINS, ROWS, BANDS = 128, 3, 30
-BLOCK = 512
+#: Shingles of the sets in a block, and pairs of a hub in one place of a join.
+BLOCK, PAIRS = 2_000_000, 512
 #: Bits of the table of candidates: 16 for each candidate, and so many at most.
 BITS = 1 << 27
 #: Sets of so few shingles are compared without a look at their signatures.
@@ -147,21 +149,22 @@ def _confirm(percent: int):
 
 
 def _within_blocks(percent: int):
-    """Links between members of different components of one bucket, for one pair of blocks."""
+    """Links between members of different components of one bucket, of those on the left with those on the right."""
     least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / BINS)
 
     def run(table: pa.Table) -> pa.Table:
         t = table.drop_columns(["members"]).to_pydict()
         node, group = np.array(t["node"]), np.array(t["component"])
+        left, right = np.array(t["left"], bool), np.array(t["right"], bool)
         sign = np.frombuffer(b"".join(t["sign"]), np.uint8).reshape(-1, BINS)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
         size = np.array([len(x) for x in sets])
-        block, (i, j) = np.array(t["block"]), (t["i"][0], t["j"][0])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(group[y] != group[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+        for x in np.flatnonzero(left).tolist():
+            y = np.flatnonzero(right & (group != group[x]))
+            if right[x]:
+                y = y[~left[y] | (y > x)]  # a pair on both sides is looked at once
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
             if not len(y):
                 continue
             likely = (sign[y] == sign[x]).mean(axis=1)
@@ -176,22 +179,48 @@ def _within_blocks(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v, n) whose sets are similar; n tells how many pairs u may have."""
-    places = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    places = lambda n: F.greatest(F.ceil(F.col(n) / PAIRS), F.lit(1)).cast("int")
     hubs = pairs.groupBy("u").agg(F.max("n").alias("most"))
     left = hubs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), places("most") - 1)).alias("salt"))
     right = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), places("n")).cast("int"))
     return map_batches(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), _confirm(percent), "u long, v long")
 
 
+def _opened(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the buckets with several components, with the shingles of the largest (bulk) and of the others (rest)."""
+    parts = rows.groupBy(*by, "component").agg(F.sum("size").alias("w"))
+    largest = F.max(F.struct("w", "component"))
+    mixed = parts.groupBy(*by).agg(F.count("*").alias("n"), largest.alias("main"), F.sum("w").alias("total")).where("n > 1")
+    return salted_join(rows, mixed.select(*by, F.col("main.component").alias("main"), F.col("main.w").alias("bulk"), (F.col("total") - F.col("main.w")).alias("rest")), by, "node")
+
+
+_PART = ["band", "key", "band2", "key2"]
+
+
+def _dealt(opened: DataFrame, crossed: bool) -> DataFrame:
+    """Rows of opened buckets for each block, or pair of blocks, in which they are compared, and on which sides."""
+    blocks = F.greatest(F.ceil((F.col("bulk") + F.col("rest") if crossed else F.col("bulk")) / BLOCK), F.lit(1)).cast("int")
+    rows = opened.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    if crossed:
+        rows = rows.withColumn("other", F.explode(every)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        sides = {"left": F.col("block") == F.col("i"), "right": F.col("block") == F.col("j")}
+    else:
+        stray = F.col("component") != F.col("main")
+        rows = rows.withColumn("i", F.explode(F.when(stray, every).otherwise(F.array("block")))).withColumn("j", F.lit(-1))
+        sides = {"left": stray, "right": ~stray | (F.col("i") == 0)}
+    return rows.withColumns(sides).select(*_PART, "i", "j", "node", "component", "left", "right")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept); width in words, percent of Jaccard similarity."""
     sketches = saved(map_batches(only(docs, "doc_id", "text"), _sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sign binary"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     # equal sets have equal bands and signatures
     nodes = saved(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = saved(salted_join(banded, hubs, ["band", "key"], "node").select("band", "key", "hub", "n", "node"))
+    members = saved(salted_join(banded, hubs, ["band", "key"], "node").select("band", "key", "hub", "n", "node", "size"))
 
     candidates = saved(members.select(F.col("node").alias("doc_id")).distinct())
     bits = min(BITS, max(1 << 15, 1 << (16 * candidates.count()).bit_length()))
@@ -204,20 +233,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = saved(_confirmed(pairs, sets, percent))
     first = saved(components(links))
 
-    # buckets with members in several components; of the large ones, their parts by a second band
-    placed = members.where("n > 2").join(first, "node", "left").select("band", "key", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed = lambda rows, by: rows.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select(*by, "size")
-    opened = saved(salted_join(placed, mixed(placed, ["band", "key"]), ["band", "key"], "node"))
-    second = opened.where(F.col("size") > BLOCK).drop("size").join(nodes.select("node", F.posexplode("bands").alias("band2", "key2")), "node").where("band2 > band")
-    parts = ["band", "key", "band2", "key2"]
-    split = salted_join(second, mixed(second, parts), parts, "node")
-    whole = opened.where(F.col("size") <= BLOCK).withColumns({"band2": F.lit(-1), "key2": F.lit(0).cast("long")})
-    columns = [*parts, "size", "node", "component"]
-    searched = whole.select(columns).union(split.select(columns))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = searched.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(*parts, "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = dealt.join(nodes.select("node", "sign").join(sets, "node"), "node").groupBy(*parts, "i", "j").applyInArrow(_within_blocks(percent), "u long, v long")
+    # buckets with members in several components; those with many outside the main one by a second band
+    placed = members.where("n > 2").join(first, "node", "left").select("band", "key", "node", "size", F.coalesce("component", "node").alias("component"))
+    opened = saved(_opened(placed, ["band", "key"]))
+    simple = opened.where(F.col("rest") <= BLOCK).withColumns({"band2": F.lit(-1), "key2": F.lit(0).cast("long")})
+    second = opened.where(F.col("rest") > BLOCK).select("band", "key", "node", "size", "component").join(nodes.select("node", F.posexplode("bands").alias("band2", "key2")), "node").where("band2 > band")
+    split = _opened(second, _PART)
+    dealt = _dealt(simple, False).union(_dealt(split.where(F.col("rest") <= BLOCK), False)).union(_dealt(split.where(F.col("rest") > BLOCK), True))
+    more = dealt.join(nodes.select("node", "sign").join(sets, "node"), "node").groupBy(*_PART, "i", "j").applyInArrow(_within_blocks(percent), "u long, v long")
 
     # each row's node, and links between the nodes of rows that share an id
     named = saved(salted_join(some.select("doc_id", "n_shingles", "d1", "d2"), nodes.select("d1", "d2", "node"), ["d1", "d2"], "doc_id").select("doc_id", "n_shingles", "node"))

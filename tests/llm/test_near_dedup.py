@@ -81,10 +81,12 @@ def test_a_crowded_family_loses_no_link(spark):
     assert found(spark, rows, 4) == brute_force(rows, 4, 80)
 
 
-def test_large_buckets_are_split_by_a_second_band(spark, monkeypatch):
+@pytest.mark.parametrize("block", [300, 2500])
+def test_large_buckets_are_split_by_a_second_band(spark, monkeypatch, block):
     from lumenspark.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PAIRS", 8)
     rng = random.Random(10)
     rows = []
     for d in range(150):
