@@ -26,11 +26,11 @@ def gaussian_taps(sigma: float) -> np.ndarray:
     return taps / taps.sum()
 
 
-def _smooth_axis(image: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
+def _smooth_axis(image: np.ndarray, taps: np.ndarray, axis: int, mode: str = "edge") -> np.ndarray:
     radius = len(taps) // 2
     pad = [(0, 0)] * image.ndim
     pad[axis] = (radius, radius)
-    wide = np.moveaxis(np.pad(image, pad, mode="edge"), axis, -1)
+    wide = np.moveaxis(np.pad(image, pad, mode=mode), axis, -1)
     n = image.shape[axis]
     if len(taps) <= 33:
         out = sum(t * wide[..., i : i + n] for i, t in enumerate(taps))
@@ -131,21 +131,20 @@ def background(channel: np.ndarray, radius: float, working_radius: float) -> np.
     if factor == 1:
         return rolling_ball(channel, radius)
     h, w = channel.shape
-    small = shrink(channel, (max(1, h // factor), max(1, w // factor)))
-    return enlarge(rolling_ball(small, radius / factor), (h, w))
+    small = shrink(channel, (max(1, int(np.rint(h / factor))), max(1, int(np.rint(w / factor)))))
+    return enlarge(rolling_ball(small, max(1.0, radius / factor)), (h, w))
 
 
 def flat_field(image: np.ndarray, radius: float, working_radius: float) -> np.ndarray:
-    """Each channel over its background, then the whole image stretched to 0 to 1 (0 if it is constant)."""
-    image = np.asarray(image, np.float64)
+    """Each channel over its background, stretched to 0 to 1 by itself (0 if it is constant)."""
 
     def one(channel: np.ndarray) -> np.ndarray:
         under = background(channel, radius, working_radius)
-        return channel / (under + 1e-6) * under.mean()
+        out = channel / (under + 1e-6) * under.mean()
+        low, high = out.min(), out.max()
+        return (out - low) / (high - low) if high > low else np.zeros_like(out)
 
-    out = per_channel(one, image)
-    low, high = out.min(), out.max()
-    return (out - low) / (high - low) if high > low else np.zeros_like(out)
+    return per_channel(one, np.asarray(image, np.float64))
 
 
 def denoise(image: np.ndarray, patch: int, distance: int, h: float) -> np.ndarray:
@@ -222,45 +221,115 @@ def gradient(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return dy, dx
 
 
-def _neighbours(a: np.ndarray, fill: float) -> list[np.ndarray]:
-    wide = np.pad(a, 1, constant_values=fill)
-    return [wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]]
+def connected(mask: np.ndarray) -> np.ndarray:
+    """Labels from 1 of 8-connected parts of a mask, in order of their first pixel; 0 elsewhere."""
+    rows, cols = np.nonzero(mask)
+    at = np.full((mask.shape[0] + 2, mask.shape[1] + 2), -1)
+    at[rows + 1, cols + 1] = np.arange(len(rows))
+    # each pixel's neighbours to the right and below, as links between pixels
+    links = [(p, q) for p, q in ((np.arange(len(rows)), at[rows + 1 + v, cols + 1 + u]) for v, u in ((0, 1), (1, -1), (1, 0), (1, 1)))]
+    a = np.concatenate([p[q >= 0] for p, q in links])
+    b = np.concatenate([q[q >= 0] for _, q in links])
+    root = np.arange(len(rows))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    out = np.zeros(mask.shape, np.int32)
+    out[rows, cols] = np.unique(root, return_inverse=True)[1] + 1
+    return out
 
 
-def connected(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 4-connected parts of a mask, in order of their first pixel; 0 elsewhere."""
-    n = mask.size
-    label = np.where(mask, np.arange(1, n + 1).reshape(mask.shape), 0)
-    while True:
-        least = label.copy()
-        for x in _neighbours(label, 0):
-            least = np.where(mask & (x > 0), np.minimum(least, x), least)
-        flat = least.ravel()
-        jumped = np.where(flat > 0, flat[np.maximum(flat, 1) - 1], 0).reshape(mask.shape)
-        if (jumped == label).all():
-            break
-        label = jumped
-    names, out = np.unique(label, return_inverse=True)
-    return (out.reshape(mask.shape) + (0 if names[0] == 0 else 1)).astype(np.int32)
+def _sweep(out: np.ndarray, floor: np.ndarray) -> bool:
+    """Carry low values over the rows of out, downwards and upwards, never below floor; whether anything changed."""
+    n, changed = len(out), False
+    for order in (range(1, n), range(n - 2, -1, -1)):
+        step = order.step
+        for i in order:
+            near = out[i - step]
+            low = near.copy()
+            np.minimum(low[1:], near[:-1], out=low[1:])
+            np.minimum(low[:-1], near[1:], out=low[:-1])
+            np.maximum(low, floor[i], out=low)
+            if (low < out[i]).any():
+                np.minimum(out[i], low, out=out[i])
+                changed = True
+    return changed
 
 
 def fill_minima(image: np.ndarray, depth: float) -> np.ndarray:
-    """Reconstruction by erosion of image + depth above the image."""
-    wide = np.pad(image + depth, 1, constant_values=np.inf)
-    out, low = wide[1:-1, 1:-1], np.empty_like(image, np.float64)
+    """Reconstruction by erosion of image + depth above the image, among 8 neighbours."""
+    floor = np.ascontiguousarray(image, np.float64)
+    out, across = floor + depth, np.ascontiguousarray(floor.T)
     while True:
-        np.minimum(wide[:-2, 1:-1], wide[2:, 1:-1], out=low)
-        np.minimum(low, wide[1:-1, :-2], out=low)
-        np.minimum(low, wide[1:-1, 2:], out=low)
-        np.minimum(low, out, out=low)
-        np.maximum(low, image, out=low)
-        if np.array_equal(low, out):
-            return out.copy()
-        out[:] = low
+        changed = _sweep(out, floor)
+        turned = np.ascontiguousarray(out.T)
+        if not (_sweep(turned, across) or changed):
+            return out
+        out = np.ascontiguousarray(turned.T)
 
 
-def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Regions that grow from markers in order of height; of equal heights, the pixel that was reached first.
+_CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
+
+
+def _jumped(points: np.ndarray) -> np.ndarray:
+    """Where each pointer leads in the end."""
+    while True:
+        further = points[points]
+        if np.array_equal(further, points):
+            return points
+        points = further
+
+
+def flood_levels(image: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """The least height over which a path leads to each pixel from a marked one; infinite without any.
+
+    Pixels first run down to basins.  Between neighbouring basins the lowest pass counts, and passes in
+    order of height join basins to those that hold a marker.
+    """
+    h, w = image.shape
+    heights, index = image.ravel(), np.arange(image.size).reshape(h, w)
+    wide = np.pad(image, 1, constant_values=np.inf)
+    near = np.stack([wide[1 + v : 1 + v + h, 1 + u : 1 + u + w] for v, u in _CROSS])
+    down = near.argmin(axis=0)
+    shift = np.array([v * w + u for v, u in _CROSS])
+    falls = (near.min(axis=0) < image) & ~marked
+    basin = _jumped(np.where(falls, index + shift[down], index).ravel())
+    roots, number = np.unique(basin, return_inverse=True)
+    grid = number.reshape(h, w)
+    a = np.concatenate([grid[:, 1:].ravel(), grid[1:].ravel()])
+    b = np.concatenate([grid[:, :-1].ravel(), grid[:-1].ravel()])
+    height = np.concatenate([np.maximum(image[:, 1:], image[:, :-1]).ravel(), np.maximum(image[1:], image[:-1]).ravel()])
+    apart = a != b
+    a, b, height = a[apart], b[apart], height[apart]
+    order = np.argsort(height, kind="stable")
+    pair = (np.minimum(a, b) * len(roots) + np.maximum(a, b))[order]
+    order = order[np.sort(np.unique(pair, return_index=True)[1])]  # the lowest pass of each pair, by height
+    level = np.full(len(roots), np.inf)
+    level[marked.ravel()[roots]] = heights[roots][marked.ravel()[roots]]
+    known = np.isfinite(level).tolist()
+    of, members = list(range(len(roots))), {}
+    for p, q, x in zip(a[order].tolist(), b[order].tolist(), height[order].tolist(), strict=True):
+        p, q = of[p], of[q]
+        if p == q or (known[p] and known[q]):
+            continue
+        mine, other = members.pop(p, None) or [p], members.pop(q, None) or [q]
+        if known[p] or known[q]:
+            level[other if known[p] else mine] = x
+        if len(mine) < len(other):
+            p, q, mine, other = q, p, other, mine
+        for r in other:
+            of[r] = p
+        known[p] = known[p] or known[q]
+        members[p] = mine + other
+    return np.maximum(heights, level[number]).reshape(h, w)
+
+
+def flood_in_order(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """The flood of watershed pixel by pixel.
 
     A pixel of the queue is one integer: the rank of its height, then its age, then its place in a
     grid with a border that counts as labelled.
@@ -298,6 +367,54 @@ def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return np.array(label, np.int32).reshape(-1, row)[1:-1, 1:-1].copy()
 
 
+def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Regions that grow from markers in order of height; of equal heights, the pixel that was reached first.
+
+    A pixel is flooded at the least height over which a path leads to it from a marker.  It takes the
+    label of the neighbour that is flooded first, which is the lowest in this sense.  So each pixel points
+    to a neighbour (in a basin that fills at one height, towards its inlet), and labels come by following
+    the pointers to a marker.  Where lowest neighbours of different labels tie, which takes repeated
+    heights, only the order of the whole flood decides, and that is followed pixel by pixel.
+    """
+    h, w = image.shape
+    level = flood_levels(image, markers > 0)
+    wide = np.pad(level, 1, constant_values=np.inf).ravel()
+    row = w + 2
+    inside = (np.arange(h)[:, None] * row + row + 1 + np.arange(w)).ravel()
+    marked = np.zeros(len(wide), bool)
+    marked[inside] = markers.ravel() > 0
+    shifts = [v * row + u for v, u in _CROSS]
+    near = np.stack([wide[inside + s] for s in shifts])
+    own = wide[inside]
+    # steps from a marker or from an inlet, a pixel with a lower neighbour, among pixels that fill at one height
+    steps = np.full(len(wide), np.iinfo(np.int32).max, np.int32)
+    front, count = np.concatenate([np.flatnonzero(marked), inside[(near.min(axis=0) < own) & ~marked[inside]]]), 0
+    steps[front] = 0
+    while len(front):
+        count += 1
+        front = np.unique(np.concatenate([(front + s)[(wide[front + s] == wide[front]) & (steps[front + s] > count)] for s in shifts]))
+        steps[front] = count
+    # of the neighbours, the least (height, steps)
+    best, parent = np.full(len(inside), np.inf), inside.copy()
+    best_steps = np.full(len(inside), np.iinfo(np.int32).max, np.int32)
+    for s, x in zip(shifts, near, strict=True):
+        n = steps[inside + s]
+        first = (x < best) | ((x == best) & (n < best_steps))
+        best[first], best_steps[first], parent[first] = x[first], n[first], (inside + s)[first]
+    points = np.arange(len(wide))
+    points[inside] = np.where(marked[inside] | ~np.isfinite(own), inside, parent)
+    points = _jumped(points)
+    label = np.zeros(len(wide), np.int32)
+    label[inside] = markers.ravel()
+    label = label[points]
+    open_ = ~marked[inside] & np.isfinite(own)
+    for shift, x in zip(shifts, near, strict=True):
+        ties = open_ & (x == best)
+        if (label[(inside + shift)[ties]] != label[inside[ties]]).any():
+            return flood_in_order(image, markers)
+    return label[inside].reshape(h, w)
+
+
 def drop_small(label: np.ndarray, least: int) -> np.ndarray:
     size = np.bincount(label.ravel())
     small = size < least
@@ -308,37 +425,43 @@ def drop_small(label: np.ndarray, least: int) -> np.ndarray:
 def score_watershed(image: np.ndarray, sigma: float, depth: float, least_area: int, boundary_sigma: float = 1.0) -> np.ndarray:
     """Boundary probability from watershed regions of the smoothed gradient."""
     dy, dx = gradient(gaussian(luminance(image), sigma))
-    steep = np.round(np.hypot(dy, dx), 12)
-    filled = fill_minima(steep, depth)
-    deep = np.minimum.reduce(_neighbours(filled, np.inf)) >= filled
-    markers = connected(deep & (filled - steep >= depth - 1e-12))
+    steep = np.round(np.hypot(dy, dx) / np.sqrt(2.0), 12)
+    markers = connected(fill_minima(steep, depth) - steep >= depth - 1e-12)
     if not markers.any():
         return np.zeros(image.shape[:2], np.float32)
     return boundary_probability(drop_small(watershed(steep, markers), least_area), boundary_sigma)
 
 
 def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarray:
-    """Edges: thin ridges of the smoothed gradient above low that touch one above high."""
-    dy, dx = gradient(gaussian(image, sigma))
+    """Edges: ridges of the smoothed gradient (plain Sobel sums) of at least low, in 8-connected parts that reach high.
+
+    A pixel is on a ridge if its gradient is no less than those ahead and behind, which are interpolated
+    between the two neighbours that the direction passes between.  The outermost pixels are no edges, and
+    smoothing looks at pixels of the image alone.
+    """
+    inner = np.ones(image.shape)
+    taps = gaussian_taps(sigma)
+    blank = lambda a: _smooth_axis(_smooth_axis(a, taps, 0, "constant"), taps, 1, "constant")
+    dy, dx = (4 * g for g in gradient(blank(image) / (blank(inner) + np.finfo(float).eps)))
     steep = np.hypot(dy, dx)
-    wide = np.pad(steep, 1)
     h, w = steep.shape
-    turn = (np.rint(np.arctan2(dy, dx) / (np.pi / 4)).astype(int)) % 4
-    ridge = np.zeros_like(steep, bool)
-    for k, (v, u) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-        ahead, behind = wide[1 + v : 1 + v + h, 1 + u : 1 + u + w], wide[1 - v : 1 - v + h, 1 - u : 1 - u + w]
-        ridge |= (turn == k) & (steep >= ahead) & (steep > behind)
-    weak, strong = ridge & (steep >= low), ridge & (steep >= high) & (steep > 0)
-    while True:
-        wide = np.pad(strong, 1)
-        near = np.zeros_like(strong)
-        for v in range(3):
-            for u in range(3):
-                near |= wide[v : v + h, u : u + w]
-        new = near & weak | strong
-        if (new == strong).all():
-            return strong
-        strong = new
+    wide = np.pad(steep, 1)
+    ay, ax = np.abs(dy), np.abs(dx)
+    flat = ax >= ay
+    share = np.divide(np.minimum(ay, ax), np.maximum(ay, ax), out=np.zeros_like(steep), where=steep > 0)
+    v, u = np.where(dy < 0, -1, 1), np.where(dx < 0, -1, 1)
+    rows, cols = np.mgrid[1 : h + 1, 1 : w + 1]
+    ridge = np.zeros((h, w), bool)
+    ridge[1:-1, 1:-1] = True
+    for way in (1, -1):
+        straight = wide[rows + way * np.where(flat, 0, v), cols + way * np.where(flat, u, 0)]
+        ridge &= (1 - share) * straight + share * wide[rows + way * v, cols + way * u] <= steep
+    weak = ridge & (steep >= low) & (steep > 0)
+    part = connected(weak)
+    reaches = np.zeros(part.max() + 1, bool)
+    reaches[part[weak & (steep >= high)]] = True
+    reaches[0] = False
+    return reaches[part]
 
 
 def score_canny(image: np.ndarray, sigma: float, low: float = 60.0, high: float = 90.0) -> np.ndarray:

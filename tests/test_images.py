@@ -85,6 +85,8 @@ def test_boundaries_and_scorers():
             scoring.check_map(a, bad)
     mask = np.array([[1, 0, 1], [1, 0, 1], [0, 0, 1]], bool)
     assert k.connected(mask).tolist() == [[1, 0, 2], [1, 0, 2], [0, 0, 2]]
+    assert k.connected(np.eye(3, dtype=bool)[:, ::-1]).tolist() == [[0, 0, 1], [0, 1, 0], [1, 0, 0]]
+    assert not k.connected(np.zeros((2, 3), bool)).any()
 
 
 def test_watershed_takes_pixels_in_order():
@@ -106,6 +108,42 @@ def test_watershed_takes_pixels_in_order():
         assert (k.watershed(image, label) == want).all()
 
 
+def test_watershed_by_pointers_equals_the_flood_in_order():
+    rng = np.random.default_rng(6)
+    for size in (8, 20, 90):
+        for scale in (1e9, 50):
+            image = np.rint(k.gaussian(rng.random((size, size + 3)), 1.5) * scale)
+            label = np.where(rng.random(image.shape) < 0.01, rng.integers(1, 9, image.shape), 0)
+            assert (k.watershed(image, label) == k.flood_in_order(image, label)).all()
+
+
+def test_canny_finds_edges():
+    step = np.where(np.arange(40)[None, :] < 20, 0.2, 0.8) * np.ones((40, 1))
+    edges = k.canny(step, 1.0, *np.percentile(step, [60, 90]))
+    assert edges.any() and not edges[:, :18].any() and not edges[:, 22:].any() and not edges[0].any()
+    stripes = (np.arange(64)[None, :] // 8 % 2) * np.ones((64, 1))
+    assert k.canny(stripes, 1.0, 0.5, 1.0)[1:-1].any(axis=0).sum() >= 7
+    assert k.score_canny(step, 1.0).max() == 1 and not k.canny(np.full((9, 9), 0.4), 1.0, 0.4, 0.4).any()
+
+
+def test_background_of_a_reduced_copy_keeps_the_nearest_size():
+    seen = []
+    original, k.rolling_ball = k.rolling_ball, lambda image, radius: seen.append((image.shape, radius)) or image
+    try:
+        k.background(np.ones((36, 25)), 10.0, 1.0)
+        k.background(np.ones((36, 25)), 2.0, 4.0)
+        k.background(np.ones((36, 25)), 3.0, 4.0)
+    finally:
+        k.rolling_ball = original
+    assert seen == [((4, 2), 1.0), ((36, 25), 2.0), ((36, 25), 3.0)]
+
+
+def test_flat_field_stretches_each_channel():
+    rng = np.random.default_rng(2)
+    flat = k.flat_field(rng.random((20, 20, 3)) * [0.2, 0.5, 1.0], 5, 5)
+    assert np.allclose(flat.min(axis=(0, 1)), 0) and np.allclose(flat.max(axis=(0, 1)), 1)
+
+
 def test_quality_tiles_cover_the_image(spark):
     a = np.random.default_rng(3).random((50, 65)).astype(np.float32)
     rows = quality.quality(payloads(spark, [a]), Quality(tile_size_px=25, illumination_sigma_px=3.0)).collect()
