@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.sources.images import PAYLOAD, map_images, payload_of
@@ -121,20 +121,21 @@ def reassemble_pixels(tile_pixels: DataFrame, *values: str) -> DataFrame:
     return tile_pixels.groupBy("filename", (F.col("row0") + F.col("local_row")).alias("row"), (F.col("col0") + F.col("local_col")).alias("col")).agg(*[F.min_by(v, at).alias(v) for v in values], F.count("*").alias("n_tiles"))
 
 
-def reassemble(tiles: DataFrame, height: str = "source_height_px", width: str = "source_width_px") -> DataFrame:
+def reassemble(tiles: DataFrame, overlap: float = 0.5, height: str = "source_height_px", width: str = "source_width_px") -> DataFrame:
     """Payloads of the sources from payloads of their tiles (source_filename, row0, col0, source size).
 
     Before tiles of one source meet, each gives up the rows and columns that the next tile also has, so
-    that every pixel moves once.
+    that every pixel moves once.  Where the next tile begins follows from a tile's size and the overlap.
     """
-    own = tiles.withColumn("_next_row", F.lead("row0").over(Window.partitionBy("source_filename", "col0").orderBy("row0"))).withColumn("_next_col", F.lead("col0").over(Window.partitionBy("source_filename", "row0").orderBy("col0")))
-    keep_h, keep_w = F.least(F.col("height"), F.coalesce(F.col("_next_row") - F.col("row0"), F.col("height"))), F.least(F.col("width"), F.coalesce(F.col("_next_col") - F.col("col0"), F.col("width")))
+    step = lambda own: F.greatest(F.rint(F.col(own) * (1 - overlap)).cast("int"), F.lit(1))
+    keep = lambda at, dim, own: F.when(F.col(at) + F.col(own) >= F.col(dim), F.col(own)).otherwise(F.least(step(own), F.col(dim) - F.col(own) - F.col(at)))
+    keep_h, keep_w = keep("row0", height, "height"), keep("col0", width, "width")
 
     def trim(row, image):
         yield payload_of(np.ascontiguousarray(image[: row.keep_h, : row.keep_w]))
 
     keys = ("source_filename", "row0", "col0", height, width)
-    trimmed = map_images(own, keys, trim, PAYLOAD, keep_h=keep_h, keep_w=keep_w)
+    trimmed = map_images(tiles, keys, trim, PAYLOAD, keep_h=keep_h, keep_w=keep_w)
 
     def join(pdf):
         import pandas as pd

@@ -291,9 +291,13 @@ def heatmap_grid(spark: SparkSession, d: str) -> DataFrame:
 # Gate: after is a fixed change of each pixel.
 
 
+def _before(spark: SparkSession, d: str) -> DataFrame:
+    return quality.gate_metrics(proxies.gray_payload(spark, d), _CONFIG)
+
+
 def _after(spark: SparkSession, d: str) -> DataFrame:
     changed = proxies.gray_pixels(spark, d).withColumn("v", F.col("v") * 0.9 + (F.col("col") % 3) * 0.01 + F.col("row") * 0.002)
-    return quality.quality(to_payload(changed, _KEYS, ["v"]), _CONFIG)
+    return quality.gate_metrics(to_payload(changed, _KEYS, ["v"]), _CONFIG)
 
 
 _CHANGED = quality_sql(f"WITH {proxies.E_SQL.replace('e AS (', 'e9 AS (')}, e AS (SELECT filename, magnification, \"row\", col, v * 0.9::DOUBLE + (col % 3) * 0.01::DOUBLE + \"row\" * 0.002::DOUBLE AS v FROM e9)").removeprefix("WITH ")
@@ -305,18 +309,18 @@ k AS (SELECT *, di >= 0.5 AS illumination_pass, dn <= 0 AS noise_pass, df <= 0 A
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
-    return quality.verdicts(quality.gate_join(quality.image_scope(_quality(spark, d)), quality.image_scope(_after(spark, d))))
+    return quality.verdicts(quality.gate_join(_before(spark, d), _after(spark, d)))
 
 
 @query(f"{_GATE} SELECT filename, magnification, round(ib, 6) AS illumination_range_frac_before, round(ia, 6) AS illumination_range_frac_after, round(nb, 6) AS noise_mad_sigma_before, round(na, 6) AS noise_mad_sigma_after, round(fb, 6) AS focus_variance_of_laplacian_before, round(fa, 6) AS focus_variance_of_laplacian_after FROM j")
 def gate_join(spark: SparkSession, d: str) -> DataFrame:
-    joined = quality.gate_join(quality.image_scope(_quality(spark, d)), quality.image_scope(_after(spark, d)))
+    joined = quality.gate_join(_before(spark, d), _after(spark, d))
     return rounded(joined, *[f"{c}_{w}" for c in quality.GATED for w in ("before", "after")])
 
 
 @query(f"{_Q} SELECT filename FROM q WHERE scope = 'image' AND NOT illumination_range_frac > 0.3")
 def gate_missing(spark: SparkSession, d: str) -> DataFrame:
-    metrics = quality.image_scope(_quality(spark, d))
+    metrics = _before(spark, d)
     return quality.gate_missing(metrics.where("illumination_range_frac > 0.3"), metrics)
 
 
@@ -358,7 +362,7 @@ def tile_pixel_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f'{_L} SELECT filename, "row", col, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM l')
 def reassemble(spark: SparkSession, d: str) -> DataFrame:
     sized = _cut(spark, d).join(dims(spark, d).select(F.col("filename").alias("source_filename"), F.col("height").alias("source_height_px"), F.col("width").alias("source_width_px")), "source_filename")
-    return to_pixels(tiling.reassemble(sized), ("source_filename",), ("r", "g", "b")).withColumnRenamed("source_filename", "filename")
+    return to_pixels(tiling.reassemble(sized, OVERLAP), ("source_filename",), ("r", "g", "b")).withColumnRenamed("source_filename", "filename")
 
 
 @query(f'{_TILE} SELECT filename, row0 + local_row AS "row", col0 + local_col AS col, any_value(r) AS r, count(*) AS n_tiles FROM tp GROUP BY ALL')

@@ -62,6 +62,10 @@ def decode_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return rows, image.where("height <= 0").select("filename")
 
 
+#: Bytes of a frame of output, and of a row of it without its pixels, about.
+FRAME_BYTES, ROW_BYTES = 8 << 20, 500
+
+
 def array_of(row) -> np.ndarray:
     """The image of a payload row."""
     shape = (row.height, row.width) if row.channels == 1 else (row.height, row.width, row.channels)
@@ -74,7 +78,7 @@ def payload_of(image: np.ndarray) -> dict:
 
 
 def map_images(images: DataFrame, keys: tuple[str, ...], function: Callable, schema: str, **columns: F.Column) -> DataFrame:
-    """Apply function(row, image) -> rows (dicts without the keys) to each payload row, an image at a time.
+    """Apply function(row, image) -> rows (dicts without the keys) to each payload row; rows leave in frames of about FRAME_BYTES.
 
     columns: parameters of each image, computed by Spark and seen as attributes of row.
     """
@@ -83,10 +87,17 @@ def map_images(images: DataFrame, keys: tuple[str, ...], function: Callable, sch
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            made, size = [], 0
             for row in batch.itertuples(index=False):
-                made = [{**{k: getattr(row, k) for k in keys}, **r} for r in function(row, array_of(row))]
-                if made:
-                    yield pd.DataFrame(made, columns=[*keys, *names])
+                own = {k: getattr(row, k) for k in keys}
+                for r in function(row, array_of(row)):
+                    made.append(own | r)
+                    size += len(r.get("pixels", b"")) + ROW_BYTES
+                    if size >= FRAME_BYTES:
+                        yield pd.DataFrame(made, columns=[*keys, *names])
+                        made, size = [], 0
+            if made:
+                yield pd.DataFrame(made, columns=[*keys, *names])
 
     chosen = images.select(*keys, "height", "width", "channels", "dtype", "pixels", *[c.alias(n) for n, c in columns.items()])
     return chosen.mapInPandas(run, f"{key_types}, {schema}")
@@ -116,13 +127,30 @@ def arrays_to_payload(rows: DataFrame, keys: list[str], channels: int, dtype: st
 def to_pixels(images: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
     """Payloads as a pixel table (keys, row, col, names...)."""
     kinds = ", ".join(f"{n} double" for n in names)
+    key_types = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
 
-    def one(row, image):
-        flat = image.reshape(row.height * row.width, row.channels).astype(float)
-        for i, v in enumerate(flat.tolist()):
-            yield {"row": i // row.width, "col": i % row.width, **dict(zip(names, v, strict=True))}
+    def frame(rows: list) -> pd.DataFrame:
+        size = np.array([r.height * r.width for r in rows])
+        columns = {k: np.repeat(np.array([getattr(r, k) for r in rows], object if isinstance(getattr(rows[0], k), str) else None), size) for k in keys}
+        columns["row"] = np.concatenate([np.repeat(np.arange(r.height), r.width) for r in rows])
+        columns["col"] = np.concatenate([np.tile(np.arange(r.width), r.height) for r in rows])
+        values = np.concatenate([array_of(r).reshape(r.height * r.width, r.channels).astype(float) for r in rows])
+        return pd.DataFrame(columns | {n: values[:, i] for i, n in enumerate(names)})
 
-    return map_images(images, keys, one, f"row int, col int, {kinds}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some, size = [], 0
+            for row in batch.itertuples(index=False):
+                some.append(row)
+                size += row.height * row.width * (16 + 8 * len(names))
+                if size >= FRAME_BYTES:
+                    yield frame(some)
+                    some, size = [], 0
+            if some:
+                yield frame(some)
+
+    chosen = images.select(*keys, "height", "width", "channels", "dtype", "pixels")
+    return chosen.mapInPandas(run, f"{key_types}, row int, col int, {kinds}")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:

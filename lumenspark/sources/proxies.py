@@ -1,7 +1,7 @@
 """Images, names and logs derived from the given tables, in Spark and in the same SQL for DuckDB.
 
 E: gray images of 8 x 8 from ``embeddings``; L: colour images 24 wide from ``lineitem``, one for each
-supplier; M: raw file names from ``orders``; R: a run log from ``events``.
+supplier, the last row of which its last item fills; M: raw file names from ``orders``; R: a run log from ``events``.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
 def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "lineitem")
     ranked = items.withColumn("idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*items.columns)) - 1)
-    whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("l_suppkey"))).where(F.col("idx") < F.floor(F.col("n") / WIDTH_L) * WIDTH_L)
+    # the last item fills the rest of the last row
+    whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("l_suppkey")))
+    end = F.when(F.col("idx") == F.col("n") - 1, F.ceil(F.col("n") / WIDTH_L) * WIDTH_L - 1).otherwise(F.col("idx"))
+    whole = whole.withColumn("idx", F.explode(F.sequence(F.col("idx").cast("long"), end.cast("long"))))
     level = lambda c, k: F.rint(F.col(c).cast("double") * k).cast("int")
     return whole.select(
         F.format_string("%06d-C-%dX.PNG", "l_suppkey", _magnification("l_suppkey")).alias("filename"), _magnification("l_suppkey").alias("magnification"),
@@ -86,14 +89,15 @@ e AS (
   SELECT filename, magnification, i // 8 AS "row", i % 8 AS col, round_even((CAST(embedding[i + 1] AS DOUBLE) + 1) / 2 * 255, 0) / 255 AS v
   FROM e0, (SELECT unnest(range(64)) AS i))"""
 
-L_SQL = """l0 AS (
-  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {columns}) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+L_SQL = """l9 AS (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {columns}) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+l0 AS (SELECT *, unnest(range(i, CASE WHEN i = n - 1 THEN (n + 23) // 24 * 24 ELSE i + 1 END)) AS idx FROM l9),
 l AS (
   SELECT printf('%06d-C-%dX.PNG', l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 200 END) AS filename,
          CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 200 END AS magnification, CAST(idx // 24 AS INT) AS "row", CAST(idx % 24 AS INT) AS col,
          CAST(round_even(CAST(l_quantity AS DOUBLE) * 5, 0) AS INT) AS r, CAST(round_even(CAST(l_discount AS DOUBLE) * 2500, 0) AS INT) AS g,
          CAST(round_even(CAST(l_tax AS DOUBLE) * 3000, 0) AS INT) AS b
-  FROM l0 WHERE idx < (n // 24) * 24)"""
+  FROM l0)"""
 
 M_SQL = """m AS (
   SELECT printf('%d-%s-%d%s.JPG', o_orderkey, substr('CLR', 1 + o_orderkey % 3, 1),
