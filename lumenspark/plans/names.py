@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.functions.params import boundary_limit, denoise_keeps_boundaries, round_odd, round_positive, scaled
-from lumenspark.operators import manifest, scoring, tiling
+from lumenspark.operators import manifest, scoring, stages, tiling
 from lumenspark.sources import proxies
+from lumenspark.sources.images import scratch_folder
 
 SIZE, OVERLAP = 8, 0.5
 MODELS = ["canny", "watershed"]
@@ -141,8 +142,12 @@ def quality_grid(spark: SparkSession, d: str) -> DataFrame:
     return tiling.quality_grid(dims(spark, d), 16)
 
 
+def _with_tile_names(grid: DataFrame) -> DataFrame:
+    return grid.withColumn("tile_filename", tiling.tile_name(F.col("filename"), F.col("row0"), F.col("col0")))
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).withColumn("tile_filename", tiling.tile_name(F.col("filename"), F.col("row0"), F.col("col0")))
+    return _with_tile_names(_grid(spark, d))
 
 
 @query(f"{_GRID} SELECT filename, tile_filename, 'canny/' || regexp_replace(filename, '\\.[^.]+$', '') || '/' || tile_filename AS prediction FROM tiles")
@@ -215,6 +220,30 @@ def stage_complete(spark: SparkSession, d: str) -> DataFrame:
     return scoring.incomplete(named, ["tile_filename", "filename"], stored)
 
 
+def _chain(spark: SparkSession, d: str, folder: str) -> list[stages.Stage]:
+    """Images, their tiles and the tiles' scores as three stages, each made from the one before."""
+    images = stages.Stage("images", f"{folder}/images", ("filename",), lambda s: dims(s, d), lambda keys: dims(spark, d).join(keys, "filename", "left_semi"))
+
+    def tiles_of(s: SparkSession) -> DataFrame:
+        return _with_tile_names(tiling.tile_grid(s.read.parquet(images.path), SIZE, OVERLAP))
+
+    tiles = stages.Stage("tiles", f"{folder}/tiles", ("filename", "tile_filename"), tiles_of, lambda keys: tiles_of(spark).join(keys, ["filename", "tile_filename"], "left_semi"))
+    scores = stages.Stage("scores", f"{folder}/scores", ("tile_filename",), lambda s: s.read.parquet(tiles.path), lambda keys: keys.withColumn("status", F.lit("ok")))
+    return [images, tiles, scores]
+
+
+@query(f"""{_GRID}, had AS (SELECT 1 AS position, count(DISTINCT filename) AS n_wanted, count(DISTINCT filename) FILTER (magnification <> 100) AS n_made FROM tiles
+UNION ALL SELECT 2, count(*), count(*) FILTER (magnification <> 100 OR row0 <> 0) FROM tiles UNION ALL SELECT 3, count(DISTINCT tile_filename), 0 FROM tiles)
+SELECT position, ['images', 'tiles', 'scores'][position] AS stage, CASE WHEN n_made > 0 THEN 'regenerated' ELSE 'found' END AS status, n_wanted, n_made FROM had""")
+def stage_restart(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of which some images, some of their tiles and all scores are there."""
+    chain = _chain(spark, d, scratch_folder(spark))
+    dims(spark, d).where("magnification = 100").write.parquet(chain[0].path)
+    chain[1].wanted(spark).where("row0 = 0").write.parquet(chain[1].path)
+    _named(spark, d).select("tile_filename").write.parquet(chain[2].path)
+    return stages.restart(spark, chain)
+
+
 # The run log.
 
 _R = f"WITH {proxies.R_SQL}"

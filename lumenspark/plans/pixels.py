@@ -5,8 +5,6 @@ Jobs run on payloads with NumPy helpers; the SQL states the same on pixel tables
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from lumenspark.functions.params import Border, Enhance, Quality, scaled
 from lumenspark.operators import colour_mode, quality, scoring, tiling
 from lumenspark.plans.names import OVERLAP, SIZE, dims
 from lumenspark.sources import proxies
-from lumenspark.sources.images import map_images, to_payload, to_pixels
+from lumenspark.sources.images import map_images, scratch_folder, to_payload, to_pixels
 from lumenspark.streaming.incremental import score_arrivals
 
 QUERIES: dict = {}
@@ -433,10 +431,7 @@ def score_all(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that arrive as files are scored once each; the same as score_all for one model."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
-
-    folder = f"{base}/{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     _unit_tiles(spark, d).write.parquet(f"{folder}/arrivals")
     score_arrivals(spark, f"{folder}/arrivals", ["canny"], f"{folder}/predictions", f"{folder}/log", f"{folder}/progress")
     return spark.read.parquet(f"{folder}/log").select("model", "source_filename", "tile_filename", "status")

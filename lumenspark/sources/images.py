@@ -8,6 +8,8 @@ for small images and checks; jobs keep to payloads.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,3 +172,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; in local mode a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

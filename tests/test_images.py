@@ -229,3 +229,22 @@ def test_resume_and_failures(spark, tmp_path):
 
 def test_config_fingerprint():
     assert len(Config().fingerprint()) == 12 and Config().fingerprint() == Config().fingerprint() != Config(split_seed=1).fingerprint()
+
+
+def test_restart_makes_only_what_is_missing(spark, tmp_path):
+    from lumenspark.operators import stages
+
+    made = []
+    keys = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
+
+    def build(name):
+        return lambda left: made.append((name, sorted(r.k for r in left.collect()))) or left
+
+    chain = [stages.Stage(n, str(tmp_path / n), ("k",), lambda s: keys, build(n)) for n in ("one", "two")]
+    keys.where("k = 'a'").write.parquet(chain[0].path)
+    summary = stages.restart(spark, chain)
+    assert [tuple(r) for r in summary.collect()] == [(1, "one", "regenerated", 2, 1), (2, "two", "regenerated", 2, 2)]
+    assert made == [("one", ["b"]), ("two", ["a", "b"])]
+    again = stages.restart(spark, [*chain, stages.Stage("none", str(tmp_path / "none"), ("k",), lambda s: keys.limit(0), build("none"))])
+    assert [r.status for r in again.collect()] == ["found", "found", "empty"] and len(made) == 2
+    assert [tuple(r) for r in stages.status_counts(again).orderBy("status").collect()] == [("empty", 1, 0), ("found", 2, 0)]
