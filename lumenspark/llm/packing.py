@@ -8,7 +8,9 @@ from one aggregation.  On it
    feasible set with j: k fills the rest exactly; or at most one more piece fits and k is the
    longest that does; or at most two more fit and no feasible pair of them is longer than k; or j
    must stay alone.  Fixing shrinks the instance, and the rules are tried again until none applies;
-2. best fit, longest first, packs what remains.
+2. best fit, longest first, packs what remains, in two ways of which the one with fewer sequences is
+   kept: each piece goes to the fullest sequence that has room for it, or the longest piece gets the set of
+   others that fits its room best.
 
 Both work on counts: equal lengths are placed together, so a plan is a list of patterns with a
 multiplicity.  Spark then ranks the pieces of each length (in salted groups with offsets, so that a
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +126,46 @@ def _best_fit(left: dict[int, int], capacity: int, plan: list[tuple[int, list[in
     plan += [g for room in rooms for g in groups[room]]
 
 
+def _best_set(left: dict[int, int], room: int, without: int) -> tuple[int, ...]:
+    """Lengths of pieces that fill the room best, of those that are left after one of a length is taken away."""
+    sets: dict[int, tuple[int, ...]] = {0: ()}
+    for x in sorted((x for x in left if x <= room), reverse=True):
+        more: dict[int, tuple[int, ...]] = {}
+        for total, items in sets.items():
+            for k in range(1, min(left[x] - (x == without), (room - total) // x) + 1):
+                more.setdefault(total + k * x, items + (x,) * k)
+        sets = more | sets
+        if room in sets:
+            break
+    return sets[max(sets)]
+
+
+def _best_sets(left: dict[int, int], capacity: int, plan: list[tuple[int, list[int]]]) -> None:
+    """The longest piece with the set of others that leaves least room, as often as there are pieces for it."""
+    while left:
+        longest = max(left)
+        items = [longest, *_best_set(left, capacity - longest, longest)]
+        each = Counter(items)
+        times = min(left[x] // k for x, k in each.items())
+        plan.append((times, items))
+        for x, k in each.items():
+            left[x] -= times * k
+            if not left[x]:
+                del left[x]
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The Martello-Toth bound L2: fewer sequences can't hold pieces of these lengths."""
+    best = 0
+    for a in range(capacity // 2 + 1):
+        alone = sum(n for x, n in counts.items() if x > capacity - a)
+        halves = [(x, n) for x, n in counts.items() if 2 * x > capacity and x <= capacity - a]
+        room = sum(n * (capacity - x) for x, n in halves)
+        small = sum(x * n for x, n in counts.items() if a <= x and 2 * x <= capacity)
+        best = max(best, alone + sum(n for _, n in halves) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """How many sequences hold which lengths: a list of (multiplicity, lengths)."""
     left = {k: n for k, n in counts.items() if n}
@@ -131,8 +173,10 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
     if left.get(capacity):
         plan.append((left.pop(capacity), [capacity]))
     _reduce(left, capacity, plan)
-    _best_fit(left, capacity, plan)
-    return plan
+    ways: list[list[tuple[int, list[int]]]] = [[], []]
+    _best_fit(dict(left), capacity, ways[0])
+    _best_sets(left, capacity, ways[1])
+    return plan + min(ways, key=lambda way: sum(times for times, _ in way))
 
 
 def _cut(path: str, capacity: int, end: int):

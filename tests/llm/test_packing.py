@@ -10,7 +10,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from lumenspark.llm.op4 import tokenizer_path
-from lumenspark.llm.packing import pack, pack_lengths
+from lumenspark.llm import packing
+from lumenspark.llm.packing import lower_bound, pack, pack_lengths
 
 
 def check_plan(counts, capacity):
@@ -37,6 +38,70 @@ def test_plans_hold_every_piece_and_stay_near_the_bound():
     assert check_plan({6: 2, 4: 2, 10: 3, 7: 1}, 10) == 6
 
 
+def fewest(counts, capacity):
+    """The least number of sequences, by trying all sets for the longest piece."""
+    from functools import lru_cache
+
+    lengths = sorted(counts, reverse=True)
+
+    @lru_cache(maxsize=None)
+    def solve(left):
+        first = next((i for i, n in enumerate(left) if n), None)
+        if first is None:
+            return 0
+
+        def fill(i, room, left):
+            if i == len(lengths):
+                yield left
+                return
+            for k in range(min(left[i], room // lengths[i]) + 1):
+                yield from fill(i + 1, room - k * lengths[i], left[:i] + (left[i] - k,) + left[i + 1 :])
+
+        start = left[:first] + (left[first] - 1,) + left[first + 1 :]
+        return 1 + min(map(solve, fill(first, capacity - lengths[first], start)))
+
+    return solve(tuple(counts[x] for x in lengths))
+
+
+def test_plans_of_few_pieces_are_nearly_the_least():
+    rng = random.Random(4)
+    over = 0
+    for _ in range(60):
+        counts = dict(Counter(rng.randint(2, 20) for _ in range(rng.randint(1, 8))))
+        least, bins = fewest(counts, 20), check_plan(counts, 20)
+        assert lower_bound(counts, 20) <= least <= bins <= least + 1
+        over += bins - least
+    assert over <= 3
+
+
+def test_plans_of_many_pieces_reach_the_bound():
+    rng = random.Random(3)
+    for draw in (lambda: rng.expovariate(1 / 250) + 1, lambda: rng.randint(1, 1024), lambda: rng.lognormvariate(5.2, 0.9) + 1):
+        counts = Counter(min(1024, int(draw())) for _ in range(20000))
+        assert check_plan(counts, 1024) <= 1.002 * lower_bound(counts, 1024)
+    few = Counter(rng.choice([700, 400, 350, 333, 290, 110]) for _ in range(20000))
+    assert check_plan(few, 1024) <= 0.98 * plain_best_fit(few, 1024)
+
+
+def plain_best_fit(counts, capacity):
+    plan = []
+    packing._best_fit(dict(counts), capacity, plan)
+    return sum(times for times, _ in plan)
+
+
+def test_reduction_fixes_pieces():
+    left, fixed = Counter(min(1024, random.Random(i).randint(1, 1024)) for i in range(5000)), []
+    packing._reduce(left, 1024, fixed)
+    assert sum(times * len(items) for times, items in fixed) > 1000
+
+
+def test_the_given_table_is_packed_near_the_bound(spark):
+    from lumenspark.llm.op7 import op7_best_fit_packing
+
+    rows = op7_best_fit_packing(spark, "/root/testdata/sf0.01").select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.01 * lower_bound(Counter(r.length for r in rows), 1024)
+
+
 def test_pieces_sequences_and_offsets(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "word " * 5000, "c"), (3, "word " * 5000, "c"), (None, "it's <|endoftext|> x", None), *[(10 + i, "ab cd " * (7 * i % 400), "d") for i in range(60)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
