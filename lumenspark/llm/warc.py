@@ -2,16 +2,17 @@
 
 Pages become WARC 1.1 response records.  Records are kept in archives (ranges of page_id), in order
 of page_id, and each has its byte offset there.  The audit hashes every record (SHA-256), then
-ordered ranges of FANOUT hashes into the next level up to the root of each archive, and the archives
-in the same way into one root.  Two replicas are compared from the root down: only children of nodes
+ordered ranges of FANOUT hashes, with their places and lengths and so with their offsets, into the next
+level up to the root of each archive, and the archives in the same way into one root.  Two replicas are compared from the root down: only children of nodes
 that differ are looked at, until the records are found that are corrupt, missing or added.
 
 Trees are built level by level with grouped aggregation; a group has at most FANOUT ranges, so no
 task sees more than its share, and comparing moves hashes alone, never record bodies.
 
-Rows: null urls and bodies are empty; a null page_id is in an archive of its own number, -1, ordered
-by content; rows that share a page_id are one record (their bytes one after another, in order of
-url, then body); extra columns are ignored; an empty table has no nodes.
+Rows: null urls and bodies are empty; a null page_id is in archive -1, place 0; rows that share a page_id
+are one leaf, whose hash is that of their number and of the least, the greatest and the sum of their
+records' hashes, so that no order and no list of them is needed; extra columns are ignored; an empty
+table has no nodes.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ def leaves(recorded: DataFrame) -> DataFrame:
 
 
 def _up(nodes: DataFrame, archive: Column, place: Column) -> DataFrame:
-    """The next level: ordered children hashed together with their places, and the bytes below."""
-    children = F.array_sort(F.collect_list(F.struct(F.col("place").alias("p"), F.col("hash").alias("h"))))
-    grouped = nodes.groupBy("replica", archive.alias("up"), place.alias("above")).agg(F.sum("length").alias("length"), F.concat_ws(";", F.transform(children, lambda c: F.concat(c["p"].cast("string"), F.lit(":"), c["h"]))).alias("line"))
+    """The next level: ordered children hashed together with their places and lengths, and the bytes below."""
+    children = F.array_sort(F.collect_list(F.struct(F.col("place").alias("p"), F.col("length").cast("string").alias("n"), F.col("hash").alias("h"))))
+    grouped = nodes.groupBy("replica", archive.alias("up"), place.alias("above")).agg(F.sum("length").alias("length"), F.concat_ws(";", F.transform(children, lambda c: F.concat_ws(":", c["p"].cast("string"), c["n"], c["h"]))).alias("line"))
     return grouped.select("replica", F.col("up").alias("archive"), F.col("above").alias("place"), "length", F.sha2("line", 256).alias("hash"))
 
 

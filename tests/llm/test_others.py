@@ -365,11 +365,36 @@ def test_warc_query(spark):
     from lumenspark.llm.op10 import op10_warc_fixity
 
     ids = [r.page_id for r in spark.read.parquet(f"{TINY}/pages.parquet").collect()]
-    luck = {i: zlib.crc32(str(i).encode()) % 97 for i in ids}
+    luck = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 97 for i in ids}
     want = {i: "missing" if n == 0 else "corrupt" if n in (1, 2) else "ok" for i, n in luck.items()}
     assert {r.page_id: r.state for r in op10_warc_fixity(spark, TINY).collect()} == want
 
 
+def test_fixity_equals_sql(spark):
+    import duckdb
+
+    from lumenspark.llm.op10 import SQL, op10_warc_fixity
+
+    got = op10_warc_fixity(spark, SMALL).collect()
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{SMALL}/pages.parquet'")
+    want = con.sql(SQL["op10_warc_fixity"]).fetchall()
+    names = [c[0] for c in con.sql(SQL["op10_warc_fixity"]).description]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(want)
+
+
+def test_fixity_of_shared_ids_nulls_and_other_columns(spark):
+    from lumenspark.llm.warc import fixity, records
+
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (2, None, None), (None, "n", "x"), (5000, "u", "é" * 3000)]
+    schema = "page_id long, url string, html string, hash string, place int, archive string"
+    make = lambda some: records(spark.createDataFrame([(*r, "h", 1, "z") for r in some], schema))
+    state = lambda a, b: {r.page_id: r.state for r in fixity(make(a), make(b)).collect()}
+    assert state(rows, rows[::-1]) == {1: "ok", 2: "ok", None: "ok", 5000: "ok"}
+    assert state(rows, rows[1:]) == {1: "corrupt", 2: "ok", None: "ok", 5000: "ok"}
+    assert state(rows[:4], [*rows[:3], *rows[4:]]) == {1: "ok", 2: "missing", None: "added", 5000: "added"}
+
+
 # Pipeline
 
 
