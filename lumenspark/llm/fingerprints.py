@@ -4,8 +4,9 @@ The canonical form of a text is Unicode-normalised (NFKC, composed), case-folded
 white space as one blank, none at the ends.  The digest is two chained 64-bit xxhashes of it (128
 bits); rows with equal digests form a bucket.  Inside a bucket the canonical bytes are compared, by
 the least and the greatest of them, which partial aggregation shrinks before the shuffle, so that a
-text that a third of all rows share is no burden.  In a bucket whose bytes differ, each fingerprint
-gets a SHA-256 suffix, so equal fingerprints always mean equal canonical texts.
+text that a third of all rows share is no burden.  Edited texts, which are not kept, are compared with
+those of their bucket by SHA-256.  In a bucket with differences, each fingerprint gets a SHA-256 suffix,
+so equal fingerprints always mean equal canonical texts.
 
 Normalisation and case folding call the ICU library that comes with Spark through ``java_method``.
 
@@ -107,7 +108,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     rows = saved(fingerprints(docs))
     repeated = rows.groupBy(F.col("digest").alias("bucket")).count().where("count > 1").select("bucket")
-    bad = saved(collisions(docs, repeated))
+    both = rows.select(F.col("digest").alias("bucket"), "sure").union(rows.select("edited_digest", "edited_sure"))
+    apart = both.groupBy("bucket").agg(F.min("sure").alias("least"), F.max("sure").alias("most")).where("least <> most").select("bucket")
+    bad = saved(collisions(docs, repeated).union(apart).distinct())
     own, other = bad.select(F.col("bucket").alias("own")), bad.select(F.col("bucket").alias("other"))
     told = rows.join(own, rows["digest"] == own["own"], "left").join(other, rows["edited_digest"] == other["other"], "left")
     name = lambda base, sure, hit: F.concat(F.col(base), F.when(F.col(hit).isNotNull(), F.concat(F.lit("-"), F.col(sure))).otherwise(F.lit("")))

@@ -59,6 +59,8 @@ RULES = [
 ]
 
 _GPL_GRANT = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GNU = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation"
+_LATER = " either version {} of the license or at your option any later version"
 _CC = "this work is licensed under {} creative commons attribution {}4 0 international license"
 
 # Sentences of the standard texts in full, which go on where those above stop.  The SQL
@@ -74,6 +76,23 @@ FULL_SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    f"{_GPL_GRANT}{_LATER.format('2')}": "gpl2-or-later-grant",
+    f"{_GPL_GRANT} version 2": "gpl2-only-grant",
+    f"{_GPL_GRANT} version 2 of the license": "gpl2-only-grant",
+    f"{_GNU.format('library', 'lesser')}{_LATER.format('2 1')}": "lgpl21-or-later-grant",
+    f"{_GNU.format('program', 'lesser')}{_LATER.format('2 1')}": "lgpl21-or-later-grant",
+    f"{_GNU.format('library', 'lesser')}{_LATER.format('3')}": "lgpl3-or-later-grant",
+    f"{_GNU.format('program', 'lesser')}{_LATER.format('3')}": "lgpl3-or-later-grant",
+    f"{_GNU.format('program', 'affero')}{_LATER.format('3')}": "agpl3-or-later-grant",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-notice",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "this project is licensed under the mit license": "mit-notice",
+    "this project is licensed under the apache license version 2 0": "apache2-notice",
+    _CC.format("a", "sharealike "): "ccbysa4-notice",
+    _CC.format("the", "sharealike "): "ccbysa4-notice",
     _CC.format("a", ""): "ccby4-notice",
     _CC.format("the", ""): "ccby4-notice",
     _CC.format("a", "noncommercial "): "ccbync4-notice",
@@ -83,8 +102,28 @@ FULL_SENTENCES = {
 FULL_RULES = [
     ("GPL-3.0-or-later", ["gpl3-or-later-grant"]),
     ("GPL-3.0-only", ["gpl3-only-grant"]),
+    ("GPL-2.0-or-later", ["gpl2-or-later-grant"]),
+    ("GPL-2.0-only", ["gpl2-only-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21-or-later-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later-grant"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later-grant"]),
+    ("MPL-2.0", ["mpl2-notice"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-notice"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-notice"]),
 ]
 
+# Names of licences that a tag "SPDX-License-Identifier: name" may give.
+SPDX = """
+0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0
+GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later
+MIT MPL-2.0 Unlicense Zlib
+""".split()
+FULL_SENTENCES |= {"spdx license identifier " + name.lower().replace("-", " ").replace(".", " "): f"spdx-{name.lower()}" for name in SPDX}
+FULL_RULES += [(name, [f"spdx-{name.lower()}"]) for name in SPDX]
+
 #: Where pieces end: line ends, and white space after a sentence mark.
 SENTENCE_END = r"[.!?;:][ \t]+|[\r\n]+"
 # Capitals, which no lower-case text has, mark the ends of pieces (S) and of paragraphs (P).
@@ -108,8 +147,8 @@ def marked(text: Column) -> Column:
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    # only texts with the first two words of some known sentence are looked through
-    starts = "|".join(sorted({"[^a-z0-9]++".join(s.split(" ")[:2]) for s in sentences}))
+    # only texts with the first three words of some known sentence are looked through
+    starts = "|".join(sorted({"[^a-z0-9]++".join(s.split(" ")[:3]) for s in sentences}))
     longest = "|".join(s.replace(" ", "[ S]") for s in sorted(sentences, key=len, reverse=True))
     named = F.regexp_replace(marked(text), _OWNER, "$1the copyright holder$2")
     hits = F.regexp_extract_all(named, F.lit(rf"[SP]{_LIST_MARK}({longest})(?=[SP])"), F.lit(1))

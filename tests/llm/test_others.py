@@ -173,6 +173,16 @@ def test_fingerprints_edges(spark):
     assert document_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_with_colliding_digests(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lumenspark.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "digest", lambda text: F.substring(F.sha2(text.cast("binary"), 256), 1, 1))
+    rows = [(i, "abcdefgh"[: i % 7] * (i % 5)) for i in range(60)]
+    check_fingerprints(fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_fingerprints_of_far_clustered_and_repeated_ids(spark):
     from lumenspark.llm.fingerprints import document_fingerprints, with_next
 
@@ -328,6 +338,31 @@ def test_license_texts_wrapped_and_unwrapped(spark):
     assert got[-1].sentence_ids == ["gpl3-version", "gpl-warranty"] and got[-1].licenses == [] and got[-2].sentence_ids == []
 
 
+def test_other_licenses_and_tags(spark):
+    import textwrap
+
+    from lumenspark.llm.licenses import scan
+
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = [
+        ("GPL-2.0-or-later", gnu.format("program", "", "2")),
+        ("LGPL-2.1-or-later", gnu.format("library", "Lesser ", "2.1")),
+        ("LGPL-3.0-or-later", gnu.format("library", "Lesser ", "3")),
+        ("AGPL-3.0-or-later", gnu.format("program", "Affero ", "3").replace("software;", "software:").replace("Foundation;", "Foundation,")),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it."),
+        ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin"),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("MIT", "This project is licensed under the MIT License."),
+        ("MIT", "// SPDX-License-Identifier: MIT"),
+        ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ]
+    rows = [(name, some) for name, text in texts for some in (text, "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n")), f"Words before it.\n{text}\nWords after it.")]
+    got = {r.doc_id: r.licenses for r in scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [[name] for name, _ in rows]
+
+
 def test_licenses_equal_sql(spark):
     import duckdb
 
