@@ -31,7 +31,7 @@ END, APOSTROPHE, SPACE, BLANK, NUMBER, STMD, R, V, L, E, LETTER, OTHER = range(1
 _CLASSES = 12
 _END_MARK = "\ud800"
 #: Bytes of text in the states that a worker keeps before it starts anew, and the bits of its table of recent ones.
-_MOST_BYTES, _RECENT = 32 << 20, 17
+_MOST_BYTES, _RECENT = 32 << 20, 18
 #: Characters that are run at once; a longer text is cut between pretokens.
 _PIECE = 1 << 20
 #: Bytes of the pretokens that the table of recent states holds; longer ones are looked up as strings.
@@ -198,7 +198,7 @@ class Encoder:
 
     def _learn(self, pretokens: list[str]) -> None:
         """Compile new states."""
-        encoded = [e.ids for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
+        encoded = [e.ids for e in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(counts.sum()))])
         self.number.update(zip(pretokens, range(len(self.first) - 1, len(self.first) - 1 + len(pretokens)), strict=True))
