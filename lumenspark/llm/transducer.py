@@ -168,12 +168,19 @@ def check_rules(path: str, text: str) -> None:
     """Raise where a tokenizer file splits texts in another way than the transducer here does."""
     rules = json.loads(text)
     split = rules.get("pre_tokenizer") or {}
-    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain = rules.get("model", {}).get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
     added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in rules.get("added_tokens") or [])
     if not (plain and added and rules.get("normalizer") is None and not rules.get("truncation") and not rules.get("padding")):
         raise ValueError(f"{path}: only byte-level BPE files with the usual splitting pattern, without a normalizer, are supported")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies write each byte: printable ones as they are, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return dict(zip(printable, printable, strict=True)) | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of whole texts by the transducers, for one tokenizer file; one for each worker process."""
 
@@ -183,6 +190,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             check_rules(path, file.read())
         self.library = Tokenizer.from_file(path)
+        self.merge, self.letters = self.library.model.tokenize, byte_letters()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.clear()
@@ -198,7 +206,8 @@ class Encoder:
 
     def _learn(self, pretokens: list[str]) -> None:
         """Compile new states."""
-        encoded = [e.ids for e in self.library.encode_batch_fast(pretokens, add_special_tokens=False)]
+        # the library's merging alone: its splitting of each pretoken would cost as much again
+        encoded = [[t.id for t in self.merge(p.encode().decode("latin-1").translate(self.letters))] for p in pretokens]
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(counts.sum()))])
         self.number.update(zip(pretokens, range(len(self.first) - 1, len(self.first) - 1 + len(pretokens)), strict=True))
