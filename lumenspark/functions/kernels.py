@@ -19,6 +19,17 @@ def luminance(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
+def hsv(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue in degrees, saturation and value of a colour image; hue and saturation are 0 where they have no meaning."""
+    r, g, b = np.moveaxis(np.asarray(image, np.float64), -1, 0)
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = high - low
+    safe = np.where(span > 0, span, 1.0)
+    sector = np.select([span == 0, high == r, high == g], [0.0, (g - b) / safe, 2 + (b - r) / safe], 4 + (r - g) / safe)
+    hue = 60 * sector
+    return np.where(hue < 0, hue + 360, hue), np.divide(span, high, out=np.zeros_like(high), where=high > 0), high
+
+
 def gaussian_taps(sigma: float) -> np.ndarray:
     radius = int(4 * sigma + 0.5)
     x = np.arange(-radius, radius + 1)

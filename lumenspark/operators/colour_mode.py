@@ -5,9 +5,13 @@ Only counts, moments and 256 bins of each magnification are shuffled, never pixe
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspark.functions import kernels
+from lumenspark.sources.images import map_images
+
 BINS = 256
 
 
@@ -16,6 +20,11 @@ def otsu(values: DataFrame, by: str = "magnification", v: str = "v") -> DataFram
     span = values.groupBy(by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     bin_of = F.least(F.width_bucket(F.col(v), F.col("lo"), F.col("hi"), F.lit(BINS)), F.lit(BINS)).cast("int")
     counts = values.join(F.broadcast(span), by).where("lo < hi").groupBy(by, bin_of.alias("bin")).agg(F.count("*").alias("n"))  # a row for each magnification
+    return otsu_of_counts(span, counts, by)
+
+
+def otsu_of_counts(span: DataFrame, counts: DataFrame, by: str = "magnification") -> DataFrame:
+    """(by, lo, hi) and (by, bin, n) -> (by, threshold)."""
     grid = span.where("lo < hi").select(by, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(BINS))).alias("bin"))
     full = grid.join(counts, [by, "bin"], "left").select(by, "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.col("lo") + (F.col("bin") - 0.5) * (F.col("hi") - F.col("lo")) / BINS).alias("centre"))
     up = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,3 +108,55 @@ def histograms(pixels: DataFrame, ranges: dict[str, tuple[float, float]], bins:
     counted = stacked.groupBy(by, "channel", "low", "a", "b", bin_of.alias("bin")).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy(by, "channel", "low"))
     return counted.select(by, "channel", "low", "bin", "count", (F.col("count") / (total * (F.col("b") - F.col("a")) / bins)).alias("density"))
+
+
+# The same from payloads: an image sends 256 counts and a row of sums, never its pixels.
+
+
+def otsu_of_images(images: DataFrame, by: str = "magnification") -> DataFrame:
+    """Payloads of unit-scaled colour images -> (by, threshold) of their brightness."""
+
+    def ends(row, image):
+        bright = image.max(axis=2)
+        yield {"lo": float(bright.min()), "hi": float(bright.max())}
+
+    span = map_images(images, (by,), ends, "lo double, hi double").groupBy(by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def binned(row, image):
+        at = (BINS * (image.max(axis=2).ravel() - row.lo) / (row.hi - row.lo)).astype(int)
+        counts = np.bincount(np.minimum(at, BINS - 1), minlength=BINS)
+        for i in np.flatnonzero(counts).tolist():
+            yield {"bin": i + 1, "n": int(counts[i])}
+
+    ranged = images.join(F.broadcast(span.where("lo < hi")), by)  # a row for each magnification
+    counts = map_images(ranged, (by,), binned, "bin int, n long", lo=F.col("lo"), hi=F.col("hi")).groupBy(by, "bin").agg(F.sum("n").alias("n"))
+    return otsu_of_counts(span, counts, by)
+
+
+def moments_of_images(images: DataFrame, thresholds: DataFrame, by: str = "magnification") -> DataFrame:
+    """As moments, from payloads of unit-scaled colour images."""
+    names = ("n", "s", "ss", "cos", "sin")
+
+    def sums(row, image):
+        h, s, v = kernels.hsv(image)
+        out = {}
+        for name, of in (("low", v <= row.threshold), ("high", v > row.threshold)):
+            turn, some = np.radians(h[of]), s[of]
+            out |= dict(zip((f"{x}_{name}" for x in names), (int(of.sum()), *map(float, (some.sum(), (some * some).sum(), np.cos(turn).sum(), np.sin(turn).sum()))), strict=True))
+        yield out
+
+    schema = ", ".join(f"{x}_{p} {'long' if x == 'n' else 'double'}" for p in ("low", "high") for x in names)
+    told = images.join(F.broadcast(thresholds), by)  # a row for each magnification
+    total = map_images(told, (by, "threshold"), sums, schema).groupBy(by, "threshold").agg(*[F.sum(f"{x}_{p}").alias(f"{x}_{p}") for p in ("low", "high") for x in names])
+    made = [F.col(by), (F.col("n_low") + F.col("n_high")).alias("n_pixels"), F.col("threshold").alias("threshold_v")]
+    for p in ("low", "high"):
+        n, s, ss = (F.col(f"{x}_{p}") for x in ("n", "s", "ss"))
+        mean = F.try_divide(s, n)
+        spread = F.when(n > 1, F.greatest(ss - s * mean, F.lit(0.0)) / F.greatest(n - 1, F.lit(1)))
+        made += [n.alias(f"n_{p}"), mean.alias(f"s_mean_{p}"), spread.alias(f"s_var_{p}"), F.try_divide(F.col(f"cos_{p}"), n).alias(f"cos_{p}"), F.try_divide(F.col(f"sin_{p}"), n).alias(f"sin_{p}")]
+    return total.select(*made)
+
+
+def decision_table(decided: DataFrame) -> DataFrame:
+    """One row with the decision if all magnifications share it, and no row if they do not."""
+    return consensus(decided).where(F.col("decision") != "disagreement")

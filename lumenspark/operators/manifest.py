@@ -72,6 +72,11 @@ def look_up(requested: DataFrame, manifest: DataFrame, allow_test: bool = False)
     return requested.join(manifest, "filename", "left").withColumn("split", checked.otherwise(split))
 
 
+def held_out(requested: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Requested names that look_up refuses without allow_test: those of test images."""
+    return requested.join(manifest.where(F.col("split") == "test").select("filename"), "filename", "left_semi")
+
+
 def unknown(requested: DataFrame, manifest: DataFrame) -> DataFrame:
     return requested.join(manifest, "filename", "left_anti")
 

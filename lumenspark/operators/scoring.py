@@ -90,6 +90,11 @@ def pairs(tiles: DataFrame, models: list[str], known: dict[str, Callable] | None
     return tiles.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
+def unknown_models(log: DataFrame, known: list[str]) -> DataFrame:
+    """Rows of a log whose model is none of the known ones; a null model is none."""
+    return log.where(~F.coalesce(F.col("model").isin(*known), F.lit(False)))
+
+
 def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs that have no prediction yet; what exists is left alone."""
     return wanted.join(done.select(*TILE_KEYS).distinct(), TILE_KEYS, "left_anti")
@@ -200,6 +205,11 @@ def _done(spark, predictions: str) -> DataFrame:
         return spark.createDataFrame([], "model string, source_filename string, tile_filename string")
 
 
+def payloads_of(log: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored payloads of a log's rows, which are chosen without pixels; a row without a payload is left out."""
+    return stored.join(log.select(*keys).distinct(), keys, "left_semi")
+
+
 def incomplete(log: DataFrame, columns: list[str], stored: DataFrame) -> DataFrame:
     """Keys in any of the columns of a stage's log that are not stored; a stage is complete if there are none and the log has rows."""
     keys = log.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in columns])).alias("x")).select("x.*")

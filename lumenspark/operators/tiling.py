@@ -21,6 +21,11 @@ def origins(dim: Column, size: int, step: int) -> Column:
     return F.array_distinct(F.array_append(F.sequence(F.lit(0), last, F.lit(step)), last))
 
 
+def too_small(images: DataFrame, size: int) -> DataFrame:
+    """Images that hold no full tile, which origins refuses; a null side counts as too small."""
+    return images.where(~F.coalesce((F.col("height") >= size) & (F.col("width") >= size), F.lit(False)))
+
+
 def tile_grid(images: DataFrame, size: int, overlap: float) -> DataFrame:
     """(filename, magnification, height, width) -> a row for each overlapping tile."""
     step = stride(size, overlap)

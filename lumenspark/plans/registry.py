@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenspark.plans import names, pixels
+from lumenspark.plans import jobs, names, pixels
 
 
 def queries() -> dict:
-    return names.QUERIES | pixels.QUERIES
+    return names.QUERIES | pixels.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return names.SQL | pixels.SQL
+    return names.SQL | pixels.SQL | jobs.SQL

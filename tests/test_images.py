@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.functions import kernels as k
 from lumenspark.functions.params import Config, Quality
-from lumenspark.operators import colour_mode, manifest, quality, scoring, tiling
+from lumenspark.operators import colour_mode, manifest, quality, scoring, stencils, tiling
 from lumenspark.sources import images as im
 
 
@@ -248,3 +248,41 @@ def test_restart_makes_only_what_is_missing(spark, tmp_path):
     again = stages.restart(spark, [*chain, stages.Stage("none", str(tmp_path / "none"), ("k",), lambda s: keys.limit(0), build("none"))])
     assert [r.status for r in again.collect()] == ["found", "found", "empty"] and len(made) == 2
     assert [tuple(r) for r in stages.status_counts(again).orderBy("status").collect()] == [("empty", 1, 0), ("found", 2, 0)]
+
+
+def test_stencils_equal_the_kernels(spark):
+    image = np.random.default_rng(4).random((6, 9))
+    rows = [("a", i, j, 6, 9, float(image[i, j])) for i in range(6) for j in range(9)]
+    pixels = spark.createDataFrame(rows, "id string, row int, col int, height int, width int, v double")
+    for made, want in ((stencils.gaussian(pixels, ["id"], F.lit(0.8)), k.gaussian(image, 0.8)), (stencils.laplacian(pixels, ["id"]), k.laplacian(image))):
+        got = np.zeros(image.shape)
+        for r in made.collect():
+            got[r.row, r.col] = r.v
+        np.testing.assert_allclose(got, want, atol=1e-12)
+    with pytest.raises(ValueError, match="mode"):
+        stencils.along(pixels, ["id"], "row", F.array(F.lit(1.0)), "v", "wrap")
+    assert stencils.laplacian(pixels.limit(0), ["id"]).count() == 0
+
+
+def test_colour_decision_of_grey_and_empty_images(spark):
+    rows = [("a", 100, i, j, 0.5, 0.5, 0.5) for i in range(3) for j in range(4)]
+    pixels = spark.createDataFrame(rows, "filename string, magnification int, row int, col int, r double, g double, b double")
+    payloads = im.to_payload(pixels, ["filename", "magnification"], ["r", "g", "b"])
+    threshold = colour_mode.otsu_of_images(payloads)
+    assert threshold.first().threshold == 0.5
+    decided = colour_mode.decisions(colour_mode.moments_of_images(payloads, threshold))
+    assert [(r.n_pixels, r.decision, r.degenerate) for r in decided.collect()] == [(12, "grayscale", True)]
+    assert colour_mode.decision_table(decided).first().decision == "grayscale"
+    mixed = decided.union(decided.withColumn("decision", F.lit("colour")))
+    assert colour_mode.decision_table(mixed).count() == 0
+    none = payloads.limit(0)
+    assert colour_mode.moments_of_images(none, colour_mode.otsu_of_images(none)).count() == 0
+
+
+def test_refused_rows(spark):
+    sized = spark.createDataFrame([("a", 24, 24), ("b", 23, 99), ("c", None, 24)], "filename string, height int, width int")
+    assert {r.filename for r in tiling.too_small(sized, 24).collect()} == {"b", "c"}
+    log = spark.createDataFrame([("x",), ("y",), (None,)], "model string")
+    assert {r.model for r in scoring.unknown_models(log, ["x"]).collect()} == {"y", None}
+    split = spark.createDataFrame([("a", "test"), ("b", "dev")], "filename string, split string")
+    assert [r.filename for r in manifest.held_out(sized, split).collect()] == ["a"]

@@ -14,7 +14,7 @@ TINY = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "embeddings"):
+    for t in ("lineitem", "orders", "events", "embeddings", "pages"):
         c.sql(f"create view {t} as select * from '{TINY}/{t}.parquet'")
     return c
 
