@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import map_batches, only, shuffle_partitions
+from lumenspark.llm.common import map_batches, only
 from lumenspark.llm.textbytes import by_bytes, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
@@ -220,17 +220,22 @@ def _windowed(batches):
 def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
     """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most; no language is left out."""
     known = only(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(usable)
-    languages = known.select("lang").distinct().count()
-    if not languages:
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+    found = sizes.limit(sample + 1).collect()
+    if not found:
         return train(np.zeros((0, WINDOW), np.uint8), [])
-    if languages > sample:
-        raise ValueError(f"{languages} languages are more than the sample of {sample} rows can hold; clean the labels or draw more rows")
-    each = sample // languages
+    if len(found) > sample:
+        raise ValueError(f"{sizes.count()} languages are more than the sample of {sample} rows can hold; clean the labels or draw more rows")
+    each = sample // len(found)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # ids first, so that only the sample's texts reach the driver; first in parts of a language, which may have most of the rows
-    ids = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(shuffle_partitions(docs.sparkSession))).alias("part"))
-    for by in (["lang", "part"], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= each)
+    # ids first, so that only the sample's texts reach the driver.  Of a language's ids, the least hashes are wanted; a share of
+    # them that holds enough is taken before they meet (six standard errors, and a fifth for the approximate count)
+    enough = 1.2 * (each + 6 * each**0.5 + 30)
+    shares = docs.sparkSession.createDataFrame([(r.lang, enough / max(r.n, 1)) for r in found], "lang string, share double")
+    rank_of = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    ids = known.select("lang", "doc_id").join(F.broadcast(shares), "lang").where(rank_of <= F.col("share"))  # sample rows at most
+    ids = ids.select("lang", "doc_id").distinct()
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= each)
     drawn = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # sample ids at most
     cut = map_batches(drawn, _windowed, "lang string, doc_id long, windows binary")
     # rows that share an id must not crowd out a language
