@@ -91,16 +91,28 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
-    """The class of every code point; U+D800, which no text holds, ends a text."""
+    """The class of every code point, as the library's own splitting takes it; U+D800, which no text holds, ends a text.
+
+    The library splits the text of all code points in order: what it leaves together is of one class (but for a
+    space before other characters), and one character of each stretch tells which.
+    """
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
     out = np.full(0x110000, OTHER, np.uint8)
-    for first in range(0, 0x110000, 0x1000):
-        some = "".join(map(chr, range(first, first + 0x1000)))
-        for pattern, cls in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-            for run in regex.finditer(pattern, some):
-                out[first + run.start() : first + run.end()] = cls
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        for _, (start, stop) in split("".join(map(chr, range(low, high)))):
+            start += low + (start + low == 0x20 and stop - start > 1)
+            c = chr(start)
+            if len(split("a" + c)) == 1:
+                cls = LETTER
+            elif len(split("1" + c)) == 1:
+                cls = NUMBER
+            else:
+                cls = OTHER if len(split("!" + c)) == 1 else BLANK
+            out[start : stop + low] = cls
     for characters, cls in (("'", APOSTROPHE), (" ", SPACE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         out[[ord(c) for c in characters]] = cls
-    out[0x1C:0x20] = OTHER  # separators that only some libraries take as white space
     out[ord(_END_MARK)] = END
     return out
 
@@ -237,8 +249,8 @@ class Encoder:
             self.recent[slots, 0], self.recent[slots, 1], self.recent_number[slots] = low[short], high[short], out[short]
         return out
 
-    def _states(self, text: str) -> np.ndarray:
-        """The final state of each pretoken of texts that are each followed by the end mark, and -1 for the mark."""
+    def _located(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The final state of each pretoken of texts that are each followed by the end mark, and -1 for the mark; and the bytes at which they start."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         classes = character_classes()[points]
         starts = np.flatnonzero(splits(classes))
@@ -247,17 +259,33 @@ class Encoder:
         word, stop = starts[~ends], stops[~ends]
         data = np.frombuffer(text.encode("utf-8", "surrogatepass") + bytes(24), np.uint8)
         # places in bytes: those of characters, and the longer ones before them
-        first = np.flatnonzero((data[:-24] & 0xC0) != 0x80)
-        begin, end = first[word], np.append(first, len(data) - 24)[stop]
+        first = np.append(np.flatnonzero((data[:-24] & 0xC0) != 0x80), len(data) - 24)
         states = np.full(len(starts), -1, np.int64)
-        states[~ends] = self._numbers(data, begin, end, lambda some: [text[a:b] for a, b in zip(word[some].tolist(), stop[some].tolist(), strict=True)])
-        return states
+        states[~ends] = self._numbers(data, first[word], first[stop], lambda some: [text[a:b] for a, b in zip(word[some].tolist(), stop[some].tolist(), strict=True)])
+        return states, first[starts]
+
+    def pretokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Plain texts without special strings: the bytes at which their pretokens start, from each text's own start, where each text's pretokens begin among them, ids, where each pretoken's ids begin, and where each text's do."""
+        if self.size > _MOST_BYTES:
+            self.clear()
+        states, places = self._located(_END_MARK.join(texts) + _END_MARK)
+        ends = np.flatnonzero(states < 0)
+        words = states >= 0
+        counts = np.diff(self.first)[states[words]] if words.any() else np.zeros(0, np.int64)
+        token = np.concatenate([[0], np.cumsum(counts)])
+        rows = np.concatenate([[0], ends - np.arange(len(ends))])
+        begin = np.concatenate([[0], places[ends[:-1]] + len(_END_MARK.encode("utf-8", "surrogatepass"))])
+        return places[words] - np.repeat(begin, np.diff(rows)), rows, self.ids[ragged(self.first[states[words]], counts)], token, token[rows]
+
+    def stretches(self, text: str) -> list[str]:
+        """A text as plain stretches with the special strings between them: stretch, special, stretch, ..."""
+        return [text] if self.pattern is None or not any(s in text for s in self.special) else self.pattern.split(text)
 
     def _pieces(self, texts: list[str]):
         """Texts as plain stretches and special tokens: (stretches, special id or -1 after each, stretches of each text)."""
         parts, after, per = [], [], []
         for text in texts:
-            cut = [text] if self.pattern is None or not any(s in text for s in self.special) else self.pattern.split(text)
+            cut = self.stretches(text)
             first = len(parts)
             for stretch, mark in itertools.zip_longest(cut[::2], cut[1::2]):
                 some = [stretch] if len(stretch) <= _PIECE else list(between_pretokens(stretch))
@@ -273,7 +301,7 @@ class Encoder:
         # clearing between groups would give numbers of states that are gone
         if self.size > _MOST_BYTES:
             self.clear()
-        states = np.concatenate([self._states(_END_MARK.join(parts[a:b]) + _END_MARK) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        states = np.concatenate([self._located(_END_MARK.join(parts[a:b]) + _END_MARK)[0] for a, b in zip(edges[:-1], edges[1:], strict=True)])
         ends = np.flatnonzero(states < 0)
         return states, ends, after, per
 

@@ -88,3 +88,13 @@ def test_long_texts_and_many_states(monkeypatch):
 def test_other_rules_are_refused():
     with pytest.raises(ValueError, match="only byte-level BPE"):
         Encoder(tokenizer_path("word_bpe_49k.json"))
+
+
+def test_every_code_point_in_several_contexts_as_the_library():
+    machine, library = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 60_000):
+        texts = ["a{0}b {0}1 {0}'s{0}  {0} \n{0}".format(chr(i)) for i in points[at : at + 60_000]]
+        ids, ends = machine.encode(texts)
+        wrong = [hex(points[at + k]) for k, e in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)) if e.ids != ids[ends[k] : ends[k + 1]].tolist()]
+        assert not wrong
