@@ -5,21 +5,22 @@ smaller doc_id.  Sorting every suffix would move many times the input, so only s
 are sorted: in each window of ``width`` bytes the anchor is the place of the least hash among its
 GRAM-byte strings (the leftmost of equals).  Equal windows have their anchor at the same place, so
 two equal windows always meet at one anchor's suffixes.  Neighbouring windows share anchors: about
-one suffix in fourteen is left.
-
-1.  Documents are dealt to chunks.  A chunk's anchors are keyed by their suffix's leading tokens
-    (four bytes, then the hash of the whole gram) and by a hash of the segment, the bytes that all
-    windows of the anchor cover together.  Splitters sampled from these keys deal the suffixes to
-    ranges; within a chunk equal (key, segment) entries shrink to the least doc_id, so a passage
-    that a third of all documents share sends one entry for each chunk.
-2.  A range sorts its entries by several keys, the next one only among ties.  Equal segments in a
-    later document are repeats as a whole, and their chunk is told the least doc_id.  A key with
-    several segments is a match that ends within reach: there one document of each segment sends
-    the hashes of its windows, which are compared in the same way.  Splitters never part equal keys,
-    so no match is lost between ranges.
-3.  Each chunk finds its removed bytes from what it was told and from its own documents.
-
-Hashes have 64 bits; texts differ from a hash-equal segment with a probability of about n**2 / 2**65.
+one suffix in fourteen is left.  The bytes that all windows of one anchor cover are its segment.
+
+1.  Documents are dealt to chunks.  A chunk sends the keys of its anchors (the suffix's four leading bytes,
+    then a hash of the gram), each once, to ranges between splitters sampled from the keys.  The ranges
+    answer which keys occur in several documents; three quarters of the suffixes end here.
+2.  Of those keys a chunk sends the segments themselves, equal ones once with the least doc_id, so a
+    passage that a third of all documents share sends one entry for each chunk.  A range sorts them by
+    multikey quicksort on tokens of eight bytes, to the right of the anchor and then to its left: the next
+    token is looked at only among ties.  Equal neighbours are repeats as a whole.  Where one gram has
+    several segments, their windows are sorted in the same way, which finds matches that end in between.
+    Splitters never part equal keys, so a comparison across the edge of a range has nothing to find.
+3.  A key with very many segments (a common phrase amid other words) is not compared in one range: its
+    windows are dealt by their own bytes, equal ones of a chunk once.
+4.  Each chunk finds its removed bytes from what it was told and from its own documents.
+
+Hashes choose anchors and ranges and rule keys out; what is removed is decided on bytes alone.
 
 Rows: a null text counts as empty; a null doc_id counts as 2**63 - 1, the largest; rows that share a
 doc_id do not make each other repeats; texts shorter than ``width`` are kept; columns in ``carry``
@@ -30,15 +31,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.llm.common import map_batches, shuffle_partitions
-from lumenspark.llm.textbytes import BLANK_SEPARATED, MOST_SPAN, PIECE, Spans, byte_values, ragged, utf8
+from lumenspark.llm.textbytes import BLANK_SEPARATED, FIRST, MOST_SPAN, PIECE, Spans, byte_values, eights, mix, ragged, utf8
 
 GRAM = 24
 #: Bytes of text in a chunk, and of anchors in a range, about.
 CHUNK_BYTES, RANGE_BYTES = 2 << 20, 64 << 20
+#: Segments of one key beyond which its windows are dealt by their own bytes, and windows that are sorted at once.
+HOT, WINDOWS = 20_000, 400_000
 _VALUES = byte_values(9)
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 20) - 1)
@@ -87,24 +91,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchored:
-    """Anchors of the windows of a chunk's texts: key, segment hash, doc_id, first and last window start."""
+    """Anchors of the windows of a chunk's texts: key, segment hash, doc_id, first and last window start, place."""
 
     def __init__(self, table: pa.Table, width: int):
         self.width = width
         self.data, self.offsets = utf8(table.column("text"))
         self.ids = np.array([_LAST if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-        key, segment, doc, low, high = [], [], [], [], []
+        columns = [[], [], [], [], [], []]
         at, end = int(self.offsets[0]), int(self.offsets[-1])
         while at < end:
             to = min(at + PIECE, end)
             part = self.data[at : min(to + width - 1, end)]
             if len(part) >= width:
-                for out, got in zip((key, segment, doc, low, high), self._piece(part, at, to), strict=True):
+                for out, got in zip(columns, self._piece(part, at, to), strict=True):
                     out.append(got)
             at = to
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.key, self.segment, self.doc = join(key, np.uint64), join(segment, np.uint64), join(doc, np.int64)
-        self.low, self.high = join(low, np.int64), join(high, np.int64)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+        self.key, self.segment, self.doc, self.low, self.high, self.place = [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)]
 
     def _piece(self, part: np.ndarray, at: int, to: int):
         spans = Spans(_VALUES[part])
@@ -130,38 +133,82 @@ class Anchored:
             lead = (lead << np.uint64(8)) | part[p + i]
         key = (lead << np.uint64(32)) | (grams[p] >> np.uint64(32))
         doc = self.ids[np.searchsorted(self.offsets, low + at, "right") - 1]
-        return key, spans.hash(low, high + self.width), doc, low + at, high + at
+        return key, spans.hash(low, high + self.width), doc, low + at, high + at, p + at
 
-    def least_by_segment(self) -> tuple[np.ndarray, np.ndarray]:
-        """The order by (key, segment, doc_id), and the mask in it of the first of each (key, segment)."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order by key, segment and doc_id, and in it the first of each distinct segment (the same in all runs of a chunk)."""
         order = sort_by(self.key, self.segment, self.doc)
-        first = np.ones(len(order), bool)
         k, s = self.key[order], self.segment[order]
-        first[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        same = np.flatnonzero((k[1:] == k[:-1]) & (s[1:] == s[:-1])) + 1
+        if len(same) and not _equal(self.data, self.low[order[same]], self.low[order[same - 1]], self.size(order[same]), self.size(order[same - 1])).all():
+            return self._distinct_by_bytes(order, same)
+        first = np.ones(len(order), bool)
+        first[same] = False
         return order, first
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, doc_id and start of each window of some of the anchors."""
-        hashes, docs, starts = [], [], []
-        n = self.high[runs] - self.low[runs] + 1
-        covered = n + self.width - 1
-        group = np.cumsum(covered) // PIECE
-        for g in np.unique(group).tolist():
-            some = np.flatnonzero(group == g)
-            spans = Spans(_VALUES[self.data[ragged(self.low[runs[some]], covered[some])]])
-            at = ragged(np.cumsum(covered[some]) - covered[some], n[some])
-            hashes.append(spans.hash(at, at + self.width))
-            docs.append(np.repeat(self.doc[runs[some]], n[some]))
-            starts.append(ragged(self.low[runs[some]], n[some]))
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
+    def _distinct_by_bytes(self, order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where different segments have equal hashes."""
+        tie, tied = np.zeros(len(order), np.int64), order[np.union1d(same, same - 1)]
+        texts = [self.data[self.low[i] : self.low[i] + n].tobytes() for i, n in zip(tied.tolist(), self.size(tied).tolist(), strict=True)]
+        rank = {t: r for r, t in enumerate(sorted(set(texts)), 1)}
+        tie[tied] = [rank[t] for t in texts]
+        order = sort_by(self.key, self.segment, tie, self.doc)
+        return order, _first_of(self.key[order], self.segment[order], tie[order])[0]
+
+    def size(self, runs: np.ndarray) -> np.ndarray:
+        """Bytes of the segments of some anchors."""
+        return self.high[runs] - self.low[runs] + self.width
+
+    def answered(self, order: np.ndarray, first: np.ndarray, splitters: np.ndarray, told: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in the order: whether its key occurs in several documents, and whether it has very many segments."""
+        heads = _first_of(self.key[order])[0]
+        keys = self.key[order][heads]
+        several, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for part, a, b in _parts(keys, splitters):
+            if part in told:
+                bits = np.unpackbits(np.frombuffer(told[part], np.uint8), count=2 * (b - a)).astype(bool)
+                several[a:b], hot[a:b] = bits[: b - a], bits[b - a :]
+        of = np.cumsum(heads) - 1
+        return several[of] & ~hot[of], hot[of]
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether spans of data at a (of n bytes) and b (of m bytes) are equal."""
+    out = n == m
+    at = eights(np.concatenate([data, np.zeros(16, np.uint8)]))
+    left = np.where(out, n, 0)
+    for k in range(0, int(left.max(initial=0)), 8):
+        some = np.flatnonzero(left > k)
+        out[some] &= (at[a[some] + k] ^ at[b[some] + k]) & FIRST[np.minimum(left[some] - k, 8)] == 0
+    return out
+
+
+def _tokens(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """The eight-byte tokens of spans, as numbers in the order of bytes; a span's end counts as zeros."""
+    at = eights(np.concatenate([data, np.zeros(16, np.uint8)]))
+    out = []
+    for k in range(0, most, 8):
+        left = np.clip(size - k, 0, 8)
+        out.append((at[np.minimum(start + k, len(data))] & FIRST[left]).byteswap())
+    return out
+
+
+def _parts(sorted_keys: np.ndarray, splitters: np.ndarray):
+    """(range, from, to) of sorted keys, for ranges that hold any."""
+    edges = [0, *np.searchsorted(sorted_keys, splitters).tolist(), len(sorted_keys)]
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < b:
+            yield part, a, b
 
 
 def _rows(chunk, parts: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"chunk": pa.array([chunk] * len(parts), pa.int64()), "part": pa.array([p for p, _ in parts], pa.int32()), "data": pa.array([d for _, d in parts], pa.binary())})
 
 
+def _blobs(told: pa.Table) -> dict[int, bytes]:
+    return dict(zip(told.column("part").to_pylist(), told.column("data").to_pylist(), strict=True))
+
+
 def _sampled(width: int):
     def run(batches):
         for batch in batches:
@@ -170,110 +217,231 @@ def _sampled(width: int):
     return run
 
 
-def _send_anchors(width: int, splitters: np.ndarray):
+def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In sorted columns: whether a row starts a group, and the group's first row for each row."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+
+
+def _send_keys(width: int, splitters: np.ndarray):
+    """Each key of a chunk once, with its number of segments (127 at most) and whether several documents have it."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = Anchored(table, width)
-        order, first = found.least_by_segment()
-        order = order[first]
-        columns = found.key[order], found.segment[order], found.doc[order].view(np.uint64)
-        edges = np.concatenate([[0], np.searchsorted(columns[0], splitters), [len(order)]])
-        return _rows(key[0].as_py(), [(i, planes(*[c[a:b] for c in columns])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b])
+        order, first = found.distinct()
+        if not len(order):
+            return _rows(None, [])
+        keys, doc = found.key[order], found.doc[order]
+        start = np.flatnonzero(_first_of(keys)[0])
+        segments = np.minimum(np.add.reduceat(first.astype(np.int64), start), 127)
+        mixed = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
+        keys, info = keys[start], (2 * segments + mixed).astype(np.uint8)
+        return _rows(key[0].as_py(), [(p, planes(keys[a:b]) + info[a:b].tobytes()) for p, a, b in _parts(keys, splitters)])
 
     return run
 
 
-def _send_windows(width: int, ranges: int):
+def _compare_keys(hot: int):
+    """One range of keys: tell each chunk, by bits in the order of its keys, which occur in several documents, and which are hot."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blobs = table.column("data").to_pylist()
+        size = [len(d) // 9 for d in blobs]
+        keys = np.concatenate([from_planes(d[: 8 * n], 1)[0] for d, n in zip(blobs, size, strict=True)])
+        info = np.concatenate([np.frombuffer(d, np.uint8, n, 8 * n) for d, n in zip(blobs, size, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(_first_of(keys[order])[0])
+        n = np.diff(np.append(start, len(order)))
+        several = np.empty(len(order), bool)
+        many = np.empty(len(order), bool)
+        several[order] = np.repeat((n > 1) | (np.maximum.reduceat(info[order] & 1, start) > 0), n)
+        many[order] = np.repeat(np.add.reduceat((info[order] >> 1).astype(np.int64), start) > hot, n)
+        edges = np.concatenate([[0], np.cumsum(size)]).tolist()
+        out = [_rows(c, [(key[0].as_py(), np.packbits(np.concatenate([several[a:b], many[a:b]])).tobytes())]) for c, a, b in zip(table.column("chunk").to_pylist(), edges[:-1], edges[1:], strict=True) if several[a:b].any()]
+        return pa.concat_tables(out) if out else _rows(None, [])
+
+    return run
+
+
+def _send_segments(width: int, splitters: np.ndarray):
+    """Distinct segments of the keys that occur in several documents: doc_id, bytes before the anchor, windows, bytes."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        if not told.num_rows:
+        if not told.num_rows or not table.num_rows:
             return _rows(None, [])
         found = Anchored(table, width)
-        hashes, docs, _ = found.windows(_open_runs(found, told))
-        order = sort_by(hashes, docs)
-        hashes, docs = hashes[order], docs[order]
-        first = np.ones(len(order), bool)
-        first[1:] = hashes[1:] != hashes[:-1]
-        hashes, docs = hashes[first], docs[first]
-        edges = np.searchsorted(hashes, np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)).tolist() + [len(hashes)]
-        return _rows(key[0].as_py(), [(i, planes(hashes[a:b], docs[a:b].view(np.uint64))) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b])
+        order, first = found.distinct()
+        several, _ = found.answered(order, first, splitters, _blobs(told))
+        order = order[first & several]
+        parts = []
+        for p, a, b in _parts(found.key[order], splitters):
+            some = order[a:b]
+            size = found.size(some)
+            left, n = (found.place - found.low)[some].astype(np.uint8), (size - width + 1).astype(np.uint8)
+            parts.append((p, np.int64(len(some)).tobytes() + planes(found.doc[some]) + left.tobytes() + n.tobytes() + found.data[ragged(found.low[some], size)].tobytes()))
+        return _rows(key[0].as_py(), parts)
 
     return run
 
 
-def _open_runs(found: Anchored, told: pa.Table) -> np.ndarray:
-    """Anchors whose windows are compared one by one: those of the segments that the chunk was asked for."""
-    asked = np.sort(_joined(told, 0, 1)[0])
-    if not len(asked) or not len(found.segment):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(asked, found.segment), len(asked) - 1)
-    return np.flatnonzero(asked[at] == found.segment)
+class _Segments:
+    """Segments that were sent to one range."""
 
+    def __init__(self, table: pa.Table, width: int):
+        self.width = width
+        blobs = table.column("data").to_pylist()
+        size = [int(np.frombuffer(d, np.int64, 1)[0]) for d in blobs]
+        self.doc = np.concatenate([from_planes(d[8 : 8 + 8 * n], 1)[0] for d, n in zip(blobs, size, strict=True)]).view(np.int64)
+        self.left = np.concatenate([np.frombuffer(d, np.uint8, n, 8 + 8 * n) for d, n in zip(blobs, size, strict=True)]).astype(np.int64)
+        self.windows = np.concatenate([np.frombuffer(d, np.uint8, n, 8 + 9 * n) for d, n in zip(blobs, size, strict=True)]).astype(np.int64)
+        self.data = np.concatenate([np.frombuffer(d, np.uint8, -1, 8 + 10 * n) for d, n in zip(blobs, size, strict=True)])
+        self.chunk = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), size)
+        self.index = np.concatenate([np.arange(n) for n in size])
+        self.length = self.windows + width - 1
+        self.start = np.cumsum(self.length) - self.length
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order by the bytes from the anchor on, then by those before it, then by doc_id; where a gram starts in it, and where a segment does."""
+        right, most = self.length - self.left, self.width - GRAM
+        tokens = _tokens(self.data, self.start + self.left, right, int(right.max()))
+        # equal lengths to the right and left leave no doubt about what the zeros at an end mean
+        before = _tokens(self.data, self.start, self.left, most) if self.left.any() else []
+        columns = [*tokens, right, *before, self.left]
+        order = sort_by(*columns, self.doc)
+        gram = _first_of(*[c[order] for c in tokens[: GRAM // 8]])[0]
+        return order, gram, _first_of(*[c[order] for c in columns])[0]
+
+
+def _least_docs(data: np.ndarray, start: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """For each window of data, the least doc_id of those with equal bytes."""
+    tokens = _tokens(data, start, np.full(len(start), width), width)
+    order = sort_by(*tokens, doc)
+    out = np.empty(len(order), np.int64)
+    out[order] = doc[order][_first_of(*[t[order] for t in tokens])[1]]
+    return out
+
+
+def _runs(mask: np.ndarray, owner: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Runs of marked windows (owner, first, last) packed as owner << 16 | first << 8 | last."""
+    if not mask.any():
+        return np.zeros(0, np.uint64)
+    owner, number = owner[mask], number[mask]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1] + 1)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(owner)) - 1
+    return (owner[begin].astype(np.uint64) << np.uint64(16)) | (number[begin].astype(np.uint64) << np.uint64(8)) | number[end].astype(np.uint64)
+
+
+def _compare_segments(width: int):
+    """One range of suffixes: tell chunks which windows of their segments occur in a document with a smaller doc_id."""
 
-def _joined(told: pa.Table, kind: int, columns: int) -> list[np.ndarray]:
-    data = [d for k, d in zip(told.column("part").to_pylist(), told.column("data").to_pylist(), strict=True) if k == kind]
-    parts = [from_planes(d, columns) for d in data]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(columns)]
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        s = _Segments(table, width)
+        order, gram, new = s.sorted()
+        doc = s.doc[order]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        whole = doc > doc[first]
+        # grams with several segments and several documents
+        begin = np.flatnonzero(gram)
+        n = np.diff(np.append(begin, len(order)))
+        mixed = np.repeat((np.add.reduceat(new.astype(np.int64), begin) > 1) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin)), n)
+        told = [(order[whole], (s.index[order[whole]].astype(np.uint64) << np.uint64(16)) | (s.windows[order[whole]] - 1).astype(np.uint64))]
+        heads = np.flatnonzero(new & mixed)
+        if len(heads):
+            windows = s.windows[order[heads]]
+            group = (np.cumsum(gram) - 1)[heads]
+            # slices of whole grams with about WINDOWS windows
+            total = np.cumsum(windows)
+            edges, at = [0], 0
+            while at < len(heads):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + WINDOWS, "right")))
+                to = int(np.searchsorted(group, group[to - 1], "right"))
+                edges.append(to)
+                at = to
+            # rows of other chunks that share the least doc_id of their segment are looked at too
+            same = np.flatnonzero(mixed & ~whole)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                some, m = order[heads[a:b]], windows[a:b]
+                least = _least_docs(s.data, ragged(s.start[some], m), np.repeat(s.doc[some], m), width)
+                rows = same[np.searchsorted(same, heads[a]) : np.searchsorted(same, heads[b] if b < len(heads) else len(order))]
+                of = np.searchsorted(heads[a:b], rows, "right") - 1
+                offset = np.cumsum(m) - m
+                count = m[of]
+                mask = least[ragged(offset[of], count)] < np.repeat(doc[rows], count)
+                if mask.any():
+                    packed = _runs(mask, np.repeat(np.arange(len(rows)), count), ragged(np.zeros(len(rows), np.int64), count))
+                    owner = order[rows][(packed >> np.uint64(16)).astype(np.int64)]
+                    told.append((owner, (s.index[owner].astype(np.uint64) << np.uint64(16)) | (packed & np.uint64(0xFFFF))))
+        entry, packed = np.concatenate([e for e, _ in told]), np.concatenate([p for _, p in told])
+        chunk = s.chunk[entry]
+        order = sort_by(chunk, packed)
+        chunk, packed = chunk[order], packed[order]
+        out = [_rows(int(c), [(key[0].as_py(), planes(packed[a:b]))]) for c, a, b in zip(*_groups(chunk), strict=True)]
+        return pa.concat_tables(out) if out else _rows(None, [])
 
+    return run
 
-def _gathered(table: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [from_planes(d, columns) for d in table.column("data").to_pylist()]
-    chunks = np.repeat(np.array(table.column("chunk").to_pylist(), np.int64), [len(p[0]) for p in parts])
-    return [np.concatenate([p[i] for p in parts]) for i in range(columns)], chunks
 
+def _groups(values: np.ndarray) -> tuple[list, list, list]:
+    """Distinct values of a sorted array, and where each begins and ends."""
+    some, at = np.unique(values, return_index=True)
+    return some.tolist(), at.tolist(), [*at[1:].tolist(), len(values)] if len(values) else []
 
-def _tell(chunks: np.ndarray, kind: int, *columns: np.ndarray) -> list[pa.Table]:
-    order = np.argsort(chunks, kind="stable")
-    some, at = np.unique(chunks[order], return_index=True)
-    edges = np.append(at, len(order)).tolist()
-    return [_rows(int(c), [(kind, planes(*[x[order[a:b]] for x in columns]))]) for c, a, b in zip(some.tolist(), edges[:-1], edges[1:], strict=True)]
 
+class _HotWindows:
+    """Windows of a chunk's segments with hot keys: distinct ones by their bytes, dealt to ranges by a hash of these."""
 
-def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In sorted columns: whether a row starts a group, and the group's first row for each row."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = False
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return new, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    def __init__(self, found: Anchored, order: np.ndarray, first: np.ndarray, hot: np.ndarray, ranges: int):
+        self.segments = order[first & hot]
+        n = found.high[self.segments] - found.low[self.segments] + 1
+        start = ragged(found.low[self.segments], n)
+        doc = np.repeat(found.doc[self.segments], n)
+        tokens = _tokens(found.data, start, np.full(len(start), found.width), found.width)
+        mixed = np.zeros(len(start), np.uint64)
+        for t in tokens:
+            mixed = mix((mixed ^ t) + np.uint64(1))
+        part = (mixed % np.uint64(ranges)).astype(np.int64)
+        by = sort_by(part, *tokens, doc)
+        new, head = _first_of(part[by], *[t[by] for t in tokens])
+        self.begin = np.cumsum(n) - n
+        #: of each window (of a segment, in order): its number among the distinct ones; of each distinct one: place, least doc_id, range
+        self.number = np.empty(len(by), np.int64)
+        self.number[by] = np.cumsum(new) - 1
+        self.start, self.doc, self.part = start[by][new], doc[by][new], part[by][new]
 
 
-def _compare_anchors(table: pa.Table) -> pa.Table:
-    """One range of suffixes: tell chunks the least doc_id of segments (kind 1) and which windows to send (kind 0)."""
-    (key, segment, doc), chunk = _gathered(table, 3)
-    doc = doc.view(np.int64)
-    order = sort_by(key, segment, doc)
-    key, segment, doc, chunk = key[order], segment[order], doc[order], chunk[order]
-    new, first = _first_of(key, segment)
-    later = doc > doc[first]
-    out = _tell(chunk[later], 1, segment[later], doc[first][later].view(np.uint64))
-    begins, of_key = _first_of(key)
-    start = np.flatnonzero(begins)
-    several = np.add.reduceat(new, start) > 1
-    mixed = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
-    asked = new & np.repeat(several & mixed, np.diff(np.append(start, len(key))))
-    out += _tell(chunk[asked], 0, segment[asked])
-    return pa.concat_tables(out) if out else _rows(None, [])
-
-
-def _compare_windows(table: pa.Table) -> pa.Table:
-    """One range of window hashes: tell chunks the least doc_id of windows that repeat (kind 2)."""
-    (hashes, doc), chunk = _gathered(table, 2)
-    doc = doc.view(np.int64)
-    order = sort_by(hashes, doc)
-    hashes, doc, chunk = hashes[order], doc[order], chunk[order]
-    _, first = _first_of(hashes)
-    later = doc > doc[first]
-    out = _tell(chunk[later], 2, hashes[later], doc[first][later].view(np.uint64))
-    return pa.concat_tables(out) if out else _rows(None, [])
-
-
-def _lowered(least: np.ndarray, hashes: np.ndarray, told: list[np.ndarray]) -> np.ndarray:
-    """The least doc_ids, and what was told of the same hashes if that is less."""
-    if not len(told[0]) or not len(hashes):
-        return least
-    order = np.lexsort((told[1].view(np.int64), told[0]))
-    known, doc = told[0][order], told[1].view(np.int64)[order]
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, np.minimum(least, doc[at]), least)
+def _send_hot_windows(width: int, splitters: np.ndarray, ranges: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows or not table.num_rows:
+            return _rows(None, [])
+        found = Anchored(table, width)
+        order, first = found.distinct()
+        _, hot = found.answered(order, first, splitters, _blobs(told))
+        if not hot.any():
+            return _rows(None, [])
+        w = _HotWindows(found, order, first, hot, ranges)
+        return _rows(key[0].as_py(), [(p, planes(w.doc[a:b]) + found.data[ragged(w.start[a:b], np.full(b - a, width))].tobytes()) for p, a, b in zip(*_groups(w.part), strict=True)])
+
+    return run
+
+
+def _compare_hot_windows(width: int):
+    """One range of windows: tell each chunk, by a bit for each of its windows, which a document with a smaller doc_id has."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blobs = table.column("data").to_pylist()
+        size = [len(d) // (8 + width) for d in blobs]
+        doc = np.concatenate([from_planes(d[: 8 * n], 1)[0] for d, n in zip(blobs, size, strict=True)]).view(np.int64)
+        data = np.concatenate([np.frombuffer(d, np.uint8, -1, 8 * n) for d, n in zip(blobs, size, strict=True)])
+        later = _least_docs(data, np.arange(len(doc)) * width, doc, width) < doc
+        edges = np.concatenate([[0], np.cumsum(size)]).tolist()
+        return pa.concat_tables([_rows(c, [(-1 - key[0].as_py(), np.packbits(later[a:b]).tobytes())]) for c, a, b in zip(table.column("chunk").to_pylist(), edges[:-1], edges[1:], strict=True)])
+
+    return run
 
 
 def _words(text: np.ndarray) -> int:
@@ -282,31 +450,55 @@ def _words(text: np.ndarray) -> int:
     return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
 
 
-def _remove(width: int, least_words: int, filler: bytes):
+def _removed(found: Anchored, splitters: np.ndarray, answers: dict[int, bytes], told: dict[int, bytes], ranges: int) -> np.ndarray:
+    """Which bytes of a chunk are covered by a window that a document with a smaller doc_id has."""
+    width = found.width
+    depth = np.zeros(len(found.data) + 1, np.int32)
+
+    def cover(start: np.ndarray, stop: np.ndarray) -> None:
+        np.add.at(depth, start, 1)
+        np.add.at(depth, stop, -1)
+
+    order, first = found.distinct()
+    if len(order):
+        segment = np.cumsum(first) - 1
+        least = found.doc[order][first]
+        later = found.doc[order] > least[segment]
+        cover(found.low[order[later]], found.high[order[later]] + width)
+        several, hot = found.answered(order, first, splitters, answers)
+        begin = np.flatnonzero(first)  # of each segment, in the order
+        stop = np.append(begin[1:], len(order))
+        sent = np.flatnonzero((first & several)[begin])
+        for part, a, b in _parts(found.key[order[begin[sent]]], splitters):
+            if part in told:
+                packed = from_planes(told[part], 1)[0]
+                of = sent[a:b][(packed >> np.uint64(16)).astype(np.int64)]
+                # all rows of the segment: those of later documents are covered anyhow
+                count = stop[of] - begin[of]
+                rows = order[ragged(begin[of], count)]
+                cover(found.low[rows] + np.repeat(((packed >> np.uint64(8)) & np.uint64(255)).astype(np.int64), count), found.low[rows] + np.repeat((packed & np.uint64(255)).astype(np.int64), count) + width)
+        if hot.any():
+            w = _HotWindows(found, order, first, hot, ranges)
+            gone = np.zeros(len(w.start), bool)
+            for p, a, b in zip(*_groups(w.part), strict=True):
+                if -1 - p in told:
+                    gone[a:b] = np.unpackbits(np.frombuffer(told[-1 - p], np.uint8), count=b - a).astype(bool)
+            number = np.flatnonzero((first & hot)[begin])
+            count = stop[number] - begin[number]
+            rows = order[ragged(begin[number], count)]
+            windows = found.high[rows] - found.low[rows] + 1
+            at = w.number[ragged(np.repeat(w.begin, count), windows)]
+            mask = gone[at] | (np.repeat(found.doc[rows], windows) > w.doc[at])
+            start = ragged(found.low[rows], windows)[mask]
+            cover(start, start + width)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def _remove(width: int, least_words: int, filler: bytes, whole: bool, splitters: np.ndarray, ranges: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         found = Anchored(table, width)
-        n = len(found.data)
-        depth = np.zeros(n + 1, np.int32)
-        order, first = found.least_by_segment()
-        least = np.empty(len(order), np.int64)
-        if len(order):
-            least[order] = found.doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-        least = _lowered(least, found.segment, _joined(told, 1, 2))
-        gone = least < found.doc
-        np.add.at(depth, found.low[gone], 1)
-        np.add.at(depth, found.high[gone] + width, -1)
-        runs = _open_runs(found, told)
-        hashes, docs, starts = found.windows(runs)
-        if len(hashes):
-            order = sort_by(hashes, docs)
-            _, head = _first_of(hashes[order])
-            least = np.empty(len(order), np.int64)
-            least[order] = docs[order][head]
-            least = _lowered(least, hashes, _joined(told, 2, 2))
-            gone = least < docs
-            np.add.at(depth, starts[gone], 1)
-            np.add.at(depth, starts[gone] + width, -1)
-        removed = np.cumsum(depth[:-1]) > 0
+        answers = _blobs(told.filter(pc.equal(told.column("kind"), 0)))
+        removed = _removed(found, splitters, answers, _blobs(told.filter(pc.equal(told.column("kind"), 1))), ranges)
         kept, spans = [], []
         for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True):
             text, mask = found.data[a:b], removed[a:b]
@@ -315,6 +507,10 @@ def _remove(width: int, least_words: int, filler: bytes):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 for s, e in edge.reshape(-1, 2).tolist():
                     if not least_words or _words(text[s:e]) >= least_words:
+                        while whole and s > at and text[s] & 0xC0 == 0x80:
+                            s -= 1
+                        while whole and e < b - a and text[e] & 0xC0 == 0x80:
+                            e += 1
                         runs.append({"start": s, "length": e - s})
                         parts.append(text[at:s].tobytes())
                         at = e
@@ -325,11 +521,11 @@ def _remove(width: int, least_words: int, filler: bytes):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, least_words: int = 0, filler: bytes = b"") -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, least_words: int = 0, filler: bytes = b"", whole_characters: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, text, carry...) -> (doc_id, carried struct, kept binary, spans array of (start, length) removed).
 
     A maximal run of repeated bytes stays if it has fewer than least_words words; filler joins what is kept
-    around a run that goes.
+    around a run that goes; with whole_characters a run takes the whole of a character that it parts.
     """
     if not GRAM + 2 <= width <= MOST_SPAN // 2:
         raise ValueError(f"width must be from {GRAM + 2} to {MOST_SPAN // 2} bytes")
@@ -348,12 +544,12 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     splitters = np.unique(np.array(points or [], np.int64)).astype(np.uint64) << np.uint64(1)
 
     schema = "chunk long, part int, data binary"
-    sent = dealt.groupBy("chunk").applyInArrow(_send_anchors(width, splitters), schema)
-    # one plan, so that the texts' exchange by chunk serves all three passes
-    told = sent.groupBy("part").applyInArrow(_compare_anchors, schema)
-    asked = told.where("part = 0")
-    windows = dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_send_windows(width, ranges), schema)
-    more = windows.groupBy("part").applyInArrow(_compare_windows, schema)
+    # one plan, so that the texts' exchange by chunk serves all passes
+    answers = dealt.groupBy("chunk").applyInArrow(_send_keys(width, splitters), schema).groupBy("part").applyInArrow(_compare_keys(hot), schema)
+    asked = lambda send: dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, schema)
+    told = asked(_send_segments(width, splitters)).groupBy("part").applyInArrow(_compare_segments(width), schema)
+    more = asked(_send_hot_windows(width, splitters, ranges)).groupBy("part").applyInArrow(_compare_hot_windows(width), schema)
     kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in dealt.schema["carried"].dataType.fields)
     out = f"doc_id long, carried struct<{kinds}>, kept binary, spans array<struct<start: long, length: long>>"
-    return dealt.groupBy("chunk").cogroup(told.union(more).groupBy("chunk")).applyInArrow(_remove(width, least_words, filler), out)
+    all_told = answers.withColumn("kind", F.lit(0)).union(told.union(more).withColumn("kind", F.lit(1)))
+    return dealt.groupBy("chunk").cogroup(all_told.groupBy("chunk")).applyInArrow(_remove(width, least_words, filler, whole_characters, splitters, ranges), out)

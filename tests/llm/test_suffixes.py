@@ -64,6 +64,67 @@ def test_other_width_and_tiny_chunks(spark):
     assert found(spark, rows, 30, chunk_bytes=64) == brute_force(rows, 30)
 
 
+@pytest.mark.parametrize("chunk_bytes", [64, 2 << 20])
+def test_keys_with_many_segments(spark, chunk_bytes):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    phrase = "a common phrase of some forty bytes or so"  # amid other words, which repeat now and then
+    rows = drawn_rows(4, 50) + [(i, f"{word()} {rng.choice('xyz')} {phrase} {rng.choice('uvw')} {word()}") for i in range(90)]
+    for hot in (0, 3, 40):
+        assert found(spark, rows, 50, chunk_bytes=chunk_bytes, hot=hot) == brute_force(rows, 50)
+
+
+def passes(rows, width, monkeypatch, hash_bits):
+    """The passes in this process, with hashes of so few bits that most strings collide."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenspark.llm import suffixes
+
+    kept = np.uint64((1 << hash_bits) - 1)
+    whole, every = suffixes.Spans.hash, suffixes.Spans.hash_all
+    monkeypatch.setattr(suffixes.Spans, "hash", lambda self, a, b: whole(self, a, b) & kept)
+    monkeypatch.setattr(suffixes.Spans, "hash_all", lambda self, w: every(self, w) & ~(~kept << np.uint64(32)) if hash_bits else every(self, w) * np.uint64(0))
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "carried": pa.nulls(len(rows))})
+    chunks = {c: table.filter(pa.array([i % 3 == c for i in range(len(rows))])) for c in range(3)}
+    key = lambda k: (pa.scalar(k),)
+    cut = np.array([1 << 62, 1 << 63], np.uint64)
+
+    def by(tables, column):
+        joined = pa.concat_tables([t for t in tables if t.num_rows] or tables[:1])
+        return {k: joined.filter(pa.compute.equal(joined.column(column), k)) for k in set(joined.column(column).to_pylist()) - {None}}
+
+    nothing = suffixes._rows(None, [])
+    sent = by([suffixes._send_keys(width, cut)(key(c), t) for c, t in chunks.items()], "part")
+    answers = by([suffixes._compare_keys(1000)(key(p), t) for p, t in sent.items()] or [nothing], "chunk")
+    sent = by([suffixes._send_segments(width, cut)(key(c), t, answers.get(c, nothing)) for c, t in chunks.items()], "part")
+    told = by([suffixes._compare_segments(width)(key(p), t) for p, t in sent.items()] or [nothing], "chunk")
+    out = []
+    for c, t in chunks.items():
+        some = [answers.get(c, nothing).append_column("kind", pa.array([0] * answers.get(c, nothing).num_rows, pa.int32())), told.get(c, nothing).append_column("kind", pa.array([1] * told.get(c, nothing).num_rows, pa.int32()))]
+        got = suffixes._remove(width, 0, b"", False, cut, 4)(key(c), t, pa.concat_tables(some)).to_pylist()
+        out += [(r["doc_id"], r["kept"], tuple((s["start"], s["length"]) for s in r["spans"])) for r in got]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hash_bits", [0, 1, 4, 64 - 32])
+def test_equal_hashes_of_unlike_strings_remove_nothing(monkeypatch, hash_bits):
+    rows = drawn_rows(6, 50)
+    assert passes(rows, 50, monkeypatch, hash_bits) == brute_force(rows, 50)
+
+
+def test_strings_with_equal_polynomials_modulo_a_power_of_two(spark):
+    pair = [(1, "ghnklaiefp icoovcnktejjfe ktssnnmvmozv laqtua imks"), (2, "mdaitoaewawpqoovcnktejjfe ktssnnmvmoznc cbhavo cd ")]
+    assert found(spark, pair, 50) == brute_force(pair, 50) and all(not s for _, _, s in found(spark, pair, 50))
+
+
+def test_whole_characters(spark):
+    shared = "é" * 80
+    df = spark.createDataFrame([(1, "x" + shared), (2, "\ufffd" + shared[:60] + "è")], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in repeated_spans(df, 51, whole_characters=True).collect()}
+    assert got == {1: "x" + shared, 2: "\ufffd"}
+
+
 def test_long_text_crosses_pieces(spark):
     rng = random.Random(5)
     long = "".join(rng.choices("abcdefghij klm", k=1_300_000))
