@@ -51,14 +51,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of over 50 words that an earlier document has; a text of which nothing is left goes.
 
-    A character that a cut parts goes as a whole, a null text leaves as an empty one, and n_chars follows the text.
+    A character that a passage parts goes as a whole, a null text leaves as an empty one, and n_chars follows the text.
     """
     carry = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    found = repeated_spans(docs, width=PASSAGE_BYTES, least_words=PASSAGE_WORDS, filler=b" ", carry=carry)
-    whole = F.col("kept").cast("string")
-    # a cut may part a character that two passages share in part; its bytes go
-    cut = F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", "")
-    rows = found.select("carried.*", F.when(F.size("spans") == 0, whole).otherwise(cut).alias("text"), (F.size("spans") > 0).alias("changed"))
+    found = repeated_spans(docs, width=PASSAGE_BYTES, least_words=PASSAGE_WORDS, filler=b" ", carry=carry, whole_characters=True)
+    rows = found.select("carried.*", F.col("kept").cast("string").alias("text"), (F.size("spans") > 0).alias("changed"))
     return rows.where("not changed or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
