@@ -6,19 +6,21 @@ borrows from the first filled bin of its own fixed random order (optimal densifi
 three bins make bucket keys: two sets of similarity 0.8 miss all BANDS buckets with probability
 (1 - 0.8**3) ** BANDS, below 1e-9.
 
-Documents with equal sets are one node.  In each bucket every node is paired with the bucket's
-smallest node alone (a star), so candidate pairs follow the number of bucket members.  Links are
-confirmed on the full sets.  A bucket whose members then lie in several components may hold links
+Documents with equal words in equal order are one node, by BLAKE2b of their words.  In each bucket every
+node is paired with the bucket's smallest node alone (a star), so candidate pairs follow the number of bucket
+members.  Links are confirmed on the words themselves: shingles are numbered without hashing, and the sets of
+numbers are compared.  A bucket whose members then lie in several components may hold links
 between two spokes.  In such buckets alone, the members outside the main component are compared with all:
 signatures rule out most pairs (five standard errors below the threshold; sets of few shingles are never
 ruled out) and full sets decide the rest, so no link is lost to the star form.  The main component is
 dealt to blocks, and the others, few as a rule, go to each of them.  Where the others are more than a
-block, the bucket is first split by a second band: a pair at the threshold that shares no second band of
-30 has a probability of 1.4e-8.
+block, the bucket is first split by a second band, also of MORE_BANDS further ones that are used for this
+alone: a pair at the threshold that shares one band of BANDS and none of the others has a probability of
+3e-12, far below that of sharing none.
 
-Texts are not shuffled: candidates' sets are made where the texts are read, which a table of bits of
-bounded size (BITS at most) picks; what it lets through by chance is dropped by a join.  Joins on a key
-that many rows may share (a bucket, a hub, equal sets) deal those rows to several places.
+Texts are not shuffled, but those of candidates: their words are taken where the texts are read, which a table
+of bits of bounded size (BITS at most) picks; what it lets through by chance is dropped by a join.  Joins on a key
+that many rows may share (a bucket, a hub, equal texts) deal those rows to several places.
 
 Rows: null, empty or wordless texts have no shingles and link with nothing; rows that share a
 doc_id count as one document; a row with null doc_id gets its own counts, is never linked and has
@@ -27,6 +29,7 @@ a null component_id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +39,11 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm.common import map_batches, only, saved
 from lumenspark.llm.components import components, salted_join
-from lumenspark.llm.textbytes import BLANK_SEPARATED, byte_values, mix, shingles, utf8, words
+from lumenspark.llm.textbytes import BLANK_SEPARATED, byte_values, coded, mix, shingles, utf8, words
 
-BINS, ROWS, BANDS = 128, 3, 30
+BINS, ROWS, BANDS, MORE_BANDS = 128, 3, 30, 12
 #: Shingles of the sets in a block, and pairs of a hub in one place of a join.
-BLOCK, PAIRS = 2_000_000, 512
+BLOCK, PAIRS = 1_000_000, 512
 #: Bits of the table of candidates: 16 for each candidate, and so many at most.
 BITS = 1 << 27
 #: Sets of so few shingles are compared without a look at their signatures.
@@ -66,27 +69,42 @@ def _sets(batch, width: int) -> Iterator[np.ndarray]:
     hashes, _, rows = words(*utf8(batch.column("text")), BLANK_SEPARATED)
     hashed, at = shingles(hashes, rows, width)
     for i in range(len(at) - 1):
-        yield np.unique(hashed[at[i] : at[i + 1]])
+        yield hashed[at[i] : at[i + 1]]
 
 
-def _digest(members: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return int(members.sum(dtype=np.uint64).view(np.int64)), int(mix(members).sum(dtype=np.uint64).view(np.int64))
+def _words(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z as a-z."""
+    return (text or "").encode().lower().split()
+
+
+def _digest(words_: bytes) -> tuple[int, int]:
+    """Two numbers that name the words of a text."""
+    both = np.frombuffer(hashlib.blake2b(words_, digest_size=16).digest(), np.int64)
+    return int(both[0]), int(both[1])
+
+
+def _size(hashed: np.ndarray, members: np.ndarray, words_: list[bytes], width: int) -> int:
+    """The number of distinct shingles: that of their hashes, and by the words where hashes repeat."""
+    if len(members) == len(hashed):
+        return len(members)
+    return len(set(zip(*[words_[j:] for j in range(width)], strict=False)))
 
 
 def _sketch(width: int):
     def run(batches):
         factors = byte_values(5)[:ROWS] | np.uint64(1)
+        used = BANDS + MORE_BANDS
         for batch in batches:
             n, d1, d2, bands, signs = [], [], [], [], []
-            for members in _sets(batch, width):
-                n.append(len(members))
-                a, b = _digest(members)
+            for text, hashed in zip(batch.column("text"), _sets(batch, width), strict=True):
+                words_, members = _words(text.as_py()), np.unique(hashed)
+                n.append(_size(hashed, members, words_, width))
+                a, b = _digest(b" ".join(words_))
                 d1.append(a)
                 d2.append(b)
                 if len(members):
                     s = signature(members)
-                    key = mix((s[: BANDS * ROWS].reshape(BANDS, ROWS) * factors).sum(axis=1, dtype=np.uint64))
+                    key = mix((s[: used * ROWS].reshape(used, ROWS) * factors).sum(axis=1, dtype=np.uint64))
                     bands.append(key.view(np.int64))
                     signs.append((s & np.uint64(0xFF)).astype(np.uint8).tobytes())
                 else:
@@ -111,18 +129,14 @@ def _bits(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _full_sets(width: int, bits: np.ndarray):
+def _full_words(bits: np.ndarray):
     def run(batches):
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             some = batch.filter(pa.array(((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)))
-            d1, d2, blobs = [], [], []
-            for members in _sets(some, width):
-                a, b = _digest(members)
-                d1.append(a)
-                d2.append(b)
-                blobs.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "e1", "e2", "members"])
+            texts = [b" ".join(_words(t.as_py())) for t in some.column("text")]
+            digests = [_digest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(texts, pa.binary())], names=["node", "e1", "e2", "words"])
 
     return run
 
@@ -136,28 +150,31 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _confirm(percent: int):
+def _confirm(width: int, percent: int):
     def run(batches):
         for batch in batches:
             u, v = batch.column("u"), batch.column("v")
+            hubs = dict(zip(u.to_pylist(), range(batch.num_rows), strict=True))  # a hub's words stand in each of its rows
+            at = {h: i for i, h in enumerate(hubs)}
             left, right = batch.column("a"), batch.column("b")
-            keep = [_similar(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
+            sets = coded((x.as_py().split() for x in (*(left[i] for i in hubs.values()), *right)), width)
+            keep = [_similar(sets[at[h]], members, percent) for h, members in zip(u.to_pylist(), sets[len(hubs) :], strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
 
     return run
 
 
-def _within_blocks(percent: int):
+def _within_blocks(width: int, percent: int):
     """Links between members of different components of one bucket, of those on the left with those on the right."""
     least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / BINS)
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.drop_columns(["members"]).to_pydict()
+        t = table.drop_columns(["words"]).to_pydict()
         node, group = np.array(t["node"]), np.array(t["component"])
         left, right = np.array(t["left"], bool), np.array(t["right"], bool)
         sign = np.frombuffer(b"".join(t["sign"]), np.uint8).reshape(-1, BINS)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        sets = coded((x.as_py().split() for x in table.column("words")), width)
         size = np.array([len(x) for x in sets])
         found = []
         for x in np.flatnonzero(left).tolist():
@@ -177,13 +194,13 @@ def _within_blocks(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v, n) whose sets are similar; n tells how many pairs u may have."""
     places = lambda n: F.greatest(F.ceil(F.col(n) / PAIRS), F.lit(1)).cast("int")
     hubs = pairs.groupBy("u").agg(F.max("n").alias("most"))
-    left = hubs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), places("most") - 1)).alias("salt"))
-    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), places("n")).cast("int"))
-    return map_batches(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), _confirm(percent), "u long, v long")
+    left = hubs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), places("most") - 1)).alias("salt"))
+    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("words").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), places("n")).cast("int"))
+    return map_batches(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), _confirm(width, percent), "u long, v long")
 
 
 def _opened(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -216,21 +233,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept); width in words, percent of Jaccard similarity."""
     sketches = saved(map_batches(only(docs, "doc_id", "text"), _sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sign binary"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    # equal sets have equal bands and signatures
+    # equal words have equal bands and signatures
     nodes = saved(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
-    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("node", "size", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = saved(salted_join(banded, hubs, ["band", "key"], "node").select("band", "key", "hub", "n", "node", "size"))
 
     candidates = saved(members.select(F.col("node").alias("doc_id")).distinct())
     bits = min(BITS, max(1 << 15, 1 << (16 * candidates.count()).bit_length()))
     texts = only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", "text", _bit(bits).alias("bit"))
-    made = map_batches(texts, _full_sets(width, _bits(candidates, bits)), "node long, e1 long, e2 long, members binary")
+    made = map_batches(texts, _full_words(_bits(candidates, bits)), "node long, e1 long, e2 long, words binary")
     wanted = nodes.select("node", "d1", "d2").join(candidates.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-    sets = saved(made.join(wanted, "node").where("e1 = d1 and e2 = d2").dropDuplicates(["node"]).select("node", "members"))
+    sets = saved(made.join(wanted, "node").where("e1 = d1 and e2 = d2").dropDuplicates(["node"]).select("node", "words"))
 
     pairs = members.where("hub <> node").groupBy(F.col("hub").alias("u"), F.col("node").alias("v")).agg(F.max("n").alias("n"))
-    links = saved(_confirmed(pairs, sets, percent))
+    links = saved(_confirmed(pairs, sets, width, percent))
     first = saved(components(links))
 
     # buckets with members in several components; those with many outside the main one by a second band
@@ -240,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = opened.where(F.col("rest") > BLOCK).select("band", "key", "node", "size", "component").join(nodes.select("node", F.posexplode("bands").alias("band2", "key2")), "node").where("band2 > band")
     split = _opened(second, _PART)
     dealt = _dealt(simple, False).union(_dealt(split.where(F.col("rest") <= BLOCK), False)).union(_dealt(split.where(F.col("rest") > BLOCK), True))
-    more = dealt.join(nodes.select("node", "sign").join(sets, "node"), "node").groupBy(*_PART, "i", "j").applyInArrow(_within_blocks(percent), "u long, v long")
+    more = dealt.join(nodes.select("node", "sign").join(sets, "node"), "node").groupBy(*_PART, "i", "j").applyInArrow(_within_blocks(width, percent), "u long, v long")
 
     # each row's node, and links between the nodes of rows that share an id
     named = saved(salted_join(some.select("doc_id", "n_shingles", "d1", "d2"), nodes.select("d1", "d2", "node"), ["d1", "d2"], "doc_id").select("doc_id", "n_shingles", "node"))

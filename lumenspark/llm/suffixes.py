@@ -90,6 +90,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in the same order in every pass, whatever order the shuffle gave; rows that tie are equal in id and text."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 class Anchored:
     """Anchors of the windows of a chunk's texts: key, segment hash, doc_id, first and last window start, place."""
 
@@ -230,7 +235,7 @@ def _send_keys(width: int, splitters: np.ndarray):
     """Each key of a chunk once, with its number of segments (127 at most) and whether several documents have it."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found = Anchored(table, width)
+        found = Anchored(_ordered(table), width)
         order, first = found.distinct()
         if not len(order):
             return _rows(None, [])
@@ -266,17 +271,20 @@ def _compare_keys(hot: int):
     return run
 
 
-def _send_segments(width: int, splitters: np.ndarray):
-    """Distinct segments of the keys that occur in several documents: doc_id, bytes before the anchor, windows, bytes."""
+def _send_segments(width: int, splitters: np.ndarray, ranges: int):
+    """Distinct segments of the keys that occur in several documents (doc_id, bytes before the anchor, windows, bytes), and windows of those with hot keys, to ranges named -1, -2, ..."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows or not table.num_rows:
             return _rows(None, [])
-        found = Anchored(table, width)
+        found = Anchored(_ordered(table), width)
         order, first = found.distinct()
-        several, _ = found.answered(order, first, splitters, _blobs(told))
-        order = order[first & several]
+        several, hot = found.answered(order, first, splitters, _blobs(told))
         parts = []
+        if hot.any():
+            w = _HotWindows(found, order, first, hot, ranges)
+            parts += [(-1 - p, planes(w.doc[a:b]) + found.data[ragged(w.start[a:b], np.full(b - a, width))].tobytes()) for p, a, b in zip(*_groups(w.part), strict=True)]
+        order = order[first & several]
         for p, a, b in _parts(found.key[order], splitters):
             some = order[a:b]
             size = found.size(some)
@@ -340,6 +348,8 @@ def _compare_segments(width: int):
     """One range of suffixes: tell chunks which windows of their segments occur in a document with a smaller doc_id."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _compare_hot_windows(key[0].as_py(), table, width)
         s = _Segments(table, width)
         order, gram, new = s.sorted()
         doc = s.doc[order]
@@ -414,34 +424,15 @@ class _HotWindows:
         self.start, self.doc, self.part = start[by][new], doc[by][new], part[by][new]
 
 
-def _send_hot_windows(width: int, splitters: np.ndarray, ranges: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        if not told.num_rows or not table.num_rows:
-            return _rows(None, [])
-        found = Anchored(table, width)
-        order, first = found.distinct()
-        _, hot = found.answered(order, first, splitters, _blobs(told))
-        if not hot.any():
-            return _rows(None, [])
-        w = _HotWindows(found, order, first, hot, ranges)
-        return _rows(key[0].as_py(), [(p, planes(w.doc[a:b]) + found.data[ragged(w.start[a:b], np.full(b - a, width))].tobytes()) for p, a, b in zip(*_groups(w.part), strict=True)])
-
-    return run
-
-
-def _compare_hot_windows(width: int):
+def _compare_hot_windows(part: int, table: pa.Table, width: int) -> pa.Table:
     """One range of windows: tell each chunk, by a bit for each of its windows, which a document with a smaller doc_id has."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blobs = table.column("data").to_pylist()
-        size = [len(d) // (8 + width) for d in blobs]
-        doc = np.concatenate([from_planes(d[: 8 * n], 1)[0] for d, n in zip(blobs, size, strict=True)]).view(np.int64)
-        data = np.concatenate([np.frombuffer(d, np.uint8, -1, 8 * n) for d, n in zip(blobs, size, strict=True)])
-        later = _least_docs(data, np.arange(len(doc)) * width, doc, width) < doc
-        edges = np.concatenate([[0], np.cumsum(size)]).tolist()
-        return pa.concat_tables([_rows(c, [(-1 - key[0].as_py(), np.packbits(later[a:b]).tobytes())]) for c, a, b in zip(table.column("chunk").to_pylist(), edges[:-1], edges[1:], strict=True)])
-
-    return run
+    blobs = table.column("data").to_pylist()
+    size = [len(d) // (8 + width) for d in blobs]
+    doc = np.concatenate([from_planes(d[: 8 * n], 1)[0] for d, n in zip(blobs, size, strict=True)]).view(np.int64)
+    data = np.concatenate([np.frombuffer(d, np.uint8, -1, 8 * n) for d, n in zip(blobs, size, strict=True)])
+    later = _least_docs(data, np.arange(len(doc)) * width, doc, width) < doc
+    edges = np.concatenate([[0], np.cumsum(size)]).tolist()
+    return pa.concat_tables([_rows(c, [(part, np.packbits(later[a:b]).tobytes())]) for c, a, b in zip(table.column("chunk").to_pylist(), edges[:-1], edges[1:], strict=True)])
 
 
 def _words(text: np.ndarray) -> int:
@@ -496,6 +487,7 @@ def _removed(found: Anchored, splitters: np.ndarray, answers: dict[int, bytes],
 
 def _remove(width: int, least_words: int, filler: bytes, whole: bool, splitters: np.ndarray, ranges: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        table = _ordered(table)
         found = Anchored(table, width)
         answers = _blobs(told.filter(pc.equal(told.column("kind"), 0)))
         removed = _removed(found, splitters, answers, _blobs(told.filter(pc.equal(told.column("kind"), 1))), ranges)
@@ -546,10 +538,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     schema = "chunk long, part int, data binary"
     # one plan, so that the texts' exchange by chunk serves all passes
     answers = dealt.groupBy("chunk").applyInArrow(_send_keys(width, splitters), schema).groupBy("part").applyInArrow(_compare_keys(hot), schema)
-    asked = lambda send: dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, schema)
-    told = asked(_send_segments(width, splitters)).groupBy("part").applyInArrow(_compare_segments(width), schema)
-    more = asked(_send_hot_windows(width, splitters, ranges)).groupBy("part").applyInArrow(_compare_hot_windows(width), schema)
+    sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_segments(width, splitters, ranges), schema)
+    told = sent.groupBy("part").applyInArrow(_compare_segments(width), schema)
     kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in dealt.schema["carried"].dataType.fields)
     out = f"doc_id long, carried struct<{kinds}>, kept binary, spans array<struct<start: long, length: long>>"
-    all_told = answers.withColumn("kind", F.lit(0)).union(told.union(more).withColumn("kind", F.lit(1)))
+    all_told = answers.withColumn("kind", F.lit(0)).union(told.withColumn("kind", F.lit(1)))
     return dealt.groupBy("chunk").cogroup(all_told.groupBy("chunk")).applyInArrow(_remove(width, least_words, filler, whole_characters, splitters, ranges), out)

@@ -16,6 +16,7 @@ of 1024 letters collide), so spans may have MOST_SPAN bytes at most.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -201,24 +202,51 @@ def by_bytes(column, limit: int):
 def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the width-word shingles of each row, in order, and the rows' offsets in them.
 
-    A row with fewer words has its whole sequence as the one shingle; a row without words has none.
+    Words are mixed in one after the other.  A row with fewer words has its whole sequence as the one
+    shingle; a row without words has none.  Equal hashes make no equal shingles: where that counts, coded
+    tells by the words.
     """
     n_words = np.diff(rows)
     counts = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     out_rows = np.concatenate([[0], np.cumsum(counts)])
-    factors = byte_values(77)[:width] | np.uint64(1)
     n = len(hashes)
     if n == 0:
         return np.zeros(0, np.uint64), out_rows
-    raw = hashes * factors[0]
+    raw = mix((hashes ^ _START) * _FOLD)
     for j in range(1, min(width, n)):
-        raw[: n - j] += hashes[j:] * factors[j]
+        raw = np.concatenate([mix((raw[: n - j] ^ hashes[j:]) * _FOLD + np.uint64(j)), raw[n - j :]])
     full = np.repeat(np.where(n_words >= width, rows[1:] - width + 1, rows[:-1] + 1), n_words) > np.arange(n)
     for d in np.flatnonzero((n_words > 0) & (n_words < width)):
-        s = rows[d]
-        with np.errstate(over="ignore"):
-            raw[s] = np.sum(hashes[s : s + n_words[d]] * factors[: n_words[d]], dtype=np.uint64) + np.uint64(n_words[d])
-    return mix(raw[full]), out_rows
+        one = mix((hashes[rows[d] : rows[d] + 1] ^ _START) * _FOLD)
+        for j in range(1, n_words[d]):
+            one = mix((one ^ hashes[rows[d] + j]) * _FOLD + np.uint64(j))
+        raw[rows[d]] = mix(one + np.uint64(n_words[d]))[0]
+    return raw[full], out_rows
+
+
+def coded(texts: Iterable[list[bytes]], width: int) -> list[np.ndarray]:
+    """The sets of shingles of some texts, given by their words, as numbers: equal ones for equal words, others for others.
+
+    Numbers hold among these texts alone.  A text with fewer words has its whole sequence as the one shingle.
+    """
+    known: dict[bytes, int] = {}
+    short: dict[tuple[bytes, ...], int] = {}
+    parts, whole = [], []
+    for words_ in texts:
+        if len(words_) < width:
+            parts.append(np.zeros(0, np.int64))
+            whole.append(short.setdefault(tuple(words_), -1 - len(short)) if words_ else 0)
+        else:
+            parts.append(np.array([known.setdefault(w, len(known)) for w in words_], np.int64))
+            whole.append(0)
+    size = np.array([len(p) for p in parts], np.int64)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    code = ids
+    for j in range(1, width if len(ids) >= width else 1):
+        # numbers of words and of what is left of them stay below the count of words, so their pairs fit
+        code = np.unique(code[: len(ids) - j] * len(known) + ids[j:], return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    return [np.unique(code[b : b + n - width + 1]) if n else np.array([w][: int(w < 0)], np.int64) for b, n, w in zip(begin.tolist(), size.tolist(), whole, strict=True)]
 
 
 def ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ import pytest
 
 from lumenspark.llm.components import components
 from lumenspark.llm.near_dedup import near_duplicates, signature
+from lumenspark.llm.textbytes import coded
 
 
 def word_sets(rows, width):
@@ -113,6 +114,38 @@ def test_words_that_collide_under_polynomials_modulo_powers_of_two(spark):
     assert found(spark, rows, 4) == brute_force(rows, 4, 80) == sorted([(d, 1, d, True) for d, _ in rows], key=str)
 
 
+def test_texts_with_equal_sums_of_word_names(spark):
+    rows = [(1, "nfjhln azjjuu same words"), (2, "knjtfo nvllej same words"), (3, "azjjuu nfjhln same words"), (4, "NFJHLN azjjuu\tsame words")]
+    assert found(spark, rows, 4) == brute_force(rows, 4, 80) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 3, True), (4, 1, 1, False)]
+
+
+def test_shingles_are_numbered_by_their_words():
+    rng = random.Random(5)
+    texts = [[rng.choice([b"a", b"b", b"ab", b"", b"ba"]) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    for width in (1, 2, 4):
+        sets = coded(texts, width)
+        plain = [{tuple(t[i : i + width]) for i in range(len(t) - width + 1)} if len(t) >= width else {tuple(t)} if t else set() for t in texts]
+        assert [len(s) for s in sets] == [len(p) for p in plain]
+        for s, p in zip(sets, plain, strict=True):
+            assert [len(np.intersect1d(s, x)) for x in sets] == [len(p & y) for y in plain]
+
+
+def test_links_and_counts_when_all_hashes_collide(monkeypatch):
+    import pyarrow as pa
+
+    from lumenspark.llm import near_dedup
+
+    whole = near_dedup.shingles
+    monkeypatch.setattr(near_dedup, "shingles", lambda h, r, w: (whole(h, r, w)[0] * np.uint64(0), whole(h, r, w)[1]))
+    texts = ["a b c d e", "a b c d a b c d", "v w x y z", "a b c d e"]
+    sketch = next(near_dedup._sketch(4)(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts})])))
+    assert sketch.column("n_shingles").to_pylist() == [2, 4, 2, 2]
+    assert len({*zip(sketch.column("d1").to_pylist(), sketch.column("d2").to_pylist(), strict=True)}) == 3
+    pairs = pa.RecordBatch.from_pydict({"u": [1, 1, 2], "v": [3, 4, 4], "a": [b"a b c d e", b"a b c d e", b"a b c d a b c d"], "b": [b"v w x y z", b"a b c d e", b"a b c d e"]})
+    kept = next(near_dedup._confirm(4, 80)(iter([pairs])))
+    assert kept.to_pylist() == [{"u": 1, "v": 4}]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -97,7 +97,7 @@ def passes(rows, width, monkeypatch, hash_bits):
     nothing = suffixes._rows(None, [])
     sent = by([suffixes._send_keys(width, cut)(key(c), t) for c, t in chunks.items()], "part")
     answers = by([suffixes._compare_keys(1000)(key(p), t) for p, t in sent.items()] or [nothing], "chunk")
-    sent = by([suffixes._send_segments(width, cut)(key(c), t, answers.get(c, nothing)) for c, t in chunks.items()], "part")
+    sent = by([suffixes._send_segments(width, cut, 4)(key(c), t, answers.get(c, nothing)) for c, t in chunks.items()], "part")
     told = by([suffixes._compare_segments(width)(key(p), t) for p, t in sent.items()] or [nothing], "chunk")
     out = []
     for c, t in chunks.items():
