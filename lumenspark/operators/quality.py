@@ -77,13 +77,15 @@ def heatmap(metrics: DataFrame, metric: str, columns: list[int]) -> DataFrame:
 def normalise(images: DataFrame, colour_mode: str, config: Border = Border(), keys: tuple[str, ...] = ("filename", "magnification")) -> DataFrame:
     """Images of integer levels -> cropped float32 images from 0 to 1, with what was cropped.
 
-    colour_mode is colour or grayscale; images of one channel pass as they are.
+    colour_mode is colour or grayscale; images of one channel pass as they are, and alpha is left out.
     """
     if colour_mode not in ("colour", "grayscale"):
         raise ValueError(f"colour mode must be colour or grayscale, not {colour_mode!r}")
 
     def one(row, image):
         top_level = float(np.iinfo(image.dtype).max)
+        if image.ndim == 3 and image.shape[2] in (2, 4):
+            image = image[..., 0] if image.shape[2] == 2 else image[..., :3]
         gray = image if image.ndim == 2 else np.rint(kernels.luminance(image))
         top, bottom, left, right, capped = kernels.border_crop(gray, config.variance_ratio, config.max_fraction)
         source = gray if colour_mode == "grayscale" else image

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspark.functions import kernels
@@ -81,12 +81,16 @@ def check_map(tile: np.ndarray, found: np.ndarray) -> None:
         raise ValueError("values outside 0 to 1")
 
 
-def pairs(tiles: DataFrame, models: list[str], known: dict[str, Callable] | None = None) -> DataFrame:
-    """Every tile with every model, in the models' order; an unknown model is an error."""
-    known = known or SCORERS
+def check_models(models: list[str], known: dict[str, Callable]) -> None:
+    """An unknown model is an error."""
     for m in models:
         if m not in known:
             raise ValueError(f"unknown model {m!r}; known are {sorted(known)}")
+
+
+def pairs(tiles: DataFrame, models: list[str], known: dict[str, Callable] | None = None) -> DataFrame:
+    """Every tile with every model, in the models' order; an unknown model is an error."""
+    check_models(models, known or SCORERS)
     return tiles.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
@@ -100,6 +104,33 @@ def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.join(done.select(*TILE_KEYS).distinct(), TILE_KEYS, "left_anti")
 
 
+RESULT = f"model string, source_filename string, tile_filename string, magnification int, status string, loaded boolean, elapsed_seconds double, detail string, {PAYLOAD}"
+SCORED = [f.split()[0] for f in RESULT.split(", ")]
+
+
+def score_row(built: dict, scorers: dict[str, Callable], model: str, row) -> dict:
+    """One tile by one model; built keeps the scorers of a task, or the errors that building them gave."""
+    begun = time.perf_counter()
+    key = (model, row.magnification)
+    if key not in built:
+        try:
+            built[key] = scorers[model](row.magnification)
+        except Exception as e:  # noqa: BLE001
+            built[key] = e
+    made = {"height": None, "width": None, "channels": None, "dtype": None, "pixels": None}
+    loaded = not isinstance(built[key], Exception)
+    try:
+        if not loaded:
+            raise built[key]
+        tile = array_of(row)
+        found = built[key].predict(tile)
+        check_map(tile, found)
+        made, status, detail = payload_of(found), "ok", ""
+    except Exception as e:  # noqa: BLE001
+        status, detail = "failed", f"{type(e).__name__}: {e}"
+    return {"model": model, "source_filename": row.source_filename, "tile_filename": row.tile_filename, "magnification": row.magnification, "status": status, "loaded": loaded, "elapsed_seconds": time.perf_counter() - begun, "detail": detail, **made}
+
+
 def score(tiles: DataFrame, scorers: dict[str, Callable] | None = None) -> DataFrame:
     """Payloads of tiles with a model -> predictions with status, seconds and detail.
 
@@ -109,36 +140,12 @@ def score(tiles: DataFrame, scorers: dict[str, Callable] | None = None) -> DataF
     scorers = scorers or SCORERS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built: dict[tuple[str, int], object] = {}
+        built: dict = {}
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                begun = time.perf_counter()
-                key = (row.model, row.magnification)
-                if key not in built:
-                    try:
-                        built[key] = scorers[row.model](row.magnification)
-                    except Exception as e:  # noqa: BLE001
-                        built[key] = e
-                made = {"height": None, "width": None, "channels": None, "dtype": None, "pixels": None}
-                loaded = not isinstance(built[key], Exception)
-                try:
-                    if not loaded:
-                        raise built[key]
-                    tile = array_of(row)
-                    found = built[key].predict(tile)
-                    check_map(tile, found)
-                    made, status, detail = payload_of(found), "ok", ""
-                except Exception as e:  # noqa: BLE001
-                    status, detail = "failed", f"{type(e).__name__}: {e}"
-                out.append({"model": row.model, "source_filename": row.source_filename, "tile_filename": row.tile_filename, "magnification": row.magnification, "status": status, "loaded": loaded, "elapsed_seconds": time.perf_counter() - begun, "detail": detail, **made})
-            yield pd.DataFrame(out, columns=_SCORED)
+            yield pd.DataFrame([score_row(built, scorers, row.model, row) for row in batch.itertuples(index=False)], columns=SCORED)
 
     columns = tiles.select(*TILE_KEYS, "magnification", "height", "width", "channels", "dtype", "pixels")
-    return columns.mapInPandas(run, f"model string, source_filename string, tile_filename string, magnification int, status string, loaded boolean, elapsed_seconds double, detail string, {PAYLOAD}")
-
-
-_SCORED = ["model", "source_filename", "tile_filename", "magnification", "status", "loaded", "elapsed_seconds", "detail", "height", "width", "channels", "dtype", "pixels"]
+    return columns.mapInPandas(run, RESULT)
 
 
 def timing(scored: DataFrame) -> DataFrame:
@@ -170,39 +177,51 @@ def done_and_left(wanted: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def top_failures(log: DataFrame, n: int = 10) -> DataFrame:
-    """The first n failures by key; the count of the rest is failed minus n."""
+    """The first n failures by key."""
     return log.where(F.col("status") == "failed").orderBy("model", "source_filename", "tile_filename").limit(n)
 
 
-def run_scoring(tiles: DataFrame, models: list[str], predictions: str, log: str, scorers: dict[str, Callable] | None = None) -> DataFrame:
-    """Score what is pending, model by model, append predictions and log, and give the summary.
+def failures(log: DataFrame, n: int = 10) -> tuple[DataFrame, int]:
+    """The first n failures by key, and how many more there are."""
+    return top_failures(log, n), max(0, log.where(F.col("status") == "failed").count() - n)
+
 
-    Keys are compared without pixels; then pending keys go to the payload.
+def run_scoring(tiles: DataFrame, models: list[str], folder: str, scorers: dict[str, Callable] | None = None, run: str | None = None) -> DataFrame:
+    """Score what is pending, model by model, and give the summary.
+
+    Keys are compared without pixels; then pending keys go to the payload.  Each model's results are one batch
+    of the folder, predictions and log rows together, so that none is there without the other; a run of
+    the same name replaces what it left unfinished.
     """
-    from lumenspark.sources.images import append_log, require_rows
+    from lumenspark.sources.commits import write_batch
+    from lumenspark.sources.images import require_rows
 
-    spark = tiles.sparkSession
     keys = require_rows(tiles.select("source_filename", "tile_filename", "magnification"), "the tile log")
     wanted = pairs(keys, models, scorers)
-    for model in models:
-        left = pending(wanted.where(F.col("model") == model), _done(spark, predictions)).select("model", "source_filename", "tile_filename")
+    run = run or f"{time.time_ns():020d}"
+    for n, model in enumerate(models):
+        left = pending(wanted.where(F.col("model") == model), predictions(tiles.sparkSession, folder)).select("model", "source_filename", "tile_filename")
         made = score(tiles.join(left, ["source_filename", "tile_filename"]), scorers)
-        staged = f"{log}_staged/{model}/{time.time_ns()}"
-        made.write.parquet(staged)  # scored once; both tables are filled from it
-        again = spark.read.parquet(staged)
-        good = again.where(F.col("status") == "ok")
-        good.select(*TILE_KEYS, "magnification", "height", "width", "channels", "dtype", "pixels").write.mode("append").partitionBy("model").parquet(predictions)
-        append_log(again.select(F.current_timestamp().alias("timestamp"), *TILE_KEYS, "magnification", "status", "elapsed_seconds", "detail"), log)
-    return done_and_left(wanted, _done(spark, predictions))
+        write_batch(made.withColumn("timestamp", F.current_timestamp()), folder, f"{run}-{n:03d}")
+    return done_and_left(wanted, predictions(tiles.sparkSession, folder))
 
 
-def _done(spark, predictions: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
+def _results(spark: SparkSession, folder: str) -> DataFrame:
+    from lumenspark.sources.commits import read_committed
 
-    try:
-        return spark.read.parquet(predictions).select(*TILE_KEYS)
-    except AnalysisException:  # nothing yet
-        return spark.createDataFrame([], "model string, source_filename string, tile_filename string")
+    return read_committed(spark, folder, f"{RESULT}, timestamp timestamp")
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The boundary maps of a scoring folder, by model and tile."""
+    return _results(spark, folder).where(F.col("status") == "ok").select(*TILE_KEYS, "magnification", "height", "width", "channels", "dtype", "pixels")
+
+
+def scoring_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of a scoring folder: each run of each model on each tile; it reads no pixels."""
+    from lumenspark.sources.images import INFERENCE_LOG
+
+    return _results(spark, folder).select(*[f.split()[0] for f in INFERENCE_LOG.split(", ")])
 
 
 def payloads_of(log: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -126,15 +126,20 @@ def reassemble_pixels(tile_pixels: DataFrame, *values: str) -> DataFrame:
     return tile_pixels.groupBy("filename", (F.col("row0") + F.col("local_row")).alias("row"), (F.col("col0") + F.col("local_col")).alias("col")).agg(*[F.min_by(v, at).alias(v) for v in values], F.count("*").alias("n_tiles"))
 
 
+def keep_of_tiles(overlap: float, height: str, width: str) -> tuple[Column, Column]:
+    """How many rows and columns of a tile come before the next tile."""
+    step = lambda own: F.greatest(F.rint(F.col(own) * (1 - overlap)).cast("int"), F.lit(1))
+    keep = lambda at, dim, own: F.when(F.col(at) + F.col(own) >= F.col(dim), F.col(own)).otherwise(F.least(step(own), F.col(dim) - F.col(own) - F.col(at)))
+    return keep("row0", height, "height"), keep("col0", width, "width")
+
+
 def reassemble(tiles: DataFrame, overlap: float = 0.5, height: str = "source_height_px", width: str = "source_width_px") -> DataFrame:
     """Payloads of the sources from payloads of their tiles (source_filename, row0, col0, source size).
 
     Before tiles of one source meet, each gives up the rows and columns that the next tile also has, so
     that every pixel moves once.  Where the next tile begins follows from a tile's size and the overlap.
     """
-    step = lambda own: F.greatest(F.rint(F.col(own) * (1 - overlap)).cast("int"), F.lit(1))
-    keep = lambda at, dim, own: F.when(F.col(at) + F.col(own) >= F.col(dim), F.col(own)).otherwise(F.least(step(own), F.col(dim) - F.col(own) - F.col(at)))
-    keep_h, keep_w = keep("row0", height, "height"), keep("col0", width, "width")
+    keep_h, keep_w = keep_of_tiles(overlap, height, width)
 
     def trim(row, image):
         yield payload_of(np.ascontiguousarray(image[: row.keep_h, : row.keep_w]))

@@ -149,10 +149,10 @@ CASE model WHEN 'red' THEN CASE WHEN odd THEN 'ValueError: odd corner' ELSE '' E
 WHEN 'wide' THEN 'ValueError: dtype float64 is not float32' ELSE 'RuntimeError: no weights' END AS detail FROM tried)"""
 
 
-@query(f"{_TRIED} SELECT model, source_filename, tile_filename, magnification, status, loaded, detail FROM told")
+@query(f"{_TRIED} SELECT model, source_filename, magnification, status, loaded, detail, count(*) AS n_tiles, min(tile_filename) AS first_tile, max(tile_filename) AS last_tile FROM told GROUP BY ALL")
 def scorer_failures(spark: SparkSession, d: str) -> DataFrame:
     made = scoring.score(scoring.pairs(pixels._unit_tiles(spark, d), list(TRIED), TRIED), TRIED)
-    return made.select("model", "source_filename", "tile_filename", "magnification", "status", "loaded", "detail")
+    return made.groupBy("model", "source_filename", "magnification", "status", "loaded", "detail").agg(F.count("*").alias("n_tiles"), F.min("tile_filename").alias("first_tile"), F.max("tile_filename").alias("last_tile"))
 
 
 @query(f"""{_TRIED}, k AS (SELECT tile_filename, row_number() OVER (PARTITION BY magnification ORDER BY md5((42 + magnification) || '|' || tile_filename), tile_filename) AS rank FROM tiles)
@@ -169,8 +169,8 @@ def resumed_scoring(spark: SparkSession, d: str) -> DataFrame:
     folder = images.scratch_folder(spark)
     pixels._unit_tiles(spark, d).write.parquet(f"{folder}/tiles")
     tiles = spark.read.parquet(f"{folder}/tiles")
-    scoring.run_scoring(tiles.where("row0 % 8 = 0"), ["red", "absent"], f"{folder}/predictions", f"{folder}/log", TRIED)
-    return scoring.run_scoring(tiles, ["red", "absent"], f"{folder}/predictions", f"{folder}/log", TRIED)
+    scoring.run_scoring(tiles.where("row0 % 8 = 0"), ["red", "absent"], f"{folder}/scored", TRIED)
+    return scoring.run_scoring(tiles, ["red", "absent"], f"{folder}/scored", TRIED)
 
 
 @query(f"{pixels._TILE} SELECT filename AS source_filename, row0, col0, least(min(r), min(g), min(b))::DOUBLE AS low, greatest(max(r), max(g), max(b))::DOUBLE AS high FROM tp WHERE row0 % 8 = 0 GROUP BY ALL")

@@ -345,16 +345,24 @@ def _cut(spark: SparkSession, d: str) -> DataFrame:
     return tiling.cut_tiles(to_payload(proxies.rgb_pixels(spark, d), _KEYS, ["r", "g", "b"]), SIZE, OVERLAP)
 
 
-@query(f"{_TILE} SELECT filename, row0, col0, local_row, local_col, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM tp")
+# Of each tile the number of pixels, and sums in which each place has its own weight: whole numbers.
+_DIGEST = "count(*) AS n, sum(CAST(r AS BIGINT) * (8 * local_row + local_col + 1))::BIGINT AS red, sum(CAST(g AS BIGINT) * (8 * local_row + local_col + 1))::BIGINT AS green, sum(CAST(b AS BIGINT) * (8 * local_row + local_col + 1))::BIGINT AS blue"
+
+
+def _digests(pixels: DataFrame) -> DataFrame:
+    weight = 8 * F.col("local_row") + F.col("local_col") + 1
+    return pixels.groupBy("filename", "row0", "col0").agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long") * weight).alias(name) for c, name in (("r", "red"), ("g", "green"), ("b", "blue"))])
+
+
+@query(f"{_TILE} SELECT filename, row0, col0, {_DIGEST} FROM tp GROUP BY filename, row0, col0")
 def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
     tiles = to_pixels(_cut(spark, d), ("source_filename", "row0", "col0"), ("r", "g", "b"))
-    return tiles.select(F.col("source_filename").alias("filename"), "row0", "col0", F.col("row").alias("local_row"), F.col("col").alias("local_col"), "r", "g", "b")
+    return _digests(tiles.select(F.col("source_filename").alias("filename"), "row0", "col0", F.col("row").alias("local_row"), F.col("col").alias("local_col"), "r", "g", "b"))
 
 
-@query(f"{_TILE} SELECT filename, row0, col0, local_row, local_col, r FROM tp")
+@query(f"{_TILE} SELECT filename, row0, col0, {_DIGEST} FROM tp GROUP BY filename, row0, col0")
 def tile_pixel_join(spark: SparkSession, d: str) -> DataFrame:
-    placed = tiling.pixels_in_tiles(proxies.rgb_pixels(spark, d), dims(spark, d).drop("magnification"), SIZE, OVERLAP)
-    return placed.select("filename", "row0", "col0", "local_row", "local_col", "r")
+    return _digests(tiling.pixels_in_tiles(proxies.rgb_pixels(spark, d), dims(spark, d).drop("magnification"), SIZE, OVERLAP))
 
 
 @query(f'{_L} SELECT filename, "row", col, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM l')
@@ -433,5 +441,5 @@ def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that arrive as files are scored once each; the same as score_all for one model."""
     folder = scratch_folder(spark)
     _unit_tiles(spark, d).write.parquet(f"{folder}/arrivals")
-    score_arrivals(spark, f"{folder}/arrivals", ["canny"], f"{folder}/predictions", f"{folder}/log", f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/log").select("model", "source_filename", "tile_filename", "status")
+    score_arrivals(spark, f"{folder}/arrivals", ["canny"], f"{folder}/scored", f"{folder}/progress")
+    return scoring.scoring_log(spark, f"{folder}/scored").select("model", "source_filename", "tile_filename", "status")

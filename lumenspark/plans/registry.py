@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenspark.plans import jobs, names, pixels
+from lumenspark.plans import jobs, names, pixels, stored
 
 
 def queries() -> dict:
-    return names.QUERIES | pixels.QUERIES | jobs.QUERIES
+    return names.QUERIES | pixels.QUERIES | jobs.QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return names.SQL | pixels.SQL | jobs.SQL
+    return names.SQL | pixels.SQL | jobs.SQL | stored.SQL

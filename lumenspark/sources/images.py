@@ -23,9 +23,9 @@ EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
 PAYLOAD = "height int, width int, channels int, dtype string, pixels binary"
 
 MANIFEST = "filename string, sample_id string, magnification int, height int, width int, split string, split_note string"
-CROP_LOG = "filename string, magnification int, colour_mode string, original_height int, original_width int, crop_top_px int, crop_bottom_px int, crop_left_px int, crop_right_px int, crop_capped boolean, output_height int, output_width int"
-ENHANCE_LOG = "filename string, magnification int, flat_field_radius_px double, flat_field_working_radius_px double, denoise_patch_size_px int, denoise_patch_distance_px int, denoise_boundary_limit_px double, denoise_sigma_est double, denoise_h double, clahe_kernel_size_px int, clahe_clip_limit double"
-TILE_LOG = "tile_filename string, source_filename string, magnification int, tile_row_idx int, tile_col_idx int, row0 int, col0 int, tile_size_px int, source_height_px int, source_width_px int"
+CROP_LOG = "filename string, magnification int, colour_mode string, original_height int, original_width int, crop_top_px int, crop_bottom_px int, crop_left_px int, crop_right_px int, crop_capped boolean, output_height int, output_width int, output_path string"
+ENHANCE_LOG = "filename string, magnification int, flat_field_radius_px double, flat_field_working_radius_px double, denoise_patch_size_px int, denoise_patch_distance_px int, denoise_boundary_limit_px double, denoise_sigma_est double, denoise_h double, clahe_kernel_size_px int, clahe_clip_limit double, flat_field_output_path string, denoised_output_path string, clahe_output_path string"
+TILE_LOG = "tile_filename string, source_filename string, magnification int, tile_row_idx int, tile_col_idx int, row0 int, col0 int, tile_size_px int, source_height_px int, source_width_px int, tile_path string"
 QUALITY = "focus_variance_of_laplacian double, noise_mad_sigma double, contrast_spread double, entropy double, filename string, magnification int, scope string, tile_row int, tile_col int, tile_top_px int, tile_left_px int, tile_height_px int, tile_width_px int, illumination_level double, illumination_range_frac double, illumination_flag boolean"
 TIMING = "tile_filename string, source_filename string, magnification int, model string, elapsed_seconds double, status string, detail string"
 INFERENCE_LOG = "timestamp timestamp, model string, tile_filename string, source_filename string, magnification int, status string, elapsed_seconds double, detail string"
@@ -46,24 +46,6 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.alias("filename"), "path", "length").where(ending.isin(*EXTENSIONS) & name.contains("."))
 
 
-def decode_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Payloads of the decodable images (levels in RGB order), and the names of the rest."""
-    image = spark.read.format("image").load(folder).select("image.*").withColumn("filename", F.element_at(F.split("origin", "/"), -1))
-    good = image.where("height > 0")
-
-    def to_rgb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = []
-            for r in batch.itertuples():
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                data.append((a[..., [2, 1, 0]] if r.nChannels >= 3 else a).tobytes())
-            channels = batch["nChannels"].clip(upper=3)
-            yield pd.DataFrame({"filename": batch["filename"], "height": batch["height"], "width": batch["width"], "channels": channels.astype("int32"), "dtype": "uint8", "pixels": data})
-
-    rows = good.select("filename", "height", "width", "nChannels", "data").mapInPandas(to_rgb, f"filename string, {PAYLOAD}")
-    return rows, image.where("height <= 0").select("filename")
-
-
 #: Bytes of a frame of output, and of a row of it without its pixels, about.
 FRAME_BYTES, ROW_BYTES = 8 << 20, 500
 
@@ -161,6 +143,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> None:
+    """A table by buckets of its keys, sorted in them, a file for each: tables with equal keys and buckets join without a shuffle."""
+    df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """One append for a job or micro-batch."""
     write_table(df, path, mode="append")

@@ -92,7 +92,7 @@ e AS (
 L_SQL = """l9 AS (
   SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {columns}) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
 l0 AS (SELECT *, unnest(range(i, CASE WHEN i = n - 1 THEN (n + 23) // 24 * 24 ELSE i + 1 END)) AS idx FROM l9),
-l AS (
+l AS MATERIALIZED (
   SELECT printf('%06d-C-%dX.PNG', l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 200 END) AS filename,
          CASE WHEN l_suppkey % 2 = 0 THEN 100 ELSE 200 END AS magnification, CAST(idx // 24 AS INT) AS "row", CAST(idx % 24 AS INT) AS col,
          CAST(round_even(CAST(l_quantity AS DOUBLE) * 5, 0) AS INT) AS r, CAST(round_even(CAST(l_discount AS DOUBLE) * 2500, 0) AS INT) AS g,

@@ -1,25 +1,49 @@
 """Incremental scoring: tiles that arrive as Parquet files are scored once each.
 
-Input may repeat (at least once); a key that has a prediction or stands twice in a batch is not
-scored again, so results are those of one batch run over all arrivals.
+Input may repeat (at least once).  Which models have a prediction of a tile is kept as state of the stream
+by tile, so a batch reads the files that have arrived and their tiles' state, never what was scored
+before.  A tile that failed is tried again when it arrives again.  A batch of the stream is a batch of the
+scoring folder under the stream's number: after a crash it is scored again from the state before it and
+written anew.  For many tiles, give the session the RocksDB state store, which keeps state on disk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
-from lumenspark.operators.scoring import run_scoring
-
-
-def score_arrivals(spark: SparkSession, arrivals: str, models: list[str], predictions: str, log: str, progress: str, scorers: dict[str, Callable] | None = None) -> None:
-    """Take all files that have come since the last call, then stop."""
-    stream = spark.readStream.schema(spark.read.parquet(arrivals).schema).parquet(arrivals)
-
-    def batch(tiles: DataFrame, _: int) -> None:
-        if not tiles.isEmpty():
-            run_scoring(tiles.dropDuplicates(["source_filename", "tile_filename"]), models, predictions, log, scorers)
-
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", progress).trigger(availableNow=True).start()
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lumenspark.operators.scoring import RESULT, SCORED, SCORERS, check_models, score_row
+from lumenspark.sources.commits import write_batch
+from lumenspark.sources.images import PAYLOAD
+
+
+def score_arrivals(spark: SparkSession, arrivals: str, models: list[str], folder: str, progress: str, scorers: dict[str, Callable] | None = None) -> None:
+    """Take all files that have come since the last call, then stop; models are fixed for a stream's progress folder."""
+    scorers = scorers or SCORERS
+    check_models(models, scorers)
+    columns = ["source_filename", "tile_filename", "magnification", *[f.split()[0] for f in PAYLOAD.split(", ")]]
+    built: dict = {}
+
+    def once(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done = set(state.get[0].split("\n")) if state.exists else set()
+        first = None
+        for frame in frames:  # all copies that the batch holds
+            if first is None and len(frame):
+                first = next(frame.itertuples(index=False))
+        made = [score_row(built, scorers, m, first) for m in models if m not in done]
+        done |= {r["model"] for r in made if r["status"] == "ok"}
+        state.update(("\n".join(sorted(done)),))
+        if made:
+            yield pd.DataFrame(made, columns=SCORED)
+
+    def batch(made: DataFrame, number: int) -> None:
+        write_batch(made.withColumn("timestamp", F.current_timestamp()), folder, f"stream-{number:010d}")
+
+    stream = spark.readStream.schema(spark.read.parquet(arrivals).schema).parquet(arrivals).select(*columns)
+    scored = stream.groupBy("source_filename", "tile_filename").applyInPandasWithState(once, RESULT, "done string", "append", GroupStateTimeout.NoTimeout)
+    query = scored.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -21,24 +18,6 @@ def payloads(spark, arrays, magnification=100):
     return spark.createDataFrame(rows, "filename string, magnification int, " + im.PAYLOAD)
 
 
-def png(a):
-    raw = b"".join(b"\0" + row.tobytes() for row in a)
-    part = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
-
-
-def test_files_are_listed_and_decoded(spark, tmp_path):
-    a = np.arange(60, dtype=np.uint8).reshape(4, 5, 3)
-    (tmp_path / "s1-C-100X.PNG").write_bytes(png(a))
-    (tmp_path / "s2-L-200X.png").write_bytes(b"broken")
-    (tmp_path / "notes.txt").write_text("x")
-    assert sorted(r.filename for r in im.list_images(spark, str(tmp_path)).collect()) == ["s1-C-100X.PNG", "s2-L-200X.png"]
-    good, bad = im.decode_images(spark, str(tmp_path))
-    row = good.first()
-    assert (im.array_of(row) == a).all() and [r.filename for r in bad.collect() if "txt" not in r.filename] == ["s2-L-200X.png"]
-    assert manifest.build_manifest(good.select("filename", "height", "width")).first().split == "dev"
-
-
 def test_border():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 256, (400, 500)).astype(np.uint8)
@@ -213,14 +192,16 @@ class Flaky:
 def test_resume_and_failures(spark, tmp_path):
     arrays = [np.full((8, 8), v, np.float32) for v in (0.1, 0.2, 0.9)]
     tiles = payloads(spark, arrays).union(payloads(spark, arrays[:1], 200)).withColumnRenamed("filename", "source_filename").withColumn("tile_filename", F.concat("source_filename", F.lit("_"), "magnification"))
-    where = str(tmp_path / "predictions"), str(tmp_path / "log")
+    where = str(tmp_path / "scored")
     registry = {"flaky": Flaky}
-    first = scoring.run_scoring(tiles, ["flaky"], *where, registry).first()
+    first = scoring.run_scoring(tiles, ["flaky"], where, registry).first()
     assert (first.total, first.already_done) == (4, 2)
-    log = spark.read.parquet(where[1])
+    log = scoring.scoring_log(spark, where)
     assert {r.detail for r in log.where("status = 'failed'").collect()} == {"ValueError: bad tile", "RuntimeError: no weights"}
-    scoring.run_scoring(tiles, ["flaky"], *where, registry)
-    assert spark.read.parquet(where[0]).count() == 2 and spark.read.parquet(where[1]).count() == 6
+    rows, more = scoring.failures(log, 1)
+    assert rows.count() == 1 and more == 1 and scoring.failures(log, 5)[1] == 0
+    scoring.run_scoring(tiles, ["flaky"], where, registry)
+    assert scoring.predictions(spark, where).count() == 2 and scoring.scoring_log(spark, where).count() == 6
     with pytest.raises(ValueError):
         scoring.pairs(tiles, ["unheard"], registry)
     statuses = {r.status for r in scoring.timing(scoring.score(scoring.pairs(tiles, ["flaky"], registry), registry)).collect()}
