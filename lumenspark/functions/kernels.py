@@ -254,36 +254,8 @@ def connected(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sweep(out: np.ndarray, floor: np.ndarray) -> bool:
-    """Carry low values over the rows of out, downwards and upwards, never below floor; whether anything changed."""
-    n, changed = len(out), False
-    for order in (range(1, n), range(n - 2, -1, -1)):
-        step = order.step
-        for i in order:
-            near = out[i - step]
-            low = near.copy()
-            np.minimum(low[1:], near[:-1], out=low[1:])
-            np.minimum(low[:-1], near[1:], out=low[:-1])
-            np.maximum(low, floor[i], out=low)
-            if (low < out[i]).any():
-                np.minimum(out[i], low, out=out[i])
-                changed = True
-    return changed
-
-
-def fill_minima(image: np.ndarray, depth: float) -> np.ndarray:
-    """Reconstruction by erosion of image + depth above the image, among 8 neighbours."""
-    floor = np.ascontiguousarray(image, np.float64)
-    out, across = floor + depth, np.ascontiguousarray(floor.T)
-    while True:
-        changed = _sweep(out, floor)
-        turned = np.ascontiguousarray(out.T)
-        if not (_sweep(turned, across) or changed):
-            return out
-        out = np.ascontiguousarray(turned.T)
-
-
 _CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
+_AROUND = (*_CROSS, (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 
 def _jumped(points: np.ndarray) -> np.ndarray:
@@ -295,35 +267,89 @@ def _jumped(points: np.ndarray) -> np.ndarray:
         points = further
 
 
+def _basins(image: np.ndarray, shifts: tuple, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Basins to which pixels run down among neighbours: each pixel's basin, the basins' lowest pixels, and the lowest pass of each pair that touches, by height.
+
+    Marked pixels are basins of their own.
+    """
+    h, w = image.shape
+    index = np.arange(image.size).reshape(h, w)
+    wide = np.pad(image, 1, constant_values=np.inf)
+    low, to = np.full((h, w), np.inf), index.copy()
+    for v, u in shifts:
+        near = wide[1 + v : 1 + v + h, 1 + u : 1 + u + w]
+        better = near < low
+        np.copyto(low, near, where=better)
+        np.copyto(to, index + (v * w + u), where=better)
+    falls = low < image
+    if marked is not None:
+        falls &= ~marked
+    basin = _jumped(np.where(falls, to, index).ravel())
+    roots = np.flatnonzero(basin == index.ravel())
+    number = np.zeros(image.size, np.int64)
+    number[roots] = np.arange(len(roots))
+    grid = number[basin].reshape(h, w)
+    pairs, heights = [], []
+    for v, u in shifts:
+        if (v, u) > (0, 0):  # each pair of neighbours once
+            mine, other = (slice(v, None), slice(max(u, 0), w + min(u, 0))), (slice(0, h - v), slice(max(-u, 0), w - max(u, 0)))
+            a, b = grid[mine], grid[other]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            pairs.append(np.minimum(a, b) * len(roots) + np.maximum(a, b))
+            heights.append(np.maximum(image[mine][apart], image[other][apart]))
+    pair, height = np.concatenate(pairs), np.concatenate(heights)
+    order = np.argsort(pair)
+    pair, height = pair[order], height[order]
+    start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(height, start) if len(pair) else height
+    order = np.argsort(least)
+    pair = pair[start][order]
+    return grid, roots, pair // max(len(roots), 1), pair % max(len(roots), 1), least[order]
+
+
+def fill_minima(image: np.ndarray, depth: float) -> np.ndarray:
+    """Reconstruction by erosion of image + depth above the image, among 8 neighbours.
+
+    A basin fills to its lowest point and depth, or to where it runs over into one that fills less: passes in order of height
+    join basins, and what joins a part that is full by then is full at the pass.
+    """
+    image = np.ascontiguousarray(image, np.float64)
+    grid, roots, a, b, height = _basins(image, _AROUND)
+    level = image.ravel()[roots] + depth
+    full = level.tolist()  # of a part, the level to which its least basin fills
+    of, members = list(range(len(roots))), {}
+    for p, q, x in zip(a.tolist(), b.tolist(), height.tolist(), strict=True):
+        p, q = of[p], of[q]
+        if p == q:
+            continue
+        mine, other = members.pop(p, None) or [p], members.pop(q, None) or [q]
+        # what is open in the part that fills higher runs over into the other, at the pass or higher
+        for some, own, less in ((mine, full[p], full[q]), (other, full[q], full[p])):
+            if own > less and own > x:
+                level[some] = np.minimum(level[some], max(x, less))
+        if len(mine) < len(other):
+            p, q, mine, other = q, p, other, mine
+        for r in other:
+            of[r] = p
+        full[p] = min(full[p], full[q])
+        members[p] = mine + other
+    return np.maximum(image, level[grid])
+
+
 def flood_levels(image: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """The least height over which a path leads to each pixel from a marked one; infinite without any.
 
     Pixels first run down to basins.  Between neighbouring basins the lowest pass counts, and passes in
     order of height join basins to those that hold a marker.
     """
-    h, w = image.shape
-    heights, index = image.ravel(), np.arange(image.size).reshape(h, w)
-    wide = np.pad(image, 1, constant_values=np.inf)
-    near = np.stack([wide[1 + v : 1 + v + h, 1 + u : 1 + u + w] for v, u in _CROSS])
-    down = near.argmin(axis=0)
-    shift = np.array([v * w + u for v, u in _CROSS])
-    falls = (near.min(axis=0) < image) & ~marked
-    basin = _jumped(np.where(falls, index + shift[down], index).ravel())
-    roots, number = np.unique(basin, return_inverse=True)
-    grid = number.reshape(h, w)
-    a = np.concatenate([grid[:, 1:].ravel(), grid[1:].ravel()])
-    b = np.concatenate([grid[:, :-1].ravel(), grid[:-1].ravel()])
-    height = np.concatenate([np.maximum(image[:, 1:], image[:, :-1]).ravel(), np.maximum(image[1:], image[:-1]).ravel()])
-    apart = a != b
-    a, b, height = a[apart], b[apart], height[apart]
-    order = np.argsort(height, kind="stable")
-    pair = (np.minimum(a, b) * len(roots) + np.maximum(a, b))[order]
-    order = order[np.sort(np.unique(pair, return_index=True)[1])]  # the lowest pass of each pair, by height
+    grid, roots, a, b, height = _basins(image, _CROSS, marked)
+    heights = image.ravel()
     level = np.full(len(roots), np.inf)
     level[marked.ravel()[roots]] = heights[roots][marked.ravel()[roots]]
     known = np.isfinite(level).tolist()
     of, members = list(range(len(roots))), {}
-    for p, q, x in zip(a[order].tolist(), b[order].tolist(), height[order].tolist(), strict=True):
+    for p, q, x in zip(a.tolist(), b.tolist(), height.tolist(), strict=True):
         p, q = of[p], of[q]
         if p == q or (known[p] and known[q]):
             continue
@@ -336,7 +362,7 @@ def flood_levels(image: np.ndarray, marked: np.ndarray) -> np.ndarray:
             of[r] = p
         known[p] = known[p] or known[q]
         members[p] = mine + other
-    return np.maximum(heights, level[number]).reshape(h, w)
+    return np.maximum(image, level[grid])
 
 
 def flood_in_order(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
@@ -401,10 +427,15 @@ def watershed(image: np.ndarray, markers: np.ndarray) -> np.ndarray:
     steps = np.full(len(wide), np.iinfo(np.int32).max, np.int32)
     front, count = np.concatenate([np.flatnonzero(marked), inside[(near.min(axis=0) < own) & ~marked[inside]]]), 0
     steps[front] = 0
+    step = np.array(shifts)[:, None]
+    seen = np.zeros(len(wide), np.int64)
     while len(front):
         count += 1
-        front = np.unique(np.concatenate([(front + s)[(wide[front + s] == wide[front]) & (steps[front + s] > count)] for s in shifts]))
-        steps[front] = count
+        around = (front + step).ravel()
+        around = around[(wide[around].reshape(len(shifts), -1) == wide[front]).ravel() & (steps[around] > count)]
+        steps[around] = count
+        seen[around] = np.arange(len(around))
+        front = around[seen[around] == np.arange(len(around))]  # each once
     # of the neighbours, the least (height, steps)
     best, parent = np.full(len(inside), np.inf), inside.copy()
     best_steps = np.full(len(inside), np.iinfo(np.int32).max, np.int32)
@@ -466,7 +497,8 @@ def canny(image: np.ndarray, sigma: float, low: float, high: float) -> np.ndarra
     ridge[1:-1, 1:-1] = True
     for way in (1, -1):
         straight = wide[rows + way * np.where(flat, 0, v), cols + way * np.where(flat, u, 0)]
-        ridge &= (1 - share) * straight + share * wide[rows + way * v, cols + way * u] <= steep
+        # equal gradients stay on the ridge, whatever rounding makes of them
+        ridge &= (1 - share) * straight + share * wide[rows + way * v, cols + way * u] <= steep + 1e-9
     weak = ridge & (steep >= low) & (steep > 0)
     part = connected(weak)
     reaches = np.zeros(part.max() + 1, bool)

@@ -5,6 +5,7 @@ Jobs run on payloads with NumPy helpers; the SQL states the same on pixel tables
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -400,7 +401,7 @@ def _summary(df: DataFrame, *keys: str) -> DataFrame:
     """The least, mean and greatest value of each payload."""
 
     def one(row, image):
-        yield {"low": float(image.min()), "mean": float(image.mean()), "high": float(image.max())}
+        yield {"low": float(image.min()), "mean": float(image.mean(dtype=np.float64)), "high": float(image.max())}
 
     return map_images(df, keys, one, "low double, mean double, high double")
 
@@ -423,13 +424,53 @@ def _unit_tiles(spark: SparkSession, d: str) -> DataFrame:
 def _scored(*models: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = scoring.score(scoring.pairs(_unit_tiles(spark, d), list(models)))
-        return _summary(found.where("status = 'ok'"), "model", "source_filename", "tile_filename")
+        return rounded(_summary(found.where("status = 'ok'"), "model", "source_filename", "tile_filename"), "low", "mean", "high")
 
     return run
 
 
 QUERIES |= {"score_canny": _scored("canny"), "score_watershed": _scored("watershed")}
 
+_CANNY_KEYS = "filename, row0, col0"
+
+
+def _cell(values: str, y: str, x: str) -> str:
+    """A place of an 8 x 8 list, where places outside count as the nearest inside."""
+    return f"{values}[8 * least(greatest({y}, 0), 7) + least(greatest({x}, 0), 7) + 1]"
+
+
+def _ahead(y: str, x: str) -> str:
+    """A place of the gradients, 0 outside."""
+    return f"CASE WHEN {y} BETWEEN 0 AND 7 AND {x} BETWEEN 0 AND 7 THEN st[8 * ({y}) + ({x}) + 1] ELSE 0 END"
+
+
+_SOBEL = " + ".join(f"{weight} * ({_cell('sm', 'y + 1', f'x + ({b})')} - {_cell('sm', 'y - 1', f'x + ({b})')})" for weight, b in ((1, -1), (2, 0), (1, 1)))
+_SOBEL_X = " + ".join(f"{weight} * ({_cell('sm', f'y + ({a})', 'x + 1')} - {_cell('sm', f'y + ({a})', 'x - 1')})" for weight, a in ((1, -1), (2, 0), (1, 1)))
+
+# Gradients of the smoothed luminance, ridges, parts that reach the upper threshold by a recursive walk, and smoothing.
+SQL["score_canny"] = f"""{_TILE.replace("WITH ", "WITH RECURSIVE ", 1)}, mg AS (SELECT DISTINCT filename, magnification FROM l),
+px AS (SELECT {_CANNY_KEYS}, local_row AS y, local_col AS x, magnification / 100.0::DOUBLE AS s, 0.299::DOUBLE * (r / 255.0::DOUBLE) + 0.587::DOUBLE * (g / 255.0::DOUBLE) + 0.114::DOUBLE * (b / 255.0::DOUBLE) AS v FROM tp JOIN mg USING (filename)),
+th AS (SELECT {_CANNY_KEYS}, any_value(s) AS s, quantile_cont(v, 0.6) AS lo, quantile_cont(v, 0.9) AS hi, list(v ORDER BY y, x) AS v FROM px GROUP BY ALL),
+pl AS (SELECT CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x FROM (SELECT unnest(range(64)) AS i)), k AS (SELECT CAST(unnest(range(-8, 9)) AS INT) AS k), ss AS (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) AS s),
+ta AS (SELECT s, k, exp(-(k * k) / (2 * s * s)) / sum(exp(-(k * k) / (2 * s * s))) OVER (PARTITION BY s) AS w FROM ss, k WHERE abs(k) <= floor(4 * s + 0.5::DOUBLE)),
+nm AS (SELECT s, y, sum(w) AS n FROM ta, (SELECT DISTINCT y FROM pl) WHERE y + k BETWEEN 0 AND 7 GROUP BY ALL),
+b1 AS (SELECT a.filename, a.row0, a.col0, a.s, a.y, a.x, sum(w * b.v) AS v FROM px a JOIN px b ON (a.filename = b.filename AND a.row0 = b.row0 AND a.col0 = b.col0 AND a.x = b.x) JOIN ta ON (ta.s = a.s AND ta.k = b.y - a.y) GROUP BY ALL),
+b2 AS (SELECT a.filename, a.row0, a.col0, a.s, a.y, a.x, sum(w * b.v) AS v FROM b1 a JOIN b1 b ON (a.filename = b.filename AND a.row0 = b.row0 AND a.col0 = b.col0 AND a.y = b.y) JOIN ta ON (ta.s = a.s AND ta.k = b.x - a.x) GROUP BY ALL),
+b3 AS (SELECT {_CANNY_KEYS}, list(v / (u.n * w.n + 2.220446049250313e-16::DOUBLE) ORDER BY b2.y, b2.x) AS sm FROM b2 JOIN nm u ON (u.s = b2.s AND u.y = b2.y) JOIN nm w ON (w.s = b2.s AND w.y = b2.x) GROUP BY ALL),
+gr2 AS (SELECT {_CANNY_KEYS}, y, x, {_SOBEL} AS dy, {_SOBEL_X} AS dx FROM b3, pl),
+gm AS (SELECT *, sqrt(dy * dy + dx * dx) AS m, abs(dx) >= abs(dy) AS flat, CASE WHEN dy < 0 THEN -1 ELSE 1 END AS dv, CASE WHEN dx < 0 THEN -1 ELSE 1 END AS du, CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE least(abs(dy), abs(dx)) / greatest(abs(dy), abs(dx)) END AS share FROM gr2),
+gl AS (SELECT {_CANNY_KEYS}, list(m ORDER BY y, x) AS st FROM gm GROUP BY ALL),
+rd AS (SELECT {_CANNY_KEYS}, y, x, m, lo, hi, y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6
+  AND (1 - share) * {_ahead("y + CASE WHEN flat THEN 0 ELSE dv END", "x + CASE WHEN flat THEN du ELSE 0 END")} + share * {_ahead("y + dv", "x + du")} <= m + 1e-9::DOUBLE
+  AND (1 - share) * {_ahead("y - CASE WHEN flat THEN 0 ELSE dv END", "x - CASE WHEN flat THEN du ELSE 0 END")} + share * {_ahead("y - dv", "x - du")} <= m + 1e-9::DOUBLE AND m >= lo AND m > 0 AS weak FROM gm JOIN gl USING ({_CANNY_KEYS}) JOIN th USING ({_CANNY_KEYS})),
+wk AS MATERIALIZED (SELECT * FROM rd WHERE weak),
+rc AS (SELECT {_CANNY_KEYS}, y, x FROM wk WHERE m >= hi UNION SELECT b.filename, b.row0, b.col0, b.y, b.x FROM rc a JOIN wk b ON (a.filename = b.filename AND a.row0 = b.row0 AND a.col0 = b.col0 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)),
+ed AS (SELECT t.filename, t.row0, t.col0, list(CASE WHEN rc.y IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY pl.y, pl.x) AS e FROM th t CROSS JOIN pl LEFT JOIN rc ON (rc.filename = t.filename AND rc.row0 = t.row0 AND rc.col0 = t.col0 AND rc.y = pl.y AND rc.x = pl.x) GROUP BY ALL),
+f1 AS (SELECT {_CANNY_KEYS}, list(z ORDER BY y, x) AS e FROM (SELECT {_CANNY_KEYS}, y, x, sum(w * {_cell("e", "y + k", "x")}) AS z FROM ed, pl, ta WHERE ta.s = 1 GROUP BY ALL) GROUP BY ALL),
+f2 AS (SELECT {_CANNY_KEYS}, y, x, sum(w * {_cell("e", "y", "x + k")}) AS z FROM f1, pl, ta WHERE ta.s = 1 GROUP BY ALL),
+f3 AS (SELECT *, max(z) OVER (PARTITION BY {_CANNY_KEYS}) AS top FROM f2), f4 AS (SELECT {_CANNY_KEYS}, CAST(CAST(least(greatest(CASE WHEN top > 0 THEN z / top ELSE z END, 0), 1) AS FLOAT) AS DOUBLE) AS z FROM f3)
+SELECT 'canny' AS model, filename AS source_filename, printf('%s_r%05d_c%05d.npy', regexp_replace(filename, '\\.[^.]+$', ''), row0, col0) AS tile_filename, round(min(z), 6) AS low, round(avg(z), 6) AS mean, round(max(z), 6) AS high FROM f4 GROUP BY {_CANNY_KEYS}"""
+
 
 @query()
 def score_all(spark: SparkSession, d: str) -> DataFrame:
