@@ -409,13 +409,36 @@ def _summary(df: DataFrame, *keys: str) -> DataFrame:
 def _stage(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         made = scoring.enhance(proxies.rgb_payload(spark, d), _SMALL)
-        return _summary(made.where(F.col("stage") == name), "filename", "denoise_sigma_est", "denoise_h")
+        return rounded(_summary(made.where(F.col("stage") == name), "filename", "denoise_sigma_est", "denoise_h"), "denoise_sigma_est", "denoise_h", "low", "mean", "high")
 
     return run
 
 
 QUERIES |= {"flat_field": _stage("flat_field"), "denoise": _stage("denoised"), "clahe": _stage("clahe")}
 
+# The reduced copy by area weights (of the same size at magnification 100), the ball of 4 px under it, cubic weights back, and the noise of what comes out.
+SQL["flat_field"] = f"""{_L}, im AS (SELECT filename, any_value(magnification) / 100.0::DOUBLE AS s, CAST(max("row") + 1 AS INT) AS h FROM l GROUP BY filename),
+dm AS (SELECT *, CAST(greatest(1, round_even(h / s, 0)) AS INT) AS hs, CAST(greatest(1, round_even(24 / s, 0)) AS INT) AS ws FROM im),
+ch AS (SELECT filename, "row" AS y, col AS x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) / 255.0::DOUBLE AS v FROM l),
+ny AS (SELECT filename, h, hs, i, CAST(unnest(range(h)) AS INT) AS y FROM (SELECT *, CAST(unnest(range(hs)) AS INT) AS i FROM dm)), nx AS (SELECT filename, ws, j, CAST(unnest(range(24)) AS INT) AS x FROM (SELECT *, CAST(unnest(range(ws)) AS INT) AS j FROM dm)),
+oy AS (SELECT *, greatest(least((i + 1) * (h::DOUBLE / hs), y + 1) - greatest(i * (h::DOUBLE / hs), y), 0) AS w FROM ny), ox AS (SELECT *, greatest(least((j + 1) * (24::DOUBLE / ws), x + 1) - greatest(j * (24::DOUBLE / ws), x), 0) AS w FROM nx),
+wy AS (SELECT filename, i, y, w / sum(w) OVER (PARTITION BY filename, i) AS w FROM oy WHERE w > 0), wx AS (SELECT filename, j, x, w / sum(w) OVER (PARTITION BY filename, j) AS w FROM ox WHERE w > 0),
+s1 AS (SELECT filename, c, i, x, sum(w * v) AS v FROM ch JOIN wy USING (filename, y) GROUP BY ALL), s2 AS (SELECT filename, c, i, j, sum(w * v) AS v FROM s1 JOIN wx USING (filename, x) GROUP BY ALL),
+o AS (SELECT dy, dx, 4 - sqrt(16.0::DOUBLE - dy * dy - dx * dx) AS lift FROM (SELECT CAST(unnest(range(-4, 5)) AS INT) AS dy), (SELECT CAST(unnest(range(-4, 5)) AS INT) AS dx) WHERE dy * dy + dx * dx <= 16),
+un AS (SELECT a.filename, a.c, a.i, a.j, min(b.v + lift) AS v FROM (SELECT *, i + dy AS ib, j + dx AS jb FROM s2, o) a JOIN s2 b ON (b.filename = a.filename AND b.c = a.c AND b.i = a.ib AND b.j = a.jb) GROUP BY ALL),
+cu AS (SELECT filename, 'y' AS axis, h AS n, hs AS m FROM dm UNION ALL SELECT filename, 'x', 24, ws FROM dm), cp AS (SELECT *, (p + 0.5::DOUBLE) * m / n - 0.5::DOUBLE AS place FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS p FROM cu)),
+cd AS (SELECT *, floor(place) + k AS spot, abs(place - floor(place) - k) AS d FROM (SELECT *, unnest(range(-1, 3)) AS k FROM cp)),
+cw AS (SELECT filename, axis, p, CAST(least(greatest(spot, 0), m - 1) AS INT) AS q, CASE WHEN d <= 1 THEN 1.25::DOUBLE * d * d * d - 2.25::DOUBLE * d * d + 1 WHEN d < 2 THEN -0.75::DOUBLE * d * d * d + 3.75::DOUBLE * d * d - 6 * d + 3 ELSE 0 END AS w FROM cd),
+e1 AS (SELECT u.filename, c, p AS y, j, sum(w * v) AS v FROM un u JOIN cw ON (cw.filename = u.filename AND axis = 'y' AND q = i) GROUP BY ALL), e2 AS (SELECT e.filename, c, y, p AS x, sum(w * v) AS u FROM e1 e JOIN cw ON (cw.filename = e.filename AND axis = 'x' AND q = j) GROUP BY ALL),
+ot AS (SELECT filename, c, y, x, v / (u + 1e-6::DOUBLE) * avg(u) OVER (PARTITION BY filename, c) AS o FROM ch JOIN e2 USING (filename, c, y, x)),
+mm AS (SELECT *, min(o) OVER (PARTITION BY filename, c) AS low, max(o) OVER (PARTITION BY filename, c) AS high FROM ot), fl AS (SELECT filename, c, y, x, CASE WHEN high > low THEN (o - low) / (high - low) ELSE 0 END AS f FROM mm),
+lu AS (SELECT filename, y, x, sum(f * CASE c WHEN 0 THEN 0.299::DOUBLE WHEN 1 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END) AS v FROM fl GROUP BY ALL),
+ta AS (SELECT s, k, exp(-(k * k) / (2 * s * s)) / sum(exp(-(k * k) / (2 * s * s))) OVER (PARTITION BY s) AS w FROM (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) AS s), (SELECT CAST(unnest(range(-8, 9)) AS INT) AS k) WHERE abs(k) <= floor(4 * s + 0.5::DOUBLE)),
+g1 AS (SELECT a.filename, a.y, a.x, sum(w * b.v) AS v FROM (SELECT *, least(greatest(y + k, 0), h - 1) AS yb FROM lu JOIN dm USING (filename) JOIN ta USING (s)) a JOIN lu b ON (b.filename = a.filename AND b.y = a.yb AND b.x = a.x) GROUP BY ALL),
+g2 AS (SELECT a.filename, a.y, a.x, sum(w * b.v) AS g FROM (SELECT *, least(greatest(x + k, 0), 23) AS xb FROM g1 JOIN dm USING (filename) JOIN ta USING (s)) a JOIN g1 b ON (b.filename = a.filename AND b.y = a.y AND b.x = a.xb) GROUP BY ALL),
+re AS (SELECT filename, v - g AS r FROM lu JOIN g2 USING (filename, y, x)), md AS (SELECT *, median(r) OVER (PARTITION BY filename) AS m FROM re), sg AS (SELECT filename, 1.4826::DOUBLE * median(abs(r - m)) AS sigma FROM md GROUP BY filename)
+SELECT filename, round(any_value(sigma), 6) AS denoise_sigma_est, round(any_value(0.8::DOUBLE * sigma), 6) AS denoise_h, round(min(CAST(CAST(f AS FLOAT) AS DOUBLE)), 6) AS low, round(avg(CAST(CAST(f AS FLOAT) AS DOUBLE)), 6) AS mean, round(max(CAST(CAST(f AS FLOAT) AS DOUBLE)), 6) AS high FROM fl JOIN sg USING (filename) GROUP BY filename"""
+
 
 def _unit_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tiling.cut_tiles(proxies.rgb_payload(spark, d), SIZE, OVERLAP)
