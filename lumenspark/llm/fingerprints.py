@@ -13,10 +13,12 @@ Normalisation and case folding call the ICU library that comes with Spark throug
 Neighbours in descending doc_id come without a global sort: doc_id is cut into cells at approximate
 quantiles, an id that several of them hit has as many cells, by a hash of the text; the first row of
 each cell is also sent to the cell that precedes it, and each cell is sorted by itself.  The table of
-first rows, one for each cell, is all that is broadcast.
+first rows, one for each cell, is broadcast with digests in place of texts.  Rows equal in id and text that are
+more than one in OFTEN of all are sorted as one, and become as many again afterwards, in parts: at most OFTEN such
+groups can exist, so that their list, too, may be broadcast.
 
 Rows: a null text is the empty text; the canonical form of blank texts is empty; rows with one
-doc_id are ordered by cell, then text, null ids come last in an order of their texts' hashes; repeated rows are rows of their own; the next row of the
+doc_id are ordered by cell, then by the SHA-256 of the text, null ids come last in an order of their texts' hashes; repeated rows are rows of their own; the next row of the
 last is the first, of a single row itself; extra columns are ignored.
 """
 
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 
 from lumenspark.llm.common import only, saved, shuffle_partitions
 
+#: Groups of equal rows with more than one row in so many are sorted as one row, if they are more than LEAST.
+OFTEN, LEAST = 10_000, 1000
+#: Equal rows that one task makes of the one at a time.
+_PART = 10_000
 _NORMALIZER, _CHARACTERS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 
@@ -45,32 +51,44 @@ def digest(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(F.xxhash64(first, text)), 16, "0")))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, next_id, next_text): the next row in descending doc_id, after the last the first."""
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     cells = 8 * shuffle_partitions(docs.sparkSession)
-    found = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells + 10_000)).first()[0]
-    borders = F.lit(found or []).cast("array<bigint>")
+    found = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells + 10_000).alias("q"), F.count("*").alias("n")).first()
+    borders = F.lit(found.q or []).cast("array<bigint>")
     steps = F.lit([1 << i for i in reversed(range(cells.bit_length()))])
     # borders up to the id, and those below it, by bisection
     upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
     hashed = F.xxhash64("text")
-    rows = rows.select("*", upto.alias("upto"), below.alias("below"))
+    rows = rows.select("*", upto.alias("upto"), below.alias("below"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     of_id = F.when(F.col("upto") == F.col("below"), F.col("upto")).otherwise(F.col("below") + 1 + F.pmod(hashed, F.col("upto") - F.col("below"))).cast("long")
-    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), of_id).otherwise(-1 - F.pmod(hashed, F.lit(cells))).alias("cell"))
+    rows = rows.select("doc_id", "text", "sha", F.when(F.col("doc_id").isNotNull(), of_id).otherwise(-1 - F.pmod(hashed, F.lit(cells))).alias("cell"))
     # a row for each cell, 16 * shuffle partitions at most: its first row, and the cell that comes before it
-    heads = rows.groupBy("cell").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "text")).alias("first"))
-    heads = heads.select("cell", F.bitwise_not("first.down").alias("head"), F.col("first.text").alias("head_text"))
+    heads = rows.groupBy("cell").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "sha")).alias("first"))
+    heads = heads.select("cell", F.bitwise_not("first.down").alias("head"), F.col("first.sha").alias("head_sha"))
     every = Window.orderBy("cell")
     target = F.coalesce(F.lead("cell").over(every), F.min("cell").over(Window.orderBy(F.lit(1))))
-    heads = heads.select(F.col("cell").alias("c"), "head", "head_text", target.alias("target"))
-    is_head = (rows["cell"] == heads["c"]) & (F.col("doc_id").eqNullSafe(F.col("head"))) & (F.col("text") == F.col("head_text"))
-    copies = F.array_compact(F.array(F.struct(F.col("cell").alias("at"), F.lit(0).alias("sent")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("at"), F.lit(1).alias("sent")))))
-    sent = rows.join(F.broadcast(heads), is_head, "left").select("doc_id", "text", F.explode(copies).alias("copy")).select("doc_id", "text", "copy.*")
-    window = Window.partitionBy("at").orderBy("sent", F.desc_nulls_last("doc_id"), "text")
-    led = sent.select("*", F.lead("doc_id").over(window).alias("next_id"), F.lead("text").over(window).alias("next_text"))
-    return led.where("sent = 0").select("doc_id", "text", "next_id", "next_text")
+    heads = heads.select(F.col("cell").alias("c"), "head", "head_sha", target.alias("target"))
+    # OFTEN groups of equal rows at most
+    often = rows.groupBy(F.col("doc_id").alias("d"), F.col("sha").alias("s")).agg(F.count("*").alias("copies")).where(F.col("copies") > max(least, found.n // OFTEN))
+    marked = rows.join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")), "left")
+    alone = marked.where("copies IS NULL").select("doc_id", "text", "sha", "cell", F.lit(1).cast("long").alias("copies"))
+    as_one = marked.where("copies IS NOT NULL").groupBy("doc_id", "sha", "cell", "copies").agg(F.first("text").alias("text")).select("doc_id", "text", "sha", "cell", "copies")
+    rows = alone.union(as_one)
+    is_head = (F.col("cell") == heads["c"]) & (F.col("doc_id").eqNullSafe(F.col("head"))) & (F.col("sha") == F.col("head_sha"))
+    sent_to = F.array_compact(F.array(F.struct(F.col("cell").alias("at"), F.lit(0).alias("sent")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("at"), F.lit(1).alias("sent")))))
+    sent = rows.join(F.broadcast(heads), is_head, "left").select("doc_id", "text", "sha", "copies", F.explode(sent_to).alias("copy")).select("doc_id", "text", "sha", "copies", "copy.*")
+    window = Window.partitionBy("at").orderBy("sent", F.desc_nulls_last("doc_id"), "sha")
+    led = sent.select("*", F.lead("doc_id").over(window).alias("next_id"), F.lead("text").over(window).alias("next_text")).where("sent = 0")
+    once = led.where("copies = 1").select("doc_id", "text", "next_id", "next_text")
+    # equal rows again: each is followed by the next copy, the last by what follows them all
+    parts = led.where("copies > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _PART)))).repartition("doc_id", "sha", "part")
+    each = parts.withColumn("k", F.explode(F.sequence(F.col("part") * _PART + 1, F.least(F.col("copies"), (F.col("part") + 1) * _PART))))
+    last = F.col("k") == F.col("copies")
+    again = each.select("doc_id", "text", F.when(last, F.col("next_id")).otherwise(F.col("doc_id")).alias("next_id"), F.when(last, F.col("next_text")).otherwise(F.col("text")).alias("next_text"))
+    return once.union(again)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

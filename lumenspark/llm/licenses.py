@@ -8,6 +8,10 @@ that are found, in order, are matched against the ordered rules: a rule fires wh
 stand next to each other in that sequence, whatever other sentences are between them in the text.  No
 shuffle is needed.
 
+Tags ``SPDX-License-Identifier: expression`` are read as expressions: each licence that stands in one, in parentheses or
+joined by AND or OR, is an identifier of its own, after those of the sentences; what follows WITH is an exception
+and no licence.  Old names, as GPL-2.0 and GPL-2.0+, count as what they mean.
+
 Rows: a null or blank text has no sentences and no licences; repeated rows and null ids are kept as
 they are; extra columns are ignored.
 """
@@ -121,7 +125,9 @@ SPDX = """
 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later
 MIT MPL-2.0 Unlicense Zlib
 """.split()
-FULL_SENTENCES |= {"spdx license identifier " + name.lower().replace("-", " ").replace(".", " "): f"spdx-{name.lower()}" for name in SPDX}
+# Families whose names were once given without "-only" or with "+" for "-or-later".
+SPDX_FAMILIES = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+SPDX_NAMES = {name.lower(): name for name in SPDX} | {f.lower(): f"{f}-only" for f in SPDX_FAMILIES} | {f"{f.lower()}+": f"{f}-or-later" for f in SPDX_FAMILIES}
 FULL_RULES += [(name, [f"spdx-{name.lower()}"]) for name in SPDX]
 
 #: Where pieces end: line ends, and white space after a sentence mark.
@@ -156,6 +162,14 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     return F.when(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{starts})(?![a-z0-9])"), found).otherwise(F.array().cast("array<string>"))
 
 
+def tag_ids(text: Column) -> Column:
+    """Identifiers of the licences in the tags of a text, in order."""
+    known = F.create_map(*[F.lit(x) for name, meant in SPDX_NAMES.items() for x in (name, f"spdx-{meant.lower()}")])
+    tags = F.regexp_extract_all(F.lower(text), F.lit(r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]+)"), F.lit(1))
+    names = F.flatten(F.transform(tags, lambda t: F.split(F.regexp_replace(t, r"\bwith[ \t]+[a-z0-9.-]+", " "), r"[() \t]+")))
+    return F.when(F.contains(F.lower(text), F.lit("spdx-license-identifier:")), F.filter(F.transform(names, lambda n: F.try_element_at(known, n)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_sentences, sentence_ids, licenses, n_licenses).
 
@@ -167,7 +181,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     found = rows.select(
         "doc_id",
         F.size(F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_sentences"),
-        sentence_ids(F.col("text"), sentences or SENTENCES | FULL_SENTENCES).alias("sentence_ids"),
+        F.concat(sentence_ids(F.col("text"), sentences or SENTENCES | FULL_SENTENCES), tag_ids(F.col("text"))).alias("sentence_ids"),
     )
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
     fired = F.array(*[F.when(F.contains(line, F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in (rules or RULES + FULL_RULES)])

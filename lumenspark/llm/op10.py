@@ -37,7 +37,7 @@ b AS (
 r AS (
   SELECT replica, page_id, E'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || lpad(coalesce(CAST(page_id AS VARCHAR), 'none'), 12, '0')
          || E'>\r\nWARC-Target-URI: ' || url || E'\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: ' || strlen(block) || E'\r\n\r\n' || block || E'\r\n\r\n' AS record FROM b),
-h AS (SELECT replica, page_id, CAST(floor(page_id / 4096) AS BIGINT) AS archive, page_id - 4096 * CAST(floor(page_id / 4096) AS BIGINT) AS place, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS hash FROM r),
+h AS (SELECT replica, page_id, (page_id - (page_id % 4096 + 4096) % 4096) // 4096 AS archive, (page_id % 4096 + 4096) % 4096 AS place, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS hash FROM r),
 o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM h WHERE replica = 0)
 SELECT o.page_id, o.archive, o."offset", o.length, o.hash, CASE WHEN h.hash IS NULL THEN 'missing' WHEN h.hash <> o.hash THEN 'corrupt' ELSE 'ok' END AS state
 FROM o LEFT JOIN h ON h.replica = 1 AND h.page_id = o.page_id

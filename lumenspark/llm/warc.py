@@ -7,24 +7,26 @@ level up to the root of each archive, and the archives in the same way into one
 that differ are looked at, until the records are found that are corrupt, missing or added.
 
 Trees are built level by level with grouped aggregation; a group has at most FANOUT ranges, so no
-task sees more than its share, and comparing moves hashes alone, never record bodies.
+task sees more than its share, and comparing moves hashes alone, never record bodies.  Levels are stored by
+SLOTS of archives; below the first level a level's files are read only for slots in which something differs.
 
 Rows: null urls and bodies are empty; a null page_id is in archive -1, place 0; rows that share a page_id
-are one leaf, whose hash is that of their number and of the least, the greatest and the sum of their
-records' hashes, so that no order and no list of them is needed; extra columns are ignored; an empty
-table has no nodes.
+are one leaf, whose hash is that of their sorted hashes with the number of each, taken in two steps by leading
+digits, so that no task holds all of them; extra columns are ignored; an empty table has no nodes.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import only, saved
+from lumenspark.llm.common import only, saved, shared_folder
 
 FANOUT = 64
-#: Record places in an archive.
-ARCHIVE = 4096
+#: Record places in an archive, and parts in which levels are stored.
+ARCHIVE, SLOTS = 4096, 64
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -41,13 +43,33 @@ def records(pages: DataFrame) -> DataFrame:
     return only(pages, "page_id", "url", "html").select("page_id", "url", F.concat(head.cast("binary"), block, F.lit("\r\n\r\n").cast("binary")).alias("record"))
 
 
+def _joined(hashes: DataFrame) -> DataFrame:
+    """(page_id, hash) -> (id, joined): one hash of all that share a page_id, whatever their order."""
+    counted = hashes.groupBy("page_id", "hash").agg(F.count("*").alias("n"))
+    line = lambda items: F.sha2(F.concat_ws(";", F.array_sort(F.collect_list(items))), 256)
+    parts = counted.groupBy("page_id", F.substring("hash", 1, 4).alias("lead")).agg(line(F.concat_ws("*", "hash", F.col("n").cast("string"))).alias("part"))
+    return parts.groupBy(F.col("page_id").alias("id")).agg(line(F.concat_ws(":", "lead", "part")).alias("joined"))
+
+
 def leaves(recorded: DataFrame) -> DataFrame:
     """(page_id, record) -> (archive, place, page_id, length, hash): a leaf for each page_id."""
     one = recorded.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("hash"))
-    several = one.groupBy("page_id").agg(F.sum("length").alias("length"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"), F.sum(F.conv(F.substring("hash", 1, 15), 16, 10).cast("decimal(38,0)")).alias("total"))
-    # rows that share a page_id: a hash of their count, least, greatest and sum, whatever their order and number
-    joined = F.when(F.col("n") == 1, F.col("low")).otherwise(F.sha2(F.concat_ws("|", F.col("n").cast("string"), "low", "high", F.col("total").cast("string")), 256))
-    return several.select(F.coalesce(F.floor(F.col("page_id") / ARCHIVE).cast("long"), F.lit(-1)).alias("archive"), F.coalesce(F.pmod("page_id", F.lit(ARCHIVE)), F.lit(0)).cast("long").alias("place"), "page_id", "length", joined.alias("hash"))
+    found = one.groupBy("page_id").agg(F.sum("length").alias("length"), F.min("hash").alias("hash"), F.count("*").alias("n"))
+    shared = found.where("n > 1").select(F.col("page_id").alias("id"))
+    several = _joined(one.join(shared, F.col("page_id").eqNullSafe(F.col("id")), "left_semi"))
+    told = found.join(several, F.col("page_id").eqNullSafe(F.col("id")), "left").withColumn("hash", F.coalesce("joined", "hash"))
+    place = F.pmod("page_id", F.lit(ARCHIVE))
+    archive = F.call_function("div", F.col("page_id") - place, F.lit(ARCHIVE).cast("long"))  # whole numbers: a double would part large ids
+    return told.select(F.coalesce(archive, F.lit(-1)).cast("long").alias("archive"), F.coalesce(place, F.lit(0)).cast("long").alias("place"), "page_id", "length", "hash")
+
+
+def _stored(nodes: DataFrame) -> DataFrame:
+    """A level by slots of archives."""
+    spark = nodes.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    nodes.withColumn("slot", F.pmod("archive", F.lit(SLOTS)).cast("int")).write.partitionBy("slot").parquet(path)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    return spark.read.schema(f"{kinds}, slot int").parquet(path)
 
 
 def _up(nodes: DataFrame, archive: Column, place: Column) -> DataFrame:
@@ -62,14 +84,14 @@ def _range_of(place: str | Column) -> Column:
 
 
 def trees(leaf: DataFrame) -> list[tuple[str, DataFrame]]:
-    """(replica, archive, place, length, hash) leaves -> saved levels from the leaves up to one root for each replica.
+    """(replica, archive, place, length, hash, slot) leaves -> stored levels from the leaves up to one root for each replica.
 
     A level is within archives, or, above their roots, over them (archive 0, place of archive a is a + 1).
     """
     levels = [("within", leaf)]
     size = ARCHIVE
     while size > 1:
-        levels.append(("within", saved(_up(levels[-1][1], F.col("archive"), _range_of("place")))))
+        levels.append(("within", _stored(_up(levels[-1][1], F.col("archive"), _range_of("place")))))
         size = -(-size // FANOUT)
     most = levels[-1][1].agg(F.max("archive")).first()[0]
     over = levels[-1][1].select("replica", F.lit(0).cast("long").alias("archive"), (F.col("archive") + 1).alias("place"), "length", "hash")
@@ -84,6 +106,9 @@ def trees(leaf: DataFrame) -> list[tuple[str, DataFrame]]:
 def _differ(nodes: DataFrame, among: DataFrame | None) -> DataFrame:
     """Nodes of one level that differ between the replicas, of those below the nodes given."""
     if among is not None:
+        if "slot" in nodes.columns:  # SLOTS numbers at most
+            slots = [r.slot for r in among.select(F.pmod("archive", F.lit(SLOTS)).cast("int").alias("slot")).distinct().collect()]
+            nodes = nodes.where(F.col("slot").isin(slots))
         keys = among.select("archive", F.col("place").alias("above"))
         nodes = nodes.withColumn("above", _range_of("place")).join(keys, ["archive", "above"], "left_semi")
     of = lambda r: F.max(F.when(F.col("replica") == r, F.col("hash")))
@@ -99,7 +124,7 @@ def audit(both: DataFrame) -> DataFrame:
             kind, bad = level, bad.select((F.col("place") - 1).alias("archive"), F.lit(0).cast("long").alias("place"))
             if i + 1 < len(levels):
                 continue
-        bad = _differ(nodes, bad)
+        bad = saved(_differ(nodes, bad))
     return bad
 
 
@@ -110,9 +135,9 @@ def fixity(primary: DataFrame, replica: DataFrame) -> DataFrame:
     replica, null if it lacks the record; state is ok, corrupt, missing (not in the replica) or
     added (only there).
     """
-    both = saved(leaves(primary).withColumn("replica", F.lit(0)).union(leaves(replica).withColumn("replica", F.lit(1))))
+    both = _stored(leaves(primary).withColumn("replica", F.lit(0)).union(leaves(replica).withColumn("replica", F.lit(1))))
     a, b = both.where("replica = 0"), both.where("replica = 1")
-    bad = saved(audit(both.select("replica", "archive", "place", "length", "hash"))).select("archive", "place", F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("corrupt").alias("found"))
+    bad = audit(both.select("replica", "archive", "place", "length", "hash", "slot")).select("archive", "place", F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("corrupt").alias("found"))
     before = Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.select("archive", "place", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "hash")
     new = b.join(bad.where("found = 'added'"), ["archive", "place"], "left_semi").select("archive", "place", "page_id", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"), "hash")

@@ -338,6 +338,40 @@ def test_license_texts_wrapped_and_unwrapped(spark):
     assert got[-1].sentence_ids == ["gpl3-version", "gpl-warranty"] and got[-1].licenses == [] and got[-2].sentence_ids == []
 
 
+def test_equal_rows_of_a_third_of_the_table_and_long_heads(spark):
+    from lumenspark.llm import fingerprints as f
+
+    rows = [(d, f"text {d}") for d in range(60)] + [(30, "same words")] * 400 + [(None, "nobody")] * 300 + [(59, "x" * 3_000_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    led = f.with_next(frame, least=20).collect()
+    plain = f.with_next(frame, least=10_000).collect()
+    assert len(led) == len(rows) and sorted(map(str, led)) == sorted(map(str, plain))
+    follows = {}
+    for r in led:
+        follows.setdefault((r.doc_id, r.text), []).append((r.next_id, r.next_text))
+    assert follows[30, "same words"].count((30, "same words")) == 399 and follows[None, "nobody"].count((None, "nobody")) == 299
+    plan = f.with_next(frame)._jdf.queryExecution().executedPlan().toString()
+    broadcast = [line for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert broadcast and "head_text" not in plan
+
+
+def test_spdx_expressions_and_old_names(spark):
+    from lumenspark.llm.licenses import scan
+
+    rows = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "# SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only"],
+        "/* SPDX-License-Identifier: GPL-2.0+ */\nint x;": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: (LGPL-2.1-only OR BSD-3-Clause) AND ISC": ["BSD-3-Clause", "ISC", "LGPL-2.1-only"],
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\n\nand mit": ["GPL-2.0-or-later"],
+        "spdx-license-identifier: LGPL-3.0+\nSPDX-License-Identifier:\tmpl-2.0": ["LGPL-3.0-or-later", "MPL-2.0"],
+        "SPDX-License-Identifier: Made-Up-1.0": [],
+        "MIT OR Apache-2.0": [],
+    }
+    got = {r.doc_id: r.licenses for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [sorted(got[i]) for i in range(len(rows))] == list(rows.values())
+
+
 def test_other_licenses_and_tags(spark):
     import textwrap
 
@@ -427,6 +461,11 @@ def test_fixity_of_shared_ids_nulls_and_other_columns(spark):
     state = lambda a, b: {r.page_id: r.state for r in fixity(make(a), make(b)).collect()}
     assert state(rows, rows[::-1]) == {1: "ok", 2: "ok", None: "ok", 5000: "ok"}
     assert state(rows, rows[1:]) == {1: "corrupt", 2: "ok", None: "ok", 5000: "ok"}
+    assert state(rows[:4] + [rows[0]], rows[:4] + [rows[1]])[1] == "corrupt"  # as many, with the same least and greatest
+    large = [((1 << 62) + 3584, "u", "b"), ((1 << 62) + 4096, "u", "c"), (-5, "u", "d"), (-(1 << 63), "u", "e"), ((1 << 63) - 1, "u", "f")]
+    out = {r.page_id: r for r in fixity(make(large), make(large[1:])).collect()}
+    assert out[(1 << 62) + 3584].state == "missing" and out[(1 << 62) + 3584].archive == (1 << 50) and out[(1 << 62) + 4096].archive == (1 << 50) + 1
+    assert all(r.archive == r.page_id // 4096 and (r.state == "ok") == (r.page_id != (1 << 62) + 3584) for r in out.values())
     assert state(rows[:4], [*rows[:3], *rows[4:]]) == {1: "ok", 2: "missing", None: "added", 5000: "added"}
 
 
