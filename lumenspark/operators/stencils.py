@@ -1,7 +1,7 @@
 """Linear stencils on pixel tables; a check of the array kernels, and the way for pixels that come as rows.
 
 A pixel sends its value to the places that look at it, so a pass is one grouping with partial sums
-and no join.  Pixels beyond an edge repeat the edge pixel ("edge") or mirror without it ("mirror").
+and no join.  Pixels beyond an edge repeat the edge pixel ("edge"), mirror without it ("mirror"), or count nothing ("none").
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ def _seen_at(at: Column, size: Column, reach: Column, mode: str) -> Column:
         before = F.when((at > 0) & (at <= reach), F.array(-at)).otherwise(none)
         mirrored = 2 * (size - 1) - at
         after = F.when((at < size - 1) & (mirrored <= size - 1 + reach), F.array(mirrored)).otherwise(none)
+    elif mode == "none":
+        return F.array(at)
     else:
-        raise ValueError(f"mode must be edge or mirror, not {mode!r}")
+        raise ValueError(f"mode must be edge, mirror or none, not {mode!r}")
     return F.concat(before, F.array(at), after)
 
 
@@ -39,12 +41,16 @@ def along(pixels: DataFrame, keys: list[str], axis: str, taps: Column, value: st
     return inside.groupBy(*keys, "row", "col", "height", "width").agg(F.sum(F.col("_weight") * F.col(value)).alias(value))
 
 
-def gaussian(pixels: DataFrame, keys: list[str], sigma: Column, value: str = "v") -> DataFrame:
-    """Separable Gaussian smoothing; edges repeat the last pixel."""
+def gaussian_taps(sigma: Column) -> Column:
+    """The weights of a Gaussian within four sigma."""
     reach = F.floor(4 * sigma + 0.5).cast("int")
     raw = F.transform(F.sequence(-reach, reach), lambda k: F.exp(-(k * k) / (2 * sigma * sigma)))
-    taps = F.transform(raw, lambda t: t / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
-    weighted = pixels.withColumn("_sigma_taps", taps)
+    return F.transform(raw, lambda t: t / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+
+
+def gaussian(pixels: DataFrame, keys: list[str], sigma: Column, value: str = "v") -> DataFrame:
+    """Separable Gaussian smoothing; edges repeat the last pixel."""
+    weighted = pixels.withColumn("_sigma_taps", gaussian_taps(sigma))
     return along(along(weighted, [*keys, "_sigma_taps"], "row", F.col("_sigma_taps"), value, "edge"), keys, "col", F.col("_sigma_taps"), value, "edge")
 
 

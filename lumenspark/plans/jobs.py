@@ -97,6 +97,13 @@ def unknown_models(spark: SparkSession, d: str) -> DataFrame:
     return scoring.unknown_models(proxies.run_log(spark, d), ["click", "view"]).select("model", "tile_filename")
 
 
+@query(f"WITH {proxies.R_SQL}, k AS (SELECT *, source_filename || '/' || model AS stage FROM r) SELECT DISTINCT stage FROM k WHERE stage NOT IN (SELECT stage FROM k WHERE elapsed_seconds > 95)")
+def empty_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by source and model of which no row takes over 95 seconds: their tables of such rows are empty."""
+    log = proxies.run_log(spark, d).withColumn("stage", F.concat_ws("/", "source_filename", "model"))
+    return images.empty_tables(log, log.where(F.col("elapsed_seconds") > 95), "stage")
+
+
 # Scorers that hold to the contract of boundary maps, or break it.
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenspark.functions import colour, kernels
 from lumenspark.functions.params import Border, Enhance, Quality, scaled
 from lumenspark.operators import colour_mode, quality, scoring, tiling
+from lumenspark.plans import names
 from lumenspark.plans.names import OVERLAP, SIZE, dims
 from lumenspark.sources import proxies
 from lumenspark.sources.images import map_images, scratch_folder, to_payload, to_pixels
@@ -471,9 +472,7 @@ _SOBEL = " + ".join(f"{weight} * ({_cell('sm', 'y + 1', f'x + ({b})')} - {_cell(
 _SOBEL_X = " + ".join(f"{weight} * ({_cell('sm', f'y + ({a})', 'x + 1')} - {_cell('sm', f'y + ({a})', 'x - 1')})" for weight, a in ((1, -1), (2, 0), (1, 1)))
 
 # Gradients of the smoothed luminance, ridges, parts that reach the upper threshold by a recursive walk, and smoothing.
-SQL["score_canny"] = f"""{_TILE.replace("WITH ", "WITH RECURSIVE ", 1)}, mg AS (SELECT DISTINCT filename, magnification FROM l),
-px AS (SELECT {_CANNY_KEYS}, local_row AS y, local_col AS x, magnification / 100.0::DOUBLE AS s, 0.299::DOUBLE * (r / 255.0::DOUBLE) + 0.587::DOUBLE * (g / 255.0::DOUBLE) + 0.114::DOUBLE * (b / 255.0::DOUBLE) AS v FROM tp JOIN mg USING (filename)),
-th AS (SELECT {_CANNY_KEYS}, any_value(s) AS s, quantile_cont(v, 0.6) AS lo, quantile_cont(v, 0.9) AS hi, list(v ORDER BY y, x) AS v FROM px GROUP BY ALL),
+_EDGES = f"""th AS (SELECT {_CANNY_KEYS}, any_value(s) AS s, quantile_cont(v, 0.6) AS lo, quantile_cont(v, 0.9) AS hi, list(v ORDER BY y, x) AS v FROM px GROUP BY ALL),
 pl AS (SELECT CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x FROM (SELECT unnest(range(64)) AS i)), k AS (SELECT CAST(unnest(range(-8, 9)) AS INT) AS k), ss AS (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) AS s),
 ta AS (SELECT s, k, exp(-(k * k) / (2 * s * s)) / sum(exp(-(k * k) / (2 * s * s))) OVER (PARTITION BY s) AS w FROM ss, k WHERE abs(k) <= floor(4 * s + 0.5::DOUBLE)),
 nm AS (SELECT s, y, sum(w) AS n FROM ta, (SELECT DISTINCT y FROM pl) WHERE y + k BETWEEN 0 AND 7 GROUP BY ALL),
@@ -487,20 +486,26 @@ rd AS (SELECT {_CANNY_KEYS}, y, x, m, lo, hi, y BETWEEN 1 AND 6 AND x BETWEEN 1
   AND (1 - share) * {_ahead("y + CASE WHEN flat THEN 0 ELSE dv END", "x + CASE WHEN flat THEN du ELSE 0 END")} + share * {_ahead("y + dv", "x + du")} <= m + 1e-9::DOUBLE
   AND (1 - share) * {_ahead("y - CASE WHEN flat THEN 0 ELSE dv END", "x - CASE WHEN flat THEN du ELSE 0 END")} + share * {_ahead("y - dv", "x - du")} <= m + 1e-9::DOUBLE AND m >= lo AND m > 0 AS weak FROM gm JOIN gl USING ({_CANNY_KEYS}) JOIN th USING ({_CANNY_KEYS})),
 wk AS MATERIALIZED (SELECT * FROM rd WHERE weak),
-rc AS (SELECT {_CANNY_KEYS}, y, x FROM wk WHERE m >= hi UNION SELECT b.filename, b.row0, b.col0, b.y, b.x FROM rc a JOIN wk b ON (a.filename = b.filename AND a.row0 = b.row0 AND a.col0 = b.col0 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)),
+rc AS (SELECT {_CANNY_KEYS}, y, x FROM wk WHERE m >= hi UNION SELECT b.filename, b.row0, b.col0, b.y, b.x FROM rc a JOIN wk b ON (a.filename = b.filename AND a.row0 = b.row0 AND a.col0 = b.col0 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1))"""
+SQL["score_canny"] = f"""{_TILE.replace("WITH ", "WITH RECURSIVE ", 1)}, mg AS (SELECT DISTINCT filename, magnification FROM l),
+px AS (SELECT {_CANNY_KEYS}, local_row AS y, local_col AS x, magnification / 100.0::DOUBLE AS s, 0.299::DOUBLE * (r / 255.0::DOUBLE) + 0.587::DOUBLE * (g / 255.0::DOUBLE) + 0.114::DOUBLE * (b / 255.0::DOUBLE) AS v FROM tp JOIN mg USING (filename)),
+{_EDGES},
 ed AS (SELECT t.filename, t.row0, t.col0, list(CASE WHEN rc.y IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY pl.y, pl.x) AS e FROM th t CROSS JOIN pl LEFT JOIN rc ON (rc.filename = t.filename AND rc.row0 = t.row0 AND rc.col0 = t.col0 AND rc.y = pl.y AND rc.x = pl.x) GROUP BY ALL),
 f1 AS (SELECT {_CANNY_KEYS}, list(z ORDER BY y, x) AS e FROM (SELECT {_CANNY_KEYS}, y, x, sum(w * {_cell("e", "y + k", "x")}) AS z FROM ed, pl, ta WHERE ta.s = 1 GROUP BY ALL) GROUP BY ALL),
 f2 AS (SELECT {_CANNY_KEYS}, y, x, sum(w * {_cell("e", "y", "x + k")}) AS z FROM f1, pl, ta WHERE ta.s = 1 GROUP BY ALL),
 f3 AS (SELECT *, max(z) OVER (PARTITION BY {_CANNY_KEYS}) AS top FROM f2), f4 AS (SELECT {_CANNY_KEYS}, CAST(CAST(least(greatest(CASE WHEN top > 0 THEN z / top ELSE z END, 0), 1) AS FLOAT) AS DOUBLE) AS z FROM f3)
 SELECT 'canny' AS model, filename AS source_filename, printf('%s_r%05d_c%05d.npy', regexp_replace(filename, '\\.[^.]+$', ''), row0, col0) AS tile_filename, round(min(z), 6) AS low, round(avg(z), 6) AS mean, round(max(z), 6) AS high FROM f4 GROUP BY {_CANNY_KEYS}"""
+# The same edges of the gray images, as places.
+EDGES_SQL = f"""WITH RECURSIVE {proxies.E_SQL}, px AS (SELECT filename, 0 AS row0, 0 AS col0, "row" AS y, col AS x, magnification / 100.0::DOUBLE AS s, v FROM e),
+{_EDGES.replace("quantile_cont(v, 0.6)", "0.1::DOUBLE * quantile_cont(v, 0.6)").replace("quantile_cont(v, 0.9)", "0.3::DOUBLE * quantile_cont(v, 0.9)")} SELECT filename, y AS "row", x AS col FROM rc"""
 
 
-@query()
+@query(f"{names._GRID} SELECT model, count(*) AS ran, count(*) AS ok, 0::BIGINT AS failed FROM tiles, (SELECT unnest(['canny', 'watershed']) AS model) GROUP BY model")
 def score_all(spark: SparkSession, d: str) -> DataFrame:
     return scoring.run_summary(scoring.score(scoring.pairs(_unit_tiles(spark, d), ["canny", "watershed"]))).drop("elapsed_seconds")
 
 
-@query()
+@query(f"{names._GRID} SELECT 'canny' AS model, filename AS source_filename, tile_filename, 'ok' AS status FROM tiles")
 def stream_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that arrive as files are scored once each; the same as score_all for one model."""
     folder = scratch_folder(spark)

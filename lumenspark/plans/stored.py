@@ -1,4 +1,4 @@
-"""Queries of what is stored and read again: decoded files, ordered logs, bucketed tables, strips."""
+"""Queries of what is stored and read again: decoded files, ordered logs, bucketed tables, strips; and edges of pixel tables."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.functions import kernels
-from lumenspark.functions.params import Enhance, Tiling, scaled
-from lumenspark.operators import jobs, scoring, strips, tiling
+from lumenspark.functions.params import Tiling, scaled
+from lumenspark.operators import edges, jobs, scoring, strips
 from lumenspark.plans import jobs as job_queries
 from lumenspark.plans import names, pixels
 from lumenspark.plans.names import OVERLAP, SIZE, dims
@@ -147,3 +147,13 @@ def reassembled_strips(spark: SparkSession, d: str) -> DataFrame:
     made = strips.reassemble_in_strips(sized, 5, OVERLAP)
     shown = images.to_pixels(made, ("source_filename", "strip_row0"), ("r", "g", "b"))
     return shown.select(F.col("source_filename").alias("filename"), (F.col("row") + F.col("strip_row0")).alias("row"), "col", "r", "g", "b")
+
+
+# Edges of pixel tables.
+
+
+@query(pixels.EDGES_SQL)
+def canny_table(spark: SparkSession, d: str) -> DataFrame:
+    gray = proxies.gray_pixels(spark, d).withColumns({"height": F.lit(8), "width": F.lit(8)})
+    limits = gray.groupBy("filename").agg((0.1 * F.percentile("v", F.lit(0.6))).alias("low"), (0.3 * F.percentile("v", F.lit(0.9))).alias("high"))
+    return edges.canny(gray, ["filename"], scaled(1.0), limits).select("filename", "row", "col")

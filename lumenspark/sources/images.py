@@ -38,6 +38,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def empty_tables(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Of the wanted names, those of which a log has no row: the stages that require_rows refuses."""
+    return wanted.select(key).distinct().join(rows.select(key), key, "left_anti")
+
+
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, path, length) of the image files of a folder, subfolders left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length")

@@ -276,3 +276,24 @@ def test_a_source_is_assembled_by_strip(spark):
     assert [r.strip for r in rows] == list(range(40)) and (np.concatenate([images.array_of(r) for r in rows]) == a).all()
     whole = strips.join_strips(made, ("source_filename",)).first()
     assert (images.array_of(whole) == a).all()
+
+
+def test_edges_of_a_pixel_table_equal_the_kernel(spark):
+    from lumenspark.operators import edges
+
+    rng = np.random.default_rng(6)
+    arrays = [kernels.gaussian(rng.random((23, 31)), 1.0), np.pad(np.ones((9, 9)), 8), np.tile(np.sin(np.arange(40) / 3), (12, 1))]
+    rows = [(f"i{i}", r, c, *a.shape, float(a[r, c])) for i, a in enumerate(arrays) for r in range(a.shape[0]) for c in range(a.shape[1])]
+    pixels = spark.createDataFrame(rows, "filename string, row int, col int, height int, width int, v double")
+    limits = [(f"i{i}", *map(float, np.percentile(a, [60, 90]) * 0.4)) for i, a in enumerate(arrays)]
+    found = edges.canny(pixels, ["filename"], F.lit(1.0), spark.createDataFrame(limits, "filename string, low double, high double")).collect()
+    for i, a in enumerate(arrays):
+        want = kernels.canny(a, 1.0, limits[i][1], limits[i][2])
+        got = [r for r in found if r.filename == f"i{i}"]
+        assert {(r.row, r.col) for r in got} == set(zip(*map(list, np.nonzero(want)), strict=True)) and (i == 2 or got)
+    mask = rng.random((20, 20)) < 0.4
+    some = spark.createDataFrame([("m", int(r), int(c), 20) for r, c in zip(*np.nonzero(mask), strict=True)], "filename string, row int, col int, width int")
+    parts = {(r.row, r.col): r.part for r in edges.connected(some, ["filename"]).collect()}
+    label = kernels.connected(mask)
+    first = {n: min(r * 20 + c for r, c in zip(*np.nonzero(label == n), strict=True)) for n in range(1, label.max() + 1)}
+    assert parts == {(r, c): first[label[r, c]] for r, c in parts} and len(parts) == mask.sum()
