@@ -14,8 +14,8 @@ Neighbours in descending doc_id come without a global sort: doc_id is cut into c
 quantiles, an id that several of them hit has as many cells, by a hash of the text; the first row of
 each cell is also sent to the cell that precedes it, and each cell is sorted by itself.  The table of
 first rows, one for each cell, is broadcast with digests in place of texts.  Rows equal in id and text that are
-more than one in OFTEN of all are sorted as one, and become as many again afterwards, in parts: at most OFTEN such
-groups can exist, so that their list, too, may be broadcast.
+more than one in OFTEN of all are sorted as one, which counts as many; their results become as many again at the
+end, in parts, when they hold no text.  At most OFTEN such groups can exist, so that their list, too, may be broadcast.
 
 Rows: a null text is the empty text; the canonical form of blank texts is empty; rows with one
 doc_id are ordered by cell, then by the SHA-256 of the text, null ids come last in an order of their texts' hashes; repeated rows are rows of their own; the next row of the
@@ -31,8 +31,8 @@ from lumenspark.llm.common import only, saved, shuffle_partitions
 
 #: Groups of equal rows with more than one row in so many are sorted as one row, if they are more than LEAST.
 OFTEN, LEAST = 10_000, 1000
-#: Equal rows that one task makes of the one at a time.
-_PART = 10_000
+#: Equal rows that are made of one at a time.
+PART = 10_000
 _NORMALIZER, _CHARACTERS = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 
@@ -51,8 +51,21 @@ def digest(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(F.xxhash64(first, text)), 16, "0")))
 
 
+def expanded(rows: DataFrame) -> DataFrame:
+    """Each row as often as its copies say; groups of equal ones are dealt to tasks in parts."""
+    once = rows.where("copies = 1").drop("copies")
+    parts = rows.where("copies > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / PART))))
+    parts = parts.repartition(shuffle_partitions(rows.sparkSession), F.xxhash64("doc_id", "part"))
+    inside = F.least(F.col("copies") - F.col("part") * PART, F.lit(PART))
+    again = parts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), inside))).select(once.columns)
+    return once.union(again)
+
+
 def with_next(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text, next_id, next_text): the next row in descending doc_id, after the last the first."""
+    """(doc_id, text) -> (doc_id, text, next_id, next_text, copies): the next row in descending doc_id, after the last the first.
+
+    copies: how many rows are meant; of equal rows, each is followed by the next, and the last by what follows them all.
+    """
     rows = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     cells = 8 * shuffle_partitions(docs.sparkSession)
     found = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells + 10_000).alias("q"), F.count("*").alias("n")).first()
@@ -62,7 +75,7 @@ def with_next(docs: DataFrame, least: int = LEAST) -> DataFrame:
     upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(borders, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
     hashed = F.xxhash64("text")
-    rows = rows.select("*", upto.alias("upto"), below.alias("below"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    rows = rows.select("*", upto.alias("upto"), below.alias("below"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     of_id = F.when(F.col("upto") == F.col("below"), F.col("upto")).otherwise(F.col("below") + 1 + F.pmod(hashed, F.col("upto") - F.col("below"))).cast("long")
     rows = rows.select("doc_id", "text", "sha", F.when(F.col("doc_id").isNotNull(), of_id).otherwise(-1 - F.pmod(hashed, F.lit(cells))).alias("cell"))
     # a row for each cell, 16 * shuffle partitions at most: its first row, and the cell that comes before it
@@ -82,17 +95,13 @@ def with_next(docs: DataFrame, least: int = LEAST) -> DataFrame:
     sent = rows.join(F.broadcast(heads), is_head, "left").select("doc_id", "text", "sha", "copies", F.explode(sent_to).alias("copy")).select("doc_id", "text", "sha", "copies", "copy.*")
     window = Window.partitionBy("at").orderBy("sent", F.desc_nulls_last("doc_id"), "sha")
     led = sent.select("*", F.lead("doc_id").over(window).alias("next_id"), F.lead("text").over(window).alias("next_text")).where("sent = 0")
-    once = led.where("copies = 1").select("doc_id", "text", "next_id", "next_text")
-    # equal rows again: each is followed by the next copy, the last by what follows them all
-    parts = led.where("copies > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _PART)))).repartition("doc_id", "sha", "part")
-    each = parts.withColumn("k", F.explode(F.sequence(F.col("part") * _PART + 1, F.least(F.col("copies"), (F.col("part") + 1) * _PART))))
-    last = F.col("k") == F.col("copies")
-    again = each.select("doc_id", "text", F.when(last, F.col("next_id")).otherwise(F.col("doc_id")).alias("next_id"), F.when(last, F.col("next_text")).otherwise(F.col("text")).alias("next_text"))
-    return once.union(again)
+    last = F.struct("next_id", "next_text", F.lit(1).cast("long").alias("copies"))
+    others = F.when(F.col("copies") > 1, F.struct(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), (F.col("copies") - 1).alias("copies")))
+    return led.select("doc_id", "text", F.explode(F.array_compact(F.array(last, others))).alias("then")).select("doc_id", "text", "then.*")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> digests of each row's text and edited text, their likeness, and SHA-256 of the canonical forms.
+    """(doc_id, text) -> digests of each row's text and edited text, their likeness, SHA-256 of the canonical forms, and copies.
 
     The edited text is the text with its last floor(n / 2) code points replaced by the first as many,
     or all, of the next row's text.
@@ -101,9 +110,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    made = led.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited_text"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.col("next_text")).alias("x"))
+    made = led.select("doc_id", "copies", n.cast("long").alias("n_chars"), edited.alias("edited_text"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.col("next_text")).alias("x"))
     return made.select(
         "doc_id",
+        "copies",
         "n_chars",
         F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
         digest(F.col("c")).alias("digest"),
@@ -132,4 +142,4 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     own, other = bad.select(F.col("bucket").alias("own")), bad.select(F.col("bucket").alias("other"))
     told = rows.join(own, rows["digest"] == own["own"], "left").join(other, rows["edited_digest"] == other["other"], "left")
     name = lambda base, sure, hit: F.concat(F.col(base), F.when(F.col(hit).isNotNull(), F.concat(F.lit("-"), F.col(sure))).otherwise(F.lit("")))
-    return told.select("doc_id", "n_chars", "edited_sha256", name("digest", "sure", "own").alias("fingerprint"), name("edited_digest", "edited_sure", "other").alias("edited_fingerprint"), "near_edited", "near_next")
+    return expanded(told.select("doc_id", "copies", "n_chars", "edited_sha256", name("digest", "sure", "own").alias("fingerprint"), name("edited_digest", "edited_sure", "other").alias("edited_fingerprint"), "near_edited", "near_next"))
