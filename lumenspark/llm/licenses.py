@@ -2,11 +2,12 @@
 
 A text is cut into pieces at line ends and after sentence marks, and normalised (lower case, runs of
 anything but letters and digits as one blank).  A known licence sentence is found where it begins and
-ends with a piece; it may go on over line ends and marks inside it, but not over a blank line.  At one
+ends with a piece; it may go on over line ends and marks inside it, but not over a blank line.  A notice ("licensed
+under ...") also counts where it begins a piece that goes on with other words.  At one
 place the longest known sentence is taken, and what it covers is not looked at again.  The identifiers
 that are found, in order, are matched against the ordered rules: a rule fires where its identifiers
-stand next to each other in that sequence, whatever other sentences are between them in the text.  No
-shuffle is needed.
+stand next to each other in that sequence, whatever other sentences are between them in the text, unless they
+are part of a longer rule that fires there.  No shuffle is needed.
 
 Tags ``SPDX-License-Identifier: expression`` are read as expressions: each licence that stands in one, in parentheses or
 joined by AND or OR, is an identifier of its own, after those of the sentences; what follows WITH is an exception
@@ -101,6 +102,17 @@ FULL_SENTENCES = {
     _CC.format("the", ""): "ccby4-notice",
     _CC.format("a", "noncommercial "): "ccbync4-notice",
     _CC.format("the", "noncommercial "): "ccbync4-notice",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "mozilla public license version 2 0": "mpl2-title",
+    "the content of this page is licensed under cc by 4 0": "ccby4-notice",
+    "dual licensed under the mit license or the apache license version 2 0": "mit-or-apache2-notice",
+    "dual licensed under the apache license version 2 0 or the mit license": "mit-or-apache2-notice",
+    "licensed under either of apache license version 2 0 or mit license at your option": "mit-or-apache2-notice",
 }
 
 FULL_RULES = [
@@ -117,6 +129,15 @@ FULL_RULES = [
     ("Zlib", ["zlib-grant"]),
     ("BSL-1.0", ["bsl1-grant"]),
     ("CC-BY-SA-4.0", ["ccbysa4-notice"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("GPL-3.0-only", ["gpl3-title"]),
+    ("GPL-2.0-only", ["gpl2-title"]),
+    ("LGPL-3.0-only", ["lgpl3-title"]),
+    ("LGPL-2.1-only", ["lgpl21-title"]),
+    ("AGPL-3.0-only", ["agpl3-title"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("MIT", ["mit-or-apache2-notice"]),
+    ("Apache-2.0", ["mit-or-apache2-notice"]),
 ]
 
 # Names of licences that a tag "SPDX-License-Identifier: name" may give.
@@ -130,6 +151,9 @@ SPDX_FAMILIES = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 SPDX_NAMES = {name.lower(): name for name in SPDX} | {f.lower(): f"{f}-only" for f in SPDX_FAMILIES} | {f"{f.lower()}+": f"{f}-or-later" for f in SPDX_FAMILIES}
 FULL_RULES += [(name, [f"spdx-{name.lower()}"]) for name in SPDX]
 
+# How sentences begin that also count where more words follow.
+NOTICES = ("licensed under", "released under", "dual licensed under", "this software is released under")
+
 #: Where pieces end: line ends, and white space after a sentence mark.
 SENTENCE_END = r"[.!?;:][ \t]+|[\r\n]+"
 # Capitals, which no lower-case text has, mark the ends of pieces (S) and of paragraphs (P).
@@ -157,8 +181,12 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     starts = "|".join(sorted({"[^a-z0-9]++".join(s.split(" ")[:3]) for s in sentences}))
     longest = "|".join(s.replace(" ", "[ S]") for s in sorted(sentences, key=len, reverse=True))
     named = F.regexp_replace(marked(text), _OWNER, "$1the copyright holder$2")
-    hits = F.regexp_extract_all(named, F.lit(rf"[SP]{_LIST_MARK}({longest})(?=[SP])"), F.lit(1))
-    found = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, _PIECE, " ")))
+    amid = "|".join(s.replace(" ", "[ S]") for s in sorted(sentences, key=len, reverse=True) if s.startswith(NOTICES))
+    # where a piece is no known sentence as a whole, a notice at its beginning counts, and what follows it not
+    part = rf"|[SP](?:{amid})(?= )" if amid else ""
+    hits = F.regexp_extract_all(named, F.lit(rf"[SP]{_LIST_MARK}(?:{longest})(?=[SP]){part}"), F.lit(0))
+    hits = F.transform(hits, lambda s: F.trim(F.regexp_replace(F.translate(s, "SP", "  "), rf"^ *{_LIST_MARK.replace('S', ' ')}", "")))
+    found = F.transform(hits, lambda s: F.try_element_at(known, s))
     return F.when(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{starts})(?![a-z0-9])"), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -184,6 +212,16 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
         F.concat(sentence_ids(F.col("text"), sentences or SENTENCES | FULL_SENTENCES), tag_ids(F.col("text"))).alias("sentence_ids"),
     )
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
-    fired = F.array(*[F.when(F.contains(line, F.lit("|" + "|".join(ids) + "|")), F.lit(name)) for name, ids in (rules or RULES + FULL_RULES)])
+    rules = rules or RULES + FULL_RULES
+
+    def fires(name: str, ids: list[str]) -> Column:
+        own, rest = "|" + "|".join(ids) + "|", line
+        for other, more in rules:
+            longer = "|" + "|".join(more) + "|"
+            if other != name and own in longer and own != longer:
+                rest = F.replace(rest, F.lit(longer), F.lit("|"))
+        return F.contains(rest, F.lit(own))
+
+    fired = F.array(*[F.when(fires(name, ids), F.lit(name)) for name, ids in rules])
     licenses = F.array_distinct(F.filter(fired, lambda x: x.isNotNull()))
     return found.select("*", licenses.alias("licenses")).select("*", F.size("licenses").cast("long").alias("n_licenses"))

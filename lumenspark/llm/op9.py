@@ -16,7 +16,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    fired = ", ".join(f"CASE WHEN contains(line, '|{'|'.join(ids)}|') THEN {k} END" for k, (_, ids) in enumerate(RULES))
+
+    def rest(name: str, ids: list[str]) -> str:
+        own, out = f"|{'|'.join(ids)}|", "line"
+        for other, more in RULES:
+            longer = f"|{'|'.join(more)}|"
+            if other != name and own in longer and own != longer:
+                out = f"replace({out}, '{longer}', '|')"
+        return out
+
+    fired = ", ".join(f"CASE WHEN contains({rest(name, ids)}, '|{'|'.join(ids)}|') THEN {k} END" for k, (name, ids) in enumerate(RULES))
     names = ", ".join(f"'{name}'" for name, _ in RULES)
     return f"""
 WITH known(s, id) AS (VALUES {known}),

@@ -52,7 +52,6 @@ def test_language_edges(spark):
 
 
 def test_language_sample_has_every_language(spark, monkeypatch):
-    import pytest
     from pyspark.sql import functions as F
 
     from lumenspark.llm import language
@@ -63,8 +62,12 @@ def test_language_sample_has_every_language(spark, monkeypatch):
     assert sorted(r[1] for r in got) == sorted(2 * [str(i) for i in range(1200)]) and len(set(got)) == 2400
     crowd = docs.limit(0).union(spark.range(500).selectExpr("7L", "'same'", "'a'")).union(spark.range(20).selectExpr("id", "'x'", "'b'"))
     assert {r[1] for r in language.fit_on(crowd, F.lit(True), sample=10)} == {"a", "b"}
-    with pytest.raises(ValueError, match="1200 languages"):
-        language.fit_on(docs, F.lit(True), sample=1000)
+    # more languages than rows: the commonest, one row each; and an id that a third of the rows share
+    many = docs.union(spark.range(5000, 5900).selectExpr("id", "concat('more ', id)", "'7'")).union(spark.range(1500).selectExpr("11L", "concat('copy ', id % 3)", "'11'"))
+    got = language.fit_on(many, F.lit(True), sample=1000)
+    assert len(got) == 1000 and len({r[1] for r in got}) == 1000 and "7" in {r[1] for r in got}
+    hot = spark.range(400).selectExpr("5L AS doc_id", "'same words' AS text", "'a' AS lang").union(spark.range(20).selectExpr("id", "concat('x ', id)", "'b'"))
+    assert sorted(r[1] for r in language.fit_on(hot, F.lit(True), sample=10)) == ["a", *["b"] * 5]
 
 
 def test_language_tables_equal_the_network():
@@ -316,7 +319,7 @@ def test_license_texts_wrapped_and_unwrapped(spark):
     texts = {"MIT": MIT_TEXT, "BSD": BSD_TEXT, "BSD list": BSD_TEXT.replace("1.", "(1)").replace("2.", "(2)").replace("3.", "(c)"), "GPL": GPL_TEXT, "GPL ;": semicolon, "Apache": APACHE_TEXT}
     want = {
         "MIT": (["mit-grant", "mit-condition", "mit-warranty"], ["MIT"]),
-        "BSD": (["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-3-Clause", "BSD-2-Clause"]),
+        "BSD": (["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-3-Clause"]),
         "GPL": (["gpl3-or-later-grant", "gpl-warranty"], ["GPL-3.0-or-later"]),
         "Apache": (["apache2-notice", "apache2-condition", "apache2-warranty"], ["Apache-2.0"]),
     }
@@ -338,23 +341,47 @@ def test_license_texts_wrapped_and_unwrapped(spark):
     assert got[-1].sentence_ids == ["gpl3-version", "gpl-warranty"] and got[-1].licenses == [] and got[-2].sentence_ids == []
 
 
-def test_equal_rows_of_a_third_of_the_table_and_long_heads(spark):
+def test_equal_rows_of_a_third_of_the_table_and_long_heads(spark, monkeypatch):
     from lumenspark.llm import fingerprints as f
 
     rows = [(d, f"text {d}") for d in range(60)] + [(30, "same words")] * 400 + [(None, "nobody")] * 300 + [(59, "x" * 3_000_000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    led = f.with_next(frame, least=20).collect()
-    plain = f.with_next(frame, least=10_000).collect()
+    led = f.expanded(f.with_next(frame, least=20)).collect()
+    plain = f.expanded(f.with_next(frame, least=10_000)).collect()
     assert len(led) == len(rows) and sorted(map(str, led)) == sorted(map(str, plain))
     follows = {}
     for r in led:
         follows.setdefault((r.doc_id, r.text), []).append((r.next_id, r.next_text))
     assert follows[30, "same words"].count((30, "same words")) == 399 and follows[None, "nobody"].count((None, "nobody")) == 299
+    monkeypatch.setattr(f, "PART", 7)
+    monkeypatch.setattr(f, "LEAST", 20)
+    assert sorted(map(str, f.expanded(f.with_next(frame, least=20)).collect())) == sorted(map(str, led))
     plan = f.with_next(frame)._jdf.queryExecution().executedPlan().toString()
     broadcast = [line for line in plan.splitlines() if "BroadcastExchange" in line]
     assert broadcast and "head_text" not in plan
 
 
+def test_beginnings_titles_and_longer_rules(spark):
+    from lumenspark.llm.licenses import scan
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    rows = {
+        "Released under the MIT license, see LICENSE.": ["MIT"],
+        "the content of this page is licensed under CC-BY-4.0.": ["CC-BY-4.0"],
+        "Dual licensed under the MIT license or the Apache License, Version 2.0": ["Apache-2.0", "MIT"],
+        "It is unlicensed under the MIT licensees": [],
+        "GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": ["GPL-3.0-only"],
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/": ["Apache-2.0"],
+        "Mozilla Public License Version 2.0\n==================================": ["MPL-2.0"],
+        bsd: ["BSD-2-Clause"],
+        bsd + third: ["BSD-3-Clause"],
+        bsd + third + "\n\nand for the rest\n\n" + bsd: ["BSD-2-Clause", "BSD-3-Clause"],
+    }
+    got = {r.doc_id: r.licenses for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [sorted(got[i]) for i in range(len(rows))] == list(rows.values())
+
+
 def test_spdx_expressions_and_old_names(spark):
     from lumenspark.llm.licenses import scan
 
