@@ -13,8 +13,8 @@ its windows, weighted by their length.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; texts shorter than a window are
 padded; repeated rows are scored alike; a null id is kept; only ``text`` enters a prediction, extra
-columns are ignored; if no row is labelled, everything is ``und``; more languages than sampled rows
-are an error.
+columns are ignored; if no row is labelled, everything is ``und``; of more languages than sampled rows
+the commonest are learned.
 """
 
 from __future__ import annotations
@@ -218,29 +218,32 @@ def _windowed(batches):
 
 
 def fit_on(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Network:
-    """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most; no language is left out."""
+    """Train on at most sample labelled rows among those that the condition on doc_id lets in, an equal number of each language at most.
+
+    Rows equal in language, id and text count once.  No language is left out, unless there are more than rows to draw:
+    then the commonest have one row each.
+    """
     known = only(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(usable)
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
-    found = sizes.limit(sample + 1).collect()
+    found = sizes.orderBy(F.desc("n"), "lang").limit(sample).collect()
     if not found:
         return train(np.zeros((0, WINDOW), np.uint8), [])
-    if len(found) > sample:
-        raise ValueError(f"{sizes.count()} languages are more than the sample of {sample} rows can hold; clean the labels or draw more rows")
     each = sample // len(found)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = known.withColumn("of_text", F.xxhash64("text"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("of_text")]
     # ids first, so that only the sample's texts reach the driver.  Of a language's ids, the least hashes are wanted; a share of
     # them that holds enough is taken before they meet (six standard errors, and a fifth for the approximate count)
     enough = 1.2 * (each + 6 * each**0.5 + 30)
     shares = docs.sparkSession.createDataFrame([(r.lang, enough / max(r.n, 1)) for r in found], "lang string, share double")
     rank_of = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    ids = known.select("lang", "doc_id").join(F.broadcast(shares), "lang").where(rank_of <= F.col("share"))  # sample rows at most
-    ids = ids.select("lang", "doc_id").distinct()
-    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= each)
-    drawn = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # sample ids at most
-    cut = map_batches(drawn, _windowed, "lang string, doc_id long, windows binary")
-    # rows that share an id must not crowd out a language
-    cut = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "windows"))).where(F.col("rank") <= each)
-    rows = cut.orderBy(*order, "lang", "windows").collect()  # sample rows at most, of WINDOWS windows
+    ids = known.select("lang", "doc_id", "of_text").join(F.broadcast(shares), "lang").where(rank_of <= F.col("share"))  # sample rows at most
+    ids = ids.select("lang", "doc_id", "of_text").distinct()
+    # rows that share an id must not crowd out a language, nor all be cut
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= each).drop("rank")
+    drawn = known.join(F.broadcast(ids), ["lang", "doc_id", "of_text"])  # sample rows at most
+    once = drawn.groupBy("lang", "doc_id", "of_text").agg(F.first("text").alias("text"))
+    rows = map_batches(once.select("doc_id", "text", "lang"), _windowed, "lang string, doc_id long, windows binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "windows").collect()  # sample rows at most, of WINDOWS windows
     x = np.frombuffer(b"".join(r.windows for r in rows), np.uint8).reshape(-1, WINDOW)
     return train(x, [r.lang for r in rows for _ in range(len(r.windows) // WINDOW)])
 
