@@ -15,7 +15,7 @@ from lumenspark.operators import colour_mode, quality, scoring, tiling
 from lumenspark.plans import names
 from lumenspark.plans.names import OVERLAP, SIZE, dims
 from lumenspark.sources import proxies
-from lumenspark.sources.images import map_images, scratch_folder, to_payload, to_pixels
+from lumenspark.sources.images import PAYLOAD, map_images, payload_of, scratch_folder, to_payload, to_pixels
 from lumenspark.streaming.incremental import score_arrivals
 
 QUERIES: dict = {}
@@ -274,12 +274,10 @@ def quality_all_scopes(spark: SparkSession, d: str) -> DataFrame:
 @query(f'{_Q} SELECT id AS filename, r AS "row", c AS col, round(f, 6) AS fit FROM fit')
 def illumination_fit(spark: SparkSession, d: str) -> DataFrame:
     def one(row, image):
-        fit = kernels.gaussian(image, row.sigma)
-        for i in range(row.height):
-            for j in range(row.width):
-                yield {"row": i, "col": j, "fit": float(fit[i, j])}
+        yield payload_of(kernels.gaussian(image, row.sigma))
 
-    return rounded(map_images(proxies.gray_payload(spark, d), ("filename",), one, "row int, col int, fit double", sigma=scaled(1.5)), "fit")
+    made = map_images(proxies.gray_payload(spark, d), ("filename",), one, PAYLOAD, sigma=scaled(1.5))
+    return rounded(to_pixels(made, ("filename",), ("fit",)), "fit")
 
 
 @query(f"{_Q} SELECT filename, tile_row, round(max(contrast_spread) FILTER (tile_col = 0), 6) AS col_0, round(max(contrast_spread) FILTER (tile_col = 1), 6) AS col_1 FROM q WHERE scope = 'tile' GROUP BY ALL")

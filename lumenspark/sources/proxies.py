@@ -32,10 +32,15 @@ def _quantised(x: F.Column) -> F.Column:
     return F.rint((x.cast("double") + 1) / 2 * 255) / 255
 
 
+def _spread(images: DataFrame) -> DataFrame:
+    """Images dealt to all tasks: a small table of them would be one task, and kernels are dear."""
+    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "filename")
+
+
 def gray_payload(spark: SparkSession, folder: str) -> DataFrame:
     named = _gray_names(table(spark, folder, "embeddings"))
     rows = named.select("filename", "magnification", F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", _quantised).alias("values"))
-    return arrays_to_payload(rows, ["filename", "magnification"], 1)
+    return _spread(arrays_to_payload(rows, ["filename", "magnification"], 1))
 
 
 def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +66,7 @@ def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
 def rgb_payload(spark: SparkSession, folder: str) -> DataFrame:
     """Unit-scaled colour images."""
     unit = rgb_pixels(spark, folder).select("filename", "magnification", "row", "col", *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
-    return to_payload(unit, ["filename", "magnification"], ["r", "g", "b"])
+    return _spread(to_payload(unit, ["filename", "magnification"], ["r", "g", "b"]))
 
 
 def raw_names(spark: SparkSession, folder: str) -> DataFrame:
