@@ -23,7 +23,7 @@ one suffix in fourteen is left.  The bytes that all windows of one anchor cover
 Hashes choose anchors and ranges and rule keys out; what is removed is decided on bytes alone.
 
 Rows: a null text counts as empty; a null doc_id counts as 2**63 - 1, the largest; rows that share a
-doc_id do not make each other repeats; texts shorter than ``width`` are kept; columns in ``carry``
+doc_id do not make each other repeats, so many rows equal in id and text are looked at as one; texts shorter than ``width`` are kept; columns in ``carry``
 are handed through, others are ignored.
 """
 
@@ -35,12 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspark.llm.common import map_batches, shuffle_partitions
+from lumenspark.llm.common import map_batches, only, saved, shuffle_partitions
+from lumenspark.llm.components import SALTS
 from lumenspark.llm.textbytes import BLANK_SEPARATED, FIRST, MOST_SPAN, PIECE, Spans, byte_values, eights, mix, ragged, utf8
 
 GRAM = 24
 #: Bytes of text in a chunk, and of anchors in a range, about.
 CHUNK_BYTES, RANGE_BYTES = 2 << 20, 64 << 20
+#: Groups of rows equal in id and text with more than one row in so many are looked at as one row.
+OFTEN = 10_000
 #: Segments of one key beyond which its windows are dealt by their own bytes, and windows that are sorted at once.
 HOT, WINDOWS = 20_000, 400_000
 _VALUES = byte_values(9)
@@ -513,7 +516,27 @@ def _remove(width: int, least_words: int, filler: bytes, whole: bool, splitters:
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, least_words: int = 0, filler: bytes = b"", whole_characters: bool = False, hot: int = HOT) -> DataFrame:
+def _as_one(docs: DataFrame, often: DataFrame, width: int, more: dict) -> DataFrame:
+    """The same where some rows are equal in id and text very often: one of each group is looked at for all of them."""
+    names = ["doc_id", "text", *more["carry"]]
+    # the text's SHA-256, and whether it is null
+    rows = only(docs, *names).withColumn("_sha", F.concat(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), F.when(F.col("text").isNull(), F.lit(b"0")).otherwise(F.lit(b"1"))))
+    marked = rows.join(F.broadcast(often), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left").withColumn("_many", F.col("h").isNotNull())
+    one = marked.where("_many").groupBy("doc_id", "_sha").agg(F.first("text").alias("text"))
+    filled = [F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in more["carry"]]
+    looked = marked.where("not _many").select(*names, F.lit(None).cast("binary").alias("_sha")).union(one.select("doc_id", "text", *filled, "_sha"))
+    found = saved(repeated_spans(looked, width, **(more | {"carry": (*more["carry"], "_sha")}), least_copies=_LAST))
+    carried = F.struct(*[F.col(f"carried.`{c}`") for c in more["carry"]]) if more["carry"] else F.struct(F.lit(None).cast("int").alias("none"))
+    out = lambda df: df.select("doc_id", carried.alias("carried"), "kept", "spans")
+    # all copies, which meet the result of their group in several places
+    told = found.where("carried._sha is not null").select(F.col("doc_id").alias("d"), F.col("carried._sha").alias("s"), "kept", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = F.struct(*[F.col(f"`{c}`") for c in more["carry"]]) if more["carry"] else F.struct(F.lit(None).cast("int").alias("none"))
+    copies = marked.where("_many").select("doc_id", "_sha", own.alias("carried"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
+    met = copies.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_sha") == F.col("s")) & (F.col("_salt") == F.col("salt")))
+    return out(found.where("carried._sha is null")).union(met.select("doc_id", "carried", "kept", "spans"))
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, least_words: int = 0, filler: bytes = b"", whole_characters: bool = False, hot: int = HOT, least_copies: int = 1000) -> DataFrame:
     """(doc_id, text, carry...) -> (doc_id, carried struct, kept binary, spans array of (start, length) removed).
 
     A maximal run of repeated bytes stays if it has fewer than least_words words; filler joins what is kept
@@ -522,8 +545,14 @@ def repeated_spans(docs: DataFrame, width: int = 50, carry: tuple[str, ...] = ()
     if not GRAM + 2 <= width <= MOST_SPAN // 2:
         raise ValueError(f"width must be from {GRAM + 2} to {MOST_SPAN // 2} bytes")
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    # groups of rows equal in id and text that no chunk should hold: OFTEN at most
+    copies = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > max(least_copies, size.n // OFTEN))
+    often = copies.collect()
+    more = {"carry": carry, "chunk_bytes": chunk_bytes, "least_words": least_words, "filler": filler, "whole_characters": whole_characters, "hot": hot}
+    if often:
+        return _as_one(docs, spark.createDataFrame([(r.doc_id, r.h) for r in often], "d long, h long"), width, more)
+    n, total = shuffle_partitions(spark), size.bytes or 0
     chunks = max(n, -(-total // chunk_bytes))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     dealt = docs.select("doc_id", "text", carried.alias("carried"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))

@@ -143,6 +143,16 @@ def test_carried_columns_and_empty_table(spark):
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string"), 50).count() == 0
 
 
+def test_rows_equal_in_id_and_text(spark):
+    rows = drawn_rows(9, 50) + [(7, "Of " * 300)] * 60 + [(None, "Of " * 300 + "z")] * 50 + [(3, None)] * 40
+    assert found(spark, rows, 50, least_copies=20) == found(spark, rows, 50) == brute_force(rows, 50)
+    df = spark.createDataFrame([(d, t, str(i)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, name string")
+    for least in (20, 1000):
+        got = {r.carried.name: (r.doc_id, bytes(r.kept)) for r in repeated_spans(df, 50, carry=("name",), least_copies=least).collect()}
+        assert len(got) == len(rows) and [got[str(i)][0] for i in range(len(rows))] == [d for d, _ in rows]
+        assert sorted(map(str, got.values())) == sorted(str(r[:2]) for r in brute_force(rows, 50))
+
+
 def test_query_on_a_table(spark):
     from lumenspark.llm.op6 import op6_suffix_dedup
 
