@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(rows: DataFrame, key: str = "filename") -> DataFrame:
+    """Rows dealt to all tasks by a key: a small table would be one task, while sorting it and kernels are dear."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _magnification(key: str) -> F.Column:
     return F.when(F.col(key) % 2 == 0, 100).otherwise(200)
 
@@ -32,11 +37,6 @@ def _quantised(x: F.Column) -> F.Column:
     return F.rint((x.cast("double") + 1) / 2 * 255) / 255
 
 
-def _spread(images: DataFrame) -> DataFrame:
-    """Images dealt to all tasks: a small table of them would be one task, and kernels are dear."""
-    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "filename")
-
-
 def gray_payload(spark: SparkSession, folder: str) -> DataFrame:
     named = _gray_names(table(spark, folder, "embeddings"))
     rows = named.select("filename", "magnification", F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", _quantised).alias("values"))
@@ -49,7 +49,7 @@ def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "lineitem")
+    items = _spread(table(spark, folder, "lineitem"), "l_suppkey")
     ranked = items.withColumn("idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*items.columns)) - 1)
     # the last item fills the rest of the last row
     whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("l_suppkey")))
