@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lumenspark.plans import registry
+from lumenspark.sources import proxies
 
 TINY = "/root/testdata/sf0.001"
 
@@ -40,3 +41,11 @@ def test_stream_equals_batch(spark):
     q = registry.queries()
     streamed = q["stream_scoring"](spark, TINY)
     assert streamed.where("status = 'ok'").count() == q["score_canny"](spark, TINY).count() == streamed.distinct().count()
+
+
+def test_tiles_keep_every_pixel(spark):
+    q = registry.queries()
+    at = {(p.filename, p.row, p.col): (p.r, p.g, p.b) for p in proxies.rgb_pixels(spark, TINY).collect()}
+    want = {(t.filename, t.row0, t.col0, i, j): at[t.filename, t.row0 + i, t.col0 + j] for t in q["tile_grid"](spark, TINY).collect() for i in range(8) for j in range(8)}
+    got = [((p.filename, p.row0, p.col0, p.local_row, p.local_col), (p.r, p.g, p.b)) for p in q["tile_pixels"](spark, TINY).collect()]
+    assert len(got) == len(want) and dict(got) == want
