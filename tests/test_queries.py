@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lumenspark.operators import tiling
 from lumenspark.plans import registry
 from lumenspark.sources import proxies
 
@@ -49,3 +51,12 @@ def test_tiles_keep_every_pixel(spark):
     want = {(t.filename, t.row0, t.col0, i, j): at[t.filename, t.row0 + i, t.col0 + j] for t in q["tile_grid"](spark, TINY).collect() for i in range(8) for j in range(8)}
     got = [((p.filename, p.row0, p.col0, p.local_row, p.local_col), (p.r, p.g, p.b)) for p in q["tile_pixels"](spark, TINY).collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_each_tile_tells_how_each_scorer_fares(spark):
+    q = registry.queries()
+    corner = {(p.filename, p.row, p.col): p.r for p in proxies.rgb_pixels(spark, TINY).collect()}
+    names = {(t.filename, t.tile_filename): corner[t.filename, t.row0, t.col0] for t in q["tile_grid"](spark, TINY).withColumn("tile_filename", tiling.tile_name(F.col("filename"), F.col("row0"), F.col("col0"))).collect()}
+    want = {(m, *name): "ok" if m == "red" and not level % 2 else "failed" for name, level in names.items() for m in ("red", "loud", "narrow", "wide", "absent")}
+    got = [((r.model, r.source_filename, r.tile_filename), r.status) for r in q["scorer_failures"](spark, TINY).collect()]
+    assert len(got) == len(want) and dict(got) == want and {"ok", "failed"} == set(want.values())
