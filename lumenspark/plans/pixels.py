@@ -15,7 +15,7 @@ from lumenspark.operators import colour_mode, quality, scoring, tiling
 from lumenspark.plans import names
 from lumenspark.plans.names import OVERLAP, SIZE, dims
 from lumenspark.sources import proxies
-from lumenspark.sources.images import PAYLOAD, map_images, payload_of, scratch_folder, to_payload, to_pixels
+from lumenspark.sources.images import PAYLOAD, in_small_batches, map_images, payload_of, scratch_folder, to_payload, to_pixels
 from lumenspark.streaming.incremental import score_arrivals
 
 QUERIES: dict = {}
@@ -356,6 +356,7 @@ def _digests(pixels: DataFrame) -> DataFrame:
 
 @query(f"{_TILE} SELECT filename, row0, col0, local_row, local_col, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM tp")
 def tile_pixels(spark: SparkSession, d: str) -> DataFrame:
+    in_small_batches(spark)
     tiles = to_pixels(_cut(spark, d), ("source_filename", "row0", "col0"), ("r", "g", "b"))
     return tiles.select(F.col("source_filename").alias("filename"), "row0", "col0", F.col("row").alias("local_row"), F.col("col").alias("local_col"), "r", "g", "b")
 

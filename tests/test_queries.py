@@ -60,3 +60,10 @@ def test_each_tile_tells_how_each_scorer_fares(spark):
     want = {(m, *name): "ok" if m == "red" and not level % 2 else "failed" for name, level in names.items() for m in ("red", "loud", "narrow", "wide", "absent")}
     got = [((r.model, r.source_filename, r.tile_filename), r.status) for r in q["scorer_failures"](spark, TINY).collect()]
     assert len(got) == len(want) and dict(got) == want and {"ok", "failed"} == set(want.values())
+
+
+def test_tile_pixels_bounds_the_batches_of_its_workers(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, str(64 << 20))
+    registry.queries()["tile_pixels"](spark, TINY)
+    assert int(spark.conf.get(limit)) == 4 << 20
