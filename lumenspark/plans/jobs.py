@@ -158,6 +158,7 @@ WHEN 'wide' THEN 'ValueError: dtype float64 is not float32' ELSE 'RuntimeError:
 
 @query(f"{_TRIED} SELECT model, source_filename, tile_filename, magnification, status, loaded, detail FROM told")
 def scorer_failures(spark: SparkSession, d: str) -> DataFrame:
+    images.in_small_batches(spark)
     made = scoring.score(scoring.pairs(pixels._unit_tiles(spark, d), list(TRIED), TRIED), TRIED)
     return made.select("model", "source_filename", "tile_filename", "magnification", "status", "loaded", "detail")
 

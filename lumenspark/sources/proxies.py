@@ -48,8 +48,9 @@ def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("filename", "magnification", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), _quantised(F.col("e")).alias("v"))
 
 
-def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    items = _spread(table(spark, folder, "lineitem"), "l_suppkey")
+def _rgb_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
+    # rows equal in the columns up to the tax give equal pixels: the columns after it need no place in the order
+    items = _spread(table(spark, folder, "lineitem").select(*LINEITEM_COLUMNS[:8]), "l_suppkey")
     ranked = items.withColumn("idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*items.columns)) - 1)
     # the last item fills the rest of the last row
     whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("l_suppkey")))
@@ -57,16 +58,20 @@ def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
     whole = whole.withColumn("idx", F.explode(F.sequence(F.col("idx").cast("long"), end.cast("long"))))
     level = lambda c, k: F.rint(F.col(c).cast("double") * k).cast("int")
     return whole.select(
-        F.format_string("%06d-C-%dX.PNG", "l_suppkey", _magnification("l_suppkey")).alias("filename"), _magnification("l_suppkey").alias("magnification"),
+        "l_suppkey", F.format_string("%06d-C-%dX.PNG", "l_suppkey", _magnification("l_suppkey")).alias("filename"), _magnification("l_suppkey").alias("magnification"),
         F.floor(F.col("idx") / WIDTH_L).cast("int").alias("row"), (F.col("idx") % WIDTH_L).cast("int").alias("col"),
         level("l_quantity", 5).alias("r"), level("l_discount", 2500).alias("g"), level("l_tax", 3000).alias("b"),
     )
 
 
+def rgb_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    return _rgb_by_supplier(spark, folder).drop("l_suppkey")
+
+
 def rgb_payload(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit-scaled colour images."""
-    unit = rgb_pixels(spark, folder).select("filename", "magnification", "row", "col", *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
-    return _spread(to_payload(unit, ["filename", "magnification"], ["r", "g", "b"]))
+    """Unit-scaled colour images, which stay where the items of their suppliers were dealt to."""
+    unit = _rgb_by_supplier(spark, folder).withColumns({c: F.col(c) / 255.0 for c in "rgb"})
+    return to_payload(unit, ["filename", "magnification"], ["r", "g", "b"], dealt=("l_suppkey",))
 
 
 def raw_names(spark: SparkSession, folder: str) -> DataFrame:

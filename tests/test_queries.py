@@ -67,3 +67,21 @@ def test_tile_pixels_bounds_the_batches_of_its_workers(spark):
     spark.conf.set(limit, str(64 << 20))
     registry.queries()["tile_pixels"](spark, TINY)
     assert int(spark.conf.get(limit)) == 4 << 20
+
+
+def test_scorer_failures_deals_the_items_once(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, str(64 << 20))
+    plan = registry.queries()["scorer_failures"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "l_shipdate" not in plan
+    assert int(spark.conf.get(limit)) == 4 << 20
+
+
+def test_items_that_tie_up_to_their_price_equal_sql(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql(f"create table lineitem as select l_orderkey % 2 as l_orderkey, 1 as l_partkey, l_suppkey % 3 as l_suppkey, 1 as l_linenumber, 7.0 as l_quantity, l_linenumber as l_extendedprice, * exclude (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) from '{TINY}/lineitem.parquet'")
+    c.sql(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    got, want = registry.queries()["scorer_failures"](spark, str(tmp_path)).toPandas(), c.sql(registry.oracle_sql()["scorer_failures"]).df()
+    assert len(want) and normal(got) == normal(want)
+    pixels = proxies.rgb_pixels(spark, str(tmp_path)).toPandas()
+    assert normal(pixels) == normal(c.sql(f"WITH {proxies.l_sql()} SELECT * FROM l").df())
