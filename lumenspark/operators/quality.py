@@ -86,7 +86,8 @@ def normalise(images: DataFrame, colour_mode: str, config: Border = Border(), ke
         top_level = float(np.iinfo(image.dtype).max)
         if image.ndim == 3 and image.shape[2] in (2, 4):
             image = image[..., 0] if image.shape[2] == 2 else image[..., :3]
-        gray = image if image.ndim == 2 else np.rint(kernels.luminance(image))
+        # half levels are told apart from what rounding makes of them, as in SQL
+        gray = image if image.ndim == 2 else np.rint(np.round(kernels.luminance(image), 9))
         top, bottom, left, right, capped = kernels.border_crop(gray, config.variance_ratio, config.max_fraction)
         source = gray if colour_mode == "grayscale" else image
         cut = source[top : source.shape[0] - bottom, left : source.shape[1] - right]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,19 @@ def test_items_that_tie_up_to_their_price_equal_sql(spark, tmp_path):
     assert len(want) and normal(got) == normal(want)
     pixels = proxies.rgb_pixels(spark, str(tmp_path)).toPandas()
     assert normal(pixels) == normal(c.sql(f"WITH {proxies.l_sql()} SELECT * FROM l").df())
+
+
+@pytest.mark.parametrize("name", ["crop_log", "border_crop", "normalised_pixels"])
+def test_crops_of_half_levels_equal_sql(spark, tmp_path, name):
+    """Images of two colours, of which one lies halfway between two gray levels, and the other is the even one of these."""
+    rng = np.random.default_rng(1)
+    levels = {(r, g, b): 299 * r + 587 * g + 114 * b for r in range(0, 255, 5) for g in range(0, 255, 25) for b in range(0, 255, 30)}
+    even = {round(v / 1000): colour for colour, v in levels.items() if v % 1000 != 500}
+    halves = [(colour, even[near]) for colour, v in levels.items() if v % 1000 == 500 and (near := v // 1000 + v // 1000 % 2) in even]
+    rows = [(i, 1, supplier, 1, r / 5, 1.0, g / 2500, b / 3000, "N", "O", None) for supplier, two in enumerate(halves) for i, (r, g, b) in enumerate(np.array(two)[rng.integers(2, size=14 * 24)])]
+    items = pd.DataFrame(rows, columns=proxies.LINEITEM_COLUMNS).astype({"l_shipdate": "datetime64[us]"})  # noqa: F841
+    c = duckdb.connect()
+    c.sql("create table lineitem as select * from items")
+    c.sql(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), c.sql(registry.oracle_sql()[name]).df()
+    assert len(want) and normal(got) == normal(want)
