@@ -154,7 +154,7 @@ def reassembled_strips(spark: SparkSession, d: str) -> DataFrame:
 
 @query(pixels.EDGES_SQL)
 def canny_table(spark: SparkSession, d: str) -> DataFrame:
-    gray = proxies.gray_pixels(spark, d).withColumns({"height": F.lit(8), "width": F.lit(8)})
+    gray = proxies.gray_pixels(spark, d, spread=True).withColumns({"height": F.lit(8), "width": F.lit(8)})
     limits = gray.groupBy("filename").agg((0.1 * F.percentile("v", F.lit(0.6))).alias("low"), (0.3 * F.percentile("v", F.lit(0.9))).alias("high"))
     return edges.canny(gray, ["filename"], scaled(1.0), limits).select("filename", "row", "col")
 

@@ -43,8 +43,10 @@ def gray_payload(spark: SparkSession, folder: str) -> DataFrame:
     return _spread(arrays_to_payload(rows, ["filename", "magnification"], 1))
 
 
-def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    named = _gray_names(table(spark, folder, "embeddings")).select("filename", "magnification", F.posexplode("embedding").alias("i", "e"))
+def gray_pixels(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """spread: images are dealt to all tasks, so that what groups their pixels needs no other shuffle."""
+    images = _gray_names(table(spark, folder, "embeddings"))
+    named = (_spread(images) if spread else images).select("filename", "magnification", F.posexplode("embedding").alias("i", "e"))
     return named.select("filename", "magnification", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), _quantised(F.col("e")).alias("v"))
 
 

@@ -297,3 +297,35 @@ def test_edges_of_a_pixel_table_equal_the_kernel(spark):
     label = kernels.connected(mask)
     first = {n: min(r * 20 + c for r, c in zip(*np.nonzero(label == n), strict=True)) for n in range(1, label.max() + 1)}
     assert parts == {(r, c): first[label[r, c]] for r, c in parts} and len(parts) == mask.sum()
+
+
+def test_edges_send_no_pixels_through_the_driver(spark, monkeypatch):
+    from lumenspark.operators import edges
+
+    plans, real = [], edges._stored
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(edges, "_stored", told)
+    a = np.tile(np.sin(np.arange(40) / 3), (12, 1))
+    pixels = spark.createDataFrame([("i", r, c, 12, 40, float(a[r, c])) for r in range(12) for c in range(40)], "filename string, row int, col int, height int, width int, v double")
+    found = edges.canny(pixels, ["filename"], F.lit(1.0), pixels.groupBy("filename").agg(F.lit(0.1).alias("low"), F.lit(0.2).alias("high")))
+    assert found.count() == kernels.canny(a, 1.0, 0.1, 0.2).sum() > 0
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_parts_of_a_winding_line_take_few_rounds(spark, monkeypatch):
+    from lumenspark.operators import edges
+
+    mask = np.zeros((31, 33), bool)
+    mask[::2] = True
+    mask[1::4, -1] = mask[3::4, 0] = True
+    rows = [("m", int(r), int(c), 33, bool(r % 2)) for r, c in zip(*np.nonzero(mask), strict=True)]
+    stored, real = [], edges._stored
+    monkeypatch.setattr(edges, "_stored", lambda df: stored.append(1) or real(df))
+    parts = edges.connected(spark.createDataFrame(rows, "name string, row int, col int, width int, odd boolean"), ["name"]).collect()
+    assert {r.part for r in parts} == {0} and len(parts) == mask.sum() > 500 and all(r.odd == r.row % 2 for r in parts)
+    assert len(stored) < 2 * 12
