@@ -36,7 +36,8 @@ def enhance(images: DataFrame, config: Enhance = Enhance(), keys: tuple[str, ...
     return map_images(images, keys, one, schema, radius=scaled(config.flat_field_radius_px), patch=patch, distance=round_positive(scaled(config.denoise_patch_distance_px)), limit=assert_denoise_keeps_boundaries(patch, limit), noise_sigma=scaled(1.0), kernel=round_positive(scaled(config.clahe_kernel_px)))
 
 
-# Scorers: a factory for each name, called once for each magnification in a task.
+# Scorers: a factory for each name, called once for each magnification in a task.  A scorer whose predict_many takes a
+# stack of tiles of one shape gets them together.
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,12 @@ class WatershedScorer:
     least_share: float = 0.1
 
     def predict(self, tile: np.ndarray) -> np.ndarray:
+        return self.predict_many(tile[None])[0]
+
+    def predict_many(self, tiles: np.ndarray) -> np.ndarray:
         k = self.magnification / 100
         least = int(np.rint(self.least_share * np.pi / 4 * (self.diameter_px * k) ** 2))
-        return kernels.score_watershed(tile, self.sigma_px * k, self.depth * k, least)
+        return kernels.score_watershed_many(tiles, self.sigma_px * k, self.depth * k, least)
 
 
 @dataclass(frozen=True)
@@ -65,7 +69,10 @@ class CannyScorer:
     high: float = 90.0
 
     def predict(self, tile: np.ndarray) -> np.ndarray:
-        return kernels.score_canny(tile, self.sigma_px * self.magnification / 100, self.low, self.high)
+        return self.predict_many(tile[None])[0]
+
+    def predict_many(self, tiles: np.ndarray) -> np.ndarray:
+        return kernels.score_canny_many(tiles, self.sigma_px * self.magnification / 100, self.low, self.high)
 
 
 SCORERS: dict[str, Callable] = {"canny": CannyScorer, "watershed": WatershedScorer}
@@ -108,22 +115,32 @@ RESULT = f"model string, source_filename string, tile_filename string, magnifica
 SCORED = [f.split()[0] for f in RESULT.split(", ")]
 
 
-def score_row(built: dict, scorers: dict[str, Callable], model: str, row) -> dict:
-    """One tile by one model; built keeps the scorers of a task, or the errors that building them gave."""
-    begun = time.perf_counter()
-    key = (model, row.magnification)
+#: Pixels of a stack of tiles.
+STACK_PIXELS = 1 << 18
+
+
+def _built(built: dict, scorers: dict[str, Callable], model: str, magnification: int):
+    """The scorer of a task, or the error that building it gave."""
+    key = (model, magnification)
     if key not in built:
         try:
-            built[key] = scorers[model](row.magnification)
+            built[key] = scorers[model](magnification)
         except Exception as e:  # noqa: BLE001
             built[key] = e
+    return built[key]
+
+
+def score_row(built: dict, scorers: dict[str, Callable], model: str, row) -> dict:
+    """One tile by one model; built keeps the scorers of a task, or the errors that building them gave."""
+    begun = time.perf_counter()
+    scorer = _built(built, scorers, model, row.magnification)
     made = {"height": None, "width": None, "channels": None, "dtype": None, "pixels": None}
-    loaded = not isinstance(built[key], Exception)
+    loaded = not isinstance(scorer, Exception)
     try:
         if not loaded:
-            raise built[key]
+            raise scorer
         tile = array_of(row)
-        found = built[key].predict(tile)
+        found = scorer.predict(tile)
         check_map(tile, found)
         made, status, detail = payload_of(found), "ok", ""
     except Exception as e:  # noqa: BLE001
@@ -131,18 +148,54 @@ def score_row(built: dict, scorers: dict[str, Callable], model: str, row) -> dic
     return {"model": model, "source_filename": row.source_filename, "tile_filename": row.tile_filename, "magnification": row.magnification, "status": status, "loaded": loaded, "elapsed_seconds": time.perf_counter() - begun, "detail": detail, **made}
 
 
+def _score_stack(scorer, model: str, rows: list) -> list[dict] | None:
+    """Tiles of one shape by one scorer, each with its share of the seconds; None if any of them fails."""
+    begun = time.perf_counter()
+    try:
+        first = array_of(rows[0])
+        stack = np.frombuffer(b"".join(r.pixels for r in rows), first.dtype).reshape(len(rows), *first.shape)
+        found = scorer.predict_many(stack)
+        if len(found) != len(rows):
+            return None
+        check_map(stack.reshape(-1, *first.shape[1:]), found.reshape(-1, *found.shape[2:]))
+        if found.shape[1:] != first.shape[:2]:
+            return None
+        made = [payload_of(f) for f in found]
+    except Exception:  # noqa: BLE001
+        return None
+    seconds = (time.perf_counter() - begun) / len(rows)
+    return [{"model": model, "source_filename": r.source_filename, "tile_filename": r.tile_filename, "magnification": r.magnification, "status": "ok", "loaded": True, "elapsed_seconds": seconds, "detail": "", **m} for r, m in zip(rows, made, strict=True)]
+
+
+def score_rows(built: dict, scorers: dict[str, Callable], rows: list, models: list[str]) -> pd.DataFrame:
+    """Each tile by the model of its place: tiles of one kind together where the scorer takes stacks, and alone where one of them fails."""
+    made: list = [None] * len(rows)
+    kinds: dict[tuple, list[int]] = {}
+    for i, (row, model) in enumerate(zip(rows, models, strict=True)):
+        if hasattr(_built(built, scorers, model, row.magnification), "predict_many"):
+            kinds.setdefault((model, row.magnification, row.height, row.width, row.channels, row.dtype), []).append(i)
+    for (model, magnification, height, width, *_), at in kinds.items():
+        size = max(1, int(STACK_PIXELS // max(1, (height or 1) * (width or 1))))
+        for some in (at[i : i + size] for i in range(0, len(at), size)):
+            for i, one in zip(some, _score_stack(built[model, magnification], model, [rows[i] for i in some]) or (), strict=False):
+                made[i] = one
+    return pd.DataFrame([m or score_row(built, scorers, model, row) for m, row, model in zip(made, rows, models, strict=True)], columns=SCORED)
+
+
 def score(tiles: DataFrame, scorers: dict[str, Callable] | None = None) -> DataFrame:
     """Payloads of tiles with a model -> predictions with status, seconds and detail.
 
     A scorer is built once for each (model, magnification) of a task; if that fails, the error is
-    kept and told for each of its tiles.  A tile that fails is told alone.  Nothing is fatal.
+    kept and told for each of its tiles.  A tile that fails is told alone.  Nothing is fatal.  Of tiles
+    scored together each is told its share of the seconds.
     """
     scorers = scorers or SCORERS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict = {}
         for batch in batches:
-            yield pd.DataFrame([score_row(built, scorers, row.model, row) for row in batch.itertuples(index=False)], columns=SCORED)
+            rows = list(batch.itertuples(index=False))
+            yield score_rows(built, scorers, rows, [row.model for row in rows])
 
     columns = tiles.select(*TILE_KEYS, "magnification", "height", "width", "channels", "dtype", "pixels")
     return columns.mapInPandas(run, RESULT)

@@ -329,3 +329,33 @@ def test_parts_of_a_winding_line_take_few_rounds(spark, monkeypatch):
     parts = edges.connected(spark.createDataFrame(rows, "name string, row int, col int, width int, odd boolean"), ["name"]).collect()
     assert {r.part for r in parts} == {0} and len(parts) == mask.sum() > 500 and all(r.odd == r.row % 2 for r in parts)
     assert len(stored) < 2 * 12
+
+
+def test_stacks_of_tiles_score_as_each_alone():
+    rng = np.random.default_rng(8)
+    sets = [rng.random((30, 9, 7, 3)), rng.integers(0, 3, (30, 8, 8)) / 2.0, np.concatenate([np.zeros((1, 8, 8)), rng.random((3, 8, 8)), np.ones((2, 8, 8))])]
+    for stack in sets:
+        for k in (1, 2):
+            for many, one in ((kernels.score_canny_many, kernels.score_canny), (lambda a, s: kernels.score_watershed_many(a, s, 0.02 * k, 3), lambda a, s: kernels.score_watershed(a, s, 0.02 * k, 3))):
+                assert np.array_equal(many(stack, float(k)), np.stack([one(a, float(k)) for a in stack]))
+
+
+class Stacked(Even):
+    """Refuses a stack with an odd tile, as Even refuses the tile."""
+
+    def predict_many(self, found):
+        return np.stack([self.predict(t) for t in found])
+
+
+def test_tiles_are_scored_in_stacks_and_fail_alone(spark, monkeypatch):
+    rows = [r for levels in ([2, 4, 6], [8, 3]) for r in tiles(spark, levels).collect()]
+    calls = []
+    monkeypatch.setattr(Stacked, "predict", lambda self, t: calls.append(t) or Even.predict(self, t))
+    for some, alone in ((rows[:3], 3), (rows, 4 + 5)):  # the stack, and after its failure each tile
+        calls.clear()
+        made = scoring.score_rows({}, {"s": Stacked}, some, ["s"] * len(some))
+        assert made["tile_filename"].tolist() == [r.tile_filename for r in some] and len(calls) <= alone + 1
+        assert made["status"].tolist() == ["failed" if r.tile_filename == "t3" else "ok" for r in some]
+    frame = tiles(spark, range(0, 60)).withColumn("model", F.lit("s"))
+    found = scoring.score(frame, {"s": scoring.CannyScorer}).collect()
+    assert len(found) == 60 and {r.status for r in found} == {"ok"} and min(r.elapsed_seconds for r in found) > 0
