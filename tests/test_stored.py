@@ -359,3 +359,31 @@ def test_tiles_are_scored_in_stacks_and_fail_alone(spark, monkeypatch):
     frame = tiles(spark, range(0, 60)).withColumn("model", F.lit("s"))
     found = scoring.score(frame, {"s": scoring.CannyScorer}).collect()
     assert len(found) == 60 and {r.status for r in found} == {"ok"} and min(r.elapsed_seconds for r in found) > 0
+
+
+def test_tiles_of_a_source_arrive_in_stacks(spark, tmp_path):
+    """Scorers see what arrives of a source together; later copies and new tiles are told apart in any batch size."""
+    arrivals, folder, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    together = str(tmp_path / "together")
+
+    class Counted(Stacked):
+        def predict_many(self, found):
+            import uuid
+            from pathlib import Path
+
+            Path(f"{together}-{len(found)}-{uuid.uuid4().hex}").touch()
+            return super().predict_many(found)
+
+    limit, kept = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    call = lambda: score_arrivals(spark, arrivals, ["s"], folder, progress, {"s": Counted})
+    tiles(spark, [*range(0, 40, 2), 2, 4]).coalesce(1).write.mode("append").parquet(arrivals)
+    call()
+    assert [p.name.split("-")[1] for p in tmp_path.glob("together-*")] == ["20"]
+    spark.conf.set(limit, 3)
+    try:
+        tiles(spark, [*range(20, 60, 2), 61, 44, 44, 61]).coalesce(1).write.mode("append").parquet(arrivals)
+        call()
+    finally:
+        spark.conf.set(limit, kept)
+    log = [(r.tile_filename, r.status) for r in scoring.scoring_log(spark, folder).collect()]
+    assert sorted(log) == sorted([(f"t{v}", "ok") for v in range(0, 60, 2)] + [("t61", "failed")])
